@@ -2,15 +2,25 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fogline.functions.runtime import read
-from fogline.llm import exact_dedup, mixing, sharding
+from fogline.functions.runtime import read, scratch_path
+from fogline.llm import bpe, exact_dedup, mixing, sharding, token_files
 
 SHARDS = [(k, 1.0) for k in range(24)]
 
 
+#: Files of the public tokenizers, found where their package is installed.
+RANKS, TOKENIZER = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op1_bpe_merge_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids and of the decoded bytes of every text."""
+    return bpe.digests(read(spark, sf_dir, "documents"), RANKS)
+
+
 def op5_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shards 0 to 23 by doc_id; ``slot`` orders a shard's rows by hash bucket and id."""
     body = F.coalesce(F.col("text"), F.lit(""))
@@ -19,6 +29,13 @@ def op5_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.number_slots(placed, ["doc_id", "text_crc32", "size"]).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+def op7_bit_plane_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document, written as chunks, and where they lie, read back from the files."""
+    path = scratch_path(spark, "tokens")
+    token_files.write(read(spark, sf_dir, "documents"), path, TOKENIZER)
+    return token_files.read(spark, path)
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keep decisions, with the digest of every text."""
     return exact_dedup.decisions(read(spark, sf_dir, "documents"), hash_all=True).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -29,7 +46,7 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op5_rendezvous_sharding, op8_exact_dedup, op10_source_mix)}
+QUERIES = {f.__name__: f for f in (op1_bpe_merge_replay, op5_rendezvous_sharding, op7_bit_plane_tokens, op8_exact_dedup, op10_source_mix)}
 
 OP8_SQL = """
 with d as (
