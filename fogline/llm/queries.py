@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fogline.functions.runtime import read, scratch_path
-from fogline.llm import bpe, exact_dedup, mixing, sharding, token_files
+from fogline.llm import bpe, exact_dedup, html_text, media, mixing, sharding, token_files, toxicity
 
 SHARDS = [(k, 1.0) for k in range(24)]
 
@@ -21,6 +21,16 @@ def op1_bpe_merge_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read(spark, sf_dir, "documents"), RANKS)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every text, learned from the labels that aren't held out."""
+    return toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op3_html_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_text.extract(read(spark, sf_dir, "pages"))
+
+
 def op5_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shards 0 to 23 by doc_id; ``slot`` orders a shard's rows by hash bucket and id."""
     body = F.coalesce(F.col("text"), F.lit(""))
@@ -41,12 +51,20 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.decisions(read(spark, sf_dir, "documents"), hash_all=True).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op9_lossless_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text stored as lossless pictures, decoded again."""
+    return media.digests(media.encode(read(spark, sf_dir, "documents")))
+
+
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes from each document."""
     return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_merge_replay, op5_rendezvous_sharding, op7_bit_plane_tokens, op8_exact_dedup, op10_source_mix)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_bpe_merge_replay, op2_toxicity, op3_html_density, op5_rendezvous_sharding, op7_bit_plane_tokens, op8_exact_dedup, op9_lossless_webp, op10_source_mix)
+}
 
 OP8_SQL = """
 with d as (
