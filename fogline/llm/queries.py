@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fogline.functions.runtime import read, scratch_path
-from fogline.llm import bpe, exact_dedup, html_text, media, mixing, sharding, token_files, toxicity
+from fogline.llm import bpe, exact_dedup, html_text, media, mixing, sharding, signature_tree, token_files, toxicity
 
 SHARDS = [(k, 1.0) for k in range(24)]
 
@@ -39,6 +39,11 @@ def op5_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.number_slots(placed, ["doc_id", "text_crc32", "size"]).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+def op6_signature_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with the smallest id that links of a similarity of 0.8 or more lead to."""
+    return signature_tree.linked(read(spark, sf_dir, "documents"))
+
+
 def op7_bit_plane_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document, written as chunks, and where they lie, read back from the files."""
     path = scratch_path(spark, "tokens")
@@ -63,7 +68,7 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_bpe_merge_replay, op2_toxicity, op3_html_density, op5_rendezvous_sharding, op7_bit_plane_tokens, op8_exact_dedup, op9_lossless_webp, op10_source_mix)
+    for f in (op1_bpe_merge_replay, op2_toxicity, op3_html_density, op5_rendezvous_sharding, op6_signature_tree_join, op7_bit_plane_tokens, op8_exact_dedup, op9_lossless_webp, op10_source_mix)
 }
 
 OP8_SQL = """
@@ -74,6 +79,21 @@ g as (select text_sha256, max(doc_id) as keep_id, count(*) as group_size from d
 select doc_id, keep_id, group_size, doc_id = keep_id as kept, d.text_sha256 from d join g on d.text_sha256 = g.text_sha256
 """
 
+OP6_SQL = r"""
+with recursive w as (
+  select doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) as w
+  from documents),
+s as (
+  select distinct doc_id, case when len(w) < 5 then array_to_string(w, ' ') else array_to_string(w[i : i + 4], ' ') end as shingle
+  from w, lateral (select unnest(generate_series(1, greatest(len(w) - 4, 1)))) t(i) where len(w) > 0),
+n as (select doc_id, count(*) as n from s group by doc_id),
+common as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.shingle = b.shingle and a.doc_id <> b.doc_id group by all),
+link as (select a, b from common join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 80 * (x.n + y.n - c)),
+reach as (select doc_id, doc_id as other from w union select doc_id, b from reach join link on other = a),
+root as (select doc_id, min(other) as component_id from reach group by doc_id)
+select root.doc_id, coalesce(n, 0)::bigint as n_shingles, component_id from root left join n on n.doc_id = root.doc_id
+"""
+
 OP10_SQL = r"""
 with d as (
   select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size,
@@ -111,4 +131,4 @@ select doc_id, size, source_size, target,
 from run join s7 on run.source is not distinct from s7.source
 """
 
-SQL = {"op8_exact_dedup": OP8_SQL, "op10_source_mix": OP10_SQL}
+SQL = {"op6_signature_tree_join": OP6_SQL, "op8_exact_dedup": OP8_SQL, "op10_source_mix": OP10_SQL}

@@ -34,7 +34,7 @@ def _classes() -> np.ndarray:
     return _tables["class"]
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE and its inverse modulo 2^64, to the powers 0 to n."""
     if len(_tables.get("power", ())) <= n:
         size = max(n + 1, BLOCK_CHARS + 1)
@@ -89,7 +89,7 @@ def spans(points: np.ndarray, firsts: np.ndarray) -> np.ndarray:
 def hashes(points: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each word; words run from one start to the next."""
     n = len(points)
-    power, inverse = _powers(n)
+    power, inverse = powers(n)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(mixed(points.astype(np.uint64) + np.uint64(1)) * power[:n], out=sums[1:])
     ends = np.append(starts[1:], n)
