@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fogline.functions.runtime import read, scratch_path
-from fogline.llm import bpe, exact_dedup, html_text, media, mixing, sharding, signature_tree, token_files, toxicity
+from fogline.llm import bpe, exact_dedup, html_text, media, mixing, secret_scan, sharding, signature_tree, token_files, toxicity
 
 SHARDS = [(k, 1.0) for k in range(24)]
 
@@ -31,6 +31,12 @@ def op3_html_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(read(spark, sf_dir, "pages"))
 
 
+def op4_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate secret of the documents with its score and the forest's verdict."""
+    found = secret_scan.scan(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "position", F.sha2("candidate", 256).alias("candidate_sha256"), F.col("length").cast("long").alias("length"), "score", "secret")
+
+
 def op5_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shards 0 to 23 by doc_id; ``slot`` orders a shard's rows by hash bucket and id."""
     body = F.coalesce(F.col("text"), F.lit(""))
@@ -68,7 +74,7 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_bpe_merge_replay, op2_toxicity, op3_html_density, op5_rendezvous_sharding, op6_signature_tree_join, op7_bit_plane_tokens, op8_exact_dedup, op9_lossless_webp, op10_source_mix)
+    for f in (op1_bpe_merge_replay, op2_toxicity, op3_html_density, op4_secret_forest, op5_rendezvous_sharding, op6_signature_tree_join, op7_bit_plane_tokens, op8_exact_dedup, op9_lossless_webp, op10_source_mix)
 }
 
 OP8_SQL = """

@@ -391,7 +391,7 @@ class BitWriter:
 
     def write(self, value: int, n: int) -> None:
         self.value |= int(value) << self.n
-        self.n += n
+        self.n += int(n)
 
 
 def code_lengths(counts: np.ndarray, most: int) -> np.ndarray:

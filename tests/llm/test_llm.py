@@ -1,0 +1,679 @@
+"""Operators against brute force, exact round trips and edge cases: nulls, empty and long texts, ties, repeated rows,
+empty tables, and further columns with clashing names."""
+
+import hashlib
+import itertools
+import random
+import re
+import zlib
+
+import numpy as np
+import pandas as pd
+import public_tokenizers
+import pytest
+import tiktoken
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from fogline.llm import bpe, exact_dedup, html_text, media, mixing, secret_scan, sharding, signature_tree, token_files, toxicity, webp, words
+
+RANKS, TOKENIZER = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json")
+#: doc_id, text, source and columns whose names an operator may use inside
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, token string, shard int, size string"
+TEXTS = [None, "", " \n\t", "One two three four five six.", "ONE two three four five six.", "One two three four five seven.", "x" * 5000, "word " * 4000, "It's 2024, isn't it?  　Да — naïve ２", "a b", "a  b", "\x1c\x00 \U0010ffff end", "The quick brown fox " * 40, "The quick brown fox " * 40 + "jumps"]
+
+
+def table(spark, texts=TEXTS, ids=None, sources=None):
+    rows = [(i if ids is None else ids[i], t, "en", (None if i % 4 == 3 else f"s{i % 4}") if sources is None else sources[i], None if t is None else len(t), "x", 1, "y") for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+# 1: byte-level BPE
+
+
+def reference_encoding():
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(RANKS), special_tokens={})
+
+
+def test_bpe_equals_the_library_and_round_trips(spark):
+    want, rng = reference_encoding(), random.Random(3)
+    parts = ["a", "b", " ", "the", "1", "'s", "'ll", "é", "日", "\n", "aaa", "  ", "=", "-", "'"]
+    texts = [*TEXTS, *("".join(rng.choice(parts) for _ in range(rng.randint(0, 60))) for _ in range(300)), "a" * 3000, "=" * 500]
+    got = bpe.decode(bpe.encode(table(spark, texts), RANKS), RANKS).collect()
+    for row in got:
+        text = texts[row["doc_id"]] or ""
+        assert row["ids"] == want.encode_ordinary(text)
+        assert bytes(row["decoded"]) == text.encode()
+    by_id = {r["doc_id"]: r for r in bpe.digests(table(spark, texts), RANKS).collect()}
+    for row in got:
+        told = by_id[row["doc_id"]]
+        assert told["n_tokens"] == len(row["ids"])
+        assert told["ids_sha256"] == hashlib.sha256(",".join(map(str, row["ids"])).encode()).hexdigest()
+        assert told["decoded_sha256"] == hashlib.sha256(bytes(row["decoded"])).hexdigest()
+    assert bpe.encode(empty(spark), RANKS).count() == 0
+
+
+def test_bpe_results_dont_depend_on_blocks_or_memory():
+    texts = [t or "" for t in TEXTS]
+    whole = [x.tolist() for x in bpe.Encoder(RANKS).encode(texts)]
+    small = bpe.Encoder(RANKS)
+    small.lexicon.most = 3
+    assert whole == [x.tolist() for t in texts for x in small.encode([t])]
+
+
+def test_words_equal_the_pattern():
+    import regex
+
+    split, rng = regex.compile(public_tokenizers.PATTERN), random.Random(5)
+    parts = ["a", " ", "'s", "'re", "'", "x", "é", "1", "\n", "\t", "　", "!", "²", "  "]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(3000)]
+    lexicon = words.Lexicon(10**6)
+    rows, counts = lexicon.rows(texts)
+    at = 0
+    for text, n in zip(texts, counts.tolist(), strict=True):
+        assert [lexicon.new[k] for k in rows[at : at + n].tolist()] == split.findall(text)
+        at += n
+
+
+# 2: toxicity
+
+
+def test_folding_meets_disguises():
+    assert toxicity.fold(["1D10T  іdiоt ídïot idi​ot !diot"]) == [" idiot idiot idiot idiot idiot "]
+    assert toxicity.fold(["", None or ""]) == ["  ", "  "]
+
+
+def labelled(spark, n=600):
+    rng, rows, labels = random.Random(1), [], []
+    plain = [f"{a}{b}" for a in ("ka", "lo", "mi", "nu", "pe") for b in ("ra", "si", "to", "va", "zu")]
+    for i in range(n):
+        bad = i % 6 == 0
+        said = [rng.choice(plain) for _ in range(rng.randint(10, 120))]
+        if bad:
+            for _ in range(max(1, len(said) // 30)):
+                said[rng.randrange(len(said))] = rng.choice(["grobbel", "gr0bbel", "snarfik"])
+        rows.append((i, " ".join(said), "en", "s", 0, "x", 1, "y"))
+        labels.append((i, 1, int(bad)))
+    return spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+
+
+def test_toxicity_is_right_on_held_out_rows(spark):
+    docs, labels = labelled(spark)
+    got = toxicity.toxicity(docs, labels).join(labels, "doc_id").toPandas()
+    held = got[got.held_out]
+    assert len(held) > 60 and (held.predicted == held.toxic).mean() > 0.97
+    assert all((zlib.crc32(str(i).encode()) % 5 == 0) == h for i, h in zip(got.doc_id, got.held_out, strict=True))
+    assert got.score.between(0, 1).all() and ((got.score >= 0.5) == (got.predicted == 1)).all()
+
+
+def test_toxicity_of_odd_tables(spark):
+    docs, labels = labelled(spark)
+    lexicon = toxicity.fit(docs, labels)
+    odd = [None, "", "grobbel", "the grobbel-proof thing", "word " * 3000]
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(table(spark, odd), lexicon).collect()}
+    assert got[0] == got[1] < 0.5 <= got[2] and got[4] < 0.5
+    lexicon.exceptions = ("grobbel proof",)
+    assert toxicity.score(table(spark, odd), lexicon).where("doc_id = 3").first()["score"] < 0.5
+    assert toxicity.keep_clean(table(spark, odd), lexicon).columns == table(spark).columns
+    assert toxicity.keep_clean(table(spark, odd), lexicon).count() == 4
+    none = toxicity.fit(empty(spark), labels.limit(0))
+    assert toxicity.score(table(spark, ["you idiot", "fine"]), none).orderBy("doc_id").first()["score"] >= 0.5
+    assert toxicity.toxicity(empty(spark), labels).count() == 0
+
+
+# 3: main text
+
+
+@pytest.mark.parametrize(
+    "html,text",
+    [
+        ("", ""),
+        ("plain  words", "plain words"),
+        ("<html><body><nav><a href=x>Menu</a></nav><article><h1>T &amp; U</h1><p>One\n two<br><p>three</article><footer>f</footer>", "T & U\nOne two\nthree"),
+        ("<body><div class='ad'>Buy this very long advert that goes on and on</div><div><p>Short.</p><p>Text.</p></div><div id=comments><p>I say so too, at length</p></div></body>", "Short.\nText."),
+        ("<script>var a='<p>no</p>'</script><p>yes</p><form><p>mail</p></form>", "yes"),
+        ("<body><ul>" + "<li><a href=x>link text here</a></li>" * 20 + "</ul><div><p>Main words stand here.</p><p>And more words stand here.</p></div></body>", "Main words stand here.\nAnd more words stand here."),
+        ("<div>" * 3000 + "<p>deep</p>", "deep"),
+    ],
+)
+def test_main_text(html, text):
+    assert html_text.main_text(html) == text
+
+
+def test_extract_odd_tables(spark):
+    schema = "page_id long, url string, html string, text string, n_chars string"
+    got = html_text.extract(spark.createDataFrame([(1, "u", None, "a", "b"), (1, "u", None, "a", "b"), (2, None, "<p>é</p>", "a", "b")], schema)).collect()
+    assert sorted((r["page_id"], r["text"], r["n_chars"]) for r in got) == [(1, "", 0), (1, "", 0), (2, "é", 1)]
+    assert html_text.extract(spark.createDataFrame([], schema)).count() == 0
+
+
+# 5: sharding
+
+
+def test_one_more_shard_only_takes(spark):
+    shards = [(k, 1.0) for k in range(24)]
+    got = sharding.assign_shards(spark.range(6000).withColumnRenamed("id", "key"), "key", shards, [*shards, (24, 1.0)]).toPandas()
+    moved = got[got.shard != got.grown_shard]
+    assert (moved.grown_shard == 24).all() and 150 < len(moved) < 350
+    assert got.shard.value_counts().between(150, 350).all()
+    heavy = sharding.assign_shards(spark.range(4000).withColumnRenamed("id", "key"), "key", [(0, 1.0), (1, 3.0)]).toPandas()
+    assert 0.2 < (heavy.shard == 0).mean() < 0.3
+    with pytest.raises(ValueError):
+        sharding.rendezvous(F.lit(1), [])
+
+
+def test_slots_are_gapless(spark):
+    docs = table(spark, TEXTS * 3, ids=[i % 20 if i % 7 else None for i in range(len(TEXTS) * 3)])
+    got = sharding.number_slots(sharding.assign_shards(docs, "doc_id", [(0, 1.0), (1, 1.0)]), ["doc_id", "n_chars"]).toPandas()
+    for _, rows in got.groupby("shard"):
+        assert sorted(rows.slot) == list(range(len(rows)))
+    assert sharding.number_slots(sharding.assign_shards(empty(spark), "doc_id", [(0, 1.0)]), ["doc_id"]).count() == 0
+
+
+# 6: n-gram Jaccard join
+
+
+def sets_of(text):
+    said = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(said[i : i + 5]) for i in range(max(len(said) - 4, 1))} if said else set()
+
+
+def components_of(texts, ids):
+    sets, root = [sets_of(t) for t in texts], list(range(len(texts)))
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        both = len(sets[i] & sets[j])
+        if sets[i] and sets[j] and 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+            a, b = root[i], root[j]
+            root = [min(a, b) if r in (a, b) else r for r in root]
+    least = {r: min(ids[i] for i in range(len(ids)) if root[i] == r) for r in set(root)}
+    return {ids[i]: (len(sets[i]), least[root[i]]) for i in range(len(ids))}
+
+
+def near_copies(rng, groups, size, n_words):
+    texts = []
+    for g in range(groups):
+        base = [f"w{rng.randrange(400)}" for _ in range(n_words)]
+        for _ in range(size):
+            own = list(base)
+            for _ in range(rng.randrange(0, 4)):
+                own[rng.randrange(len(own))] = f"e{g}{rng.randrange(30)}"
+            texts.append(" ".join(own))
+    return texts
+
+
+@pytest.mark.parametrize("bounds", [{}, {"BLOCK_DOCS": 4, "STANDS": 1, "MAX_STANDS": 4, "LEAF": 2, "SMALL": 2, "LEAST_IN_BATCH": 2, "LEAST_FREQUENT": 3}])
+def test_components_equal_brute_force(spark, monkeypatch, bounds):
+    for name, value in bounds.items():
+        monkeypatch.setattr(signature_tree, name, value)
+    rng = random.Random(8)
+    shared = " ".join(f"p{i}" for i in range(60))
+    texts = [*TEXTS, *near_copies(rng, 3, 12, 90), *near_copies(rng, 6, 3, 30), *near_copies(rng, 2, 8, 7), *(f"{shared} own{i} words{i} here{i}" * (1 + i % 2) for i in range(8))]
+    ids = list(range(len(texts)))
+    rng.shuffle(ids)
+    want = components_of(texts, ids)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in signature_tree.linked(table(spark, texts, ids, [None] * len(texts))).collect()}
+    assert got == want
+
+
+def test_join_of_odd_tables(spark):
+    assert signature_tree.linked(empty(spark)).count() == 0
+    got = signature_tree.linked(table(spark, ["a b", "a b", None, "a c"], ids=[None, 5, None, 5])).collect()
+    assert sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in got) == [("5", 1, "5"), ("5", 1, "5"), ("None", 0, "None"), ("None", 1, "5")]
+
+
+def test_tree_finds_all_links_that_connect():
+    rng = random.Random(2)
+    import pyarrow as pa
+
+    texts = near_copies(rng, 4, 30, 60)
+    sets = signature_tree.shingles(pa.array(texts))
+    assert [len(s) for s in sets] == [len(sets_of(t)) for t in texts]
+    tree = signature_tree.Tree(sets)
+    labels = signature_tree.Labels(np.arange(len(sets)))
+    list(signature_tree.join_trees(tree, None, labels))
+    ids = [int(k) for k in tree.order]
+    want = components_of([texts[k] for k in ids], list(range(len(ids))))
+    for a, b in itertools.combinations(range(len(ids)), 2):
+        assert (labels.of[a] == labels.of[b]) == (want[a][1] == want[b][1])
+
+
+# 7: token files
+
+
+def test_token_files_round_trip(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_files, "CHUNK_IDS", 900)
+    tokenizer = Tokenizer.from_file(TOKENIZER)
+    tokenizer.encode_special_tokens = True
+    path = f"file://{tmp_path}/tokens"
+    token_files.write(table(spark), path, TOKENIZER)
+    got = {r["doc_id"]: r for r in token_files.read(spark, path).collect()}
+    ids = {r["doc_id"]: r["ids"] for r in token_files.read_ids(spark, path).collect()}
+    start = 0
+    for k, text in enumerate(TEXTS):
+        want = [*tokenizer.encode(text or "", add_special_tokens=False).ids, 0]
+        assert ids[k] == want
+        assert (got[k]["start"], got[k]["n_tokens"]) == (start, len(want))
+        assert got[k]["ids_crc32"] == zlib.crc32(np.array(want, "<u4").tobytes())
+        start += len(want)
+    token_files.write(empty(spark), f"{path}-none", TOKENIZER)
+    assert token_files.read(spark, f"{path}-none").count() == 0
+
+
+@pytest.mark.parametrize("n", [0, 1, 7, 8, 9, 70000])
+def test_planes_round_trip(n):
+    ids = np.random.default_rng(n).integers(0, 50257, n).astype(np.uint32)
+    assert (token_files.unpack(n, *token_files.pack(ids)) == ids).all()
+    wide = (ids * np.uint32(80000)).astype(np.uint32)
+    assert (token_files.unpack(n, *token_files.pack(wide)) == wide).all()
+
+
+# 8: exact dedup
+
+
+def test_dedup_equals_brute_force(spark):
+    rng = random.Random(4)
+    texts = [*TEXTS, *(rng.choice(TEXTS) for _ in range(40)), "É", "é", "A" * 100 + "b", "a" * 100 + "B", "a" * 100 + "c"]
+    ids = rng.sample(range(1000), len(texts))
+    folded = [re.sub("[A-Z]", lambda m: m[0].lower(), t or "") for t in texts]
+    groups = {}
+    for i, f in zip(ids, folded, strict=True):
+        groups.setdefault(f, []).append(i)
+    for hash_all in (False, True):
+        got = {r["doc_id"]: r for r in exact_dedup.decisions(table(spark, texts, ids, [None] * len(ids)), hash_all).collect()}
+        for i, f in zip(ids, folded, strict=True):
+            assert (got[i]["keep_id"], got[i]["group_size"], got[i]["kept"]) == (max(groups[f]), len(groups[f]), i == max(groups[f]))
+            if hash_all:
+                assert got[i]["text_sha256"] == hashlib.sha256(f.encode()).hexdigest()
+    kept = exact_dedup.deduplicate(table(spark, texts, ids, [None] * len(ids)))
+    assert kept.columns == table(spark).columns
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(map(max, groups.values()))
+
+
+def test_dedup_of_repeated_rows_and_null_ids(spark):
+    docs = table(spark, ["a", "A", "a", "b", "b", None, ""], ids=[1, 1, 1, None, None, None, 2])
+    got = exact_dedup.decisions(docs).collect()
+    assert len(got) == 7 and sum(r["kept"] for r in got) == 3
+    assert exact_dedup.deduplicate(docs).count() == 3
+    assert exact_dedup.decisions(empty(spark)).count() == 0
+
+
+# 9: lossless WebP
+
+
+def test_media_round_trip(spark):
+    rows = media.encode(table(spark)).collect()
+    told = {r["doc_id"]: r for r in media.digests(media.encode(table(spark))).collect()}
+    for r in rows:
+        raw = (TEXTS[r["doc_id"]] or "").encode()
+        payload = raw + b"\xff" * (-len(raw) % 576 or (0 if raw else 576))
+        pixels = np.concatenate(list(media.pictures(bytes(r["media"]))))
+        assert pixels[..., 1].tobytes() == payload
+        assert (pixels[..., 0] == pixels[..., 2]).all() and (pixels[..., 3] == 255).all()
+        assert told[r["doc_id"]]["payload_sha256"] == hashlib.sha256(payload).hexdigest()
+        assert told[r["doc_id"]]["tail_crc32"] == zlib.crc32(payload[-32:])
+    assert told[3]["media_sha256"] != told[4]["media_sha256"] and told[0]["feature"] == told[1]["feature"]
+    assert media.decode(media.encode(table(spark))).where("width = 576").count() == len(TEXTS)
+    assert media.digests(media.encode(empty(spark))).count() == 0
+
+
+def test_long_payload_fills_several_pictures(monkeypatch):
+    monkeypatch.setattr(media, "MAX_ROWS", 3)
+    raw = bytes(random.Random(1).randrange(256) for _ in range(576 * 7 + 5))
+    stored = media.store(raw)
+    assert len(list(media.pictures(stored))) == 3
+    assert b"".join(p[..., 1].tobytes() for p in media.pictures(stored))[: len(raw)] == raw
+
+
+class Stream(webp.BitWriter):
+    """A writer of streams with features that the grey encoder doesn't use. Codes have eight bits a symbol."""
+
+    def flat_codes(self, cache=0, far=None):
+        n = 280 + cache
+        size = max(n - 1, 1).bit_length()
+        lengths = np.full(n, size, np.int64)
+        lengths[: (1 << size) - n] = size - 1
+        self.green, self.green_codes = lengths, webp.canonical(lengths)
+        webp.write_code(self, lengths)
+        self.byte = webp.canonical(np.full(256, 8))
+        for _ in range(3):
+            webp.write_code(self, np.full(256, 8))
+        webp.write_code(self, np.bincount([0, 1, 2, 3, 5, 10, 15, 20], minlength=40) * 3)
+        self.far = webp.canonical(np.bincount([0, 1, 2, 3, 5, 10, 15, 20], minlength=40) * 3)
+
+    def pixel(self, p):
+        a, r, g, b = p >> 24, p >> 16 & 255, p >> 8 & 255, p & 255
+        self.write(self.green_codes[g], self.green[g])
+        for v in (r, b, a):
+            self.write(self.byte[v], 8)
+
+    def copy(self, length, code):
+        prefix, extra, n = webp.length_prefix(length)
+        self.write(self.green_codes[256 + prefix], self.green[256 + prefix])
+        self.write(extra, n)
+        prefix, extra, n = webp.length_prefix(code)
+        self.write(self.far[prefix], 3)
+        self.write(extra, n)
+
+    def cached(self, k):
+        self.write(self.green_codes[280 + k], self.green[280 + k])
+
+    def picture(self, pixels, main=True):
+        """Plain pixels as an entropy-coded picture."""
+        self.write(0, 1)
+        if main:
+            self.write(0, 1)
+        self.flat_codes()
+        for p in pixels:
+            self.pixel(int(p))
+
+    def bytes(self):
+        return webp.container(self.value.to_bytes((self.n + 7) >> 3, "little"))
+
+
+def argb(image):
+    """Pixels of an RGBA array as numbers."""
+    x = image.astype(np.int64)
+    return (x[..., 3] << 24 | x[..., 0] << 16 | x[..., 1] << 8 | x[..., 2]).ravel()
+
+
+def image_of(seed, h, w):
+    return np.random.default_rng(seed).integers(0, 256, (h, w, 4)).astype(np.uint8)
+
+
+def test_literals_copies_and_colour_cache():
+    image = image_of(1, 3, 8)
+    image[1] = image[0]
+    image[2, :4] = image[0, 0]
+    px = argb(image).tolist()
+    s = Stream()
+    webp.header(s, 8, 3)
+    s.write(0, 1)
+    s.write(1, 1)
+    s.write(4, 4)
+    s.write(0, 1)
+    s.flat_codes(cache=16)
+    cache, key = [0] * 16, lambda p: (0x1E35A7BD * p & 0xFFFFFFFF) >> 28
+    for p in px[:8]:
+        s.pixel(p)
+        cache[key(p)] = p
+    s.copy(8, 1)  # one row up
+    for p in px[8:16]:
+        cache[key(p)] = p
+    for k, p in enumerate(px[16:]):
+        if k == 1:
+            s.copy(3, 2)  # the pixel before, three times over
+        if 1 <= k < 4:
+            continue
+        if cache[key(p)] == p:
+            s.cached(key(p))
+        else:
+            s.pixel(p)
+        cache[key(p)] = p
+    assert (webp.decode(s.bytes()) == image).all()
+
+
+@pytest.mark.parametrize("mode", range(14))
+def test_predictors(mode):
+    image = image_of(mode, 5, 7)
+    bgra = image[..., [2, 1, 0, 3]].astype(np.int64)
+    residual = np.zeros_like(bgra)
+    modes = np.full((2, 2), mode)
+    for y in range(5):
+        for x in range(7):
+            m = webp.mode_at(modes, 2, x, y)
+            if x and y:
+                near = webp.neighbours(bgra, x, y)
+            else:
+                near = (bgra[y, x - 1], bgra[y - 1, x], None, None)
+            residual[y, x] = (bgra[y, x] - webp.predict(m, *near)) & 255
+    s = Stream()
+    webp.header(s, 7, 5)
+    s.write(1, 1)
+    s.write(webp.PREDICTOR, 2)
+    s.write(0, 3)
+    s.picture([0xFF000000 | mode << 8] * 4, main=False)
+    s.write(0, 1)
+    s.picture(argb(residual[..., [2, 1, 0, 3]]))
+    assert (webp.decode(s.bytes()) == image).all()
+
+
+def test_predictor_values():
+    left, top, top_left, top_right = (np.array(v) for v in ([10, 200, 3, 255], [20, 100, 250, 255], [15, 150, 0, 255], [30, 0, 9, 255]))
+    assert webp.predict(11, left, top, top_left, top_right).tolist() == top.tolist()
+    assert webp.predict(12, left, top, top_left, top_right).tolist() == [15, 150, 253, 255]
+    assert webp.predict(13, left, top, top_left, top_right).tolist() == [15, 150, 189, 255]
+    assert webp.predict(5, left, top, top_left, top_right).tolist() == [20, 100, 128, 255]
+
+
+def test_cross_colour_and_subtract_green():
+    image = image_of(7, 4, 4)
+    x = image.astype(np.int64)
+    signed = lambda v: v.astype(np.uint8).astype(np.int8).astype(np.int64)
+    red_m, blue_m, both_m = 37, -20, 11
+    green = signed(x[..., 1])
+    coded = x.copy()
+    coded[..., 0] = (x[..., 0] - (red_m * green >> 5)) & 255
+    coded[..., 2] = (x[..., 2] - (blue_m * green >> 5) - (both_m * signed(x[..., 0]) >> 5)) & 255
+    coded[..., 0] = (coded[..., 0] - coded[..., 1]) & 255
+    coded[..., 2] = (coded[..., 2] - coded[..., 1]) & 255
+    s = Stream()
+    webp.header(s, 4, 4)
+    s.write(1, 1)
+    s.write(webp.CROSS_COLOUR, 2)
+    s.write(0, 3)
+    s.picture([0xFF << 24 | both_m << 16 | (blue_m & 255) << 8 | red_m], main=False)
+    s.write(1, 1)
+    s.write(webp.SUBTRACT_GREEN, 2)
+    s.write(0, 1)
+    s.picture(argb(coded))
+    assert (webp.decode(s.bytes()) == image).all()
+
+
+@pytest.mark.parametrize("n", [2, 3, 13, 40])
+def test_palettes(n):
+    rng = np.random.default_rng(n)
+    colours = rng.integers(0, 256, (n, 4)).astype(np.uint8)
+    index = rng.integers(0, n, (3, 11))
+    packed = 3 if n <= 2 else 2 if n <= 4 else 1 if n <= 16 else 0
+    each, per = 8 >> packed, 1 << packed
+    wide = -(-11 // per)
+    padded = np.zeros((3, wide * per), np.int64)
+    padded[:, :11] = index
+    green = (padded.reshape(3, wide, per) << (np.arange(per) * each)).sum(2)
+    steps = np.diff(colours.astype(np.int64), axis=0, prepend=np.zeros((1, 4), np.int64)) & 255
+    s = Stream()
+    webp.header(s, 11, 3)
+    s.write(1, 1)
+    s.write(webp.PALETTE, 2)
+    s.write(n - 1, 8)
+    s.picture(argb(steps), main=False)
+    s.write(0, 1)
+    s.picture((0xFF << 24 | green << 8).ravel())
+    assert (webp.decode(s.bytes()) == colours[index]).all()
+
+
+def test_meta_prefix_image():
+    image = image_of(9, 4, 8)
+    s = Stream()
+    webp.header(s, 8, 4)
+    s.write(0, 1)
+    s.write(0, 1)
+    s.write(1, 1)
+    s.write(0, 3)
+    s.picture([0, 1 << 8], main=False)  # two blocks of four pixels with a group each
+    s.flat_codes()
+    s.flat_codes()
+    for p in argb(image).tolist():
+        s.pixel(p)
+    assert (webp.decode(s.bytes()) == image).all()
+
+
+def test_broken_files_are_errors():
+    good = webp.encode_grey(np.arange(576, dtype=np.uint8).reshape(1, 576))
+    for bad in (b"", b"RIFF", good[:12], good[:20] + b"\0" + good[21:], good[:60]):
+        with pytest.raises((ValueError, IndexError)):
+            webp.decode(bad)
+
+
+def test_codes_of_all_lengths():
+    counts = np.concatenate([np.full(2**k, k) for k in range(18)])
+    samples = np.append(counts, np.full(-len(counts) % 576, 3)).astype(np.uint8)
+    np.random.default_rng(0).shuffle(samples)
+    assert webp.code_lengths(np.bincount(samples, minlength=280), 15).max() == 15
+    assert (webp.decode(webp.encode_grey(samples.reshape(-1, 576)))[..., 1].ravel() == samples).all()
+
+
+# 10: mixing
+
+
+def brute_mix(sizes, seats_of=None):
+    """Targets by resharing until no source is above three times its size, then seats one by one."""
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: k % 3 + 1 for k, s in enumerate(names)}
+    total, capped = sum(sizes.values()), set()
+    while True:
+        rest = total - sum(3 * sizes[s] for s in capped)
+        open_ = sum(weight[s] for s in names if s not in capped)
+        share = {s: 3 * sizes[s] if s in capped else weight[s] * rest / open_ for s in names}
+        above = {s for s in names if s not in capped and share[s] > 3 * sizes[s]}
+        if not above:
+            return names, share
+        capped |= above
+
+
+def test_mix_comes_near_the_targets(spark):
+    rng = random.Random(6)
+    sources = [rng.choice(["a", "a", "a", "b", "c", "d", None]) for _ in range(300)]
+    texts = ["w " * rng.randrange(0, 60) for _ in sources]
+    got = mixing.mix(table(spark, texts, None, sources)).toPandas()
+    sizes = {}
+    for s, t in zip(sources, texts, strict=True):
+        sizes[s] = sizes.get(s, 0) + len(t.split())
+    names, share = brute_mix(sizes)
+    got["source"] = got.source.where(got.source.notna(), None)
+    for s in names:
+        rows = got[got.source.isna()] if s is None else got[got.source == s]
+        assert abs(rows.target.iloc[0] - share[s]) < 1e-6 * max(share[s], 1)
+        assert rows.source_size.iloc[0] == sizes[s]
+        assert abs(rows.taken.sum() - share[s]) <= 0.03 * share[s] + 2
+        assert (rows.taken <= 3 * rows["size"]).all()
+    assert (got.taken_by_shard.map(sum) == got.taken).all()
+    again = mixing.mix(table(spark, texts, None, sources).repartition(7)).toPandas()
+    assert sorted(zip(got.doc_id, got.taken, strict=True)) == sorted(zip(again.doc_id, again.taken, strict=True))
+
+
+def test_quotas_are_the_highest_quotients(spark):
+    rows = spark.createDataFrame([("a", 1000), ("b", 30), ("c", 410), (None, 77)], "source string, size long")
+    told = mixing.targets(rows)
+    info = {r["place"]: r for r in told.collect()}
+    house = (2 * info[1]["total"] + info[1]["block"]) // (2 * info[1]["block"])
+    ranked = sorted(((-r["numerator"] / (2 * k + 1), p) for p, r in info.items() for k in range(house + 1)))[:house]
+    want = {p: sum(q == p for _, q in ranked) for p in info}
+    last = {r["place"]: r["upto"] for r in mixing.quotas(told, 8).where("shard = 7").collect()}
+    assert {p: n for p, n in want.items() if n} == {p: n for p, n in last.items() if n}
+    by_shard = mixing.quotas(told, 8).toPandas().sort_values(["place", "shard"])
+    assert (by_shard.groupby("place").upto.diff().dropna() >= 0).all()
+
+
+def test_mix_of_odd_tables(spark):
+    assert mixing.mix(empty(spark)).count() == 0
+    assert mixing.mix(table(spark, [None, "", " "])).agg(F.sum("taken")).first()[0] == 0
+    docs = table(spark, ["a b c", "a b c", "d e"], ids=[1, 1, None], sources=["s", "s", "s"])
+    out = mixing.apply_mix(docs)
+    assert out.columns == docs.columns
+    assert sum(len(r["text"].split()) for r in out.collect()) == mixing.mix(docs).agg(F.sum("taken")).first()[0]
+
+
+# the pipeline
+
+
+def test_pipeline_stages(spark, tmp_path):
+    import corpus_pipeline
+
+    docs, labels = labelled(spark, 240)
+    docs = docs.unionByName(docs.where("doc_id < 20").withColumn("doc_id", F.col("doc_id") + 1000))
+    labels.write.parquet(f"file://{tmp_path}/labels.parquet")
+    docs.write.parquet(f"file://{tmp_path}/documents.parquet")
+    where, now, seen = f"file://{tmp_path}", docs, []
+    for _, stage in corpus_pipeline.STAGES:
+        after = stage(spark, now, where)
+        seen.append((now.toPandas(), after.toPandas()))
+        if stage is not corpus_pipeline.STAGES[-1][1]:
+            assert after.columns == docs.columns
+        now = spark.createDataFrame(after.toPandas(), after.schema) if len(seen[-1][1]) else after
+    (a, b), (_, c), (_, d), (_, e), (_, f) = seen
+    bad = set(labels.where("toxic = 1").toPandas().doc_id)
+    gone = set(a.doc_id) - set(b.doc_id)
+    assert len({g % 1000 for g in gone} - bad) <= 3 and len(gone) >= 0.9 * len([i for i in a.doc_id if i % 1000 in bad])
+    assert set(b.doc_id) - set(c.doc_id) == {i for i in range(20) if i in set(b.doc_id)}
+    want = components_of(list(c.text), list(c.doc_id))
+    assert set(d.doc_id) == {i for i, (_, root) in want.items() if i == root}
+    assert set(e.doc_id) <= set(d.doc_id)
+    enc = reference_encoding()
+    assert sorted(pd.Series([len(enc.encode_ordinary(t)) for t in e.text])) == sorted(f.n_tokens)
+
+
+# 4: secret scans
+
+
+def brute_candidates(texts):
+    run, out = re.compile(r"[A-Za-z0-9+/_=.@:\-]{16,}"), []
+    for k, text in enumerate(texts):
+        for i, word in enumerate(re.split(r"[\x20\x09-\x0D]+", text or "")):
+            m = run.search(word)
+            if m and len(word) >= 16 and re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0]):
+                out.append((k, i, m[0]))
+    return sorted(out)
+
+
+def scanned(rng, n=300):
+    texts, bad = [], set()
+    for k in range(n):
+        said = [rng.choice(["river", "stone", "cloud", "light"]) for _ in range(20)]
+        at = rng.randrange(3, 15)
+        key = "".join(rng.choice("0123456789abcdef") for _ in range(40))
+        if k % 3 == 0:
+            said[at : at + 3] = ["token", "=", f'"{key}"']
+            bad.add(k)
+        elif k % 3 == 1:
+            said[at] = f"someone.{k}@mail{k}.example.com"
+        else:
+            said[at : at + 2] = ["checksum", key]
+        texts.append(" ".join(said))
+    return texts, bad
+
+
+def test_scan_finds_candidates_and_drops_false_positives(spark):
+    texts, bad = scanned(random.Random(9))
+    texts += [None, "", "x" * 30000, "a1" * 4000, " lead 0123456789abcdefX "]
+    got = secret_scan.scan(table(spark, texts)).collect()
+    assert sorted((r["doc_id"], r["position"], r["candidate"]) for r in got) == brute_candidates(texts)
+    verdict = {r["doc_id"]: r["secret"] for r in got if r["doc_id"] < 300}
+    assert {k for k, v in verdict.items() if v} == bad
+    assert all(0 <= r["score"] <= 1 for r in got)
+    one = next(r for r in got if r["doc_id"] == 0)
+    chars = one["candidate"]
+    counts = [chars.count(c) / len(chars) for c in set(chars)]
+    assert abs(one["entropy"] + sum(p * np.log2(p) for p in counts)) < 1e-9
+    assert abs(one["transitions"] - sum(a.isdigit() != b.isdigit() for a, b in itertools.pairwise(chars)) / (len(chars) - 1)) < 1e-9
+
+
+def test_scan_learns_from_reviewed_findings(spark):
+    texts, bad = scanned(random.Random(10))
+    docs = table(spark, texts)
+    found = secret_scan.candidates(docs)
+    # half of the reviews are given, the other half held out
+    review = found.select("doc_id", "position", F.col("doc_id").isin([int(b) for b in bad]).cast("int").alias("label"))
+    got = secret_scan.scan(docs, review.where("doc_id % 2 = 0")).where("doc_id % 2 = 1").collect()
+    assert np.mean([r["secret"] == (r["doc_id"] in bad) for r in got]) > 0.97
+
+
+def test_scan_of_odd_tables(spark):
+    assert secret_scan.scan(empty(spark)).count() == 0
+    assert secret_scan.scan(table(spark, [None, "short a1"])).count() == 0
+    twice = secret_scan.scan(table(spark, ['token = "0123456789abcdef0123"'] * 2, ids=[None, None])).collect()
+    assert [r["secret"] for r in twice] == [True, True]
