@@ -1,7 +1,7 @@
 """N-gram Jaccard join with signature trees.
 
-Documents are sets of word shingles; two link when their Jaccard similarity reaches a threshold. Linked sets share one of
-their rarest shingles (prefix filtering), so documents that share such a shingle form clusters, and no link crosses
+Documents are sets of word shingles; two link when their Jaccard similarity reaches a threshold. Linked sets share some
+of their rarest shingles (prefix filtering), so documents that share enough of these form clusters, and no link crosses
 clusters. A cluster, or a block of a large one, is joined in one task by a signature tree: leaves hold a few documents,
 nodes hold the OR of their documents' token bitmaps and the range of their set sizes, and a dual traversal drops node
 pairs whose largest possible overlap is too small. Pairs left are checked on the sets themselves.
@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -29,6 +29,9 @@ BITMAP_BITS, LEAF, FANOUT = 1024, 32, 4
 #: Frequent shingles that order prefixes, at most: 4 MB for driver and broadcast. A prefix prefers shingles that aren't
 #: among them, then rarer ones. Any such order finds every link; a good one keeps clusters small.
 MAX_FREQUENT, LEAST_IN_BATCH, LEAST_FREQUENT = 1 << 18, 4, 32
+#: Rows up to which a shingle's pairs are listed, and the part of a set that prefixes of linked sets share at least: a tenth
+#: keeps apart documents that share passages only.
+SMALL, SHARED_PART = 8, 10
 #: Bounds of what a task joins at once: documents, and shingles of them.
 BLOCK_DOCS, BLOCK_SHINGLES = 1024, 4_000_000
 #: Documents that stand for a block's component, and for a cluster, when blocks are first brought together.
@@ -104,6 +107,11 @@ def frequent(docs: DataFrame) -> np.ndarray:
 
     Counts cover all documents; a shingle with fewer than LEAST_IN_BATCH documents in a batch isn't counted there.
     """
+def _shared(n: int) -> int:
+    """How many shingles the prefix of a set of this size shares at least with that of a linked set not larger in this number."""
+    return max(1, n // SHARED_PART)
+
+
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -137,7 +145,7 @@ def signatures(docs: DataFrame, order: np.ndarray) -> DataFrame:
                     names.append(None)
                     prefixes.append(tokens.view(np.int64))
                     continue
-                size = n - _least_overlap(n) + 1
+                size = n - _least_overlap(n) + _shared(n)
                 hot = own >= 0
                 if hot[:size].any():
                     tokens_in_order = np.concatenate([tokens[~hot], tokens[hot][np.argsort(own[hot])]])
@@ -341,14 +349,35 @@ def join_across(targets: DataFrame, queries: DataFrame) -> DataFrame:
 
 
 def clusters(signed: DataFrame) -> DataFrame:
-    """(node, root) of the classes that share a prefix shingle with another class, directly or over others.
+    """(node, root) of classes that can be linked, directly or over others.
 
-    All classes with a shingle are tied to its smallest class, which takes as many rows as there are classes.
+    Prefixes of linked sets share at least the smaller of their two ``_shared`` numbers of shingles. A shingle in the
+    prefixes of up to SMALL rows gives its pairs of classes, at most 28; a pair stays if its shingles of this kind, with
+    the frequent ones that both could share, are enough. Pairs that share frequent shingles only have enough of those
+    each, so classes with enough are tied to the smallest of them at each frequent shingle, in as many rows as classes.
     """
-    entries = signed.where("class is not null").select("class", F.explode("prefix").alias("token")).repartition("token")
-    shared = entries.groupBy("token").agg(F.min("class").alias("least"), F.max("class").alias("most")).where("least < most").select("token", "least")
-    stars = entries.join(shared, "token").where("class != least").select("class", "least").distinct()
-    return components(stars, "class", "least")
+    entries = signed.where("class is not null").select("class", F.col("n_shingles").alias("n"), F.explode("prefix").alias("token")).repartition("token").dropDuplicates(["token", "class"])
+    groups = entries.groupBy("token").agg(F.count("*").alias("rows")).where("rows > 1")
+    shared = materialize(entries.join(groups, "token"), "shared")
+    frequent_ones = shared.where(F.col("rows") > SMALL)
+    enough_for = lambda n: F.greatest(F.lit(1).cast("long"), F.floor(n / SHARED_PART))
+    counted = materialize(frequent_ones.groupBy("class").agg(F.count("*").alias("hot"), F.first("n").alias("n")), "hot")
+    rare = shared.where(F.col("rows") <= SMALL).select("token", "class", "n")
+    other = rare.select("token", F.col("class").alias("b"), F.col("n").alias("m"))
+    pairs = rare.join(other, "token").where((F.col("class") < F.col("b")) & _fits("n", "m")).groupBy("class", "b").agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("m").alias("m"))
+    pairs = pairs.join(counted.select("class", F.col("hot").alias("hot_a")), "class", "left").join(counted.select(F.col("class").alias("b"), F.col("hot").alias("hot_b")), "b", "left")
+    most = F.col("c") + F.least(F.coalesce("hot_a", F.lit(0)), F.coalesce("hot_b", F.lit(0)))
+    pairs = pairs.where(most >= enough_for(F.least("n", "m"))).select("class", F.col("b").alias("least"))
+    taking_part = counted.where(F.col("hot") >= enough_for(F.ceil(F.col("n") * NUMERATOR / DENOMINATOR))).select("class")
+    tied = frequent_ones.join(taking_part, "class", "left_semi").select("token", "class")
+    centres = tied.groupBy("token").agg(F.min("class").alias("least"))
+    stars = tied.join(centres, "token").where("class != least").select("class", "least").distinct()
+    return components(pairs.unionByName(stars), "class", "least")
+
+
+def _fits(n: str, m: str) -> Column:
+    """Whether sets of these sizes can be linked at all."""
+    return (F.least(n, m) * DENOMINATOR) >= (F.greatest(n, m) * NUMERATOR)
 
 
 def linked(docs: DataFrame) -> DataFrame:
