@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -63,3 +65,15 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def cached(df: DataFrame) -> DataFrame:
     """Keep a table that is read in every round; lost parts are computed again from its lineage."""
     return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Within it, jobs send at most ``rows`` rows at once to Python workers: for long texts, to bound their memory."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
