@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fogline.functions.runtime import materialize
+from fogline.functions.runtime import arrow_rows, materialize
 from fogline.llm.words import BASE, mixed, powers
 
 WORDS, NUMERATOR, DENOMINATOR = 5, 80, 100
@@ -37,7 +37,16 @@ BLOCK_DOCS, BLOCK_SHINGLES = 1024, 4_000_000
 #: Documents that stand for a block's component, and for a cluster, when blocks are first brought together.
 STANDS, MAX_STANDS = 8, 1024
 #: Bytes whose words are hashed at once; bounds the arrays in memory.
-PIECE_BYTES = 1_000_000
+PIECE_BYTES = 500_000
+#: Documents whose sets are held at once where each is handled by itself.
+SLICE = 512
+#: Edges that one task joins; beyond that, rounds of joins do.
+TASK_EDGES = 500_000
+#: Rows of an Arrow batch, and documents whose shingles are counted together.
+BATCH_ROWS, COUNTED = 1000, 8000
+#: Bits of the filter of documents that are in clusters: the bound of what is broadcast to keep other texts from the
+#: shuffle (4 MB). If more documents than fit are in clusters, more texts are shuffled, and the result stays the same.
+FILTER_BITS = 1 << 25
 
 
 _byte_values = mixed(np.arange(256, dtype=np.uint64) * np.uint64(BASE) + np.uint64(7))
@@ -102,23 +111,31 @@ def _least_overlap(n: int) -> int:
     return -(-NUMERATOR * n // DENOMINATOR)
 
 
-def frequent(docs: DataFrame) -> np.ndarray:
-    """Shingles in many documents, from the least to the most frequent.
-
-    Counts cover all documents; a shingle with fewer than LEAST_IN_BATCH documents in a batch isn't counted there.
-    """
 def _shared(n: int) -> int:
     """How many shingles the prefix of a set of this size shares at least with that of a linked set not larger in this number."""
     return max(1, n // SHARED_PART)
 
 
+def frequent(docs: DataFrame) -> np.ndarray:
+    """Shingles in many documents, from the least to the most frequent.
+
+    Counts cover all documents; a shingle with fewer than LEAST_IN_BATCH of COUNTED documents isn't counted there.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = shingles(batch.column(0))
-            token, n = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        held: list[np.ndarray] = []
+
+        def counted() -> pa.RecordBatch:
+            token, n = np.unique(np.concatenate([*held, np.zeros(0, np.uint64)]), return_counts=True)
+            held.clear()
             kept = n >= LEAST_IN_BATCH
-            yield pa.RecordBatch.from_arrays([pa.array(token[kept].view(np.int64)), pa.array(n[kept])], ["token", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(token[kept].view(np.int64)), pa.array(n[kept])], ["token", "n"])
+
+        for batch in batches:
+            held += shingles(batch.column(0))
+            if len(held) >= COUNTED:
+                yield counted()
+        yield counted()
 
     rows = docs.select("text").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_FREQUENT)
     rows = rows.orderBy(F.col("n").desc(), "token").limit(MAX_FREQUENT).toArrow()
@@ -131,7 +148,7 @@ def signatures(docs: DataFrame, order: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, place = told.value
-        for batch in batches:
+        for batch in (whole.slice(k, SLICE) for whole in batches for k in range(0, whole.num_rows, SLICE)):
             sets = shingles(batch.column(1))
             every = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
             at = np.minimum(np.searchsorted(known, every), max(len(known) - 1, 0))
@@ -163,28 +180,45 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
 
     Alternates large-star and small-star steps: each node points all larger neighbours, then all others, to the smallest.
     Every step is written to the shared folder. Aggregates combine before the shuffle, and a node with very many
-    neighbours is split in the joins.
+    neighbours is split in the joins. Up to TASK_EDGES edges, 8 MB, are joined by one task in one step instead.
     """
     larger = F.greatest(a, b).alias("u"), F.least(a, b).alias("v")
     now, before = materialize(edges.where(F.col(a) != F.col(b)).select(*larger).distinct(), "edges"), None
+    if now.limit(TASK_EDGES + 1).count() <= TASK_EDGES:
+        return materialize(now.coalesce(1).mapInArrow(_united, "node long, root long"), "roots")
     while True:
+        # large star: of u and its neighbours, the larger ones go to the smallest
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        # large star: what is larger than u goes to the smallest of u and its neighbours
-        large = now.select(F.col("v").alias("k"), F.col("u").alias("w")).join(least.withColumnRenamed("u", "k"), "k").select(F.col("w").alias("u"), F.col("m").alias("v"))
-        large = materialize(large.where("u != v").distinct(), "large")
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
+        large = now.join(least, now["v"] == least["k"]).select("u", F.col("m").alias("v")).where("u != v")
         # small star: u and its smaller neighbours go to the smallest of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.withColumnRenamed("m", "v"))
-        following = materialize(small.where("u != v").distinct(), "small")
-        state = following.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        now = following
+        now = materialize(small.where("u != v").distinct(), "small")
+        state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             break
         before = state
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, root) of a bounded number of edges."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for batch in batches:
+        for u, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            a, b = root(u), root(v)
+            parent[max(a, b)] = min(a, b)
+    yield pa.RecordBatch.from_arrays([pa.array(list(parent), pa.int64()), pa.array([root(x) for x in list(parent)], pa.int64())], ["node", "root"])
+
+
 class Tree:
     """Documents of a block with sets, bitmaps and the nodes above them; nodes are ranges of the documents' order."""
 
@@ -387,10 +421,15 @@ def linked(docs: DataFrame) -> DataFrame:
     nothing and keep their own id; rows with equal sets are one class, so copies aren't paired with each other; a null id
     counts for no minimum. Everything is exact: the order of shingles, clusters and blocks only save comparisons.
     """
+    with arrow_rows(docs.sparkSession, BATCH_ROWS):
+        return _linked(docs)
+
+
+def _linked(docs: DataFrame) -> DataFrame:
     signed = materialize(signatures(docs, frequent(docs)), "signatures")
     classes = signed.where("class is not null").groupBy("class").agg(F.min("n_shingles").alias("n"), F.min("doc_id").alias("least_id"))
     near = clusters(signed)
-    near = near.unionByName(near.select(F.col("root").alias("node"), "root").distinct())
+    near = near.unionByName(near.select(F.col("root").alias("node"), "root")).distinct()
     named = materialize(near.join(classes, F.col("node") == F.col("class")).select("class", F.col("root").alias("cluster"), "n", "least_id"), "clusters")
     # a cluster that fits is one block; else blocks are hashed parts of a size class
     whole = named.groupBy("cluster").agg(F.count("*").alias("docs"), F.sum("n").alias("shingles"))
@@ -400,7 +439,7 @@ def linked(docs: DataFrame) -> DataFrame:
     parts = scaled.where("not fits").groupBy("cluster", "scale").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("parts"))
     placed = scaled.join(parts, ["cluster", "scale"], "left").withColumn("part", F.pmod(F.xxhash64("class"), F.coalesce("parts", F.lit(1))).cast("int"))
     placed = placed.withColumn("block", F.xxhash64("cluster", "scale", "part"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = _named(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), placed)
     members = placed.join(texts, placed["least_id"].eqNullSafe(texts["doc_id"])).select("block", "class", "cluster", "scale", "fits", "n", "text")
     members = materialize(_of_class(members), "members")
     links = [materialize(join_within(members), "links")]
@@ -419,6 +458,25 @@ def linked(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def _named(texts: DataFrame, placed: DataFrame) -> DataFrame:
+    """The rows of ``texts`` whose doc_id may be a least_id of ``placed``, by a filter of FILTER_BITS bits: all that are, and some others."""
+    position = F.pmod(F.xxhash64("least_id"), F.lit(FILTER_BITS)) + 1
+    rows = placed.groupBy(F.bitmap_bucket_number(position).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(position)).alias("bits"))
+    bits = np.zeros(FILTER_BITS // 8, np.uint8)
+    for row in rows.toLocalIterator():
+        at = (row["b"] - 1) * len(row["bits"])
+        bits[at : at + len(row["bits"])] = np.frombuffer(bytes(row["bits"]), np.uint8)
+    told = texts.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key = batch.column(2).to_numpy(zero_copy_only=False)
+            found = batch.filter(pa.array(((told.value[key >> 3] >> (key & 7).astype(np.uint8)) & 1).astype(bool)))
+            yield found.select(["doc_id", "text"])
+
+    return texts.withColumn("key", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))).mapInArrow(run, texts.schema)
+
+
 def _of_class(members: DataFrame) -> DataFrame:
     """Rows whose text has the class they stand for; ids that repeat bring other texts along."""
 

@@ -37,7 +37,7 @@ def _classes() -> np.ndarray:
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE and its inverse modulo 2^64, to the powers 0 to n."""
     if len(_tables.get("power", ())) <= n:
-        size = max(n + 1, BLOCK_CHARS + 1)
+        size = max(n + 1, 1 << 19)
         for name, x in (("power", BASE), ("inverse", pow(BASE, -1, 1 << 64))):
             table = np.full(size, x, np.uint64)
             table[0] = 1

@@ -205,7 +205,7 @@ def near_copies(rng, groups, size, n_words):
     return texts
 
 
-@pytest.mark.parametrize("bounds", [{}, {"BLOCK_DOCS": 4, "STANDS": 1, "MAX_STANDS": 4, "LEAF": 2, "SMALL": 2, "LEAST_IN_BATCH": 2, "LEAST_FREQUENT": 3}])
+@pytest.mark.parametrize("bounds", [{}, {"BLOCK_DOCS": 4, "STANDS": 1, "MAX_STANDS": 4, "LEAF": 2, "SMALL": 2, "LEAST_IN_BATCH": 2, "LEAST_FREQUENT": 3, "TASK_EDGES": 0}])
 def test_components_equal_brute_force(spark, monkeypatch, bounds):
     for name, value in bounds.items():
         monkeypatch.setattr(signature_tree, name, value)
