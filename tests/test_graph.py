@@ -75,7 +75,7 @@ def test_baselines_and_heuristics_choose_known_colors(spark):
     assert objectives.baseline2(mixed, q, 2, "s", 512).where("rank = 1").first()["color"] == 3
     # the cover takes the path with the fewest colors; the other one fits only three
     assert [r["color"] for r in select.heuristic(mixed, q, 2, 5, "min", 64).collect()] == [3]
-    assert [r["color"] for r in select.heuristic(mixed, q, 3, 5, "min", 64).collect()] == [1, 2, 3]
+    assert sorted(r["color"] for r in select.heuristic(mixed, q, 3, 5, "min", 64).collect()) == [1, 2, 3]
 
 
 def test_objectives_are_ordered(spark):
@@ -134,7 +134,8 @@ def test_noisy_or_and_collapse(spark):
 
 
 def test_loop_ends_and_alternates(spark):
-    rows = influence.alternate(edges_of(spark, DIAMOND), spark.createDataFrame([(4,)], "node long"), 2, 1, 1, 5, 64).collect()
+    both = edges_of(spark, [(1, 2, 1, 100), (1, 3, 2, 100), (3, 4, 1, 50)])
+    rows = influence.alternate(both, spark.createDataFrame([(2,), (3,)], "node long"), 2, 1, 2, 5, 64).collect()
     assert {(r["round"], r["kind"]) for r in rows} == {(1, "seed"), (1, "color"), (2, "seed"), (2, "color")}
 
 
