@@ -13,7 +13,7 @@ from fogline.functions.runtime import read
 from fogline.operators import etl, graph, influence, objectives, paths, select, steiner
 from fogline.operators.reach import edge_masks, hits_at, reach, start, worlds_of_all
 from fogline.plans import oracle as sql
-from fogline.plans.fixtures import QUERIES_SQL, TRADE_SQL, flow, flow_ends, region_colors, region_queries, trade
+from fogline.plans.fixtures import QUERIES_SQL, TRADE_SQL, flow, flow_ends, region_colors, region_queries, trade, trade_whole
 from fogline.sources import graph_text, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -486,7 +486,7 @@ def st_1(spark, sf_dir):
 @query()
 def st_2(spark, sf_dir):
     """The ten cheapest different trees over three terminals."""
-    return steiner.top_trees(trade(spark, sf_dir), _terminals(spark, sf_dir), 10).select("query_id", "rank", "root", "cost", F.array_join("edges", "|").alias("tree"))
+    return steiner.top_trees(trade_whole(spark, sf_dir), _terminals(spark, sf_dir), 10).select("query_id", "rank", "root", "cost", F.array_join("edges", "|").alias("tree"))
 
 
 # selection and objectives ----------------------------------------------------------------------------------------------
@@ -506,7 +506,7 @@ def _register(objective: str) -> None:
         return objectives.baseline2(trade(spark, sf_dir), region_queries(spark, sf_dir), K, objective, 20)
 
     def run_h(spark, sf_dir):
-        return select.heuristic(trade(spark, sf_dir), region_queries(spark, sf_dir), 3, 10, objective, WORLDS, 3)
+        return select.heuristic(trade_whole(spark, sf_dir), region_queries(spark, sf_dir), 3, 10, objective, WORLDS, 3)
 
     query(sql.evaluate(objective, 50), f"obj_{objective}_eval")(run_eval)
     query(sql.baseline1(objective, K, WORLDS), f"obj_{objective}_b1")(run_b1)
@@ -537,7 +537,7 @@ def fill_1(spark, sf_dir):
 @query()
 def sel_4(spark, sf_dir):
     """Minimum color covers of the walks of all pairs."""
-    edges, solved = trade(spark, sf_dir), objectives.by_pair(region_queries(spark, sf_dir))
+    edges, solved = trade_whole(spark, sf_dir), objectives.by_pair(region_queries(spark, sf_dir))
     walks = paths.top_walks(edges, solved.select("query_id", "sources", "targets"), 5, 3).withColumn("path_id", F.col("rank").cast("long"))
     told = select.ordered_colors(graph.path_edges(walks, edges))
     routes = told.join(solved.select("query_id", "parent"), "query_id").select(F.col("parent").alias("query_id"), F.col("query_id").alias("pair"), F.col("path_id").alias("rank"), "colors")
@@ -568,7 +568,7 @@ def celf_2(spark, sf_dir):
 def loop_1(spark, sf_dir):
     """Two rounds of seeds and colors in turn."""
     to = region_queries(spark, sf_dir).where("query_id < 2").select(F.explode("targets").alias("node")).distinct()
-    return influence.alternate(trade(spark, sf_dir), to, 2, 2, 2, 10, WORLDS)
+    return influence.alternate(trade_whole(spark, sf_dir), to, 2, 2, 2, 10, WORLDS)
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -199,3 +199,43 @@ def test_queries_equal_their_sql(spark, name):
     columns = [d[0] for d in want.description]
     assert sorted(columns) == sorted(got.columns)
     assert sorted(map(repr, (tuple(r) for r in got.select(*columns).collect()))) == sorted(map(repr, want.fetchall()))
+
+
+@pytest.fixture
+def handed(spark, monkeypatch):
+    """What a query of the smallest tables hands to an operator: (query, module, operator) -> its arguments by name."""
+    import inspect
+
+    from fogline.plans.queries import QUERIES
+
+    def run(name, module, operator):
+        told, real = {}, getattr(module, operator)
+
+        def instead(*args, **more):
+            bound = inspect.signature(real).bind(*args, **more)
+            bound.apply_defaults()
+            told.update(bound.arguments)
+            raise InterruptedError
+
+        monkeypatch.setattr(module, operator, instead)
+        with pytest.raises(InterruptedError):
+            QUERIES[name](spark, "/root/testdata/sf0.001")
+        monkeypatch.setattr(module, operator, real)
+        return told
+
+    return run
+
+
+WITHOUT_SQL = [*((f"obj_{o}_h", select, "heuristic") for o in objectives.OBJECTIVES), ("st_2", steiner, "top_trees"), ("sel_4", paths, "top_walks"), ("loop_1", influence, "alternate")]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test data")
+@pytest.mark.parametrize("name,module,operator", WITHOUT_SQL)
+def test_queries_without_sql_read_all_pairs_of_nations(spark, handed, name, module, operator):
+    import pandas as pd
+
+    orders, customer, supplier, lineitem = (pd.read_parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("orders", "customer", "supplier", "lineitem"))
+    sold = lineitem.merge(orders, left_on="l_orderkey", right_on="o_orderkey").merge(customer, left_on="o_custkey", right_on="c_custkey").merge(supplier, left_on="l_suppkey", right_on="s_suppkey")
+    sold = sold[sold.c_nationkey != sold.s_nationkey]
+    want = set(zip(sold.c_nationkey, sold.s_nationkey, sold.o_orderpriority.str[0].astype(int), strict=True))
+    assert {(r["src"], r["dst"], r["color"]) for r in handed(name, module, operator)["edges"].collect()} == want
