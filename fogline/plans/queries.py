@@ -20,6 +20,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 WORLDS = 32
+#: Worlds of the queries without SQL: the reference's number of samples.
+SAMPLES = 1000
 
 
 def query(text: str | None = None, name: str = "") -> Callable[[Query], Query]:
@@ -506,7 +508,7 @@ def _register(objective: str) -> None:
         return objectives.baseline2(trade(spark, sf_dir), region_queries(spark, sf_dir), K, objective, 20)
 
     def run_h(spark, sf_dir):
-        return select.heuristic(trade_whole(spark, sf_dir), region_queries(spark, sf_dir), 3, 10, objective, WORLDS, 3)
+        return select.heuristic(trade_whole(spark, sf_dir), region_queries(spark, sf_dir), 3, 10, objective, SAMPLES, 3)
 
     query(sql.evaluate(objective, 50), f"obj_{objective}_eval")(run_eval)
     query(sql.baseline1(objective, K, WORLDS), f"obj_{objective}_b1")(run_b1)
@@ -568,7 +570,7 @@ def celf_2(spark, sf_dir):
 def loop_1(spark, sf_dir):
     """Two rounds of seeds and colors in turn."""
     to = region_queries(spark, sf_dir).where("query_id < 2").select(F.explode("targets").alias("node")).distinct()
-    return influence.alternate(trade_whole(spark, sf_dir), to, 2, 2, 2, 10, WORLDS)
+    return influence.alternate(trade_whole(spark, sf_dir), to, 2, 2, 2, 10, SAMPLES)
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

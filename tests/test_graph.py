@@ -239,3 +239,31 @@ def test_queries_without_sql_read_all_pairs_of_nations(spark, handed, name, modu
     sold = sold[sold.c_nationkey != sold.s_nationkey]
     want = set(zip(sold.c_nationkey, sold.s_nationkey, sold.o_orderpriority.str[0].astype(int), strict=True))
     assert {(r["src"], r["dst"], r["color"]) for r in handed(name, module, operator)["edges"].collect()} == want
+
+
+def brute_hits(rows, sources, targets, colors, worlds):
+    """Worlds in which a target is reached, by a search in each of them."""
+    import hashlib
+
+    hits = 0
+    for w in range(worlds):
+        live = [(a, b) for a, b, c, p in rows if c in colors and int(hashlib.md5(f"{w}:{a}>{b}#{c}".encode()).hexdigest()[:8], 16) * 100 < p * 2**32]
+        seen, grown = set(sources), True
+        while grown:
+            new = {b for a, b in live if a in seen} - seen
+            seen |= new
+            grown = bool(new)
+        hits += bool(seen & set(targets))
+    return hits
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test data")
+@pytest.mark.parametrize("name,module,operator", [x for x in WITHOUT_SQL if x[0] in ("obj_sum_h", "loop_1")])
+def test_unlikely_colors_have_hits_in_the_samples_of_a_query(spark, handed, name, module, operator):
+    worlds = handed(name, module, operator)["worlds"]
+    # ways of two edges with a chance of 1 in 100 and of 1 in 400
+    rows = [(1, 2, 1, 10), (2, 4, 1, 10), (1, 3, 2, 5), (3, 4, 2, 5)]
+    got = select.heuristic(edges_of(spark, rows), query_of(spark, [1], [4]), 2, 5, "sum", worlds).orderBy("rank").collect()
+    want = [brute_hits(rows, [1], [4], colors, worlds) for colors in ([1], [1, 2])]
+    assert [(r["color"], r["hits"]) for r in got] == [(1, want[0]), (2, want[1])]
+    assert 0 < want[0] < want[1]
