@@ -68,7 +68,7 @@ def seeds(masks: DataFrame, k: int) -> DataFrame:
     return out if out is not None else masks.sparkSession.createDataFrame([], "rank int, node long, hits long")
 
 
-def alternate(edges: DataFrame, targets: DataFrame, rounds: int, n_seeds: int, k: int, r: int, worlds: int = 64, hops: int = 3) -> DataFrame:
+def alternate(edges: DataFrame, targets: DataFrame, rounds: int, n_seeds: int, k: int, r: int, worlds: int = 64, hops: int | None = None) -> DataFrame:
     """(round, kind, rank, id, hits): in turn, seeds on the graph under the current colors, then colors for these seeds.
 
     The first round uses all colors. Each round gives `seed` and `color` rows.

@@ -45,28 +45,57 @@ def side_tracks(edges: DataFrame, dist: DataFrame, r: int) -> DataFrame:
     return sides.withColumn("rank", rank).where(F.col("rank") <= r).select("target", "src", "dst", "color", "penalty", "rank")
 
 
-def top_walks(edges: DataFrame, queries: DataFrame, r: int, hops: int, backtrack: bool = False) -> DataFrame:
-    """(query_id, rank, cost, path): the r cheapest walks of up to ``hops`` edges from a source to the first target met.
+def _ways_on(edges: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, dst, rest): the least cost from each node to a target of each query, where there is a way."""
+    ends = queries.select("query_id", F.explode("targets").alias("target")).distinct()
+    dist = distances(edges, ends.select("target").distinct())
+    return materialize(dist.join(ends, "target").groupBy("query_id", F.col("node").alias("dst")).agg(F.min("dist").alias("rest")), "ways-on")
+
+
+def top_walks(edges: DataFrame, queries: DataFrame, r: int, hops: int | None = None, backtrack: bool = False, max_rounds: int = 10_000) -> DataFrame:
+    """(query_id, rank, cost, path): the r cheapest walks from a source to the first target met, of up to ``hops`` edges if given.
 
     Equal costs are ordered by path. Unless ``backtrack``, a walk doesn't step straight back. Of walks that end alike,
-    those that cost more than the r-th are dropped in each round, so the frontier stays small.
+    those that cost more than the r-th are dropped in each round, so the frontier stays small. Without ``hops`` rounds go on
+    until no open walk of a query can end within the cost of its r-th, and a search that ``max_rounds`` don't end raises.
+    Where edges cost nothing, a walk that can only tie with the r-th isn't followed, as loops give such walks without end.
     """
     arcs = materialize(with_cost(edges).select(F.col("src").alias("node"), "dst", "cost", edge_label().alias("edge")), "arcs")
     ends = materialize(queries.select("query_id", F.explode("targets").alias("dst"), F.lit(True).alias("end")), "ends")
     begin = queries.select("query_id", F.explode("sources").alias("node"), "targets").where(~F.array_contains("targets", F.col("node")))
     labels = begin.select("query_id", "node", F.lit(None).cast("long").alias("prev"), F.lit(0).cast("long").alias("cost"), F.lit("").alias("path"))
+    ways_on = _ways_on(edges, queries) if hops is None else None
+    free = hops is None and arcs.where("cost = 0").limit(1).count() > 0
     found = None
-    for _ in range(hops):
+    for _ in range(max_rounds if hops is None else hops):
         moved = labels.withColumnRenamed("cost", "so_far").join(arcs, "node")
         if not backtrack:
             moved = moved.where(F.col("prev").isNull() | (F.col("dst") != F.col("prev")))
         path = F.when(F.col("path") == "", F.col("edge")).otherwise(F.concat_ws("|", "path", "edge"))
         moved = moved.select("query_id", "dst", F.col("node").alias("prev"), (F.col("so_far") + F.col("cost")).alias("cost"), path.alias("path"))
         moved = moved.join(ends, ["query_id", "dst"], "left")
+        if ways_on is not None:
+            moved = moved.join(ways_on, ["query_id", "dst"])
         kept = moved.withColumn("near", F.rank().over(W.partitionBy("query_id", "dst", "prev").orderBy("cost"))).where(F.col("near") <= r)
         kept = materialize(kept.drop("near"), "labels")
         arrived = kept.where("end").select("query_id", "cost", "path")
         found = arrived if found is None else found.unionByName(arrived)
-        labels = kept.where("end is null").select("query_id", F.col("dst").alias("node"), "prev", "cost", "path")
+        labels = kept.where("end is null")
+        if ways_on is not None:
+            found = materialize(_cheapest(found, r).drop("rank"), "found")
+            bound = found.groupBy("query_id").agg(F.when(F.count("*") >= r, F.max("cost")).alias("bound"))
+            least = F.col("cost") + F.col("rest")
+            labels = labels.join(bound, "query_id", "left").where(F.col("bound").isNull() | (least < F.col("bound") if free else least <= F.col("bound")))
+            labels = materialize(labels.select("query_id", "dst", "prev", "cost", "path"), "open")
+            if labels.limit(1).count() == 0:
+                break
+        labels = labels.select("query_id", F.col("dst").alias("node"), "prev", "cost", "path")
+    else:
+        if hops is None:
+            raise RuntimeError(f"walks are still open after {max_rounds} rounds")
+    return _cheapest(found, r).select("query_id", "rank", "cost", "path")
+
+
+def _cheapest(found: DataFrame, r: int) -> DataFrame:
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("cost", "path"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= r).select("query_id", "rank", "cost", "path")
+    return found.withColumn("rank", rank).where(F.col("rank") <= r)

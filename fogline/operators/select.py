@@ -86,8 +86,8 @@ def _walked(walks: DataFrame, edges: DataFrame) -> DataFrame:
     return path_edges(walks.withColumn("path_id", F.col("rank").cast("long")), edges)
 
 
-def heuristic(edges: DataFrame, queries: DataFrame, k: int, r: int, objective: str, worlds: int = 64, hops: int = 3, directed: bool = True) -> DataFrame:
-    """The k colors by the r most reliable walks (conn: trees): (query_id, rank, color, hits)."""
+def heuristic(edges: DataFrame, queries: DataFrame, k: int, r: int, objective: str, worlds: int = 64, hops: int | None = None, directed: bool = True) -> DataFrame:
+    """The k colors by the r most reliable walks (conn: trees), of ``hops`` edges at most if given: (query_id, rank, color, hits)."""
     graph = edges if directed else bidirected(edges)
     if objective == "conn":
         terminals = queries.select("query_id", F.explode(F.array_union("sources", "targets")).alias("node"))
@@ -144,7 +144,7 @@ def minimum_cover(routes: DataFrame, k: int) -> DataFrame:
     return routes.select("query_id", "pair", "rank", "colors").groupBy("query_id").applyInPandas(each, "query_id long, color long")
 
 
-def max_min(edges: DataFrame, queries: DataFrame, k: int, r: int, worlds: int, hops: int) -> DataFrame:
+def max_min(edges: DataFrame, queries: DataFrame, k: int, r: int, worlds: int, hops: int | None) -> DataFrame:
     """Colors for the worst pair: a cover, then rounds that add the path of the worst pair that gains most, up to k colors.
 
     Colors come in ascending order. A query with a pair that no walk joins gets none.

@@ -508,7 +508,7 @@ def _register(objective: str) -> None:
         return objectives.baseline2(trade(spark, sf_dir), region_queries(spark, sf_dir), K, objective, 20)
 
     def run_h(spark, sf_dir):
-        return select.heuristic(trade_whole(spark, sf_dir), region_queries(spark, sf_dir), 3, 10, objective, SAMPLES, 3)
+        return select.heuristic(trade_whole(spark, sf_dir), region_queries(spark, sf_dir), 3, 10, objective, SAMPLES)
 
     query(sql.evaluate(objective, 50), f"obj_{objective}_eval")(run_eval)
     query(sql.baseline1(objective, K, WORLDS), f"obj_{objective}_b1")(run_b1)
@@ -540,7 +540,7 @@ def fill_1(spark, sf_dir):
 def sel_4(spark, sf_dir):
     """Minimum color covers of the walks of all pairs."""
     edges, solved = trade_whole(spark, sf_dir), objectives.by_pair(region_queries(spark, sf_dir))
-    walks = paths.top_walks(edges, solved.select("query_id", "sources", "targets"), 5, 3).withColumn("path_id", F.col("rank").cast("long"))
+    walks = paths.top_walks(edges, solved.select("query_id", "sources", "targets"), 5).withColumn("path_id", F.col("rank").cast("long"))
     told = select.ordered_colors(graph.path_edges(walks, edges))
     routes = told.join(solved.select("query_id", "parent"), "query_id").select(F.col("parent").alias("query_id"), F.col("query_id").alias("pair"), F.col("path_id").alias("rank"), "colors")
     return select.minimum_cover(routes, 4)

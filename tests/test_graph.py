@@ -267,3 +267,50 @@ def test_unlikely_colors_have_hits_in_the_samples_of_a_query(spark, handed, name
     want = [brute_hits(rows, [1], [4], colors, worlds) for colors in ([1], [1, 2])]
     assert [(r["color"], r["hits"]) for r in got] == [(1, want[0]), (2, want[1])]
     assert 0 < want[0] < want[1]
+
+
+def brute_walks(rows, sources, targets, r, backtrack=False):
+    """(cost, path) of the r cheapest walks to the first target met, cheapest open walk first."""
+    import heapq
+    import math
+
+    opened, out, least = [(0, "", s, None) for s in sources if s not in targets], [], math.inf
+    while opened and opened[0][0] <= least:
+        cost, path, node, prev = heapq.heappop(opened)
+        if node in targets:
+            out.append((cost, path))
+            if len(out) == r:
+                least = cost
+            continue
+        for a, b, c, p in rows:
+            if a == node and (backtrack or b != prev):
+                heapq.heappush(opened, (cost + math.floor(-math.log(p / 100) * 1000), f"{path}|{a}>{b}#{c}".lstrip("|"), b, node))
+    return sorted(out)[:r]
+
+
+LONG = [(1, 2, 1, 90), (2, 3, 2, 90), (3, 4, 1, 90), (4, 5, 2, 90), (5, 6, 3, 90), (1, 6, 4, 20), (3, 2, 1, 60), (4, 3, 5, 70), (4, 1, 1, 50), (7, 8, 1, 50), (8, 7, 1, 50), (8, 9, 1, 50), (9, 7, 1, 50), (2, 7, 1, 99)]
+
+
+@pytest.mark.parametrize("r,backtrack", [(1, False), (4, False), (6, True)])
+def test_walks_have_no_length_limit(spark, r, backtrack):
+    df = edges_of(spark, LONG)
+    got = paths.top_walks(df, query_of(spark, [1, 3], [6]), r, backtrack=backtrack).orderBy("rank").collect()
+    assert [(x["cost"], x["path"]) for x in got] == brute_walks(LONG, [1, 3], [6], r, backtrack)
+    got = paths.top_walks(df, query_of(spark, [1], [6]), r, backtrack=backtrack).orderBy("rank").collect()
+    assert [(x["cost"], x["path"]) for x in got] == brute_walks(LONG, [1], [6], r, backtrack)
+    assert got[0]["path"].count("|") == 4
+
+
+def test_walks_end_without_a_way_and_raise_at_the_guard(spark):
+    df = edges_of(spark, LONG)
+    # the sources lie on a loop that no target can be reached from
+    assert paths.top_walks(df, query_of(spark, [7], [6]), 3).count() == 0
+    with pytest.raises(RuntimeError):
+        paths.top_walks(df, query_of(spark, [1], [6]), 3, max_rounds=2)
+    loop = edges_of(spark, [(1, 2, 1, 100), (2, 3, 1, 100), (3, 1, 1, 100), (3, 4, 1, 50)])
+    assert [r["cost"] for r in paths.top_walks(loop, query_of(spark, [1], [4]), 2).orderBy("rank").collect()] == [693, 693]
+
+
+def test_heuristic_finds_colors_of_long_walks(spark):
+    got = select.heuristic(edges_of(spark, LONG), query_of(spark, [1], [6]), 3, 2, "sum", 256).collect()
+    assert {r["color"] for r in got} == {1, 2, 3}
