@@ -487,8 +487,9 @@ def st_1(spark, sf_dir):
 
 @query()
 def st_2(spark, sf_dir):
-    """The ten cheapest different trees over three terminals."""
-    return steiner.top_trees(trade_whole(spark, sf_dir), _terminals(spark, sf_dir), 10).select("query_id", "rank", "root", "cost", F.array_join("edges", "|").alias("tree"))
+    """The ten cheapest different trees over all terminals of a query."""
+    ends = region_queries(spark, sf_dir).select("query_id", F.explode(F.array_union("sources", "targets")).alias("node"))
+    return steiner.top_trees(trade_whole(spark, sf_dir), ends, 10).select("query_id", "rank", "root", "cost", F.array_join("edges", "|").alias("tree"))
 
 
 # selection and objectives ----------------------------------------------------------------------------------------------
@@ -568,8 +569,8 @@ def celf_2(spark, sf_dir):
 
 @query()
 def loop_1(spark, sf_dir):
-    """Two rounds of seeds and colors in turn."""
-    to = region_queries(spark, sf_dir).where("query_id < 2").select(F.explode("targets").alias("node")).distinct()
+    """Two rounds of seeds and colors in turn, for the targets of all regions."""
+    to = region_queries(spark, sf_dir).select(F.explode("targets").alias("node")).distinct()
     return influence.alternate(trade_whole(spark, sf_dir), to, 2, 2, 2, 10, SAMPLES)
 
 

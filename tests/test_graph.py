@@ -314,3 +314,15 @@ def test_walks_end_without_a_way_and_raise_at_the_guard(spark):
 def test_heuristic_finds_colors_of_long_walks(spark):
     got = select.heuristic(edges_of(spark, LONG), query_of(spark, [1], [6]), 3, 2, "sum", 256).collect()
     assert {r["color"] for r in got} == {1, 2, 3}
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test data")
+def test_trees_and_seeds_take_all_nodes_of_the_queries(handed):
+    import pandas as pd
+
+    nation = pd.read_parquet("/root/testdata/sf0.001/nation.parquet")
+    keys = {r: sorted(rows) for r, rows in nation.groupby("n_regionkey")["n_nationkey"]}
+    told = handed("st_2", steiner, "top_trees")["terminals"].collect()
+    assert {(r["query_id"], r["node"]) for r in told} == {(r, n) for r in keys for n in keys[r][:2] + keys[(r + 1) % 5][:3]}
+    told = handed("loop_1", influence, "alternate")["targets"].collect()
+    assert {r["node"] for r in told} == {n for r in keys for n in keys[r][:3]}
