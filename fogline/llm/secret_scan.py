@@ -28,17 +28,21 @@ FEATURES = ("length", "digits", "upper", "lower", "signs", "distinct", "entropy"
 
 
 def candidates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str = "source") -> DataFrame:
-    """One row per candidate: doc_id, position (of its word, from 0), candidate, word, before, before2, after, path.
+    """One row per candidate: doc_id, position (of its word, from 0), run (in its word, from 0), candidate, word, before, before2, lead, after, path.
 
-    Whole texts are read; a null text has no candidates, and repeated rows give repeated candidates. A word gives its first
-    run of RUN.
+    Whole texts are read; a null text has no candidates, and repeated rows give repeated candidates. A word gives all its
+    runs of RUN that have a digit and a letter; ``lead`` is what stands in the word before one, from the run before it on.
     """
     said = docs.select(F.col(doc_id).alias("doc_id"), F.col(path).alias("path"), F.split(F.coalesce(F.col(text), F.lit("")), WHITE).alias("words"))
     fits = lambda i: (F.length(F.get("words", i)) >= LEAST) & F.get("words", i).rlike("[0-9]") & F.get("words", i).rlike(RUN)
     at = said.withColumn("position", F.explode(F.filter(F.sequence(F.lit(0), F.size("words") - 1), fits)))
     word = lambda k: F.coalesce(F.get("words", F.col("position") + k), F.lit(""))
-    out = at.select("doc_id", F.col("position").cast("long").alias("position"), F.regexp_extract(word(0), RUN, 0).alias("candidate"), word(0).alias("word"), word(-1).alias("before"), word(-2).alias("before2"), word(1).alias("after"), F.coalesce("path", F.lit("")).alias("path"))
-    return out.where(F.col("candidate").rlike("[0-9]") & F.col("candidate").rlike("[A-Za-z]"))
+    out = at.select("doc_id", F.col("position").cast("long").alias("position"), word(0).alias("word"), word(-1).alias("before"), word(-2).alias("before2"), word(1).alias("after"), F.coalesce("path", F.lit("")).alias("path"))
+    out = out.withColumn("runs", F.regexp_extract_all("word", F.lit(RUN), F.lit(0))).withColumn("between", F.split("word", RUN))
+    lead = lambda i: F.concat(F.when(i > 0, F.get("runs", i - 1)).otherwise(""), F.get("between", i))
+    runs = F.transform("runs", lambda x, i: F.struct(i.cast("long").alias("run"), x.alias("candidate"), lead(i).alias("lead")))
+    keys = F.filter(runs, lambda x: x["candidate"].rlike("[0-9]") & x["candidate"].rlike("[A-Za-z]"))
+    return out.withColumn("key", F.explode(keys)).select("doc_id", "position", "key.run", "key.candidate", "word", "before", "before2", "key.lead", "after", "path")
 
 
 def dictionary(docs: DataFrame, text: str = "text") -> list[str]:
@@ -61,7 +65,9 @@ def with_features(found: DataFrame, words: Sequence[str]) -> DataFrame:
     steps = F.filter(F.sequence(F.lit(1), n - 1), lambda i: F.substring(kinds, i, F.lit(1)) != F.substring(kinds, i + 1, F.lit(1)))
     share = lambda x: F.size(F.filter("chars", lambda y: y == x)) / F.size("chars")
     entropy = F.aggregate(F.array_distinct("chars"), F.lit(0.0), lambda a, x: a - share(x) * F.log2(share(x)))
-    near = F.concat_ws(" ", "before2", "before", F.regexp_replace("word", r"[A-Za-z0-9+/_.@\-]{16,}.*$", ""))
+    # what leads to a first run is the words before it, too
+    first, said = F.col("run") == 0, F.concat("lead", F.regexp_replace(c, r"[A-Za-z0-9+/_.@\-]{16,}.*$", ""))
+    near = F.concat_ws(" ", F.when(first, F.col("before2")), F.when(first, F.col("before")), said)
     known = F.array(*[F.lit(w) for w in words]) if words else F.array().cast("array<string>")
     covered = F.aggregate(F.filter(known, lambda w: F.contains(F.lower(c), w)), F.lit(0), lambda a, w: a + F.length(w))
     out = found.withColumn("chars", chars).withColumn("near", near)
@@ -69,7 +75,7 @@ def with_features(found: DataFrame, words: Sequence[str]) -> DataFrame:
         "length": n, "digits": _part(c, "0-9"), "upper": _part(c, "A-Z"), "lower": _part(c, "a-z"), "signs": _part(c, r"+/_=.@:\-"),
         "distinct": F.size(F.array_distinct("chars")) / n, "entropy": entropy, "transitions": F.size(steps) / (n - 1), "hex_only": c.rlike("^[0-9a-fA-F]+$").cast("double"),
         "covered": F.least(F.lit(1.0), covered / n), "path_doubtful": F.col("path").rlike(r"(?i)(test|example|sample|doc)").cast("double"), "path_code": F.col("path").rlike(r"(?i)(\.env|config|\.py|\.js|\.ya?ml|repo|code)").cast("double"),
-        "named": F.col("near").rlike(NAMES).cast("double"), "assigned": (F.col("before").rlike(ASSIGNED) | F.col("word").rlike(r"^\S*?[A-Za-z][=:]")).cast("double"), "quoted": F.col("word").rlike("[\"'`]").cast("double"),
+        "named": F.col("near").rlike(NAMES).cast("double"), "assigned": ((first & F.col("before").rlike(ASSIGNED)) | F.when(first, F.col("word")).otherwise(said).rlike(r"^\S*?[A-Za-z][=:]") | F.col("lead").rlike(r"[\"'`][=:]")).cast("double"), "quoted": F.when(first, F.col("word")).otherwise(F.col("lead")).rlike("[\"'`]").cast("double"),
         "doubtful": F.concat_ws(" ", "near", "after").rlike(DOUBTFUL).cast("double"),
     }
     return out.withColumns({k: v.cast("double") for k, v in values.items()}).drop("chars", "near")
@@ -88,7 +94,7 @@ def label_by_rules(found: DataFrame) -> DataFrame:
 
 def fit(labelled: DataFrame, max_labelled: int = MAX_LABELLED) -> RandomForestClassificationModel | None:
     """The forest for findings with FEATURES and ``label``, at most ``max_labelled`` of them; None unless both labels occur."""
-    rows = labelled.where("label is not null").orderBy(F.xxhash64("candidate", "before", "after"), "doc_id", "position").limit(max_labelled)
+    rows = labelled.where("label is not null").orderBy(F.xxhash64("candidate", "before", "after"), "doc_id", "position", "run").limit(max_labelled)
     rows = materialize(rows.select("label", *FEATURES), "findings")
     if {r["label"] for r in rows.select("label").distinct().collect()} != {0.0, 1.0}:
         return None
@@ -107,14 +113,15 @@ def judge(found: DataFrame, model: RandomForestClassificationModel | None) -> Da
 
 
 def scan(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
-    """All candidates of ``docs`` with score and verdict: doc_id, position, candidate, path, FEATURES, score, secret.
+    """All candidates of ``docs`` with score and verdict: doc_id, position, run, candidate, path, FEATURES, score, secret.
 
-    ``labelled`` has (doc_id, position, label) of reviewed findings; without it the rules label. Candidates are few against
+    ``labelled`` has (doc_id, position, run, label) of reviewed findings, where no run means the first; without it the rules label. Candidates are few against
     words, so they are written once to the shared folder and read for training and for judging. An empty table has none.
     """
     found = materialize(with_features(candidates(docs), dictionary(docs)), "candidates")
     if labelled is None:
         train = label_by_rules(found)
     else:
-        train = found.join(labelled.select("doc_id", "position", F.col("label").cast("double").alias("label")), ["doc_id", "position"])
+        run = F.col("run") if "run" in labelled.columns else F.lit(0)
+        train = found.join(labelled.select("doc_id", "position", run.cast("long").alias("run"), F.col("label").cast("double").alias("label")), ["doc_id", "position", "run"])
     return judge(found, fit(train))
