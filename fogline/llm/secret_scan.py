@@ -23,8 +23,12 @@ LEAST, RUN = 16, r"[A-Za-z0-9+/_=.@:\-]{16,}"
 MAX_LABELLED, TREES, DEPTH, SEED = 20_000, 20, 6, 11
 #: Words of the dictionary at most, and their least length: the most frequent of the corpus.
 MAX_WORDS, WORD_LENGTH = 400, 4
-ASSIGNED, NAMES, DOUBTFUL = r"[=:]$", r"(?i)(token|secret|passw|passphrase|api.?key|access.?key|auth|credential|bearer)", r"(?i)(example|sample|dummy|test|placeholder|checksum|sha\d*|md5|uuid|commit)"
-FEATURES = ("length", "digits", "upper", "lower", "signs", "distinct", "entropy", "transitions", "hex_only", "covered", "path_doubtful", "path_code", "named", "assigned", "quoted", "doubtful")
+ASSIGNED, NAMES = r"[=:]$", r"(?i)(token|secret|passw|passphrase|api.?key|access.?key|auth|credential|bearer)"
+#: Whole words before a candidate that make it doubtful.
+DOUBTFUL = r"(?i)(?<![a-z])(examples?|samples?|dummy|tests?|placeholders?|checksums?|sha\d*(sums?)?|md5(sums?)?|uuids?|commits?)(?![a-z0-9])"
+#: Keys known by their shape, and what stands before the first line of a PEM key.
+SHAPES, PEM = r"(?<![A-Za-z0-9])((AKIA|ASIA)[0-9A-Z]{16}(?![0-9A-Za-z])|gh[pousr]_[A-Za-z0-9]{16,}|github_pat_[A-Za-z0-9_]{16,}|glpat-[A-Za-z0-9_-]{16,}|xox[abprs]-[A-Za-z0-9-]{10,}|[sr]k_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{30,}|eyJ[A-Za-z0-9_-]{8,}\.eyJ)", r"PRIVATE (\S+ )?KEY-----$"
+FEATURES = ("length", "digits", "upper", "lower", "signs", "distinct", "entropy", "transitions", "hex_only", "covered", "path_doubtful", "path_code", "named", "assigned", "quoted", "doubtful", "known")
 
 
 def candidates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str = "source") -> DataFrame:
@@ -76,7 +80,7 @@ def with_features(found: DataFrame, words: Sequence[str]) -> DataFrame:
         "distinct": F.size(F.array_distinct("chars")) / n, "entropy": entropy, "transitions": F.size(steps) / (n - 1), "hex_only": c.rlike("^[0-9a-fA-F]+$").cast("double"),
         "covered": F.least(F.lit(1.0), covered / n), "path_doubtful": F.col("path").rlike(r"(?i)(test|example|sample|doc)").cast("double"), "path_code": F.col("path").rlike(r"(?i)(\.env|config|\.py|\.js|\.ya?ml|repo|code)").cast("double"),
         "named": F.col("near").rlike(NAMES).cast("double"), "assigned": ((first & F.col("before").rlike(ASSIGNED)) | F.when(first, F.col("word")).otherwise(said).rlike(r"^\S*?[A-Za-z][=:]") | F.col("lead").rlike(r"[\"'`][=:]")).cast("double"), "quoted": F.when(first, F.col("word")).otherwise(F.col("lead")).rlike("[\"'`]").cast("double"),
-        "doubtful": F.concat_ws(" ", "near", "after").rlike(DOUBTFUL).cast("double"),
+        "doubtful": F.col("near").rlike(DOUBTFUL).cast("double"), "known": (c.rlike(SHAPES) | (first & F.concat_ws(" ", "before2", "before").rlike(PEM))).cast("double"),
     }
     return out.withColumns({k: v.cast("double") for k, v in values.items()}).drop("chars", "near")
 
@@ -84,11 +88,11 @@ def with_features(found: DataFrame, words: Sequence[str]) -> DataFrame:
 def label_by_rules(found: DataFrame) -> DataFrame:
     """Labelled findings for corpora without reviewed ones: ``label`` 1, 0, or null where no rule is sure.
 
-    Sure secrets are quoted, assigned to a name of a secret and mixed; sure false positives are addresses, links and names
-    of files, have words beside them that say so, or stand in prose without quotes or assignment.
+    Sure secrets have the shape of a known key wherever they stand, or are quoted, assigned to a name of a secret and mixed;
+    sure false positives are addresses, links and names of files, or have words before them that say so.
     """
-    sure = (F.col("named") == 1) & (F.col("assigned") == 1) & (F.col("quoted") == 1) & (F.col("entropy") >= 3) & (F.col("doubtful") == 0)
-    false = F.col("candidate").rlike(r"(@|://|\.[A-Za-z]{2,6}$)") | (F.col("doubtful") == 1) | ((F.col("named") == 0) & (F.col("assigned") == 0) & (F.col("quoted") == 0))
+    sure = (F.col("known") == 1) | ((F.col("named") == 1) & (F.col("assigned") == 1) & (F.col("quoted") == 1) & (F.col("entropy") >= 3) & (F.col("doubtful") == 0))
+    false = F.col("candidate").rlike(r"(@|://|\.[A-Za-z]{2,6}$)") | (F.col("doubtful") == 1)
     return found.withColumn("label", F.when(sure, 1).when(false, 0).cast("double"))
 
 
