@@ -1,9 +1,9 @@
 """Main text of web pages by composite text density.
 
 Each DOM node has the characters of its text for each tag, adjusted by how much of it stands in links. A node's density
-sum adds up its children's densities; the node with the largest sum holds the main text. The least density on the path
-from it up to the body is the threshold, and other subtrees that reach it, and stand beside no link or form furniture,
-are kept too. Elements that can't be main text by their tag, or by a name in class, id or role, are cut before.
+sum adds up its children's densities; the node with the largest sum holds the main text. The least density outside links
+on the path from it up to the body is the threshold, and other subtrees that reach it, and aren't mostly links, are kept too, with
+headings and loose text between what is kept. Within an article or main, that is the main text. Elements that can't be main text by their tag, or by a name in class, id or role, are cut before.
 """
 
 from __future__ import annotations
@@ -30,6 +30,9 @@ NAMES = frozenset(
 BLOCKS = frozenset(
     "address article blockquote body center dd details div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+#: A block with this part of its characters in links or more is a list of links.
+LINK_SHARE = 0.5
 #: What a start tag closes, up to the nearest of the elements after it.
 CLOSES = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 SCOPES = frozenset("html body table td th button".split())
@@ -134,7 +137,12 @@ def _density(node: Node, body: Node) -> float:
     return max(chars / tags * math.log(chars / max(link_chars, 1) * tags / max(link_tags, 1) + 1) / math.log(base), 0.0)
 
 
-def _text(nodes: list[Node]) -> str:
+def _plain_density(node: Node) -> float:
+    """Characters outside links for each tag that isn't one."""
+    return (node.total - node.link[0]) / max(node.spans - node.link[1], 1)
+
+
+def _text(nodes: list[Node | str]) -> str:
     """The blocks below the nodes in page order."""
     blocks, current = [], []
 
@@ -145,7 +153,8 @@ def _text(nodes: list[Node]) -> str:
         current.clear()
 
     for top in nodes:
-        flush()
+        if not isinstance(top, str) and top.tag in BLOCKS:
+            flush()
         stack: list[Node | str | None] = [top]
         while stack:
             item = stack.pop()
@@ -190,18 +199,51 @@ def main_text(html: str) -> str:
     # inline elements and single blocks belong to what stands around them
     while best is not body and best.tag not in ("article", "main", "section", "div", "td", "body"):
         best = best.parent
-    threshold, node = best.density, best
+    # the outermost article or main around it is the main text
+    whole, node = None, best
+    while node is not None:
+        if node.tag in ("article", "main"):
+            whole = node
+        node = node.parent if node is not body else None
+    if whole is not None:
+        return _text([whole])
+    threshold, node = _plain_density(best), best
     while node is not body and node.parent is not None:
         node = node.parent
-        threshold = min(threshold, node.density)
-    chosen = [best]
+        threshold = min(threshold, _plain_density(node))
+    chosen: list[Node | str] = [best]
     node = best
-    while node is not body and node.tag not in ("article", "main") and node.parent is not None:
-        beside = [x for x in node.parent.items if not isinstance(x, str) and x is not node and x.tag in BLOCKS]
-        chosen += [x for x in beside if x.density >= threshold and x.total and not x.link[1]]
+    while node is not body and node.parent is not None:
+        chosen = _beside(node, chosen, threshold)
         node = node.parent
-    place = {id(n): k for k, n in enumerate(order)}
-    return _text(sorted(chosen, key=lambda n: place[id(n)]))
+    return _text(chosen)
+
+
+def _beside(node: Node, chosen: list[Node | str], threshold: float) -> list[Node | str]:
+    """``chosen`` of ``node`` with what is kept of its parent's other items, in page order.
+
+    Kept are blocks that reach the threshold and aren't mostly links, and headings, paragraphs, inline elements and loose text between
+    two kept blocks or, for headings, right before one.
+    """
+    items = node.parent.items
+    at = next(k for k, x in enumerate(items) if x is node)
+    plain = lambda x: isinstance(x, str) or x.link[0] < LINK_SHARE * max(x.total, 1)
+    dense = [k for k, x in enumerate(items) if k == at or (not isinstance(x, str) and x.tag in BLOCKS and x.total and plain(x) and _plain_density(x) >= threshold)]
+    kept = set(dense)
+    for k in range(len(items) - 1, -1, -1):
+        x = items[k]
+        loose = isinstance(x, str) or x.tag not in BLOCKS
+        if k not in kept and plain(x) and dense[0] < k < dense[-1]:
+            if loose or x.tag == "p" or x.tag in HEADINGS:
+                kept.add(k)
+        elif k not in kept and not loose and x.tag in HEADINGS and plain(x) and k < dense[0]:
+            between = items[k + 1 : dense[0]]
+            if all(not y.strip() if isinstance(y, str) else y.tag in HEADINGS or not y.total for y in between):
+                kept.add(k)
+    out: list[Node | str] = []
+    for k in sorted(kept):
+        out += chosen if k == at else [items[k]]
+    return out
 
 
 def extract(pages: DataFrame) -> DataFrame:

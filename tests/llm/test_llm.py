@@ -705,3 +705,22 @@ def test_rules_label_by_whole_words_before_a_candidate(spark):
     got = {(r["doc_id"], r["position"]): r["label"] for r in found.collect()}
     first = [got[min(x for x in got if x[0] == k)] for k in range(len(texts))]
     assert first == [1] * 8 + [0] * 4 + [None]
+
+
+LONG_P = "<p>" + "Many plain words of a long section stand here. " * 8 + "</p>"
+LONG_T = " ".join(["Many plain words of a long section stand here."] * 8)
+
+
+@pytest.mark.parametrize(
+    "html,text",
+    [
+        # sections of an article, the short ones with inline links
+        (f"<body><nav><a href=x>Menu</a></nav><article><h1>Title</h1><section><h2>One</h2><p>Short, see <a href=x>this</a> page.</p></section><section><h2>Two</h2>{LONG_P * 3}</section><section><p>End, by <a href=y>them</a> all.</p></section></article><footer>f</footer></body>", f"Title\nOne\nShort, see this page.\nTwo\n{LONG_T}\n{LONG_T}\n{LONG_T}\nEnd, by them all."),
+        # without an article: inline links, a heading and loose text between kept blocks
+        (f"<body><div><div>{LONG_P * 3}</div><h2>Head</h2>Loose <b>words</b> here.<div><p>{'Other words of the page stand in this part. ' * 8}See <a href=x>this</a>.</p></div></div></body>", f"{LONG_T}\n{LONG_T}\n{LONG_T}\nHead\nLoose words here.\n{' '.join(['Other words of the page stand in this part.'] * 8)} See this."),
+        # a list of links stays out
+        (f"<body><ul>{'<li><a href=x>link text here</a></li>' * 20}</ul><h2>Head</h2><div>{LONG_P * 2}</div></body>", f"Head\n{LONG_T}\n{LONG_T}"),
+    ],
+)
+def test_main_text_of_sectioned_pages(html, text):
+    assert html_text.main_text(html) == text
