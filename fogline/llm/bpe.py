@@ -11,17 +11,19 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fogline.llm.words import Lexicon, pieces
+from fogline.llm.words import Lexicon, parts, pieces, require_pattern
 
 #: Characters of text whose new words are replayed together; bounds a task's memory.
-BLOCK_CHARS = 32_000_000
+BLOCK_CHARS = 16_000_000
+#: Characters of text whose ids are handed on at once, and lists of ids decoded at once.
+OUT_CHARS, DECODED = 2_000_000, 512
 #: Words that a Python worker remembers; when there are more it starts anew. Results don't depend on it.
 KEPT_WORDS = 1_000_000
 SHIFT = 20
@@ -152,6 +154,7 @@ class Encoder:
     """A rank table with the words that this Python worker has met."""
 
     def __init__(self, path: str):
+        require_pattern()
         self.replay = MergeReplay(load_ranks(path))
         self.lexicon = Lexicon(KEPT_WORDS)
 
@@ -164,6 +167,9 @@ class Encoder:
         for a, b in zip((ends - counts).tolist(), ends.tolist(), strict=True):
             yield self.lexicon.ids(rows[a:b])
 
+    def decode(self, ids: list[int]) -> bytes:
+        return b"".join(map(self.replay.bytes_of.__getitem__, ids))
+
 
 _encoders: dict[str, Encoder] = {}
 
@@ -175,59 +181,78 @@ def encoder_for(path: str) -> Encoder:
     return _encoders[path]
 
 
-def _bodies(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, arrays)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*arrays, np.zeros(0, np.int32)]), pa.int32()))
 
 
-def encode(docs: DataFrame, ranks_path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, ids): the token ids of each whole text, without special tokens.
+def _sha(data: bytes) -> str:
+    return hashlib.sha256(data).hexdigest()
 
-    A null text counts as empty and gets an empty list; repeated rows give repeated rows; other columns are not read.
-    ``ranks_path`` must be readable on every executor.
-    """
+
+def _each_part(docs: DataFrame, ranks_path: str, doc_id: str, text: str, told: Callable[[Encoder, list[np.ndarray]], list[pa.Array]], schema: str) -> DataFrame:
+    """doc_id and what ``told`` makes of an encoder and the ids of some texts. A block's new words are replayed together; ids are
+    handed on for OUT_CHARS of text at once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_for(ranks_path)
+        names = [c.split()[0] for c in schema.split(", ")]
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in pieces(texts, BLOCK_CHARS):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(list(encoder.encode(texts[a:b])), pa.list_(pa.int32()))], ["doc_id", "ids"])
+            for at, texts in parts(batch.column(1), BLOCK_CHARS):
+                found = encoder.encode(texts)
+                for a, b in pieces(texts, OUT_CHARS):
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(at + a, b - a), *told(encoder, [next(found) for _ in range(a, b)])], names)
 
-    return _bodies(docs, doc_id, text).mapInArrow(run, "doc_id long, ids array<int>")
+    body = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    return body.mapInArrow(run, schema)
+
+
+def encode(docs: DataFrame, ranks_path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, ids): the token ids of each whole text, without special tokens.
+
+    A null text counts as empty and gets an empty list; repeated rows give repeated rows; other columns, whatever their names, are
+    not read. A very long text is a block of its own; its words are told apart before they are replayed. An empty table stays empty.
+    ``ranks_path`` must be readable on every executor.
+    """
+    return _each_part(docs, ranks_path, doc_id, text, lambda _, found: [_lists(found)], "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
     """(doc_id, ids, decoded): the bytes that the ids stand for. A null list counts as empty; an unknown id is an error."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = encoder_for(ranks_path).replay.bytes_of
+        encoder = encoder_for(ranks_path)
         for batch in batches:
-            decoded = [b"".join(map(token.__getitem__, ids or ())) for ids in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(decoded, pa.binary())], ["doc_id", "ids", "decoded"])
+            for a in range(0, batch.num_rows, DECODED):
+                some = batch.slice(a, DECODED)
+                decoded = [encoder.decode(ids.as_py() or []) for ids in some.column(1)]
+                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(decoded, pa.binary())], ["doc_id", "ids", "decoded"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
 
 
+def tokens(docs: DataFrame, ranks_path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per document: doc_id, n_tokens, ids and the SHA-256 of the bytes that the ids decode to, in one pass over the texts.
+
+    Nulls, long texts, repeated rows and further columns count as in ``encode``.
+    """
+
+    def told(encoder: Encoder, found: list[np.ndarray]) -> list[pa.Array]:
+        return [pa.array(list(map(len, found)), pa.int64()), _lists(found), pa.array([_sha(encoder.decode(x.tolist())) for x in found], pa.string())]
+
+    return _each_part(docs, ranks_path, doc_id, text, told, "doc_id long, n_tokens long, ids array<int>, decoded_sha256 string")
+
+
 def digests(docs: DataFrame, ranks_path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: doc_id, n_tokens, and SHA-256 of the ids as decimal text and of the decoded bytes.
 
-    Encodes and decodes as ``encode`` and ``decode`` do, within one pass over the texts, so that ids don't leave the task.
+    Encodes and decodes as ``encode`` and ``decode`` do, within one pass over the texts, so that ids don't leave the task. Nulls,
+    long texts, repeated rows and further columns count as in ``encode``.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_for(ranks_path)
-        token = encoder.replay.bytes_of
-        decimal = {i: str(i) for i in token}
-        sha = lambda data: hashlib.sha256(data).hexdigest()
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in pieces(texts, BLOCK_CHARS):
-                n, ids_sha, decoded_sha = [], [], []
-                for found in encoder.encode(texts[a:b]):
-                    ids = found.tolist()
-                    n.append(len(ids))
-                    ids_sha.append(sha(",".join(map(decimal.__getitem__, ids)).encode()))
-                    decoded_sha.append(sha(b"".join(map(token.__getitem__, ids))))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return _bodies(docs, doc_id, text).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    def told(encoder: Encoder, found: list[np.ndarray]) -> list[pa.Array]:
+        ids = [x.tolist() for x in found]
+        said = [_sha(",".join(map(str, x)).encode()) for x in ids]
+        return [pa.array(list(map(len, ids)), pa.int64()), pa.array(said, pa.string()), pa.array([_sha(encoder.decode(x)) for x in ids], pa.string())]
+
+    return _each_part(docs, ranks_path, doc_id, text, told, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

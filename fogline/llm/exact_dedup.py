@@ -1,100 +1,88 @@
-"""Exact deduplication by progressive refinement: length, then prefix hash, then full hash."""
+"""Exact deduplication by progressive refinement: length, then prefix hash, then full hash. DataFrame functions only."""
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fogline.functions.runtime import materialize
+from fogline.llm.bitmaps import filter_of, may_have
 
 #: Characters in the prefix whose hash refines groups of equal length.
 PREFIX_CHARS = 64
-#: Bits of the filter of surviving groups. It is the bound of what is broadcast (2 MB); if more groups than fit survive,
-#: more texts are hashed in full, and the result stays the same.
-FILTER_BITS = 1 << 24
+#: A group is hot if it has this part of all rows or more; so there are at most HOT_PART hot groups, which bounds their broadcast.
+HOT_PART = 1000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def lowered(text: Column) -> Column:
+    """A text with A-Z in lower case; where all characters are ASCII, that is what ``lower`` does, which is faster."""
+    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
+
+
 def group_key(text: Column) -> Column:
     """Hash of the byte length and the normalised prefix: equal texts share it."""
     return F.xxhash64(F.octet_length(text), F.translate(F.substring(text, 1, PREFIX_CHARS), UPPER, LOWER))
 
 
-def survivors(docs: DataFrame, text: str = "text") -> np.ndarray:
-    """Filter of the (length, prefix) groups with two rows or more, as one bit for each hash value modulo FILTER_BITS.
+def candidates(docs: DataFrame, text: str = "text") -> Column:
+    """Whether a row may have a partner: its length occurs twice or more, and so does its (length, prefix) among such rows.
 
-    Lengths that occur once are dropped before any prefix is hashed. The filter has a fixed size, whatever the input.
+    Lengths that occur once are dropped before any prefix is hashed. Both steps count before they shuffle and leave a filter of
+    a fixed size; if more groups than fit are left, more texts are hashed in full, and results stay the same.
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    lengths = docs.select(F.octet_length(body).alias("n")).groupBy("n").count().where("count > 1").select("n")
-    prefixes = docs.select(F.octet_length(body).alias("n"), group_key(body).alias("k")).join(lengths, "n", "left_semi")
-    position = F.pmod("k", F.lit(FILTER_BITS)) + 1  # bitmap positions count from 1
-    bits = prefixes.groupBy("k").count().where("count > 1").groupBy(F.bitmap_bucket_number(position).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(position)).alias("bits"))
-    out = np.zeros(FILTER_BITS // 8, np.uint8)
-    for row in bits.toLocalIterator():
-        at = (row["b"] - 1) * len(row["bits"])
-        out[at : at + len(row["bits"])] = np.frombuffer(bytes(row["bits"]), np.uint8)
-    return out
-
-
-def full_hashes(docs: DataFrame, bits: np.ndarray, hash_all: bool, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_bytes, candidate, text_sha256): SHA-256 of the normalised text, for rows of surviving groups or for all."""
-    seen = docs.sparkSession.sparkContext.broadcast(bits)
-
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            key = np.mod(batch.column(2).to_numpy(zero_copy_only=False), FILTER_BITS)
-            # bit p % 8 of byte p / 8
-            candidate = (seen.value[key >> 3] >> (key & 7).astype(np.uint8)) & 1
-            lowered = pc.ascii_lower(batch.column(1))
-            sha = [hashlib.sha256(x.as_buffer()).hexdigest() if hash_all or c else None for x, c in zip(lowered, candidate, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), pa.array(candidate.astype(bool)), pa.array(sha, pa.string())], ["doc_id", "n_bytes", "candidate", "text_sha256"])
-
-    body = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), body.alias("text"), group_key(body).alias("key"), F.octet_length(body).cast("long").alias("n_bytes"))
-    return rows.mapInArrow(hashed, "doc_id long, n_bytes long, candidate boolean, text_sha256 string")
+    length = F.octet_length(body).cast("long")
+    lengths = docs.groupBy(length.alias("n")).count().where("count > 1")
+    same_length = may_have(filter_of(lengths, F.col("n")), length)
+    prefixes = docs.where(same_length).groupBy(group_key(body).alias("k")).count().where("count > 1")
+    return same_length & may_have(filter_of(prefixes, F.col("k")), group_key(body))
 
 
 def decisions(docs: DataFrame, hash_all: bool = False, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, n_bytes, text_sha256, keep_id, group_size, kept.
 
-    Texts are equal when identical after lower-casing A-Z; null counts as empty. Of equal texts the row with the largest
-    doc_id stays; null ids come below all others. Of repeated rows (same id, same text) exactly one is marked kept.
-    ``text_sha256`` is null for rows that no refinement step found a partner for, unless ``hash_all``. Groups are
-    pre-aggregated before each shuffle; the join of rows with their group can be split by Spark where a group is hot.
+    Texts are equal when identical after lower-casing A-Z; null counts as empty; whole texts are hashed, however long. Of equal texts
+    the row with the largest doc_id stays; null ids come below all others. Of repeated rows (same id, same text) exactly one is
+    marked kept. ``text_sha256`` is null for rows that no refinement step found a partner for, unless ``hash_all``. An empty table
+    stays empty; other columns, whatever their names, are not read. Groups are counted before each shuffle; hot ones, of which there
+    can be HOT_PART at most, are sent to the rows, the others are joined.
     """
-    rows = materialize(full_hashes(docs, survivors(docs, text), hash_all, doc_id, text), "dedup")
-    own = rows.groupBy("doc_id", "n_bytes", "text_sha256", "candidate").agg(F.count("*").alias("n_rows"))
-    groups = own.where("candidate").groupBy(F.col("n_bytes").alias("g_bytes"), F.col("text_sha256").alias("g_sha")).agg(F.max("doc_id").alias("g_keep"), F.sum("n_rows").alias("g_size"))
-    joined = own.join(groups, F.col("candidate") & (F.col("n_bytes") == F.col("g_bytes")) & (F.col("text_sha256") == F.col("g_sha")), "left")
-    keep = F.when(F.col("g_size").isNull(), F.col("doc_id")).otherwise(F.col("g_keep"))
+    body = F.coalesce(F.col(text), F.lit(""))
+    may = candidates(docs, text)
+    sha = F.sha2(lowered(body), 256)
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.octet_length(body).cast("long").alias("n_bytes"), may.alias("candidate"), (sha if hash_all else F.when(may, sha)).alias("text_sha256"))
+    own = materialize(rows.groupBy("doc_id", "n_bytes", "text_sha256", "candidate").agg(F.count("*").alias("n_rows")), "dedup")
+    groups = own.where("candidate").groupBy("n_bytes", "text_sha256").agg(F.max("doc_id").alias("keep"), F.sum("n_rows").alias("size"), F.count("*").alias("members")).where("members > 1")
+    groups = materialize(groups, "groups")
+    n = own.agg(F.sum("n_rows")).first()[0] or 0
+    named = groups.select(F.concat(F.col("n_bytes").cast("string"), F.lit(":"), "text_sha256").alias("key"), "keep", "size")
+    hot = named.where(F.col("size") * HOT_PART >= n).select("key", F.col("keep").alias("hot_keep"), F.col("size").alias("hot_size"))
+    name = F.when(F.col("candidate"), F.concat(F.col("n_bytes").cast("string"), F.lit(":"), "text_sha256"))
+    met = own.withColumn("key", name).join(F.broadcast(hot), "key", "left")
+    # rows that need no other group get keys of their own, so that they spread
+    met = met.withColumn("key", F.when(F.col("key").isNotNull() & F.col("hot_size").isNull(), F.col("key")).otherwise(F.concat(F.lit("-"), F.xxhash64("doc_id", "n_bytes").cast("string"))))
+    joined = met.join(named.where(F.col("size") * HOT_PART < n), "key", "left")
+    size, keep = F.coalesce("hot_size", "size"), F.coalesce("hot_keep", "keep")
+    keep = F.when(size.isNull(), F.col("doc_id")).otherwise(keep)
     copy = F.explode(F.when(F.col("n_rows") == 1, F.array(F.lit(1).cast("long"))).otherwise(F.sequence(F.lit(1).cast("long"), "n_rows")))
-    out = joined.select("doc_id", "n_bytes", "text_sha256", keep.alias("keep_id"), F.coalesce("g_size", "n_rows").cast("long").alias("group_size"), copy.alias("copy"))
+    out = joined.select("doc_id", "n_bytes", "text_sha256", keep.alias("keep_id"), F.coalesce(size, "n_rows").cast("long").alias("group_size"), copy.alias("copy"))
     return out.select("doc_id", "n_bytes", "text_sha256", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"))
 
 
-def sha256_normalised(text: Column) -> Column:
-    """The same digest as an expression, to find the rows of a table again."""
-    return F.sha2(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), 256)
-
-
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all its columns.
+    """The rows of ``docs`` that stay, with all its columns, whatever their names; decisions are those of ``decisions``.
 
-    Rows to drop are few against rows that stay, so an anti join by id and digest takes them out. Repeated rows of the
-    same id and text, where one stays, pass ``dropDuplicates``.
+    A filter finds the rows whose id is one of a row to drop or of a repeated row; these alone are shuffled, and looked up by id and
+    digest. Of repeated rows of one id and text, one stays.
     """
-    every = materialize(decisions(docs, True, doc_id, text), "dedup")
-    by = every.groupBy("doc_id", "text_sha256").agg(F.count("*").alias("n"), F.max("kept").alias("any_kept"))
-    gone = by.where("not any_kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), F.lit(False).alias("_one"))
-    one = by.where("any_kept and n > 1").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), F.lit(True).alias("_one"))
-    marked = docs.withColumn("_digest", sha256_normalised(F.col(text))).join(gone.union(one), F.col(doc_id).cast("long").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_sha")), "left")
-    clear = marked.where(F.col("_one").isNull())
-    single = marked.where("_one").dropDuplicates(["_id", "_sha"])
-    return clear.unionByName(single).select(*docs.columns)
+    by = decisions(docs, False, doc_id, text).where("group_size > 1").groupBy("doc_id", "text_sha256").agg(F.count("*").alias("n"), F.max("kept").alias("any_kept"))
+    marked = materialize(by.where("not any_kept or n > 1").select("doc_id", "text_sha256", F.col("any_kept").alias("one")), "marked")
+    maybe = may_have(filter_of(marked, F.xxhash64("doc_id")), F.xxhash64("id"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(doc_id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("body"))
+    asked = rows.where(maybe).select("row", "id", F.sha2(lowered(F.col("body")), 256).alias("sha"))
+    asked = asked.join(marked, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("sha") == F.col("text_sha256")), "left").select("row", "id", "sha", "one")
+    stays = rows.where(~maybe).select("row").unionByName(asked.where("one is null").select("row"))
+    if marked.where("one").limit(1).count():
+        stays = stays.unionByName(asked.where("one").groupBy("id", "sha").agg(F.first("row").alias("row")).select("row"))
+    return stays.select("row.*")

@@ -108,21 +108,24 @@ def mix(docs: DataFrame, shards: int = 8, seed: int = 17, doc_id: str = "doc_id"
 
 
 def apply_mix(docs: DataFrame, seed: int = 17) -> DataFrame:
-    """The mixed documents with the columns of ``docs``: whole copies, and the first words where a block ends inside.
+    """The mixed documents with the columns of ``docs``, whatever their names: whole copies, and the first words where a block ends inside.
 
-    A document with ``taken`` words gives taken div size whole rows and, for a remainder, one row with the text up to
-    that word and its n_chars. Documents that the mix leaves out are gone.
+    A document with ``taken`` words gives taken div size whole rows and, for a remainder, one row with the text up to that word and
+    its n_chars. Documents that the mix leaves out, such as null and empty texts, are gone. Rows of one id, source and size are
+    interchangeable and share the most that the mix takes of one of them. An empty table stays empty.
     """
-    plan = mix(docs, seed=seed).where("taken > 0").groupBy("doc_id", "source", "size").agg(F.max("taken").alias("_taken"), F.count("*").alias("_rows"))
-    named = plan.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "_taken")
-    words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    rows = docs.withColumn("_n", words).join(named, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_n") == F.col("_size")))
-    parts = F.floor((F.col("_taken") + F.col("_size") - 1) / F.col("_size")).cast("int")
-    rows = rows.withColumn("_part", F.explode(F.sequence(F.lit(1), parts)))
-    left = F.col("_taken") - (F.col("_part") - 1) * F.col("_size")
-    pieces = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
-    cut = F.array_join(F.slice(pieces, F.lit(1), left.cast("int")), "")
-    rows = rows.withColumn("text", F.when(left >= F.col("_size"), F.col("text")).otherwise(cut))
+    keys = [F.col("doc_id").alias("id"), F.col("source").alias("of"), F.col("size").alias("words")]
+    plan = mix(docs, seed=seed).where("taken > 0").groupBy(*keys).agg(F.max("taken").alias("taken"))
+    row, words = F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    rows = docs.select(row.alias("row"), F.col("doc_id").alias("id_"), F.col("source").alias("of_"), words.alias("words_"))
+    rows = rows.join(plan, F.col("id_").eqNullSafe(F.col("id")) & F.col("of_").eqNullSafe(F.col("of")) & (F.col("words_") == F.col("words")))
+    parts = F.floor((F.col("taken") + F.col("words") - 1) / F.col("words")).cast("int")
+    rows = rows.withColumn("part", F.explode(F.sequence(F.lit(1), parts)))
+    left = F.col("taken") - (F.col("part") - 1) * F.col("words")
+    said = F.regexp_extract_all("row.text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    whole, cut = left >= F.col("words"), F.array_join(F.slice(said, F.lit(1), left.cast("int")), "")
+    rows = rows.select("row", F.when(whole, F.col("row.text")).otherwise(cut).alias("cut"), whole.alias("whole"))
+    told = {"text": F.col("cut")}
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(left >= F.col("_size"), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return rows.select(*docs.columns)
+        told["n_chars"] = F.when(F.col("whole"), F.col("row.n_chars")).otherwise(F.length("cut").cast(docs.schema["n_chars"].dataType))
+    return rows.select(*[told.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])

@@ -21,6 +21,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fogline.functions.runtime import arrow_rows, materialize
+from fogline.llm.bitmaps import filter_of, may_have
 from fogline.llm.words import BASE, mixed, powers
 
 WORDS, NUMERATOR, DENOMINATOR = 5, 80, 100
@@ -460,21 +461,7 @@ def _linked(docs: DataFrame) -> DataFrame:
 
 def _named(texts: DataFrame, placed: DataFrame) -> DataFrame:
     """The rows of ``texts`` whose doc_id may be a least_id of ``placed``, by a filter of FILTER_BITS bits: all that are, and some others."""
-    position = F.pmod(F.xxhash64("least_id"), F.lit(FILTER_BITS)) + 1
-    rows = placed.groupBy(F.bitmap_bucket_number(position).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(position)).alias("bits"))
-    bits = np.zeros(FILTER_BITS // 8, np.uint8)
-    for row in rows.toLocalIterator():
-        at = (row["b"] - 1) * len(row["bits"])
-        bits[at : at + len(row["bits"])] = np.frombuffer(bytes(row["bits"]), np.uint8)
-    told = texts.sparkSession.sparkContext.broadcast(bits)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            key = batch.column(2).to_numpy(zero_copy_only=False)
-            found = batch.filter(pa.array(((told.value[key >> 3] >> (key & 7).astype(np.uint8)) & 1).astype(bool)))
-            yield found.select(["doc_id", "text"])
-
-    return texts.withColumn("key", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))).mapInArrow(run, texts.schema)
+    return texts.where(may_have(filter_of(placed, F.xxhash64("least_id"), FILTER_BITS), F.xxhash64("doc_id"), FILTER_BITS))
 
 
 def _of_class(members: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import os
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +23,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fogline.llm.words import Lexicon, pieces
+from fogline.functions.runtime import small
+from fogline.llm.words import Lexicon, require_pattern
+from fogline.llm.words import parts as text_parts
 
 BLOCK_IDS = 1 << 16
 CHUNK_IDS = 1 << 19
@@ -74,39 +76,58 @@ def unpack(n_ids: int, planes: list[int], sizes: list[int], payload: bytes) -> n
     return np.concatenate(out) if out else np.zeros(0, np.uint32)
 
 
-_lexicons: dict[str, tuple[Lexicon, Callable]] = {}
+class WordEncoder:
+    """A tokenizer with the words that this Python worker has met.
 
-
-def word_encoder(path: str) -> tuple[Lexicon, Callable]:
-    """The worker's words for a tokenizer file, and the tokenizer's encoder for new ones.
-
-    The file's pre-tokenizer splits text by the pattern of ``words`` and encodes each word by itself, so ids of
-    distinct words make up the ids of any text.
+    The tokenizer splits text by the pattern of ``words`` and encodes each word by itself, so ids of distinct words make up the ids
+    of a text. Texts with a string of an added token go through the tokenizer whole.
     """
-    if path not in _lexicons:
+
+    def __init__(self, path: str):
+        require_pattern()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
+        self.tokenizer = Tokenizer.from_file(path)
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.lexicon = Lexicon(KEPT_WORDS)
+
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [e.ids for a in range(0, len(words), 4096) for e in self.tokenizer.encode_batch_fast(words[a : a + 4096], add_special_tokens=False)]
+        return np.array([i for ids in found for i in ids], np.int32), np.array(list(map(len, found)), np.int64)
+
+    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """The ids of each text."""
+        whole = [any(t in text for t in self.added) for text in texts]
+        self.lexicon.trim()
+        rows, counts = self.lexicon.rows(["" if w else t for t, w in zip(texts, whole, strict=True)])
+        self.lexicon.learn(self._words)
+        at = 0
+        for text, w, n in zip(texts, whole, counts.tolist(), strict=True):
+            yield np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32) if w else self.lexicon.ids(rows[at : at + n])
+            at += n
+
+
+_encoders: dict[str, WordEncoder] = {}
 
-        def encode(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-            found = [e.ids for a in range(0, len(words), 4096) for e in tokenizer.encode_batch_fast(words[a : a + 4096], add_special_tokens=False)]
-            return np.array([i for ids in found for i in ids], np.int32), np.array(list(map(len, found)), np.int64)
 
-        _lexicons[path] = Lexicon(KEPT_WORDS), encode
-    return _lexicons[path]
+def encoder_for(path: str) -> WordEncoder:
+    """The worker's encoder for a tokenizer file; a worker runs many tasks."""
+    if path not in _encoders:
+        _encoders[path] = WordEncoder(path)
+    return _encoders[path]
 
 
 def encode_chunks(docs: DataFrame, tokenizer_path: str, end_id: int = 0, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Chunks of the ids of all documents, each with ``end_id`` appended, in ascending doc_id order over the parts.
 
     One shuffle ranges the documents by id; a part is a range. A null text counts as empty and gets the end id alone; a
-    null doc_id comes first; rows with equal ids are ordered by their text. An empty table makes no chunk.
+    null doc_id comes first; rows with equal ids are ordered by their text; other columns, whatever their names, are not read. A very
+    long text makes a chunk of its own. An empty table makes no chunk.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon, encode = word_encoder(tokenizer_path)
+        encoder = encoder_for(tokenizer_path)
         part, chunk, first = TaskContext.get().partitionId(), 0, 0
         names, parts, total = [], [], 0
 
@@ -121,18 +142,13 @@ def encode_chunks(docs: DataFrame, tokenizer_path: str, end_id: int = 0, doc_id:
         schema = pa.schema([("part", pa.int32()), ("chunk", pa.int32()), ("first", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("planes", pa.list_(pa.int32())), ("sizes", pa.list_(pa.int32())), ("payload", pa.binary())])
         end = np.array([end_id], np.int32)
         for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in pieces(texts):
-                lexicon.trim()
-                rows, counts = lexicon.rows(texts[a:b])
-                lexicon.learn(encode)
-                at = 0
-                for key, n in zip(keys[a:b], counts.tolist(), strict=True):
-                    ids = np.append(lexicon.ids(rows[at : at + n]), end)
-                    at += n
+            keys = batch.column(0).to_pylist()
+            for a, texts in text_parts(batch.column(1)):
+                for k, found in enumerate(encoder.encode(texts), a):
+                    ids = np.append(found, end)
                     if total and total + len(ids) > CHUNK_IDS:
                         yield flush()
-                    names.append(key)
+                    names.append(keys[k])
                     parts.append(ids)
                     total += len(ids)
         if parts:
@@ -151,7 +167,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     """One row per document from the files: doc_id, start, n_tokens, ids_crc32.
 
     ``start`` counts the ids of all documents before it. Where each part begins comes from the chunk index alone, with a
-    row for each part. The checksum is of the ids as little-endian unsigned 32-bit integers.
+    row for each part, which chunks are sent instead of being shuffled. The checksum is of the ids as little-endian unsigned 32-bit integers.
     """
     chunks = spark.read.schema(CHUNKS).parquet(path)
     parts = chunks.groupBy("part").agg(F.sum("n_ids").alias("ids"))
@@ -166,7 +182,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(begins + row["begin"] + row["first"], pa.int64()), pa.array(row["counts"], pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    rows = chunks.join(starts, "part").select("begin", "first", "n_ids", "doc_ids", "counts", "planes", "sizes", "payload")
+    # a row for each part, that is, for each task of the write
+    rows = chunks.join(small(starts), "part").select("begin", "first", "n_ids", "doc_ids", "counts", "planes", "sizes", "payload")
     return rows.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 

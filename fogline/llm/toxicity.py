@@ -10,17 +10,18 @@ from __future__ import annotations
 import math
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fogline.functions.runtime import materialize
-from fogline.llm.words import pieces
+from fogline.llm.words import parts, pieces
 
 #: Labelled rows that the model is fitted on at most, taken in the order of a hash of doc_id. This bounds what is
 #: broadcast and what reaches the driver; all else covers every document.
@@ -160,12 +161,13 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     half's lexicon, and the model is fitted to those scores. Null labels and texts, and labels without a document, are
     left out; of several labels of a document the largest counts.
     """
-    named = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("_toxic"))
+    named = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     named = named.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
-    chosen = named.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled).withColumnRenamed("doc_id", "_id")
-    half = F.pmod(F.xxhash64("_id", F.lit(1)), F.lit(2)).cast("int").alias("half")
-    sample = materialize(docs.join(F.broadcast(chosen), docs["doc_id"] == chosen["_id"]).select("_toxic", half, F.coalesce("text", F.lit("")).alias("text")), "toxic")
-    sizes = {(r["half"], r["_toxic"]): r["count"] for r in sample.groupBy("half", "_toxic").count().collect()}
+    chosen = named.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
+    half = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)).cast("int").alias("half")
+    bodies = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    sample = materialize(bodies.join(F.broadcast(chosen), "doc_id").select("toxic", half, "text"), "toxic")
+    sizes = {(r["half"], r["toxic"]): r["count"] for r in sample.groupBy("half", "toxic").count().collect()}
     if any(not sizes.get((h, t)) for h in (0, 1) for t in (0, 1)):
         return Lexicon({f" {w} ": DEFAULT_WEIGHT for x in DEFAULT_WORDS for w in fold([x])[0].split()})
 
@@ -199,18 +201,23 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     return Lexicon(whole, logistic(measured[:, 1:], measured[:, 0]))
 
 
-def score(docs: DataFrame, lexicon: Lexicon, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, score) of every whole text. A null or empty text scores as a text without any entry; no shuffle."""
-    told = docs.sparkSession.sparkContext.broadcast(lexicon)  # MAX_ENTRIES entries at most
+def scorer(spark: SparkSession, lexicon: Lexicon) -> Callable[[Column], Column]:
+    """The score of a column of whole texts; a null or empty text scores as a text without any entry."""
+    told = spark.sparkContext.broadcast(lexicon)  # MAX_ENTRIES entries at most
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         automaton = told.value.automaton()
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            x = [features(automaton, folded) for a, b in pieces(texts) for folded in fold(texts[a:b])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(told.value.score(np.array(x).reshape(-1, 2)))], ["doc_id", "score"])
+            x = [features(automaton, folded) for _, texts in parts(pc.fill_null(batch, "")) for folded in fold(texts)]
+            yield pa.array(told.value.score(np.array(x).reshape(-1, 2)))
+
+    return F.arrow_udf(run, "double")
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(run, "doc_id long, score double")
+
+def score(docs: DataFrame, lexicon: Lexicon, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, score) of every whole text; no shuffle. Repeated rows give repeated rows, an empty table none; other columns,
+    whatever their names, are not read. A very long text is scored as a whole, by itself."""
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), scorer(docs.sparkSession, lexicon)(F.col(text)).alias("score"))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -220,15 +227,5 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """The rows of ``docs`` with a score below 0.5, with all columns; rows go through the scorer as they are."""
-    told = docs.sparkSession.sparkContext.broadcast(lexicon)
-    at = docs.columns.index("text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = told.value.automaton()
-        for batch in batches:
-            texts = [t or "" for t in batch.column(at).to_pylist()]
-            x = [features(automaton, folded) for a, b in pieces(texts) for folded in fold(texts[a:b])]
-            yield batch.filter(pa.array(told.value.score(np.array(x).reshape(-1, 2)) < 0.5))
-
-    return docs.mapInArrow(run, docs.schema)
+    """The rows of ``docs`` with a score below 0.5, with all columns; null and empty texts stay. Only texts go through Python."""
+    return docs.where(scorer(docs.sparkSession, lexicon)(F.col("text")) < 0.5)

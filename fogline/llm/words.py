@@ -11,20 +11,32 @@ import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
+import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 
+#: The pattern that ``spans`` splits by. Another one of the tokenizers' package is an error, not other words.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
 #: The code points with the Unicode property White_Space.
 WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 #: Characters of text that are split together; bounds the arrays in memory.
 BLOCK_CHARS = 2_000_000
-#: Words with equal 64-bit hashes count as the same word. Among ten million distinct words that happens to any two with
-#: a chance of about 3 in a million.
+#: Characters of new words that are encoded together.
+LEARNT_CHARS = 2_000_000
+#: The base of the words' 64-bit hashes.
 BASE = 0x9E3779B97F4A7C15
 MASK = (1 << 64) - 1
 
 _tables: dict[str, np.ndarray] = {}
 
 
+def require_pattern() -> None:
+    """Raise unless the tokenizers' package splits by PATTERN."""
+    if public_tokenizers.PATTERN != PATTERN:
+        raise ValueError("the tokenizers split by another pattern")
+
+
 def _classes() -> np.ndarray:
     if "class" not in _tables:
         kinds = {"L": LETTER, "N": NUMBER}
@@ -98,25 +110,42 @@ def hashes(points: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 def pieces(texts: list[str], most: int = BLOCK_CHARS) -> Iterator[tuple[int, int]]:
     """Ranges of texts with up to ``most`` characters, of one text at least."""
-    start = size = 0
-    for k, text in enumerate(texts):
-        if size and size + len(text) > most:
+    return ranges(list(map(len, texts)), most)
+
+
+def ranges(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of items whose sizes add up to ``most`` at most, of one item at least."""
+    start = total = 0
+    for k, size in enumerate(sizes):
+        if total and total + size > most:
             yield start, k
-            start, size = k, 0
-        size += len(text)
-    if start < len(texts):
-        yield start, len(texts)
+            start, total = k, 0
+        total += size
+    if start < len(sizes):
+        yield start, len(sizes)
+
+
+def parts(texts: pa.Array, most: int = BLOCK_CHARS) -> Iterator[tuple[int, list[str]]]:
+    """A column of texts by and by, with up to ``most`` characters at once: where each part begins, and its texts."""
+    for a, b in ranges(pc.utf8_length(texts).to_pylist(), most):
+        yield a, texts.slice(a, b - a).to_pylist()
 
 
 class Lexicon:
-    """Distinct words with a row each, and texts as rows of words. ``encode`` gives the ids of new words."""
+    """Distinct words with a row each, and texts as rows of words. ``encode`` gives the ids of new words.
+
+    Words are found by their hashes in sorted arrays, and every word of a text is compared with the word that was found,
+    code point by code point; words that only share a hash with another one have rows of their own in ``others``.
+    """
 
     def __init__(self, most: int):
         self.most = most
         self.clear()
 
     def clear(self) -> None:
-        self.row: dict[int, int] = {}
+        self.known, self.row = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.points, self.first, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.others: dict[str, int] = {}
         self.new: list[str] = []
         self.flat, self.begin, self.count = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
@@ -131,28 +160,52 @@ class Lexicon:
             ends = np.cumsum(sizes)
             starts = spans(points, (ends - sizes)[sizes > 0])
             counts.append(np.diff(np.searchsorted(starts, np.append(0, ends))))
-            if not len(starts):
-                continue
-            distinct, first, which = np.unique(hashes(points, starts), return_index=True, return_inverse=True)
-            upto = np.append(starts, len(joined))
-            known = np.empty(len(distinct), np.int32)
-            row, new = self.row, self.new
-            for k, (h, f) in enumerate(zip(distinct.tolist(), first.tolist(), strict=True)):
-                r = row.get(h)
-                if r is None:
-                    r = row[h] = len(row)
-                    new.append(joined[upto[f] : upto[f + 1]])
-                known[k] = r
-            out.append(known[which])
+            if len(starts):
+                out.append(self._rows(joined, points, starts))
         return (np.concatenate(out) if out else np.zeros(0, np.int32)), (np.concatenate(counts) if counts else np.zeros(0, np.int64))
 
+    def _rows(self, joined: str, points: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        size = np.diff(np.append(starts, len(points)))
+        distinct, first, which = np.unique(hashes(points, starts), return_index=True, return_inverse=True)
+        at = np.searchsorted(self.known, distinct)
+        found = np.append(self.known, np.uint64(0))[at] == distinct
+        found &= at < len(self.known)
+        row = np.empty(len(distinct), np.int32)
+        row[found] = self.row[at[found]]
+        fresh = np.flatnonzero(~found)
+        row[fresh] = self._add(joined, points, starts[first[fresh]], size[first[fresh]])
+        self.known, self.row = np.insert(self.known, at[fresh], distinct[fresh]), np.insert(self.row, at[fresh], row[fresh])
+        rows = row[which]
+        # words stand one after the other, so a word's place in the lexicon less its place here holds for all its characters
+        wrong = self.size[rows] != size
+        own = np.minimum(np.repeat(self.first[rows] - starts, size) + np.arange(len(points)), len(self.points) - 1)
+        same = self.points[own] == points
+        if not same.all():
+            wrong |= np.add.reduceat(~same, starts) > 0
+        for k in np.flatnonzero(wrong).tolist():
+            word = joined[starts[k] : starts[k] + size[k]]
+            if word not in self.others:
+                self.others[word] = int(self._add(joined, points, starts[k : k + 1], size[k : k + 1])[0])
+            rows[k] = self.others[word]
+        return rows
+
+    def _add(self, joined: str, points: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """New rows for words of ``points``."""
+        rows = len(self.size) + np.arange(len(starts))
+        ends = np.cumsum(size)
+        self.first = np.append(self.first, len(self.points) + ends - size)
+        self.size = np.append(self.size, size)
+        self.points = np.append(self.points, points[np.repeat(starts - (ends - size), size) + np.arange(size.sum())])
+        self.new += [joined[a:b] for a, b in zip(starts.tolist(), (starts + size).tolist(), strict=True)]
+        return rows
+
     def learn(self, encode) -> None:
-        """Encode the words that are new; ``encode`` takes them and returns their ids in one array and their counts."""
-        if self.new:
-            flat, count = encode(self.new)
-            self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(count) - count])
-            self.flat, self.count = np.concatenate([self.flat, flat.astype(np.int32)]), np.concatenate([self.count, count])
-            self.new = []
+        """Encode the words that are new; ``encode`` takes some and returns their ids in one array and their counts."""
+        for a, b in pieces(self.new, LEARNT_CHARS):
+            flat, count = encode(self.new[a:b])
+            self.begin = np.append(self.begin, len(self.flat) + np.cumsum(count) - count)
+            self.flat, self.count = np.append(self.flat, flat.astype(np.int32)), np.append(self.count, count)
+        self.new = []
 
     def ids(self, rows: np.ndarray) -> np.ndarray:
         """The ids of words, one word after the other."""
@@ -164,5 +217,5 @@ class Lexicon:
 
     def trim(self) -> None:
         """Start anew if there are too many words; results don't depend on it."""
-        if len(self.row) > self.most:
+        if len(self.size) > self.most:
             self.clear()

@@ -15,7 +15,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from fogline.llm import bpe, exact_dedup, html_text, media, mixing, secret_scan, sharding, signature_tree, token_files, toxicity, webp, words
+from fogline.llm import bitmaps, bpe, exact_dedup, html_text, media, mixing, secret_scan, sharding, signature_tree, token_files, toxicity, webp, words
 
 RANKS, TOKENIZER = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json")
 #: doc_id, text, source and columns whose names an operator may use inside
@@ -79,6 +79,21 @@ def test_words_equal_the_pattern():
         at += n
 
 
+def test_words_that_share_a_hash_are_told_apart(monkeypatch):
+    monkeypatch.setattr(words, "hashes", lambda points, starts: (points[starts] % 3).astype(np.uint64))
+    want, texts = reference_encoding(), [t or "" for t in TEXTS] * 2
+    assert [x.tolist() for x in bpe.Encoder(RANKS).encode(texts)] == [want.encode_ordinary(t) for t in texts]
+
+
+def test_tokens_hold_ids_and_the_decoded_digest(spark):
+    want = reference_encoding()
+    for row in bpe.tokens(table(spark), RANKS).collect():
+        text = TEXTS[row["doc_id"]] or ""
+        assert row["ids"] == want.encode_ordinary(text) and row["n_tokens"] == len(row["ids"])
+        assert row["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+    assert bpe.tokens(empty(spark), RANKS).count() == 0
+
+
 # 2: toxicity
 
 
@@ -247,13 +262,13 @@ def test_tree_finds_all_links_that_connect():
 def test_token_files_round_trip(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(token_files, "CHUNK_IDS", 900)
     tokenizer = Tokenizer.from_file(TOKENIZER)
-    tokenizer.encode_special_tokens = True
     path = f"file://{tmp_path}/tokens"
-    token_files.write(table(spark), path, TOKENIZER)
+    texts = [*TEXTS, "<|endoftext|>", "a <|endoftext|>b <|endoftext|> c", "not <|endoftext| >"]
+    token_files.write(table(spark, texts), path, TOKENIZER)
     got = {r["doc_id"]: r for r in token_files.read(spark, path).collect()}
     ids = {r["doc_id"]: r["ids"] for r in token_files.read_ids(spark, path).collect()}
     start = 0
-    for k, text in enumerate(TEXTS):
+    for k, text in enumerate(texts):
         want = [*tokenizer.encode(text or "", add_special_tokens=False).ids, 0]
         assert ids[k] == want
         assert (got[k]["start"], got[k]["n_tokens"]) == (start, len(want))
@@ -301,6 +316,43 @@ def test_dedup_of_repeated_rows_and_null_ids(spark):
     assert exact_dedup.decisions(empty(spark)).count() == 0
 
 
+CLASHING = "doc_id long, text string, lang string, source string, n_chars long, row string, id string, one string, part string, taken string, sha string, key string, size long, body string, words string, of string"
+
+
+def clashing(spark, texts):
+    return spark.createDataFrame([(i, t, "en", "s", 0, *"abcdefg", 7, *"hij") for i, t in enumerate(texts)], CLASHING)
+
+
+def test_helper_columns_dont_clash(spark):
+    docs = clashing(spark, ["a b c", "A b c", "d e f", None])
+    kept = exact_dedup.deduplicate(docs)
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 2, 3]
+    assert all((r["row"], r["id"], r["size"]) == ("a", "b", 7) for r in kept.collect())
+    gone = spark.createDataFrame([(1,), (9,)], "id long")
+    assert sorted(r["doc_id"] for r in bitmaps.without(docs, gone).collect()) == [0, 2, 3]
+    assert bitmaps.without(docs, gone.limit(0)).count() == 4
+    mixed = mixing.apply_mix(docs)
+    assert mixed.columns == docs.columns and {r["row"] for r in mixed.collect()} == {"a"}
+    lexicon = toxicity.fit(docs, spark.createDataFrame([(0, 1, 1)], "doc_id long, quality int, toxic int"))
+    assert toxicity.keep_clean(docs, lexicon).columns == docs.columns
+
+
+def test_filters_let_all_their_keys_through(spark):
+    keys = spark.range(0, 5000, 7).select((F.col("id") * 1_000_003 - 9).alias("k"))
+    told = bitmaps.filter_of(keys, F.col("k"), 1 << 15)
+    rows = spark.range(0, 5000).select((F.col("id") * 1_000_003 - 9).alias("k"))
+    bits = {(i * 1_000_003 - 9) % (1 << 15) for i in range(0, 5000, 7)}
+    got = {r["k"] for r in rows.where(bitmaps.may_have(told, F.col("k"), 1 << 15)).collect()}
+    assert got == {k for i in range(5000) if (k := i * 1_000_003 - 9) % (1 << 15) in bits}
+
+
+def test_hot_groups_and_others_are_decided_alike(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "HOT_PART", 3)
+    texts = ["hot text"] * 20 + ["cold text", "Cold Text", "single"]
+    got = {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.decisions(table(spark, texts)).collect()}
+    assert got == {i: (19, 20, i == 19) for i in range(20)} | {20: (21, 2, False), 21: (21, 2, True), 22: (22, 1, True)}
+
+
 # 9: lossless WebP
 
 
