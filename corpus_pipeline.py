@@ -4,10 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from fogline.functions.runtime import materialize, read
-from fogline.llm import bpe, exact_dedup, mixing, signature_tree, toxicity
+from fogline.llm import bitmaps, bpe, exact_dedup, mixing, signature_tree, toxicity
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 #: The stages need trained lexicons, hashes of trees and token ids; tests hold them against brute force instead.
@@ -15,30 +14,35 @@ ORACLE_SQL = None
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the lexicon, learned from the labels of this table's documents, scores below 0.5."""
+    """Documents that the lexicon, learned from the labels of this table's documents, scores below 0.5.
+
+    Null and empty texts have no entry of the lexicon and stay; all columns stay as they are. Without labels a small lexicon counts.
+    """
     return toxicity.keep_clean(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with equal texts, A-Z lower-cased, the one with the largest doc_id."""
+    """Of documents with equal texts, A-Z lower-cased, the one with the largest doc_id. Nulls count as empty texts; of repeated rows one stays."""
     return exact_dedup.deduplicate(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that links connect, the one with the smallest doc_id. An id stands for all rows that have it."""
-    gone = signature_tree.linked(docs).where("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    """Of documents that links connect, the one with the smallest doc_id.
+
+    An id stands for all rows that have it; rows without an id, and texts without words, which link with nothing, stay.
+    """
+    gone = signature_tree.linked(docs).where("doc_id != component_id").selectExpr("doc_id as id").distinct()
+    return bitmaps.without(docs, materialize(gone, "gone"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them, the last time up to the word where a block ends."""
+    """Documents as often as the mix takes them, the last time up to the word where a block ends. Texts without words are never taken."""
     return mixing.apply_mix(docs)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and ids of each text, and the digest of the bytes that the ids decode to."""
-    decoded = bpe.decode(bpe.encode(docs, RANKS), RANKS)
-    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+    """doc_id, n_tokens and ids of each text, and the digest of the bytes that the ids decode to. A null text has no ids."""
+    return bpe.tokens(docs, RANKS)
 
 
 STAGES = [("toxicity", reject_toxic), ("exact dedup", exact_duplicates), ("near duplicates", near_duplicates), ("mixing", mix_sources), ("tokens", tokenize)]
