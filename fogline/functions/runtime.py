@@ -52,6 +52,22 @@ def drop_path(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+class Rounds:
+    """The state of a loop in the shared folder: the table of each round takes the place of the one before it."""
+
+    def __init__(self, name: str):
+        self.name, self.path = name, None
+
+    def write(self, df: DataFrame) -> DataFrame:
+        """Write the next state, then delete the last one, which nothing but ``df`` may read."""
+        path = scratch_path(df.sparkSession, self.name)
+        df.write.parquet(path)
+        if self.path:
+            drop_path(df.sparkSession, self.path)
+        self.path = path
+        return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``rows`` rows, else as it is (Spark then shuffles)."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
