@@ -3,29 +3,42 @@
 Each DOM node has the characters of its text for each tag, adjusted by how much of it stands in links. A node's density
 sum adds up its children's densities; the node with the largest sum holds the main text. The least density outside links
 on the path from it up to the body is the threshold, and other subtrees that reach it, and aren't mostly links, are kept too, with
-headings and loose text between what is kept. Within an article or main, that is the main text. Elements that can't be main text by their tag, or by a name in class, id or role, are cut before.
+headings and loose text between what is kept. Within an article or main, that is the main text. Elements that can't be main
+text by their tag are cut before; those with the tag or the name, in class, id or role, of furniture are cut unless they hold an
+article or nearly all text, and where a name is doubtful, unless they read like text.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fogline.llm.workers import tidy
+
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements that hold no main text.
-FURNITURE = frozenset("head script style noscript template nav footer aside form button select textarea iframe svg object canvas dialog menu".split())
-#: The same by a word in class, id or role.
+#: Elements that never hold main text.
+NEVER = frozenset("head title script style noscript template nav button select textarea iframe svg object canvas dialog menu".split())
+#: Elements that seldom do. They are cut unless they hold an article or nearly all text of the page.
+SELDOM = frozenset("footer aside form header".split())
+#: The same for words in class, id or role: by the first or last word of a name, or the whole name.
 NAMES = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs footer sidebar complementary "
-    "cookie cookies consent gdpr notice alert newsletter subscribe subscription signup login search comment comments commentlist disqus reply replies respond share sharing social "
-    "related recommended widget popup modal overlay pagination pager toolbar".split()
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs footer sidebar complementary "
+    "cookie cookies consent gdpr newsletter subscribe subscription signup login comment comments commentlist disqus replies respond share sharing social pagination pager".split()
 )
+#: Words that stand in names of main text, too: cut unless the element reads like text, by its paragraphs and few links.
+DOUBTFUL = frozenset("banner notice notices alert related recommended widget popup modal overlay toolbar search reply header".split())
+#: Words before which a name says how an element is laid out, not what it is.
+LAYOUT = frozenset("has with no without is not".split())
+#: Parts of a page's text: one that holds so much isn't cut by its tag or name, and by a doubtful name.
+NEARLY_ALL, MOST = 0.9, 0.5
+#: Characters in paragraphs, and the largest part of them in links, of an element that reads like text.
+READS_CHARS, READS_LINKS = 200, 0.2
 #: Elements that begin and end a block.
 BLOCKS = frozenset(
     "address article blockquote body center dd details div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main ol p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -39,7 +52,7 @@ SCOPES = frozenset("html body table td th button".split())
 
 
 class Node:
-    __slots__ = ("cut", "density", "items", "link", "names", "parent", "spans", "tag", "total")
+    __slots__ = ("density", "holds", "items", "link", "names", "parent", "prose", "spans", "tag", "total")
 
     def __init__(self, tag: str, parent: Node | None, names: str = ""):
         self.tag, self.parent, self.names = tag, parent, names
@@ -90,38 +103,64 @@ class TreeBuilder(HTMLParser):
         self.at.items.append(data)
 
 
-def _is_furniture(node: Node, in_article: bool) -> bool:
-    if node.tag in FURNITURE or (node.tag == "header" and not in_article):
-        return True
-    if node.tag in ("html", "body", "main", "article") or not node.names:
+def _named(names: str) -> set[str]:
+    """The words that say what an element is: of each name the first and the last word, or the whole name."""
+    out: set[str] = set()
+    for name in names.split():
+        words = re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower())
+        if words and words[0] not in LAYOUT:
+            out |= {words[0], words[-1]} - ({"widget"} if len(words) > 1 else set())
+    return out
+
+
+def _is_furniture(node: Node, in_article: bool, whole: int) -> bool:
+    """Whether an element with measured text is cut, given the characters of the page."""
+    if node.tag in ("html", "body", "main", "article") or node.holds:
         return False
-    words = set(re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", node.names).lower()))
-    return bool(words & NAMES)
+    if node.tag in SELDOM and not (node.tag == "header" and in_article) and node.total < NEARLY_ALL * whole:
+        return True
+    words = _named(node.names) if node.names else ()
+    if NAMES.intersection(words) and node.total < NEARLY_ALL * whole:
+        return True
+    if DOUBTFUL.intersection(words) and not ("header" in words and in_article) and node.total < MOST * whole:
+        return not (node.prose >= READS_CHARS and node.link[0] <= READS_LINKS * node.total)
+    return False
 
 
-def _measure(root: Node) -> list[Node]:
-    """Cut furniture and count characters, tags and links below each node. The nodes left, parents first."""
-    order, stack = [], [(root, False)]
-    while stack:
-        node, in_article = stack.pop()
-        order.append(node)
-        kept = []
-        for item in node.items:
-            if isinstance(item, str):
-                kept.append(item)
-            elif not _is_furniture(item, in_article):
-                kept.append(item)
-        node.items = kept
-        stack += [(x, in_article or node.tag in ("article", "main")) for x in reversed(kept) if not isinstance(x, str)]
+def _total(order: list[Node]) -> None:
+    """Characters, tags, links and characters in paragraphs below each node, and whether an article is below."""
     for node in reversed(order):
         children = [x for x in node.items if not isinstance(x, str)]
         own = sum(len("".join(x.split())) for x in node.items if isinstance(x, str))
         node.total = own + sum(x.total for x in children)
         node.spans = len(children) + sum(x.spans for x in children)
+        node.holds = any(x.holds or (x.tag in ("article", "main") and x.total) for x in children)
+        node.prose = node.total if node.tag == "p" else sum(x.prose for x in children)
         if node.tag == "a":
             node.link = (node.total, 1)
         else:
             node.link = (sum(x.link[0] for x in children), sum(x.link[1] for x in children))
+
+
+def _nodes(root: Node, kept: Callable[[Node, bool], bool]) -> list[Node]:
+    """The nodes below ``root`` that ``kept`` takes, given whether they are in an article, parents first; others are cut off."""
+    order, stack = [], [(root, False)]
+    while stack:
+        node, in_article = stack.pop()
+        in_article = in_article or node.tag in ("article", "main")
+        order.append(node)
+        node.items = [x for x in node.items if isinstance(x, str) or kept(x, in_article)]
+        stack += [(x, in_article) for x in reversed(node.items) if not isinstance(x, str)]
+    return order
+
+
+def _measure(root: Node) -> list[Node]:
+    """Cut furniture and measure what is left. The nodes left, parents first."""
+    order = _nodes(root, lambda x, _: x.tag not in NEVER)
+    _total(order)
+    whole = root.total
+    order = _nodes(root, lambda x, inside: not _is_furniture(x, inside, whole))
+    _total(order)
     return order
 
 
@@ -223,12 +262,14 @@ def _beside(node: Node, chosen: list[Node | str], threshold: float) -> list[Node
     """``chosen`` of ``node`` with what is kept of its parent's other items, in page order.
 
     Kept are blocks that reach the threshold and aren't mostly links, and headings, paragraphs, inline elements and loose text between
-    two kept blocks or, for headings, right before one.
+    two kept blocks or, for headings, right before one. Beside a section, other sections and paragraphs that aren't mostly links
+    are parts of the same text.
     """
     items = node.parent.items
     at = next(k for k, x in enumerate(items) if x is node)
     plain = lambda x: isinstance(x, str) or x.link[0] < LINK_SHARE * max(x.total, 1)
-    dense = [k for k, x in enumerate(items) if k == at or (not isinstance(x, str) and x.tag in BLOCKS and x.total and plain(x) and _plain_density(x) >= threshold)]
+    part = lambda x: node.tag == "section" and x.tag in ("section", "p")
+    dense = [k for k, x in enumerate(items) if k == at or (not isinstance(x, str) and x.tag in BLOCKS and x.total and plain(x) and (part(x) or _plain_density(x) >= threshold))]
     kept = set(dense)
     for k in range(len(items) - 1, -1, -1):
         x = items[k]
@@ -258,4 +299,4 @@ def extract(pages: DataFrame) -> DataFrame:
             texts = [main_text(html) for html in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).mapInArrow(tidy(run), "page_id long, url string, text string, n_chars long")

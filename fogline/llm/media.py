@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fogline.llm import webp
+from fogline.llm.workers import tidy
 
 #: Samples in a row; payloads are filled up to a positive multiple.
 ROW = 576
@@ -53,7 +54,7 @@ def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(map(len, raw)), pa.int64()), pa.array(list(map(store, raw)), pa.binary())], ["doc_id", "n_bytes", "media"])
 
     body = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return body.mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    return body.mapInArrow(tidy(run), "doc_id long, n_bytes long, media binary")
 
 
 def decode(media: DataFrame) -> DataFrame:
@@ -68,7 +69,7 @@ def decode(media: DataFrame) -> DataFrame:
                 for k, pixels in enumerate(pictures(value.as_py() or b"")):
                     yield pa.RecordBatch.from_arrays([pa.array([key.as_py()], pa.int64()), pa.array([k], pa.int32()), pa.array([pixels.shape[0]], pa.int32()), pa.array([pixels.shape[1]], pa.int32()), pa.array([pixels.tobytes()], pa.binary())], ["doc_id", "picture", "height", "width", "pixels"])
 
-    return media.select("doc_id", "media").mapInArrow(run, "doc_id long, picture int, height int, width int, pixels binary")
+    return media.select("doc_id", "media").mapInArrow(tidy(run), "doc_id long, picture int, height int, width int, pixels binary")
 
 
 def digests(media: DataFrame) -> DataFrame:
@@ -87,7 +88,7 @@ def digests(media: DataFrame) -> DataFrame:
                     rows.append((key, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(value), hashlib.sha256(value).hexdigest(), feature(samples)))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(tidy(run), "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def _slices(batch: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch]:

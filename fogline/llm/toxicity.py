@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from fogline.functions.runtime import materialize
 from fogline.llm.words import parts, pieces
+from fogline.llm.workers import tidy
 
 #: Labelled rows that the model is fitted on at most, taken in the order of a hash of doc_id. This bounds what is
 #: broadcast and what reaches the driver; all else covers every document.
@@ -182,7 +183,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
                 yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([k[2] for k in keys], pa.int32()), pa.array([seen[k] for k in keys], pa.int64())], ["entry", "half", "toxic", "n"])
 
     part = lambda h, t: F.sum(F.when((F.col("half") == h) & (F.col("toxic") == t), F.col("n")).otherwise(0)).alias(f"n{h}{t}")
-    counted = sample.mapInArrow(count, "entry string, half int, toxic int, n long").groupBy("entry").agg(*[part(h, t) for h in (0, 1) for t in (0, 1)])
+    counted = sample.mapInArrow(tidy(count), "entry string, half int, toxic int, n long").groupBy("entry").agg(*[part(h, t) for h in (0, 1) for t in (0, 1)])
     # of an entry to be weighed, most documents are toxic: the bound's odds must be above the base rate's
     rows = counted.where(F.col("n01") + F.col("n11") >= LEAST_DOCS).where((F.col("n01") + F.col("n11")) * 2 >= F.col("n00") + F.col("n10"))
     rows = rows.orderBy((F.col("n01") + F.col("n11") - F.col("n00") - F.col("n10")).desc(), "entry").limit(16 * MAX_ENTRIES).collect()
@@ -197,7 +198,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
             yield pa.RecordBatch.from_arrays([pa.array(toxic, pa.int32()), pa.array(x[:, 0]), pa.array(x[:, 1])], ["toxic", "density", "largest"])
 
     # at most max_labelled rows of three numbers, in a fixed order
-    measured = np.array(sorted(map(tuple, sample.mapInArrow(measure, "toxic int, density double, largest double").collect())))
+    measured = np.array(sorted(map(tuple, sample.mapInArrow(tidy(measure), "toxic int, density double, largest double").collect())))
     return Lexicon(whole, logistic(measured[:, 1:], measured[:, 0]))
 
 
@@ -211,7 +212,7 @@ def scorer(spark: SparkSession, lexicon: Lexicon) -> Callable[[Column], Column]:
             x = [features(automaton, folded) for _, texts in parts(pc.fill_null(batch, "")) for folded in fold(texts)]
             yield pa.array(told.value.score(np.array(x).reshape(-1, 2)))
 
-    return F.arrow_udf(run, "double")
+    return F.arrow_udf(tidy(run), "double")
 
 
 def score(docs: DataFrame, lexicon: Lexicon, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

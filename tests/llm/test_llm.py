@@ -220,7 +220,7 @@ def near_copies(rng, groups, size, n_words):
     return texts
 
 
-@pytest.mark.parametrize("bounds", [{}, {"BLOCK_DOCS": 4, "STANDS": 1, "MAX_STANDS": 4, "LEAF": 2, "SMALL": 2, "LEAST_IN_BATCH": 2, "LEAST_FREQUENT": 3, "TASK_EDGES": 0}])
+@pytest.mark.parametrize("bounds", [{}, {"HOT_PART": 3, "LEAST_FREQUENT": 2, "TASK_EDGES": 0}, {"BLOCK_DOCS": 4, "STANDS": 1, "MAX_STANDS": 4, "LEAF": 2, "SMALL": 2, "LEAST_IN_BATCH": 2, "LEAST_FREQUENT": 3, "COUNTED": 50, "TASK_EDGES": 0}])
 def test_components_equal_brute_force(spark, monkeypatch, bounds):
     for name, value in bounds.items():
         monkeypatch.setattr(signature_tree, name, value)
@@ -776,3 +776,38 @@ LONG_T = " ".join(["Many plain words of a long section stand here."] * 8)
 )
 def test_main_text_of_sectioned_pages(html, text):
     assert html_text.main_text(html) == text
+
+
+@pytest.mark.parametrize(
+    "html,text",
+    [
+        (f"<body><div class='content has-sidebar'>{LONG_P}</div></body>", LONG_T),
+        (f"<body><nav>m</nav><div class='elementor-widget'>{LONG_P}</div></body>", LONG_T),
+        (f"<body><form id=aspnetForm><div>{LONG_P}</div></form></body>", LONG_T),
+        (f"<body><div class=ad>Buy now.<article><h1>T</h1>{LONG_P}</article></body>", f"T\n{LONG_T}"),
+        (f"<body><article><h1>T</h1>{LONG_P}<section id=related-work><h2>Related work</h2>{LONG_P}</section></article></body>", f"T\n{LONG_T}\nRelated work\n{LONG_T}"),
+        (f"<body><article>{LONG_P}<div class=related-posts><a href=x>One post</a><a href=y>Another post</a></div></article></body>", LONG_T),
+        (f"<body><article><header><h1>T</h1></header>{LONG_P}<footer>f</footer></article></body>", f"T\n{LONG_T}"),
+        (f"<title>Title</title><p>{LONG_T}</p>", LONG_T),
+        (f"<body><header><h1>Site</h1></header><div class=cookie-notice>We use cookies here.</div><main>{LONG_P}</main><div class=comments>{LONG_P}</div></body>", LONG_T),
+        (f"<body><div><section>{LONG_P}{LONG_P}</section><section><p>Short one.</p></section><p>See <a href=x>this</a>, it is a page with more words.</p></div></body>", f"{LONG_T}\n{LONG_T}\nShort one.\nSee this, it is a page with more words."),
+    ],
+)
+def test_names_alone_dont_cut_main_text(html, text):
+    assert html_text.main_text(html) == text
+
+
+def test_made_pages_give_their_articles():
+    """Pages with furniture in random order around an article whose blocks are known."""
+    rng = random.Random(12)
+    say = lambda n: " ".join(rng.choice(["river", "stone", "cloud", "light", "under"]) for _ in range(n)).capitalize() + "."
+    links = lambda n: "<ul>" + "".join(f"<li><a href=/{k}>{say(2)}</a></li>" for k in range(n)) + "</ul>"
+    for _ in range(60):
+        blocks = [say(4), *(say(rng.randint(3, 90)) for _ in range(rng.randint(2, 9)))]
+        body = f"<h1>{blocks[0]}</h1>" + "".join(f"<p>{b.replace(' stone ', ' <a href=x>stone</a> ', 1)}</p>" for b in blocks[1:])
+        tag = rng.choice(["article", "main"])
+        around = [f"<nav>{links(6)}</nav>", f"<div class='ad'>{say(30)}</div>", f"<aside>{links(4)}{say(9)}</aside>", f"<div class='cookie-banner'>{say(12)}</div>", f"<section id='comments'><p>{say(40)}</p><p>{say(20)}</p></section>", f"<form><label>{say(3)}</label></form>", f"<footer>{say(9)}</footer>"]
+        rng.shuffle(around)
+        at = rng.randint(0, len(around))
+        html = f"<html><head><title>{say(3)}</title><style>p{{}}</style></head><body>{''.join(around[:at])}<{tag}>{body}</{tag}>{''.join(around[at:])}</body></html>"
+        assert html_text.main_text(html) == "\n".join(blocks)
