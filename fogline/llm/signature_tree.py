@@ -20,16 +20,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fogline.functions.runtime import arrow_rows, materialize
+from fogline.functions.runtime import Rounds, arrow_rows, materialize
 from fogline.llm.bitmaps import filter_of, may_have
 from fogline.llm.words import BASE, mixed, powers
+from fogline.llm.workers import tidy
 
 WORDS, NUMERATOR, DENOMINATOR = 5, 80, 100
 #: Bits of a document's bitmap, documents of a leaf, children of a node.
 BITMAP_BITS, LEAF, FANOUT = 1024, 32, 4
 #: Frequent shingles that order prefixes, at most: 4 MB for driver and broadcast. A prefix prefers shingles that aren't
 #: among them, then rarer ones. Any such order finds every link; a good one keeps clusters small.
-MAX_FREQUENT, LEAST_IN_BATCH, LEAST_FREQUENT = 1 << 18, 4, 32
+MAX_FREQUENT, LEAST_IN_BATCH, LEAST_FREQUENT = 1 << 18, 2, 32
 #: Rows up to which a shingle's pairs are listed, and the part of a set that prefixes of linked sets share at least: a tenth
 #: keeps apart documents that share passages only.
 SMALL, SHARED_PART = 8, 10
@@ -41,10 +42,12 @@ STANDS, MAX_STANDS = 8, 1024
 PIECE_BYTES = 500_000
 #: Documents whose sets are held at once where each is handled by itself.
 SLICE = 512
-#: Edges that one task joins; beyond that, rounds of joins do.
-TASK_EDGES = 500_000
-#: Rows of an Arrow batch, and documents whose shingles are counted together.
-BATCH_ROWS, COUNTED = 1000, 8000
+#: Rows of an Arrow batch, and shingles that are counted together (of one document at least).
+BATCH_ROWS, COUNTED = 1000, 2_000_000
+#: Edges that one task joins, 1.6 MB; beyond that, rounds of joins do.
+TASK_EDGES = 100_000
+#: A key is hot if it has this part of all rows or more. There are at most so many, which bounds what is sent to all rows.
+HOT_PART = 1000
 #: Bits of the filter of documents that are in clusters: the bound of what is broadcast to keep other texts from the
 #: shuffle (4 MB). If more documents than fit are in clusters, more texts are shuffled, and the result stays the same.
 FILTER_BITS = 1 << 25
@@ -120,11 +123,12 @@ def _shared(n: int) -> int:
 def frequent(docs: DataFrame) -> np.ndarray:
     """Shingles in many documents, from the least to the most frequent.
 
-    Counts cover all documents; a shingle with fewer than LEAST_IN_BATCH of COUNTED documents isn't counted there.
+    Counts cover all documents; a shingle with fewer than LEAST_IN_BATCH documents of those counted together isn't counted there.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
+        size = 0
 
         def counted() -> pa.RecordBatch:
             token, n = np.unique(np.concatenate([*held, np.zeros(0, np.uint64)]), return_counts=True)
@@ -132,19 +136,23 @@ def frequent(docs: DataFrame) -> np.ndarray:
             kept = n >= LEAST_IN_BATCH
             return pa.RecordBatch.from_arrays([pa.array(token[kept].view(np.int64)), pa.array(n[kept])], ["token", "n"])
 
-        for batch in batches:
-            held += shingles(batch.column(0))
-            if len(held) >= COUNTED:
+        for batch in (whole.slice(k, SLICE) for whole in batches for k in range(0, whole.num_rows, SLICE)):
+            for tokens in shingles(batch.column(0)):
+                held.append(tokens)
+                size += len(tokens)
+            if size >= COUNTED:
                 yield counted()
+                size = 0
         yield counted()
 
-    rows = docs.select("text").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_FREQUENT)
+    rows = docs.select("text").mapInArrow(tidy(count), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_FREQUENT)
     rows = rows.orderBy(F.col("n").desc(), "token").limit(MAX_FREQUENT).toArrow()
     return rows.column("token").to_numpy().view(np.uint64)[::-1].copy()
 
 
 def signatures(docs: DataFrame, order: np.ndarray) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_shingles, class (null if none) and prefix, its rarest shingles."""
+    """Per row of ``docs``: doc_id, n_shingles, class (null if none), and its rarest shingles: ``prefix`` those that aren't among
+    the frequent ones of ``order``, ``common`` those that are."""
     told = docs.sparkSession.sparkContext.broadcast((np.sort(order), np.argsort(order).astype(np.int64)))  # MAX_FREQUENT at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,7 +162,7 @@ def signatures(docs: DataFrame, order: np.ndarray) -> DataFrame:
             every = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
             at = np.minimum(np.searchsorted(known, every), max(len(known) - 1, 0))
             rank = np.where(known[at] == every, place[at], -1) if len(known) else np.full(len(every), -1)
-            names, prefixes, k = [], [], 0
+            names, prefixes, commons, k = [], [], [], 0
             for tokens in sets:
                 n = len(tokens)
                 own = rank[k : k + n]
@@ -162,44 +170,57 @@ def signatures(docs: DataFrame, order: np.ndarray) -> DataFrame:
                 if not n:
                     names.append(None)
                     prefixes.append(tokens.view(np.int64))
+                    commons.append(tokens.view(np.int64))
                     continue
                 size = n - _least_overlap(n) + _shared(n)
                 hot = own >= 0
-                if hot[:size].any():
-                    tokens_in_order = np.concatenate([tokens[~hot], tokens[hot][np.argsort(own[hot])]])
-                else:
-                    tokens_in_order = tokens
+                rare = tokens[~hot][:size]
                 names.append(class_id(tokens))
-                prefixes.append(tokens_in_order[:size].view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(map(len, sets)), pa.int64()), pa.array(names, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "class", "prefix"])
+                prefixes.append(rare.view(np.int64))
+                commons.append(tokens[hot][np.argsort(own[hot])][: size - len(rare)].view(np.int64))
+            lists = [pa.array(x, pa.list_(pa.int64())) for x in (prefixes, commons)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(map(len, sets)), pa.int64()), pa.array(names, pa.int64()), *lists], ["doc_id", "n_shingles", "class", "prefix", "common"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), "doc_id long, n_shingles long, class long, prefix array<long>, common array<long>")
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, class long, prefix array<long>")
+
+def _met(rows: DataFrame, table: DataFrame, key: str, weight: str, total: int) -> DataFrame:
+    """``rows`` joined with ``table`` by ``key``, where ``weight`` counts a key's rows of ``total``: hot keys, which HOT_PART bounds, are
+    sent to the rows, and the others' rows are shuffled."""
+    hot = table.where(F.col(weight) * HOT_PART >= total)
+    if not hot.limit(1).count():
+        return rows.join(table, key)
+    cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(table.where(F.col(weight) * HOT_PART < total), key)
+    return rows.join(F.broadcast(hot), key).unionByName(cold)
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, root) for every node of the edges: the smallest node that it is connected with.
 
-    Alternates large-star and small-star steps: each node points all larger neighbours, then all others, to the smallest.
-    Every step is written to the shared folder. Aggregates combine before the shuffle, and a node with very many
-    neighbours is split in the joins. Up to TASK_EDGES edges, 8 MB, are joined by one task in one step instead.
+    Alternates large-star and small-star steps: each node points all larger neighbours, then all others, to the smallest. Every
+    step is written to the shared folder, in place of the one before. Aggregates combine before the shuffle, and nodes with very
+    many neighbours don't meet in a task. Up to TASK_EDGES edges, two ids each, are united by one task instead.
     """
     larger = F.greatest(a, b).alias("u"), F.least(a, b).alias("v")
-    now, before = materialize(edges.where(F.col(a) != F.col(b)).select(*larger).distinct(), "edges"), None
-    if now.limit(TASK_EDGES + 1).count() <= TASK_EDGES:
-        return materialize(now.coalesce(1).mapInArrow(_united, "node long, root long"), "roots")
+    rounds, between, nodes, before = Rounds("components"), Rounds("large"), Rounds("least"), None
+    now = rounds.write(edges.where(F.col(a) != F.col(b)).select(*larger).distinct())
+    total = now.count()
+    if total <= TASK_EDGES:
+        return materialize(now.coalesce(1).mapInArrow(tidy(_united), "node long, root long"), "roots")
     while True:
         # large star: of u and its neighbours, the larger ones go to the smallest
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
-        large = now.join(least, now["v"] == least["k"]).select("u", F.col("m").alias("v")).where("u != v")
+        least = nodes.write(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("w")).select(F.col("u").alias("v"), F.least("u", "m").alias("m"), "w"))
+        large = _met(now, least, "v", "w", total).select("u", F.col("m").alias("v")).where("u != v")
+        large = between.write(large.distinct())
         # small star: u and its smaller neighbours go to the smallest of them
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.withColumnRenamed("m", "v"))
-        now = materialize(small.where("u != v").distinct(), "small")
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        least = nodes.write(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("w")))
+        small = _met(large, least, "u", "w", total).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        now = rounds.write(small.where("u != v").distinct())
+        state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum")).first()
         if state == before:
             break
-        before = state
+        before, total = state, max(state["n"], 1)
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
@@ -358,7 +379,7 @@ def join_within(members: DataFrame, block: str = "block") -> DataFrame:
             ordered = [names[k] for k in tree.order.tolist()]
             yield _links((ordered[x], ordered[y]) for x, y in join_trees(tree, None, Labels(np.arange(len(names)))))
 
-    return members.select(block, "class", "text").repartition(block).sortWithinPartitions(block).mapInArrow(run, LINK)
+    return members.select(block, "class", "text").repartition(block).sortWithinPartitions(block).mapInArrow(tidy(run), LINK)
 
 
 def join_across(targets: DataFrame, queries: DataFrame) -> DataFrame:
@@ -380,20 +401,29 @@ def join_across(targets: DataFrame, queries: DataFrame) -> DataFrame:
             yield _links((int(names[mine[x]]), int(names[theirs[y]])) for x, y in join_trees(one, two, labels))
 
     rows = targets.select("block", F.lit(0).alias("asked"), "class", "root", "text").unionByName(queries.select("block", F.lit(1).alias("asked"), "class", "root", "text"))
-    return rows.repartition("block").sortWithinPartitions("block").mapInArrow(run, LINK)
+    return rows.repartition("block").sortWithinPartitions("block").mapInArrow(tidy(run), LINK)
 
 
 def clusters(signed: DataFrame) -> DataFrame:
     """(node, root) of classes that can be linked, directly or over others.
 
     Prefixes of linked sets share at least the smaller of their two ``_shared`` numbers of shingles. A shingle in the
-    prefixes of up to SMALL rows gives its pairs of classes, at most 28; a pair stays if its shingles of this kind, with
+    prefixes of up to SMALL classes gives its pairs of classes, at most 28; a pair stays if its shingles of this kind, with
     the frequent ones that both could share, are enough. Pairs that share frequent shingles only have enough of those
     each, so classes with enough are tied to the smallest of them at each frequent shingle, in as many rows as classes.
+
+    A class is taken once, however many copies it has: only rows whose class a filter of repeated ones lets through are
+    shuffled for that. The classes of a common shingle, of which there are MAX_FREQUENT at most, are counted where they are.
     """
-    entries = signed.where("class is not null").select("class", F.col("n_shingles").alias("n"), F.explode("prefix").alias("token")).repartition("token").dropDuplicates(["token", "class"])
-    groups = entries.groupBy("token").agg(F.count("*").alias("rows")).where("rows > 1")
-    shared = materialize(entries.join(groups, "token"), "shared")
+    signed = signed.where("class is not null").select("class", F.col("n_shingles").alias("n"), "prefix", "common")
+    repeated = may_have(filter_of(signed.groupBy("class").count().where("count > 1"), F.col("class")), F.col("class"))
+    once = materialize(signed.where(~repeated).unionByName(signed.where(repeated).dropDuplicates(["class"])), "classes")
+    rare_ones = once.select("class", "n", F.explode("prefix").alias("token")).repartition("token")
+    common_ones = once.select("class", "n", F.explode("common").alias("token"))
+    counts = lambda entries: entries.groupBy("token").agg(F.count("*").alias("rows")).where("rows > 1")
+    shared = rare_ones.join(counts(rare_ones), "token").withColumn("sent", F.lit(False))
+    shared = shared.unionByName(common_ones.join(F.broadcast(counts(common_ones)), "token").withColumn("sent", F.lit(True)))
+    shared = materialize(shared, "shared")
     frequent_ones = shared.where(F.col("rows") > SMALL)
     enough_for = lambda n: F.greatest(F.lit(1).cast("long"), F.floor(n / SHARED_PART))
     counted = materialize(frequent_ones.groupBy("class").agg(F.count("*").alias("hot"), F.first("n").alias("n")), "hot")
@@ -404,10 +434,14 @@ def clusters(signed: DataFrame) -> DataFrame:
     most = F.col("c") + F.least(F.coalesce("hot_a", F.lit(0)), F.coalesce("hot_b", F.lit(0)))
     pairs = pairs.where(most >= enough_for(F.least("n", "m"))).select("class", F.col("b").alias("least"))
     taking_part = counted.where(F.col("hot") >= enough_for(F.ceil(F.col("n") * NUMERATOR / DENOMINATOR))).select("class")
-    tied = frequent_ones.join(taking_part, "class", "left_semi").select("token", "class")
-    centres = tied.groupBy("token").agg(F.min("class").alias("least"))
-    stars = tied.join(centres, "token").where("class != least").select("class", "least").distinct()
-    return components(pairs.unionByName(stars), "class", "least")
+    tied = materialize(frequent_ones.join(taking_part, "class", "left_semi").select("token", "class", "sent"), "tied")
+    stars = None
+    for sent in (True, False):
+        own = tied.where(F.col("sent") == sent)
+        centres = own.groupBy("token").agg(F.min("class").alias("least"))
+        found = own.join(F.broadcast(centres) if sent else centres, "token").where("class != least").select("class", "least")
+        stars = found if stars is None else stars.unionByName(found)
+    return components(pairs.unionByName(stars.distinct()), "class", "least")
 
 
 def _fits(n: str, m: str) -> Column:
@@ -455,7 +489,7 @@ def _linked(docs: DataFrame) -> DataFrame:
     joined = materialize(joined, "joined")
     least = joined.groupBy("root").agg(F.min("least_id").alias("component_id"))
     by_class = materialize(joined.join(least, "root").select("class", "component_id"), "by-class")
-    out = signed.drop("prefix").join(by_class, "class", "left")
+    out = signed.drop("prefix", "common").join(by_class, "class", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
@@ -473,7 +507,7 @@ def _of_class(members: DataFrame) -> DataFrame:
             names = batch.column(batch.schema.get_field_index("class")).to_pylist()
             yield batch.filter(pa.array([len(s) > 0 and class_id(s) == c for s, c in zip(sets, names, strict=True)], pa.bool_()))
 
-    return members.mapInArrow(run, members.schema)
+    return members.mapInArrow(tidy(run), members.schema)
 
 
 def _across_blocks(members: DataFrame, links: DataFrame) -> list[DataFrame]:
