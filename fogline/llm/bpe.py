@@ -19,12 +19,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fogline.llm.words import Lexicon, parts, pieces, require_pattern
+from fogline.llm.workers import give_back, tidy
 
 #: Characters of text whose new words are replayed together; bounds a task's memory.
-BLOCK_CHARS = 16_000_000
+BLOCK_CHARS = 8_000_000
 #: Characters of text whose ids are handed on at once, and lists of ids decoded at once.
-OUT_CHARS, DECODED = 2_000_000, 512
-#: Words that a Python worker remembers; when there are more it starts anew. Results don't depend on it.
+OUT_CHARS, DECODED = 500_000, 512
+#: Words that a task remembers; when there are more it starts anew. Results don't depend on it.
 KEPT_WORDS = 1_000_000
 SHIFT = 20
 
@@ -151,7 +152,7 @@ class MergeReplay:
 
 
 class Encoder:
-    """A rank table with the words that this Python worker has met."""
+    """A rank table with the words that a task has met."""
 
     def __init__(self, path: str):
         require_pattern()
@@ -202,9 +203,11 @@ def _each_part(docs: DataFrame, ranks_path: str, doc_id: str, text: str, told: C
                 found = encoder.encode(texts)
                 for a, b in pieces(texts, OUT_CHARS):
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(at + a, b - a), *told(encoder, [next(found) for _ in range(a, b)])], names)
+            give_back()
+        encoder.lexicon.clear()
 
     body = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return body.mapInArrow(run, schema)
+    return body.mapInArrow(tidy(run), schema)
 
 
 def encode(docs: DataFrame, ranks_path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -228,7 +231,7 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
                 decoded = [encoder.decode(ids.as_py() or []) for ids in some.column(1)]
                 yield pa.RecordBatch.from_arrays([*some.columns, pa.array(decoded, pa.binary())], ["doc_id", "ids", "decoded"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
+    return encoded.select("doc_id", "ids").mapInArrow(tidy(run), "doc_id long, ids array<int>, decoded binary")
 
 
 def tokens(docs: DataFrame, ranks_path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

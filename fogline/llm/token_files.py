@@ -26,11 +26,12 @@ from pyspark.sql import functions as F
 from fogline.functions.runtime import small
 from fogline.llm.words import Lexicon, require_pattern
 from fogline.llm.words import parts as text_parts
+from fogline.llm.workers import give_back, tidy
 
 BLOCK_IDS = 1 << 16
 CHUNK_IDS = 1 << 19
 LEVEL = 3
-#: Words that a Python worker remembers; when there are more it starts anew. Results don't depend on it.
+#: Words that a task remembers; when there are more it starts anew. Results don't depend on it.
 KEPT_WORDS = 1_000_000
 CHUNKS = "part int, chunk int, first long, n_ids long, doc_ids array<long>, counts array<long>, planes array<int>, sizes array<int>, payload binary"
 
@@ -77,7 +78,7 @@ def unpack(n_ids: int, planes: list[int], sizes: list[int], payload: bytes) -> n
 
 
 class WordEncoder:
-    """A tokenizer with the words that this Python worker has met.
+    """A tokenizer with the words that a task has met.
 
     The tokenizer splits text by the pattern of ``words`` and encodes each word by itself, so ids of distinct words make up the ids
     of a text. Texts with a string of an added token go through the tokenizer whole.
@@ -151,11 +152,13 @@ def encode_chunks(docs: DataFrame, tokenizer_path: str, end_id: int = 0, doc_id:
                     names.append(keys[k])
                     parts.append(ids)
                     total += len(ids)
+            give_back()
         if parts:
             yield flush()
+        encoder.lexicon.clear()
 
     body = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return body.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, CHUNKS)
+    return body.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(tidy(run), CHUNKS)
 
 
 def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0) -> None:
@@ -184,7 +187,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
     # a row for each part, that is, for each task of the write
     rows = chunks.join(small(starts), "part").select("begin", "first", "n_ids", "doc_ids", "counts", "planes", "sizes", "payload")
-    return rows.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return rows.mapInArrow(tidy(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
@@ -197,4 +200,4 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
                 ends = np.append(0, np.cumsum(row["counts"])).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))], ["doc_id", "ids"])
 
-    return spark.read.schema(CHUNKS).parquet(path).select("n_ids", "doc_ids", "counts", "planes", "sizes", "payload").mapInArrow(run, "doc_id long, ids array<int>")
+    return spark.read.schema(CHUNKS).parquet(path).select("n_ids", "doc_ids", "counts", "planes", "sizes", "payload").mapInArrow(tidy(run), "doc_id long, ids array<int>")

@@ -21,9 +21,9 @@ LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
 #: The code points with the Unicode property White_Space.
 WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 #: Characters of text that are split together; bounds the arrays in memory.
-BLOCK_CHARS = 2_000_000
+BLOCK_CHARS = 500_000
 #: Characters of new words that are encoded together.
-LEARNT_CHARS = 2_000_000
+LEARNT_CHARS = 1_000_000
 #: The base of the words' 64-bit hashes.
 BASE = 0x9E3779B97F4A7C15
 MASK = (1 << 64) - 1
