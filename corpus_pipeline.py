@@ -5,10 +5,12 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fogline.functions.runtime import materialize, read
+from fogline.functions.runtime import arrow_rows, materialize, read
 from fogline.llm import bitmaps, bpe, exact_dedup, mixing, signature_tree, toxicity
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+#: Rows that a Python worker gets at once in the last stage.
+ROWS = 2000
 #: The stages need trained lexicons, hashes of trees and token ids; tests hold them against brute force instead.
 ORACLE_SQL = None
 
@@ -41,8 +43,12 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and ids of each text, and the digest of the bytes that the ids decode to. A null text has no ids."""
-    return bpe.tokens(docs, RANKS)
+    """doc_id, n_tokens and ids of each text, and the digest of the bytes that the ids decode to. A null text has no ids.
+
+    Ids are written here, within a bound on the rows that a Python worker gets at once: texts may be long.
+    """
+    with arrow_rows(spark, ROWS):
+        return materialize(bpe.tokens(docs, RANKS), "tokens")
 
 
 STAGES = [("toxicity", reject_toxic), ("exact dedup", exact_duplicates), ("near duplicates", near_duplicates), ("mixing", mix_sources), ("tokens", tokenize)]
