@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Worlds in a mask.
@@ -23,18 +25,20 @@ def uniform32(key: Column) -> Column:
     return F.conv(F.substring(F.md5(key.cast("binary")), 1, 8), 16, 10).cast("long")
 
 
-def world_mask(key: Column, p_pct: Column, chunk: Column, worlds: int) -> Column:
-    """Bit w is set if the edge exists in world 64 * chunk + w: its coin times 100 is below p_pct times 2^32.
+def toss(edges: DataFrame, worlds: int, by: Sequence[str], key: Column, p_pct: Column) -> DataFrame:
+    """(chunk, by, em): bit w of a mask is set if an edge of the group exists in world 64 * chunk + w, that is, if its coin times
+    100 is below p_pct times 2^32. Groups without a world have no row.
 
-    One expression a row: no world is a row of its own, and nothing is shuffled.
+    A coin for each world of each edge is far more work than the edges' bytes say, so the rows are dealt out before. Worlds are
+    rows for that moment only: those in which an edge doesn't exist are dropped at once, and the others are combined before they
+    are shuffled.
     """
-
-    def add(mask: Column, w: Column) -> Column:
-        world = chunk.cast("long") * CHUNK + w
-        alive = (world < worlds) & (uniform32(F.concat(world.cast("string"), F.lit(":"), key)) * 100 < p_pct * 4294967296)
-        return mask.bitwiseOR(F.when(alive, F.call_function("shiftleft", F.lit(1).cast("long"), w)).otherwise(F.lit(0).cast("long")))
-
-    return F.aggregate(F.sequence(F.lit(0), F.lit(CHUNK - 1)), F.lit(0).cast("long"), add)
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = edges.select(*by, key.alias("_key"), p_pct.alias("_p")).repartition(parts)
+    rows = rows.withColumn("_w", F.explode(F.sequence(F.lit(0), F.lit(worlds - 1))))
+    alive = uniform32(F.concat(F.col("_w").cast("string"), F.lit(":"), "_key")) * 100 < F.col("_p") * 4294967296
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_w") % CHUNK)
+    return rows.where(alive).groupBy(F.floor(F.col("_w") / CHUNK).cast("int").alias("chunk"), *by).agg(F.bit_or(bit).alias("em"))
 
 
 def all_worlds(chunk: Column, worlds: int) -> Column:

@@ -11,21 +11,14 @@ def cost_of(p_pct: Column) -> Column:
     return F.floor(-F.log(p_pct.cast("double") / 100.0) * 1000.0).cast("long")
 
 
-def probability_of(cost: Column) -> Column:
-    """The probability of a cost in thousandths."""
-    return F.exp(-cost.cast("double") / 1000.0)
-
-
 def quantised(p_pct: Column, steps: int = 10) -> Column:
     """Percent rounded down to a multiple of 100 / steps."""
     return (F.floor(p_pct * steps / 100.0) * F.lit(100 // steps)).cast("long")
 
 
-def truncated_pct(p: Column) -> Column:
-    """A probability as whole percent, truncated."""
-    return F.floor(F.round(p * 100, 6)).cast("long")
-
-
 def miss_pct(p_pct: Column) -> Column:
-    """Of a group of edges, the product of 100 - p_pct: the chance that none exists, times 100 to the number of edges."""
-    return F.aggregate(F.array_sort(F.collect_list(100 - p_pct)), F.lit(1).cast("long"), lambda a, x: a * x)
+    """Of a group of edges, the product of 100 - p_pct as a double: the chance that none exists, times 100 to the number of edges.
+
+    Exact up to 2^53, that is, for 7 edges; multiplied in ascending order, so that it is the same each time.
+    """
+    return F.aggregate(F.array_sort(F.collect_list(100 - p_pct)), F.lit(1.0), lambda a, x: a * x)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fogline.functions.runtime import materialize
+from fogline.functions.runtime import Rounds, materialize
 from fogline.operators.graph import edge_label, with_cost
 
 
@@ -18,16 +18,17 @@ def distances(edges: DataFrame, ends: DataFrame, reverse: bool = True, max_round
     """
     a, b = ("dst", "src") if reverse else ("src", "dst")
     arcs = materialize(with_cost(edges).select(F.col(a).alias("node"), F.col(b).alias("next"), "cost", edge_label().alias("edge")), "arcs")
-    state = materialize(ends.select("target", F.col("target").alias("node"), F.lit(0).cast("long").alias("dist"), F.lit(None).cast("string").alias("parent"), F.lit(True).alias("fresh")), "dist")
+    rounds = Rounds("dist")
+    state = rounds.write(ends.select("target", F.col("target").alias("node"), F.lit(0).cast("long").alias("dist"), F.lit(None).cast("string").alias("parent"), F.lit(True).alias("fresh")))
     for _ in range(max_rounds):
         moved = state.where("fresh").join(arcs, "node").select("target", F.col("next").alias("node"), (F.col("dist") + F.col("cost")).alias("dist"), F.col("edge").alias("parent"))
         both = state.select("target", "node", "dist", "parent", F.lit(0).alias("new")).unionByName(moved.withColumn("new", F.lit(1)))
         # a start has no parent, and a null sorts first
         best = both.groupBy("target", "node").agg(F.min(F.struct("dist", "parent")).alias("b"), F.min(F.when(F.col("new") == 0, F.col("dist"))).alias("old"))
-        state = materialize(best.select("target", "node", "b.dist", "b.parent", (F.col("old").isNull() | (F.col("b.dist") < F.col("old"))).alias("fresh")), "dist")
+        state = rounds.write(best.select("target", "node", "b.dist", "b.parent", (F.col("old").isNull() | (F.col("b.dist") < F.col("old"))).alias("fresh")))
         if state.where("fresh").limit(1).count() == 0:
-            break
-    return state.drop("fresh")
+            return state.drop("fresh")
+    raise RuntimeError(f"distances still improve after {max_rounds} rounds")
 
 
 def penalties(edges: DataFrame, dist: DataFrame) -> DataFrame:
@@ -56,7 +57,7 @@ def top_walks(edges: DataFrame, queries: DataFrame, r: int, hops: int | None = N
     """(query_id, rank, cost, path): the r cheapest walks from a source to the first target met, of up to ``hops`` edges if given.
 
     Equal costs are ordered by path. Unless ``backtrack``, a walk doesn't step straight back. Of walks that end alike,
-    those that cost more than the r-th are dropped in each round, so the frontier stays small. Without ``hops`` rounds go on
+    the r first by cost and path are kept in each round, so the frontier stays small. Without ``hops`` rounds go on
     until no open walk of a query can end within the cost of its r-th, and a search that ``max_rounds`` don't end raises.
     Where edges cost nothing, a walk that can only tie with the r-th isn't followed, as loops give such walks without end.
     """
@@ -76,7 +77,9 @@ def top_walks(edges: DataFrame, queries: DataFrame, r: int, hops: int | None = N
         moved = moved.join(ends, ["query_id", "dst"], "left")
         if ways_on is not None:
             moved = moved.join(ways_on, ["query_id", "dst"])
-        kept = moved.withColumn("near", F.rank().over(W.partitionBy("query_id", "dst", "prev").orderBy("cost"))).where(F.col("near") <= r)
+        # with its end marked, the order of paths stays when both go on alike
+        order = F.when(F.col("end"), F.col("path")).otherwise(F.concat("path", F.lit("|")))
+        kept = moved.withColumn("near", F.row_number().over(W.partitionBy("query_id", "dst", "prev").orderBy("cost", order))).where(F.col("near") <= r)
         kept = materialize(kept.drop("near"), "labels")
         arrived = kept.where("end").select("query_id", "cost", "path")
         found = arrived if found is None else found.unionByName(arrived)

@@ -11,23 +11,22 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fogline.functions.coins import all_worlds, chunks, edge_key, world_mask
+from fogline.functions.coins import all_worlds, chunks, edge_key, toss
 from fogline.functions.costs import quantised
-from fogline.functions.runtime import materialize, small
+from fogline.functions.runtime import Rounds, materialize, small
 from fogline.operators.graph import NEUTRAL, bidirected
 
+
 def edge_masks(edges: DataFrame, worlds: int, directed: bool = True, quantise: int | None = None) -> DataFrame:
     """(chunk, src, dst, color, em) of the edges that exist in some world; parallel copies of a color are combined.
 
     An undirected edge has one coin for both of its arcs. ``quantise`` rounds p down to a multiple of 1 / quantise.
     """
     p = quantised(F.col("p_pct"), quantise) if quantise else F.col("p_pct")
-    tossed = edges.withColumn("chunk", chunks(worlds)).withColumn("em", world_mask(edge_key(edges.columns, directed), p, F.col("chunk"), worlds)).where("em != 0")
-    arcs = tossed.select("chunk", "src", "dst", "color", "em")
+    ends = ["src", "dst", "color"]
+    arcs = toss(edges, worlds, ends, edge_key(edges.columns, directed), p)
     if not directed:
-        arcs = bidirected(arcs)
-    if "edge_id" in edges.columns or not directed:
-        arcs = arcs.groupBy("chunk", "src", "dst", "color").agg(F.bit_or("em").alias("em"))
+        arcs = bidirected(arcs).groupBy("chunk", *ends).agg(F.bit_or("em").alias("em"))
     return materialize(arcs, "masks")
 
 
@@ -40,8 +39,8 @@ def reach(masks: DataFrame, begin: DataFrame, keys: Sequence[str], allowed: Data
     """(keys, chunk, node, mask): the worlds in which each node is reached from the start rows ``begin``.
 
     ``allowed`` (allowed_keys, color) restricts the colors by query or candidate; its size is checked before it is
-    broadcast. ``edge_keys`` are keys that the masks have too: each query or candidate then has edges of its own. Each round joins the frontier with the edges, combines by node and writes the state to the shared folder,
-    so the lineage stays short. Without start rows the result is empty.
+    broadcast. ``edge_keys`` are keys that the masks have too: each query or candidate then has edges of its own. Each round joins the frontier with the edges, combines by node and writes the state to the shared folder in place
+    of the last one, so the lineage stays short. A loop that ``max_rounds`` don't end raises. Without start rows the result is empty.
     """
     keys = list(keys)
     a, b = ("dst", "src") if reverse else ("src", "dst")
@@ -52,7 +51,8 @@ def reach(masks: DataFrame, begin: DataFrame, keys: Sequence[str], allowed: Data
             allowed = allowed.unionByName(allowed.select(*allowed_keys, F.lit(NEUTRAL).cast("long").alias("_c")).distinct())
         allowed = small(materialize(allowed, "allowed"))
     state = begin.groupBy(*keys, "chunk", "node").agg(F.bit_or("mask").alias("mask")).withColumn("fresh", F.col("mask"))
-    state = materialize(state, "reach")
+    rounds = Rounds("reach")
+    state = rounds.write(state)
     none = F.lit(0).cast("long")
     for _ in range(max_rounds):
         moved = state.where("fresh != 0").join(arcs, [*edge_keys, "chunk", "node"])
@@ -65,10 +65,10 @@ def reach(masks: DataFrame, begin: DataFrame, keys: Sequence[str], allowed: Data
         moved = moved.select(*keys, "chunk", F.col("next").alias("node"), F.col("fresh").bitwiseAND(F.col("em")).alias("add")).where("add != 0")
         both = state.select(*keys, "chunk", "node", "mask", none.alias("add")).unionByName(moved.withColumn("mask", none))
         merged = both.groupBy(*keys, "chunk", "node").agg(F.bit_or("mask").alias("old"), F.bit_or("add").alias("add"))
-        state = materialize(merged.select(*keys, "chunk", "node", F.col("old").bitwiseOR(F.col("add")).alias("mask"), F.col("add").bitwiseAND(F.bitwise_not("old")).alias("fresh")), "reach")
+        state = rounds.write(merged.select(*keys, "chunk", "node", F.col("old").bitwiseOR(F.col("add")).alias("mask"), F.col("add").bitwiseAND(F.bitwise_not("old")).alias("fresh")))
         if state.where("fresh != 0").limit(1).count() == 0:
-            break
-    return state.drop("fresh")
+            return state.drop("fresh")
+    raise RuntimeError(f"nodes are still reached after {max_rounds} rounds")
 
 
 def hits_at(reached: DataFrame, at: DataFrame, keys: Sequence[str]) -> DataFrame:

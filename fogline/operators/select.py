@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fogline.functions.coins import chunks, edge_key, world_mask
+from fogline.functions.coins import edge_key, toss
 from fogline.functions.runtime import materialize
 from fogline.operators import objectives as obj
 from fogline.operators.graph import NEUTRAL, bidirected, path_edges
@@ -26,9 +26,11 @@ def ordered_colors(walked: DataFrame) -> DataFrame:
 
 
 def _masks(edges: DataFrame, worlds: int) -> DataFrame:
-    """Edge masks of (keys, src, dst, color, p_pct): coins depend on the edge alone, so all candidates see the same worlds."""
+    """Edge masks of (keys, src, dst, color, p_pct): coins depend on the edge alone, so all candidates see the same worlds, and each
+    edge is tossed once for all of them."""
     plain = ["src", "dst", "color"]
-    return edges.withColumn("chunk", chunks(worlds)).withColumn("em", world_mask(edge_key(plain), F.col("p_pct"), F.col("chunk"), worlds)).where("em != 0").drop("p_pct")
+    tossed = toss(edges.select(*plain, "p_pct").distinct(), worlds, [*plain, "p_pct"], edge_key(plain), F.col("p_pct"))
+    return edges.join(tossed, [*plain, "p_pct"]).drop("p_pct")
 
 
 def _scored(edges: DataFrame, queries: DataFrame, cands: DataFrame, objective: str, worlds: int) -> DataFrame:

@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fogline.functions.runtime import materialize
+from fogline.functions.runtime import Rounds, materialize
 from fogline.operators.graph import bidirected, edge_label, with_cost
 
 #: Terminals of a query at most; a mask is a BIGINT.
-MAX_TERMINALS = 16
+MAX_TERMINALS = 32
 
 
 def tree_states(edges: DataFrame, terminals: DataFrame, directed: bool = True, max_rounds: int = 10_000) -> DataFrame:
@@ -23,7 +23,8 @@ def tree_states(edges: DataFrame, terminals: DataFrame, directed: bool = True, m
     arcs = materialize(with_cost(graph).select(F.col("src").alias("node"), "dst", F.col("cost").alias("step"), edge_label().alias("edge")), "arcs")
     numbered = terminals.select("query_id", "node").distinct().withColumn("bit", F.row_number().over(W.partitionBy("query_id").orderBy("node")) - 1)
     none = F.array().cast("array<string>")
-    state = materialize(numbered.select("query_id", "node", F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit")).alias("mask"), F.lit(0).cast("long").alias("cost"), none.alias("edges"), F.lit(True).alias("fresh")), "trees")
+    rounds = Rounds("trees")
+    state = rounds.write(numbered.select("query_id", "node", F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit")).alias("mask"), F.lit(0).cast("long").alias("cost"), none.alias("edges"), F.lit(True).alias("fresh")))
     if state.groupBy("query_id").count().where(F.col("count") > MAX_TERMINALS).limit(1).count():
         raise ValueError(f"more than {MAX_TERMINALS} terminals")
     for _ in range(max_rounds):
@@ -34,10 +35,10 @@ def tree_states(edges: DataFrame, terminals: DataFrame, directed: bool = True, m
         merged = merged.select("query_id", "node", F.col("mask").bitwiseOR(F.col("mask2")).alias("mask"), (F.col("cost") + F.col("cost2")).alias("cost"), F.array_sort(F.array_union("edges", "edges2")).alias("edges"))
         new = state.drop("fresh").withColumn("new", F.lit(0)).unionByName(grown.unionByName(merged).withColumn("new", F.lit(1)))
         best = new.groupBy("query_id", "node", "mask").agg(F.min(F.struct("cost", "edges")).alias("b"), F.min(F.when(F.col("new") == 0, F.col("cost"))).alias("old"))
-        state = materialize(best.select("query_id", "node", "mask", "b.cost", "b.edges", (F.col("old").isNull() | (F.col("b.cost") < F.col("old"))).alias("fresh")), "trees")
+        state = rounds.write(best.select("query_id", "node", "mask", "b.cost", "b.edges", (F.col("old").isNull() | (F.col("b.cost") < F.col("old"))).alias("fresh")))
         if state.where("fresh").limit(1).count() == 0:
-            break
-    return state.drop("fresh")
+            return state.drop("fresh")
+    raise RuntimeError(f"trees still improve after {max_rounds} rounds")
 
 
 def top_trees(edges: DataFrame, terminals: DataFrame, r: int, directed: bool = True) -> DataFrame:

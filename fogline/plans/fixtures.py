@@ -9,17 +9,11 @@ from pyspark.sql import functions as F
 from fogline.functions.runtime import materialize, read
 
 
-def trade_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def trade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customer nation to supplier nation, colored by order priority; all pairs. (src, dst, color, p_pct)"""
     return materialize(_trade_edges(_sold(spark, sf_dir)), "trade")
 
 
-def trade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``trade_whole`` on a fifth of the pairs, as in TRADE_SQL; for queries that are held against SQL."""
-    kept = (F.col("src") * 7 + F.col("dst") * 11 + F.col("src") * F.col("dst") % 13) % 5 == 0
-    return materialize(_trade_edges(_sold(spark, sf_dir).where(kept)), "trade")
-
-
 def _sold(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", F.round(F.col("l_discount") * 100).cast("long").alias("d"))
     orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.substring("o_orderpriority", 1, 1).cast("long").alias("color"))
@@ -65,7 +59,7 @@ g as (
   select cast(c_nationkey as bigint) as src, cast(s_nationkey as bigint) as dst, cast(substr(o_orderpriority, 1, 1) as bigint) as color,
          cast(5 + mod(sum(cast(round(l_discount * 100) as bigint)), 30) as bigint) as p_pct
   from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join supplier on l_suppkey = s_suppkey
-  where c_nationkey <> s_nationkey and mod(c_nationkey * 7 + s_nationkey * 11 + mod(c_nationkey * s_nationkey, 13), 5) = 0 group by 1, 2, 3)"""
+  where c_nationkey <> s_nationkey group by 1, 2, 3)"""
 FLOW_SQL = """
 f0 as (
   select event_id, user_id, event_type, lead(user_id) over (partition by event_type, cast(ts as date) order by ts, event_id) as dst from events),

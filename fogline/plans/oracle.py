@@ -103,18 +103,17 @@ COST = "cast(floor(-ln(p_pct / 100.0::double) * 1000.0) as bigint)"
 ARCS = f"arcs as (select src, dst, color, {COST} as cost, {EDGE} as edge from g where p_pct > 0)"
 
 
-def walks(r: int, hops: int, queries: str = "q", backtrack: bool = False, x: str = "") -> list[str]:
-    """walk{x} (query_id, rank, cost, path)."""
+def walks(r: int, queries: str = "q", backtrack: bool = False) -> list[str]:
+    """walk (query_id, rank, cost, path): walks of any length. No walk that costs more than the r-th of those of up to two edges is
+    among the r cheapest, and every edge costs something, so that ends the recursion."""
     back = "" if backtrack else "and (b.prev is null or a.dst <> b.prev)"
+    head = f"select query_id, s as node, null::bigint as prev, 0::bigint as cost, '' as path, 0 as h, targets, false as arrived from (select query_id, unnest(sources) as s, targets from {queries}) where not list_contains(targets, s)"
+    on = "select b.query_id, a.dst, b.node, b.cost + a.cost, case when b.path = '' then a.edge else b.path || '|' || a.edge end, b.h + 1, b.targets, list_contains(b.targets, a.dst)"
     return [
-        f"""
-step{x} as (
-  select query_id, s as node, null::bigint as prev, 0::bigint as cost, '' as path, 0 as h, targets, false as arrived
-  from (select query_id, unnest(sources) as s, targets from {queries}) where not list_contains(targets, s)
-  union all
-  select b.query_id, a.dst, b.node, b.cost + a.cost, case when b.path = '' then a.edge else b.path || '|' || a.edge end, b.h + 1, b.targets, list_contains(b.targets, a.dst)
-  from step{x} b join arcs a on a.src = b.node where b.h < {hops} and not b.arrived {back})""",
-        f"walk{x} as (select query_id, cast(row_number() over (partition by query_id order by cost, path) as int) as rank, cost, path from step{x} where arrived qualify rank <= {r})",
+        f"short as ({head} union all {on} from short b join arcs a on a.src = b.node where b.h < 2 and not b.arrived {back})",
+        f"bound as (select query_id, case when count(*) >= {r} then max(cost) end as most from (select query_id, cost from short where arrived qualify row_number() over (partition by query_id order by cost) <= {r}) group by 1)",
+        f"step as ({head} union all {on} from step b join arcs a on a.src = b.node join bound m on m.query_id = b.query_id where b.cost + a.cost <= m.most and not b.arrived {back})",
+        f"walk as (select query_id, cast(row_number() over (partition by query_id order by cost, path) as int) as rank, cost, path from step where arrived qualify rank <= {r})",
     ]
 
 
@@ -129,16 +128,24 @@ ENDS = "ends as (select distinct list_min(targets) as target from q)"
 PARENT = "parent as (select d.target, d.node, d.dist, case when d.dist > 0 then (select min(edge) from arcs a join dist v on v.target = d.target and v.node = a.dst where a.src = d.node and a.cost + v.dist = d.dist) end as parent from dist d join ends on ends.target = d.target)"
 PENALTY = "pen as (select a.target, e.src, e.dst, e.color, e.edge, v.dist + e.cost - a.dist as penalty from arcs e join dist a on a.node = e.src join dist v on v.target = a.target and v.node = e.dst join ends on ends.target = a.target)"
 
-STEINER = recursive(
-    *BASE,
-    ARCS,
-    DIST.replace("dst as target", "dst as target"),
-    "t as (select query_id, list_sort(list_distinct(list_concat(sources, targets)))[1:3] as t from q)",
-    "d as (select node as a, target as b, dist from dist union select distinct src, src, 0 from arcs)",
-    "one as (select query_id, i, x.b as v, x.dist from t, (select unnest([1, 2, 3]) as i) k, d x where x.a = t.t[i])",
-    "two as (select a.query_id, a.i as i, b.i as j, x.b as v, min(a.dist + b.dist + x.dist) as dist from one a join one b on a.query_id = b.query_id and a.v = b.v and a.i < b.i join d x on x.a = a.v group by 1, 2, 3, 4)",
-    "select a.query_id, x.b as node, cast(min(a.dist + b.dist + x.dist) as bigint) as cost from two a join one b on a.query_id = b.query_id and a.v = b.v and b.i not in (a.i, a.j) join d x on x.a = a.v group by 1, 2",
-)
+
+
+def steiner(directed: bool = True) -> str:
+    """Least cost of a tree over all terminals of a query to each root: sets of 1, 2, ... 5 terminals, merged at a node, then led on."""
+    arcs = [ARCS] if directed else [ARCS.replace("arcs as (", "arc1 as ("), "arcs as (select * from arc1 union all select dst, src, color, cost, edge from arc1)"]
+    parts = [
+        *BASE, *arcs, DIST,
+        "d as (select node as a, target as b, dist from dist union select distinct src, src, 0 from arcs)",
+        "t as (select query_id, t, row_number() over (partition by query_id order by t) - 1 as bit from (select distinct query_id, unnest(list_concat(sources, targets)) as t from q))",
+        "whole as (select query_id, cast((1 << count(*)) - 1 as bigint) as whole from t group by 1)",
+        "t1 as (select query_id, cast(1 << bit as bigint) as mask, d.b as v, min(d.dist) as cost from t join d on d.a = t.t group by 1, 2, 3)",
+        "s1 as (select * from t1)",
+    ]
+    for k in range(2, 6):
+        parts.append(f"m{k} as (select x.query_id, x.mask | y.mask as mask, x.v, min(x.cost + y.cost) as cost from s{k - 1} x join s{k - 1} y on x.query_id = y.query_id and x.v = y.v and x.mask & y.mask = 0 and x.mask < y.mask where bit_count(x.mask | y.mask) = {k} group by 1, 2, 3)")
+        parts.append(f"s{k} as (select * from s{k - 1} union all select query_id, mask, d.b as v, min(m.cost + d.dist) as cost from m{k} m join d on d.a = m.v group by 1, 2, 3)")
+    return recursive(*parts, "select s.query_id, v as node, cast(min(cost) as bigint) as cost from s5 s join whole w on w.query_id = s.query_id and mask = whole group by 1, 2")
+
 
 FLOW_KEY = EDGE + " || '@' || edge_id"
 

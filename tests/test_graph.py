@@ -7,7 +7,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from fogline.functions import costs, names
-from fogline.functions.coins import edge_key, world_mask
 from fogline.operators import etl, graph, influence, objectives, paths, reach, select, steiner
 from fogline.sources import graph_text, sinks
 
@@ -61,9 +60,9 @@ def test_masks_equal_coins_world_by_world(spark):
             assert bool(masks.get((src, dst, w // 64), 0) >> (w % 64) & 1) == alive
 
 
-def test_world_mask_has_no_world_beyond_the_last(spark):
-    df = edges_of(spark, [(1, 2, 1, 100)]).select(world_mask(edge_key(["src", "dst", "color"]), F.col("p_pct"), F.lit(1), 70).alias("m"))
-    assert df.first()["m"] == (1 << 6) - 1
+def test_masks_have_no_world_beyond_the_last(spark):
+    got = {r["chunk"]: r["em"] for r in reach.edge_masks(edges_of(spark, [(1, 2, 1, 100)]), 70).collect()}
+    assert got == {0: -1, 1: (1 << 6) - 1}
 
 
 def test_baselines_and_heuristics_choose_known_colors(spark):
@@ -131,6 +130,8 @@ def test_noisy_or_and_collapse(spark):
     assert influence.collapse(df, spark.createDataFrame([(1,)], "color long")).first()["p_pct"] == 50
     assert influence.collapse(df, spark.createDataFrame([], "color long")).first()["p_pct"] == 0
     assert influence.noisy_or(df).first()["miss"] == 3000
+    twelve = influence.noisy_or(edges_of(spark, [(1, 2, c, 1) for c in range(12)])).first()
+    assert twelve["n"] == 12 and abs(twelve["miss"] / 99.0**12 - 1) < 1e-12
 
 
 def test_loop_ends_and_alternates(spark):
@@ -185,7 +186,7 @@ def test_empty_graph_gives_empty_results(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test data")
-@pytest.mark.parametrize("name", ["src_1", "gx_7", "gx_9", "rel_2", "rel_2_colors", "j_8", "topk_1", "fill_1", "mc_2", "sp_1", "sp_6", "obj_s_b1", "obj_conn_eval"])
+@pytest.mark.parametrize("name", ["src_1", "gx_7", "gx_9", "rel_2", "rel_2_colors", "j_8", "topk_1", "fill_1", "mc_2", "sp_1", "sp_6", "st_1_undirected", "obj_s_b1", "obj_conn_eval"])
 def test_queries_equal_their_sql(spark, name):
     import duckdb
 
@@ -326,3 +327,20 @@ def test_trees_and_seeds_take_all_nodes_of_the_queries(handed):
     assert {(r["query_id"], r["node"]) for r in told} == {(r, n) for r in keys for n in keys[r][:2] + keys[(r + 1) % 5][:3]}
     told = handed("loop_1", influence, "alternate")["targets"].collect()
     assert {r["node"] for r in told} == {n for r in keys for n in keys[r][:3]}
+
+
+def test_parallel_edges_of_equal_cost_dont_multiply_walks(spark):
+    rows = [(a, a + 1, c, 50) for a in range(1, 6) for c in range(12)]
+    got = paths.top_walks(edges_of(spark, rows), query_of(spark, [1], [6]), 7).orderBy("rank").collect()
+    every = ("|".join(f"{a}>{a + 1}#{c}" for a, c in zip(range(1, 6), colors, strict=True)) for colors in itertools.product(range(12), repeat=5))
+    assert [r["path"] for r in got] == sorted(every)[:7]
+
+
+def test_loops_that_dont_end_in_time_raise(spark):
+    df = edges_of(spark, [(a, a + 1, 1, 100) for a in range(1, 6)])
+    with pytest.raises(RuntimeError):
+        reach.reach(reach.edge_masks(df, 4), reach.start(spark.createDataFrame([(0, 1)], "q long, node long"), 4), ["q"], max_rounds=2)
+    with pytest.raises(RuntimeError):
+        paths.distances(df, spark.createDataFrame([(6,)], "target long"), max_rounds=2)
+    with pytest.raises(RuntimeError):
+        steiner.tree_states(df, spark.createDataFrame([(0, 1), (0, 6)], "query_id long, node long"), max_rounds=2)
