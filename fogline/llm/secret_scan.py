@@ -1,11 +1,13 @@
 """Secret scans: candidates by shape, false positives removed by a random forest. DataFrame and SQL functions only.
 
 The forest sees a candidate's length, character classes and transitions, how much of it dictionary words cover, the path it
-comes from and the words around it. It is trained from labelled findings.
+comes from and the words around it. It is trained from labelled findings: reviewed ones, or, where a corpus has none, ones
+that are planted between words of its own documents, whose labels are known from what was planted and not from features.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
@@ -21,6 +23,18 @@ WHITE = r"[\x20\x09-\x0D]+"
 LEAST, RUN = 16, r"[A-Za-z0-9+/_=.@:\-]{16,}"
 #: Labelled findings that the forest is trained on at most, in the order of a hash, and its size.
 MAX_LABELLED, TREES, DEPTH, SEED = 20_000, 20, 6, 11
+#: Documents whose words surround planted findings, at most, in the order of a hash, and the characters taken from each.
+MAX_CARRIERS, CARRIED = 400, 160
+#: Planted texts and their labels. {hex}, {mixed}, {caps}: random digits and letters, cut to the number given; {uuid}, {a}, {b}: two of
+#: the document's words; {n}: a number. Some secrets have no name, some harmless strings have a name of a secret.
+PLANTED = (
+    ('token = "{hex40}"', 1), ('token="{hex40}"', 1), ('api_key: {mixed32}', 1), ("password={mixed18}", 1), ("client_secret = '{mixed24}'", 1), ('{"authorization":"Bearer {mixed40}"}', 1),
+    ("AWS_SECRET_ACCESS_KEY={mixed40}", 1), ("AKIA{caps16}", 1), ("ghp_{mixed36}", 1), ("--passphrase {mixed22}", 1), ("-----BEGIN PRIVATE KEY----- {mixed60}", 1),
+    ('"accessKey":"{mixed20}","n":{n}', 1), ("https://{a}:{mixed20}@{b}.net", 1), ("login {a} / {mixed28}", 1), ("auth_token={hex32}", 1), ('secret: "{uuid}"', 1),
+    ("commit {hex40}", 0), ("sha256: {hex64}", 0), ("md5sum {hex32} {a}.txt", 0), ("id={uuid}", 0), ('example token="{hex40}"', 0), ("test password={mixed18}", 0),
+    ("{a}.{b}{n}@mail{n}.example.com", 0), ("{a}.{b}{n}@{a}.org", 0), ("https://www.{a}.org/{b}/{n}", 0), ("https://{a}.com/{hex12}", 0), ("{a}_{b}_{a}_{n}", 0), ("/{a}/{b}/{a}{n}.pdf", 0),
+    ("2024-05-17T10:{n}:00.000Z", 0), ("etag {hex32}", 0), ("data:image/png;base64,{mixed60}", 0), ("token={a}-{b}-token-name-{n}", 0), ("{a}-{b}-{a}-{b}{n}", 0), ("build-{n}-{a}-{hex8}", 0),
+)
 #: Words of the dictionary at most, and their least length: the most frequent of the corpus.
 MAX_WORDS, WORD_LENGTH = 400, 4
 ASSIGNED, NAMES = r"[=:]$", r"(?i)(token|secret|passw|passphrase|api.?key|access.?key|auth|credential|bearer)"
@@ -86,7 +100,7 @@ def with_features(found: DataFrame, words: Sequence[str]) -> DataFrame:
 
 
 def label_by_rules(found: DataFrame) -> DataFrame:
-    """Labelled findings for corpora without reviewed ones: ``label`` 1, 0, or null where no rule is sure.
+    """Findings as rules see them, for tables that neither reviewed nor planted findings train: ``label`` 1, 0, or null where no rule is sure.
 
     Sure secrets have the shape of a known key wherever they stand, or are quoted, assigned to a name of a secret and mixed;
     sure false positives are addresses, links and names of files, or have words before them that say so.
@@ -96,6 +110,37 @@ def label_by_rules(found: DataFrame) -> DataFrame:
     return found.withColumn("label", F.when(sure, 1).when(false, 0).cast("double"))
 
 
+def planted_findings(docs: DataFrame, words: Sequence[str], text: str = "text", path: str = "source", max_carriers: int = MAX_CARRIERS) -> DataFrame:
+    """Labelled findings for corpora without reviewed ones: candidates of PLANTED, each between words of a document.
+
+    Up to ``max_carriers`` documents are taken in the order of a hash of their text; of each, some words of letters around a
+    place that the hash chooses. ``doc_id`` is a struct of the document's hash, the number in PLANTED and the label. Null
+    and empty texts carry nothing; equal texts carry equal findings.
+    """
+    hashed = F.xxhash64(text)
+    place = F.substring(F.col(text), 1 + F.pmod(hashed, F.length(text)).cast("int"), F.lit(CARRIED))
+    taken = docs.where(F.length(text) > 0).select(hashed.alias("carrier"), place.alias("said"), F.coalesce(F.col(path), F.lit("")).alias("path"))
+    taken = materialize(taken.orderBy("carrier", "path").limit(max_carriers), "carriers")
+    plants = F.explode(F.array(*[F.struct(F.lit(k).alias("plant"), F.lit(form).alias("form"), F.lit(float(label)).alias("label")) for k, (form, label) in enumerate(PLANTED)]))
+    rows = taken.withColumn("around", F.regexp_extract_all("said", F.lit(r"\p{L}+"), F.lit(0))).select("*", plants.alias("p")).select("carrier", "path", "around", "p.*")
+    digest = lambda k: F.sha2(F.concat_ws(" ", F.lit(str(k)), "carrier", "plant"), 256)
+    base = lambda k: F.translate(F.base64(F.unhex(digest(k))), "+/=", "xYz")
+    made = {"hex": F.concat(digest(0), digest(1)), "mixed": F.concat(base(2), base(3)), "caps": F.upper(base(4))}
+    word = lambda k: F.lower(F.coalesce(F.get("around", k), F.lit("note")))
+    uuid = F.concat_ws("-", *[F.substring(digest(5), a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
+    out, filled = rows, F.col("form")
+    for kind, value in made.items():
+        sizes = sorted({int(n) for form, _ in PLANTED for n in re.findall(rf"\{{{kind}(\d+)\}}", form)})
+        for n in sizes:
+            filled = F.replace(filled, F.lit(f"{{{kind}{n}}}"), F.substring(value, 1, n))
+    for name, value in {"uuid": uuid, "a": word(0), "b": word(1), "n": F.pmod(F.xxhash64("carrier", "plant"), F.lit(90)).cast("string")}.items():
+        filled = F.replace(filled, F.lit(f"{{{name}}}"), value)
+    half = F.greatest(F.lit(0), F.floor(F.size("around") / 2).cast("int"))
+    full = F.concat_ws(" ", F.array_join(F.slice("around", F.lit(1), half), " "), filled, F.array_join(F.slice("around", half + 1, F.size("around")), " "))
+    out = out.select(F.struct("carrier", "plant", "label").alias("doc_id"), full.alias("text"), "path")
+    return with_features(candidates(out, "doc_id", "text", "path"), words).withColumn("label", F.col("doc_id.label"))
+
+
 def fit(labelled: DataFrame, max_labelled: int = MAX_LABELLED) -> RandomForestClassificationModel | None:
     """The forest for findings with FEATURES and ``label``, at most ``max_labelled`` of them; None unless both labels occur."""
     rows = labelled.where("label is not null").orderBy(F.xxhash64("candidate", "before", "after"), "doc_id", "position", "run").limit(max_labelled)
@@ -119,12 +164,15 @@ def judge(found: DataFrame, model: RandomForestClassificationModel | None) -> Da
 def scan(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
     """All candidates of ``docs`` with score and verdict: doc_id, position, run, candidate, path, FEATURES, score, secret.
 
-    ``labelled`` has (doc_id, position, run, label) of reviewed findings, where no run means the first; without it the rules label. Candidates are few against
-    words, so they are written once to the shared folder and read for training and for judging. An empty table has none.
+    ``labelled`` has (doc_id, position, run, label) of reviewed findings, where no run means the first; without it findings are
+    planted. Candidates are few against words, so they are written once to the shared folder and read for training and for
+    judging. An empty table has none. Equal findings have equal scores, a text of any length gives all of its candidates,
+    and further columns of ``docs`` aren't read.
     """
-    found = materialize(with_features(candidates(docs), dictionary(docs)), "candidates")
+    words = dictionary(docs)
+    found = materialize(with_features(candidates(docs), words), "candidates")
     if labelled is None:
-        train = label_by_rules(found)
+        train = planted_findings(docs, words)
     else:
         run = F.col("run") if "run" in labelled.columns else F.lit(0)
         train = found.join(labelled.select("doc_id", "position", run.cast("long").alias("run"), F.col("label").cast("double").alias("label")), ["doc_id", "position", "run"])

@@ -811,3 +811,20 @@ def test_made_pages_give_their_articles():
         at = rng.randint(0, len(around))
         html = f"<html><head><title>{say(3)}</title><style>p{{}}</style></head><body>{''.join(around[:at])}<{tag}>{body}</{tag}>{''.join(around[at:])}</body></html>"
         assert html_text.main_text(html) == "\n".join(blocks)
+
+
+def test_planted_findings_teach_the_forest(spark):
+    texts, _ = scanned(random.Random(12), 120)
+    docs = table(spark, [*texts, None, "", "7 8 9", texts[0]])
+    made = secret_scan.planted_findings(docs, [], max_carriers=80).cache()
+    # every planted text of its kind is found, with the label that it was made with
+    rows = made.select("doc_id.*", "candidate").collect()
+    assert all(r["label"] == secret_scan.PLANTED[r["plant"]][1] for r in rows)
+    found = {r["plant"] for r in rows}
+    assert {k for k, (_, label) in enumerate(secret_scan.PLANTED) if label} <= found and len({r["carrier"] for r in rows}) <= 80
+    assert not any("{" in r["candidate"] for r in rows)
+    odd = F.pmod(F.col("doc_id.carrier"), F.lit(3)) == 0
+    verdicts = secret_scan.judge(made.where(odd), secret_scan.fit(made.where(~odd))).select("label", "secret").collect()
+    hits = sum(r["secret"] and r["label"] == 1 for r in verdicts)
+    assert hits / max(1, sum(r["secret"] for r in verdicts)) > 0.9 and hits / sum(r["label"] == 1 for r in verdicts) > 0.85
+    assert secret_scan.planted_findings(empty(spark), []).count() == 0
