@@ -5,7 +5,7 @@ images, back-references, the colour cache, and the predictor, cross-colour, subt
 are arrays of shape (height, width, 4) in the order red, green, blue, alpha.
 
 Where a picture has one group of codes of which only green carries bits, and no colour cache, as grey pictures do, runs of
-literals are decoded by arrays: the code length at every bit of a segment gives jumps of 1, 2, 4 and 8 symbols, and only
+literals are decoded by arrays, between back-references too: the code length at every bit of a segment gives jumps of 1, 2, 4 and 8 symbols, and only
 the jumps of 8 are walked one by one. All else takes the plain loop.
 """
 
@@ -49,14 +49,18 @@ class BitReader:
         return value
 
 
+#: Numbers of 15 bits with their bits in reverse order.
+REVERSED = (np.arange(1 << 15)[:, None] >> np.arange(15) & 1) @ (1 << np.arange(14, -1, -1))
+
+
 def canonical(lengths: np.ndarray) -> np.ndarray:
     """The code of each symbol from the lengths, with its bits in the order of the stream."""
-    codes, code = np.zeros(len(lengths), np.int64), 0
-    for n in range(1, int(lengths.max(initial=0)) + 1):
-        for symbol in np.flatnonzero(lengths == n).tolist():
-            codes[symbol] = int(format(code, f"0{n}b")[::-1], 2)
-            code += 1
-        code <<= 1
+    codes = np.zeros(len(lengths), np.int64)
+    used = np.flatnonzero(lengths)
+    used = used[np.argsort(lengths[used], kind="stable")]
+    # left-aligned, each code begins where the one before it ends
+    share = 1 << (15 - lengths[used])
+    codes[used] = REVERSED[(np.cumsum(share) - share) & 0x7FFF]
     return codes
 
 
@@ -69,25 +73,26 @@ class PrefixCode:
             raise ValueError("a prefix code without symbols")
         self.bits = 0 if len(used) == 1 else int(lengths.max())
         self.only = int(used[0])
-        self.symbols, self.lengths = np.zeros(1 << self.bits, np.int64), np.zeros(1 << self.bits, np.uint8)
-        if not self.bits:
-            self.symbols[0] = self.only
-        else:
-            if sum(1 << (self.bits - int(lengths[s])) for s in used) != 1 << self.bits:
-                raise ValueError("an incomplete or oversubscribed prefix code")
-            codes = canonical(lengths)
-            for symbol in used.tolist():
-                n = int(lengths[symbol])
-                self.symbols[codes[symbol] :: 1 << n] = symbol
-                self.lengths[codes[symbol] :: 1 << n] = n
-        self.reads, self.table = 0, None
+        order = used[np.argsort(lengths[used], kind="stable")] if self.bits else used
+        share = 1 << (self.bits - lengths[order] * bool(self.bits))
+        if int(share.sum()) != 1 << self.bits:
+            raise ValueError("an incomplete or oversubscribed prefix code")
+        flipped = REVERSED[: 1 << self.bits] >> (15 - self.bits)
+        self.symbols = np.repeat(order, share)[flipped]
+        self.lengths = np.repeat(lengths[order] * bool(self.bits), share)[flipped].astype(np.uint8)
+        self.reads, self.table, self.segment = 0, None, None
+        if self.bits <= 7:
+            self._list()
+
+    def _list(self) -> None:
+        self.table = list(zip(self.symbols.tolist(), self.lengths.tolist(), strict=True))
 
     def read(self, bits: BitReader) -> int:
         ahead = bits.peek(self.bits)
         if self.table is None:
             self.reads += 1
             if self.reads > 64:  # plain lists are faster to read, but not worth making for a few symbols
-                self.table = list(zip(self.symbols.tolist(), self.lengths.tolist(), strict=True))
+                self._list()
             bits.at += int(self.lengths[ahead])
             return int(self.symbols[ahead])
         symbol, n = self.table[ahead]
@@ -143,35 +148,44 @@ def _distance(code: int, width: int) -> int:
     return max(x + y * width, 1)
 
 
+def _segment(bits: BitReader, code: PrefixCode, step: np.ndarray) -> tuple:
+    """The next SEGMENT bytes as jumps: their first byte, their bits, and for each bit the bits ahead and the jumps of 1, 2, 4 and 8 literals."""
+    first, mask = bits.at >> 3, np.uint32((1 << code.bits) - 1)
+    data = bits.data[first : first + SEGMENT + 32]
+    if len(data) < SEGMENT + 32:  # the end of the stream, which zeros follow
+        data += bytes(64)
+    raw = np.frombuffer(data, np.uint8).astype(np.uint32)
+    ahead = raw[:-2].copy()
+    ahead |= raw[1:-1] << 8
+    ahead |= raw[2:] << 16
+    window = np.empty((len(ahead), 8), np.uint16)
+    for k in range(8):
+        window[:, k] = (ahead >> np.uint32(k)) & mask
+    window = window.ravel()
+    n = len(window)
+    # beyond the segment no symbol has a length, so jumps end there
+    one = np.zeros(n + 128, np.uint8)
+    one[:n] = step[window]
+    place = np.arange(n, dtype=np.int32)
+    two, four, eight = one.copy(), one.copy(), one.copy()
+    two[:n] += one[place + one[:n]]
+    four[:n] = two[:n] + two[place + two[:n]]
+    eight[:n] = four[:n] + four[place + four[:n]]
+    return first, n, window, one, two, four, eight.tobytes()
+
+
 def _literal_run(bits: BitReader, code: PrefixCode, most: int) -> np.ndarray:
     """The literals of a one-code picture from here to the next other symbol, ``most`` at most."""
     if not code.bits:
         return np.full(most if code.only < N_LITERALS else 0, code.only, np.int64)
     literal = code.symbols < N_LITERALS
-    step = np.where(literal, code.lengths, 0).astype(np.uint8)
-    mask = np.uint32((1 << code.bits) - 1)
     out, got = [], 0
     while got < most:
-        first = bits.at >> 3
-        raw = np.frombuffer(bits.data[first : first + SEGMENT + 32].ljust(64, b"\0"), np.uint8).astype(np.uint32)
-        ahead = raw[:-2].copy()
-        ahead |= raw[1:-1] << 8
-        ahead |= raw[2:] << 16
-        window = np.empty((len(ahead), 8), np.uint16)
-        for k in range(8):
-            window[:, k] = (ahead >> np.uint32(k)) & mask
-        window = window.ravel()
-        n = len(window)
-        # beyond the segment no symbol has a length, so jumps end there
-        one = np.zeros(n + 128, np.uint8)
-        one[:n] = step[window]
-        place = np.arange(n, dtype=np.int32)
-        two, four, eight = one.copy(), one.copy(), one.copy()
-        two[:n] += one[place + one[:n]]
-        four[:n] = two[:n] + two[place + two[:n]]
-        eight[:n] = four[:n] + four[place + four[:n]]
-        jump, at, walk = eight.tobytes(), bits.at & 7, []
-        until = min(n, SEGMENT * 8) - 1
+        if code.segment is None or not code.segment[0] * 8 <= bits.at < code.segment[0] * 8 + code.segment[1] - 256:
+            code.segment = _segment(bits, code, np.where(literal, code.lengths, 0).astype(np.uint8))
+        first, n, window, one, two, four, jump = code.segment
+        at, walk = bits.at - first * 8, []
+        until = n - 1
         while at < until and len(walk) * 8 < most - got:
             walk.append(at)
             ahead_by = jump[at]
@@ -431,18 +445,16 @@ def write_code(bits: BitWriter, lengths: np.ndarray) -> None:
         for symbol in used:
             bits.write(symbol, 8)
         return
-    items, k, values = [], 0, lengths.tolist()
-    while k < len(values):
-        run = 1
-        while values[k] == 0 and k + run < len(values) and values[k + run] == 0 and run < 138:
-            run += 1
-        if run >= 11:
-            items.append((18, run - 11, 7))
-        elif run >= 3:
-            items.append((17, run - 3, 3))
-        else:
-            items += [(values[k], 0, 0)] * run
-        k += run
+    items, at = [], 0
+    for symbol in [*used, len(lengths)]:
+        gap = symbol - at
+        while gap >= 11:
+            items.append((18, min(gap, 138) - 11, 7))
+            gap -= min(gap, 138)
+        items += [(17, gap - 3, 3)] if gap >= 3 else [(0, 0, 0)] * gap
+        if symbol < len(lengths):
+            items.append((int(lengths[symbol]), 0, 0))
+        at = symbol + 1
     own = code_lengths(np.bincount([i[0] for i in items], minlength=19), 7)
     codes = canonical(own)
     n = max(4, max(p for p, s in enumerate(CODE_LENGTH_ORDER) if own[s]) + 1)
@@ -481,27 +493,78 @@ def header(bits: BitWriter, width: int, height: int) -> None:
     bits.write(0, 4)
 
 
+#: Least length of a back-reference to an earlier place, the longest of the format, and the farthest distance that a code can tell.
+LEAST_COPY, MOST_COPY, FARTHEST = 32, 4096, (1 << 20) - 120
+#: Codes of the short distances in a row of the encoder's width that it uses: the pixel before and the one above.
+BEFORE, ABOVE = 2, 1
+
+
+def find_copies(values: np.ndarray) -> list[tuple[int, int, int]]:
+    """(start, length, distance) of stretches that repeat earlier ones, ascending and apart.
+
+    Each aligned block of LEAST_COPY values is looked up by a rolling hash at all later places, so every repeat of twice
+    that length is found; hits are compared value by value and taken as far as they go. A run of one value at the end is
+    a copy of the value before.
+    """
+    n = len(values)
+    differs = np.flatnonzero(values[max(0, n - MOST_COPY) :] != values[-1])
+    tail = min(n - max(0, n - MOST_COPY) - (int(differs[-1]) + 1 if len(differs) else 0) - 1, n - 1, MOST_COPY - 1)
+    tail = tail if tail >= 8 else 0
+    n -= tail
+    found = []
+    if n >= 2 * LEAST_COPY:
+        hashed, span, factor = values[:n].astype(np.uint64), 1, 0x9E3779B97F4A7C15
+        while span < LEAST_COPY:
+            hashed = hashed[:-span] * np.uint64(factor) + hashed[span:]
+            span, factor = 2 * span, factor * factor & 0xFFFFFFFFFFFFFFFF
+        blocks, first = np.unique(hashed[::LEAST_COPY], return_index=True)
+        # most places are told off by the low bits
+        low = np.uint64((1 << (16 * len(blocks)).bit_length()) - 1)
+        flags = np.zeros(int(low) + 1, bool)
+        flags[blocks & low] = True
+        places = np.flatnonzero(flags[hashed & low])
+        near = np.minimum(np.searchsorted(blocks, hashed[places]), len(blocks) - 1)
+        sources = first[near] * LEAST_COPY
+        real = (blocks[near] == hashed[places]) & (sources < places)
+        places, sources = places[real], sources[real]
+        done, k = 0, 0
+        while k < len(places):
+            start = int(places[k])
+            back = start - int(sources[k])
+            k += 1
+            early = min(start - done, start - back, LEAST_COPY - 1)
+            differs = np.flatnonzero(values[start - early : start] != values[start - early - back : start - back])
+            start -= early - (int(differs[-1]) + 1 if len(differs) else 0)
+            most = min(n - start, MOST_COPY)
+            differs = np.flatnonzero(values[start : start + most] != values[start - back : start - back + most])
+            length = int(differs[0]) if len(differs) else most
+            if length >= LEAST_COPY and back <= FARTHEST:
+                found.append((start, length, back))
+                done = start + length
+                k = int(np.searchsorted(places, done))
+    return [*found, (n, tail, 1)] if tail else found
+
+
 def encode_grey(samples: np.ndarray) -> bytes:
     """A grey picture of 8-bit samples (height, width) as a lossless WebP file.
 
-    The subtract-green transform leaves red and blue at 0, so only green carries bits: one prefix code, and a
-    back-reference of distance 1 for a run of one value at the end.
+    The subtract-green transform leaves red and blue at 0, so only green carries bits: one prefix code of literals and
+    lengths, and one of distances, for the back-references of ``find_copies``.
     """
     height, width = samples.shape
     values = samples.ravel()
-    n = len(values)
-    differs = np.flatnonzero(values[max(0, n - 4096) :] != values[-1])
-    tail = n - max(0, n - 4096) - (int(differs[-1]) + 1 if len(differs) else 0) - 1
-    tail = min(tail, n - 1, 4095)
-    if tail < 8:
-        tail = 0
-    literals = values[: n - tail]
-    prefix, extra, n_extra = length_prefix(tail) if tail else (0, 0, 0)
-    counts = np.bincount(literals, minlength=N_LITERALS + N_LENGTHS)
-    if tail:
+    told, kept = [], np.ones(len(values), bool)
+    for start, length, back in find_copies(values):
+        kept[start : start + length] = False
+        told.append((start, length, length_prefix(length), length_prefix(BEFORE if back == 1 else ABOVE if back == width else back + len(NEAR))))
+    counts = np.bincount(values[kept], minlength=N_LITERALS + N_LENGTHS)
+    far_counts = np.zeros(N_DISTANCES, np.int64)
+    for *_, (prefix, _, _), (far, _, _) in told:
         counts[N_LITERALS + prefix] += 1
-    lengths = code_lengths(counts, 15)
-    codes = canonical(lengths)
+        far_counts[far] += 1
+    if not told:
+        far_counts[1] = 1
+    lengths, far_lengths = code_lengths(counts, 15), code_lengths(far_counts, 15)
     bits = BitWriter()
     header(bits, width, height)
     bits.write(1, 1)
@@ -509,23 +572,22 @@ def encode_grey(samples: np.ndarray) -> bytes:
     bits.write(0, 3)  # no more transforms, no colour cache, no meta prefix image
     write_code(bits, lengths)
     for symbol in (0, 0, 255):
-        write_code(bits, np.bincount([symbol], minlength=256))
-    write_code(bits, np.bincount([1], minlength=N_DISTANCES))  # distance 1 is the short distance of code 2, whose prefix is 1
-    single = np.count_nonzero(lengths) == 1
-    if single:
-        size = np.zeros(len(literals), np.int64)
-    else:
-        size = lengths[literals]
-    ends = np.cumsum(size) + bits.n
-    starts = ends - size
-    shifted = codes[literals] << (starts & 7) if not single else size
-    last = int(ends[-1])
-    if tail:
-        tail_bits = 0 if single else int(lengths[N_LITERALS + prefix])
-        final = (0 if single else int(codes[N_LITERALS + prefix])) | extra << tail_bits
-        shifted, starts = np.append(shifted, final << (last & 7)), np.append(starts, last)
-        last += tail_bits + n_extra
-    total = (last + 7) >> 3
+        bits.write(5 | symbol << 3, 11)  # the simple form of one symbol of eight bits
+    write_code(bits, far_lengths)
+    codes, far_codes = canonical(lengths), canonical(far_lengths)
+    # a code of one symbol takes no bits
+    lengths, far_lengths = lengths * (np.count_nonzero(lengths) > 1), far_lengths * (np.count_nonzero(far_lengths) > 1)
+    shown, sizes, at = [], [], 0
+    for start, length, (prefix, extra, n_extra), (far, far_extra, n_far) in told:
+        symbol = N_LITERALS + prefix
+        shown += [codes[values[at:start]], [codes[symbol] | extra << int(lengths[symbol]), far_codes[far], far_extra]]
+        sizes += [lengths[values[at:start]], [lengths[symbol] + n_extra, far_lengths[far], n_far]]
+        at = start + length
+    shown, sizes = np.concatenate([*shown, codes[values[at:]]]).astype(np.int64), np.concatenate([*sizes, lengths[values[at:]]]).astype(np.int64)
+    ends = np.cumsum(sizes) + bits.n
+    starts = ends - sizes
+    shifted = np.where(sizes > 0, shown, 0) << (starts & 7)
+    total = (int(ends[-1]) + 7) >> 3
     # codes don't overlap, so bytes add up what falls into them
     stream = np.zeros(total + 8, np.int64)
     place = starts >> 3

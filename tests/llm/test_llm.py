@@ -828,3 +828,35 @@ def test_planted_findings_teach_the_forest(spark):
     hits = sum(r["secret"] and r["label"] == 1 for r in verdicts)
     assert hits / max(1, sum(r["secret"] for r in verdicts)) > 0.9 and hits / sum(r["label"] == 1 for r in verdicts) > 0.85
     assert secret_scan.planted_findings(empty(spark), []).count() == 0
+
+
+def test_repeats_become_copies_and_round_trip():
+    rng = random.Random(21)
+    line = "a line of more than sixty-four characters that stands in the text again and again\n"
+    texts = [line * 30, "".join(rng.choice("abcdefgh ") for _ in range(900)) * 3, "ab" * 5000, "x" * 20000, line + "short\n" + line, "".join(rng.choice([line, "other words in between them, of some length\n", "z"]) for _ in range(3000)), "no repeat here"]
+    for text in texts:
+        raw = text.encode()
+        stored = media.store(raw)
+        filled = np.frombuffer(raw + media.FILL * (-len(raw) % media.ROW), np.uint8)
+        copies = webp.find_copies(filled)
+        at = 0
+        for start, length, back in copies:
+            assert at <= start and 0 < back <= max(start, 1) and length <= webp.MOST_COPY
+            assert all(filled[start + k] == filled[start + k - back] for k in range(length))
+            at = start + length
+        # every stretch of twice the least length that came before is found: none is left between the copies
+        kept = np.ones(len(filled), bool)
+        for start, length, _ in copies:
+            kept[start : start + length] = False
+        for start in np.flatnonzero(np.convolve(kept, np.ones(64), "valid") == 64).tolist() if len(filled) < 4000 else []:
+            assert filled[start : start + 64].tobytes() not in filled[: start + 63].tobytes()
+        assert b"".join(p[..., 1].tobytes() for p in media.pictures(stored)) == filled.tobytes()
+    assert any(back > 1 for _, _, back in webp.find_copies(np.frombuffer((line * 30).encode(), np.uint8)))
+
+
+def test_literals_over_several_segments_between_copies(monkeypatch):
+    monkeypatch.setattr(webp, "SEGMENT", 256)
+    rng = random.Random(22)
+    block = rng.randbytes(300)
+    for raw in (rng.randbytes(5000), block + rng.randbytes(700) + block + rng.randbytes(40) + block[:100], bytes(rng.choice(b"abc") for _ in range(9000))):
+        assert b"".join(p[..., 1].tobytes() for p in media.pictures(media.store(raw)))[: len(raw)] == raw
