@@ -99,3 +99,8 @@ def path_edges(paths: DataFrame, edges: DataFrame) -> DataFrame:
 def path_colors(walked: DataFrame) -> DataFrame:
     """(query_id, path_id, colors): the distinct colors but NEUTRAL, ascending."""
     return walked.groupBy("query_id", "path_id").agg(F.array_sort(F.collect_set(F.when(F.col("color") != NEUTRAL, F.col("color")))).alias("colors"))
+
+
+def path_ends(walked: DataFrame) -> DataFrame:
+    """(query_id, path_id, first, last): the source of the first edge and the target of the last."""
+    return walked.groupBy("query_id", "path_id").agg(F.min_by("src", "position").alias("first"), F.max_by("dst", "position").alias("last"))

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fogline.functions import costs, names
-from fogline.functions.runtime import read, small
+from fogline.functions.runtime import read, scratch_path, small
 from fogline.operators import etl, graph, influence, objectives, paths, select, steiner
 from fogline.operators.reach import edge_masks, hits_at, reach, start, worlds_of_all
 from fogline.plans import oracle as sql
@@ -83,6 +83,14 @@ def src_5(spark, sf_dir):
     return graph_text.targets(read(spark, sf_dir, "orders").select(F.concat_ws(" ", "o_custkey", F.col("o_custkey") % 7).alias("value")))
 
 
+@query("select author, count(*) as n from (select unnest([source, 'author' || (doc_id % 37)]) as author from documents) group by 1")
+def src_6(spark, sf_dir):
+    """Publications written as XML and read by the XML source: one row for each inproceedings element."""
+    path = scratch_path(spark, "publications")
+    _papers(spark, sf_dir).write.format("xml").option("rootTag", "dblp").option("rowTag", "inproceedings").save(path)
+    return graph_text.publications(spark, path).select(F.explode("author").alias("author")).groupBy("author").agg(F.count("*").alias("n"))
+
+
 @query("select n_name as name, cast(n_nationkey as bigint) as id from nation")
 def src_7(spark, sf_dir):
     """Dictionary lines `name id`."""
@@ -102,6 +110,31 @@ def snk_1(spark, sf_dir):
     return sinks.result_lines(q.withColumns({"found": F.lit(2), "loops": F.lit(32), "seconds": F.lit(0)}))
 
 
+@query("select c_nationkey || ';' || c_custkey || '; Eval: ' || count(o_orderkey) || ' 50; Evaltime: 0' as value from customer left join orders on o_custkey = c_custkey group by c_nationkey, c_custkey")
+def snk_2(spark, sf_dir):
+    """Evaluation lines, of the orders of each customer."""
+    customers = read(spark, sf_dir, "customer").select("c_nationkey", "c_custkey")
+    counts = customers.join(read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), F.col("o_custkey") == F.col("c_custkey"), "left").groupBy("c_nationkey", "c_custkey").agg(F.count("o_orderkey").alias("metric"))
+    return sinks.eval_lines(counts.select(F.concat_ws(";", "c_nationkey", "c_custkey").alias("line"), "metric", F.lit(EVALUATED).alias("worlds"), F.lit(0).alias("seconds")))
+
+
+@query(GF + ", d as (select src as node, count(*) as n from g group by 1) select row_number() over (order by n desc, node) || ' ' || node || ' ' || cast(n / 8 as double) as value from d order by n desc, node limit 50")
+def snk_3(spark, sf_dir):
+    """Lines of the 50 seeds of largest out-degree; eighths are exact as doubles."""
+    degrees = flow(spark, sf_dir).groupBy(F.col("src").alias("node")).agg(F.count("*").alias("hits")).orderBy(F.col("hits").desc(), "node").limit(50)
+    return sinks.seed_lines(degrees.select(F.row_number().over(W.orderBy(F.col("hits").desc(), "node")).alias("rank"), "node", "hits", F.lit(8).alias("worlds")))
+
+
+@query(G + "select run, color, count(*) as edges, cast(sum(p_pct) as bigint) as p_pct from g, (values (1), (2)) r(run) group by run, color")
+def snk_5(spark, sf_dir):
+    """Statistics of two runs, appended to one table."""
+    path = scratch_path(spark, "statistics")
+    found = trade(spark, sf_dir).groupBy("color").agg(F.count("*").alias("edges"), F.sum("p_pct").alias("p_pct"))
+    for run in (1, 2):
+        sinks.append_statistics(found.select(F.lit(run).alias("run"), "color", "edges", "p_pct"), path)
+    return spark.read.parquet(path)
+
+
 @query(G + "select src || ' ' || dst || ' ' || p_pct || ' ' || color as value from g")
 def snk_4(spark, sf_dir):
     """Long graph lines."""
@@ -157,6 +190,14 @@ def gx_7(spark, sf_dir):
     return graph.unknown_queries(asked, flow(spark, sf_dir)).agg(F.count("*").alias("bad"))
 
 
+@query(GF + "select count(distinct color) as colors from g having count(distinct color) >= 5")
+def gx_8(spark, sf_dir):
+    """The colors of a graph that has enough of them; it raises where there are fewer than 5."""
+    edges = flow(spark, sf_dir)
+    graph.require_colors(edges, 5)
+    return graph.colors(edges).agg(F.count("*").alias("colors"))
+
+
 @query(GF + "select src, dst, min(color) as color, min(p_pct) as p_pct from (select *, rank() over (partition by src, dst order by color, p_pct) as r from g) where r = 1 and src < dst group by src, dst")
 def gx_9(spark, sf_dir):
     """The first edge between two nodes."""
@@ -172,6 +213,12 @@ def gx_10(spark, sf_dir):
     return graph.path_edges(walks.withColumn("path_id", F.col("rank").cast("long")), edges)
 
 
+@query(sql.recursive(*sql.BASE, sql.ARCS, *sql.walks(5), "e as (select query_id, cast(rank as bigint) as path_id, string_split(path, '|') as labels from walk)", "select query_id, path_id, cast(string_split(labels[1], '>')[1] as bigint) as first, cast(string_split(string_split(labels[len(labels)], '>')[2], '#')[1] as bigint) as last from e"))
+def gx_13(spark, sf_dir):
+    """First and last node of each walk."""
+    return graph.path_ends(gx_10(spark, sf_dir))
+
+
 @query(GF + "select src, dst, color, max(p_pct) as p_pct from g group by 1, 2, 3")
 def gx_11(spark, sf_dir):
     """One edge a color between two nodes."""
