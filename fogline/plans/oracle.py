@@ -99,6 +99,8 @@ def baseline2(objective: str, worlds: int) -> str:
     return recursive(*parts, "select * from both_rounds")
 
 
+#: The least source and the least target of each query.
+ONE = "q1 as (select query_id, [list_min(sources)] as sources, [list_min(targets)] as targets from q)"
 COST = "cast(floor(-ln(p_pct / 100.0::double) * 1000.0) as bigint)"
 ARCS = f"arcs as (select src, dst, color, {COST} as cost, {EDGE} as edge from g where p_pct > 0)"
 
@@ -117,6 +119,49 @@ def walks(r: int, queries: str = "q", backtrack: bool = False) -> list[str]:
     ]
 
 
+def greedy(objective: str, k: int, queries: str = "q") -> list[str]:
+    """picks (query_id, rank, color, hits): k rounds of the greedy choice along walk, for sum or rel. Of a round, st has what each path
+    lacks, tk the paths that need nothing, c the candidates, le the edges of each, r the nodes that they reach, pk the best."""
+    parts = [
+        "e as materialized (select query_id, rank as path_id, position, src, dst, color from (select query_id, rank, unnest(string_split(path, '|')) as label, generate_subscripts(string_split(path, '|'), 1) as position from walk) x "
+        f"join (select *, {EDGE} as edge from g) g on g.edge = label)",
+        "rest0 as (select query_id, path_id, list(color order by first) as colors, cast([] as bigint[]) as chosen from (select query_id, path_id, color, min(position) as first from e group by 1, 2, 3) group by 1, 2)",
+        "taken0 as (select query_id, path_id from rest0 where false)",
+    ]
+    hits = "count(distinct w)" if objective == "sum" else "count(*)"
+    for i in range(1, k + 1):
+        parts += [
+            f"st{i} as materialized (select *, list_filter(colors, lambda x: not list_contains(chosen, x)) as new from rest{i - 1})",
+            f"tk{i} as materialized (select * from taken{i - 1} union all select query_id, path_id from st{i} where len(new) = 0)",
+            f"c{i} as materialized (select query_id, path_id as cand, colors, chosen, new from st{i} where len(new) > 0 and len(chosen) + len(new) <= {k})",
+            f"le{i} as materialized (select query_id, cand, src, dst, color from c{i} join e using (query_id) where e.path_id = cand union select query_id, cand, src, dst, color from c{i} join tk{i} using (query_id) join e using (query_id, path_id))",
+            f"r{i} as (select query_id, cand, w, unnest(sources) as v from c{i} join {queries} using (query_id), ws union select r.query_id, r.cand, r.w, l.dst from r{i} r join le{i} x on x.query_id = r.query_id and x.cand = r.cand and x.src = r.v "
+            "join live l on l.w = r.w and l.src = x.src and l.dst = x.dst and l.color = x.color)",
+            f"h{i} as materialized (select query_id, cand, {hits} as hits from r{i} join {queries} using (query_id) where list_contains(targets, v) group by 1, 2)",
+            f"pk{i} as materialized (select query_id, cand, chosen, new, coalesce(hits, 0) as hits from c{i} left join h{i} using (query_id, cand) qualify row_number() over (partition by query_id order by coalesce(hits, 0) desc, cand) = 1)",
+            f"taken{i} as (select * from tk{i} union all select query_id, cand from pk{i})",
+            f"rest{i} as (select c.query_id, c.cand as path_id, c.colors, list_concat(p.chosen, p.new) as chosen from c{i} c join pk{i} p on p.query_id = c.query_id and p.cand <> c.cand)",
+        ]
+    each = " union all ".join(f"select query_id, len(chosen) + generate_subscripts(new, 1) as rank, unnest(new) as color, hits from pk{i}" for i in range(1, k + 1))
+    return [*parts, f"picks as materialized (select query_id, cast(rank as int) as rank, color, cast(hits as bigint) as hits from ({each}))"]
+
+
+def heuristic(objective: str, k: int, r: int, worlds: int) -> str:
+    """For all objectives but min and conn, whose covers and trees are no queries."""
+    head = [*BASE, ARCS, live(worlds)]
+    if objective == "max":
+        best = "best as (select parent, arg_max(query_id, (worth, s, t)) as query_id from (select query_id, max(hits) as worth from picks group by 1) join qp using (query_id) group by 1)"
+        return recursive(*head, PAIRS, *walks(r, "qp"), *greedy("sum", k, "qp"), best, "select parent as query_id, rank, color, hits from picks join best using (query_id)")
+    final = "select query_id, rank, color, hits from picks"
+    if objective == "avg":
+        pooled = "walk as (select query_id, cast(row_number() over (partition by query_id order by cost, path) as int) as rank, cost, path from (select distinct parent as query_id, cost, path from each_walk join qp using (query_id)))"
+        each = [x.replace("walk as (", "each_walk as (", 1) if x.startswith("walk as (") else x for x in walks(r, "qp")]
+        return recursive(*head, PAIRS, *each, pooled, *greedy("sum", k), final)
+    if objective == "s":
+        return recursive(*head, ONE, *walks(r, "q1"), *greedy("sum", k, "q1"), final)
+    return recursive(*head, *walks(r), *greedy(objective, k), final)
+
+
 #: Least cost from each node to each other, over up to 24 edges.
 DIST = """
 steps as (

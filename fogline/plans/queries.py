@@ -475,7 +475,7 @@ def mc_8(spark, sf_dir):
 # paths and trees -------------------------------------------------------------------------------------------------------
 
 
-@query(sql.recursive(*sql.BASE, sql.ARCS, "q1 as (select query_id, [list_min(sources)] as sources, [list_min(targets)] as targets from q)", *sql.walks(10, "q1"), "select * from walk"))
+@query(sql.recursive(*sql.BASE, sql.ARCS, sql.ONE, *sql.walks(10, "q1"), "select * from walk"))
 def sp_1(spark, sf_dir):
     """The ten most reliable walks between two nodes."""
     return paths.top_walks(trade(spark, sf_dir), objectives._single(region_queries(spark, sf_dir)), 10)
@@ -570,7 +570,7 @@ def _register(objective: str) -> None:
     query(sql.evaluate(objective, EVALUATED), f"obj_{objective}_eval")(run_eval)
     query(sql.baseline1(objective, K, WORLDS), f"obj_{objective}_b1")(run_b1)
     query(sql.baseline2(objective, ADDED), f"obj_{objective}_b2")(run_b2)
-    query(None, f"obj_{objective}_h")(run_h)
+    query(None if objective in ("min", "conn") else sql.heuristic(objective, 3, 10, WORLDS), f"obj_{objective}_h")(run_h)
 
 
 for _objective in objectives.OBJECTIVES:
