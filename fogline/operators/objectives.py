@@ -73,8 +73,10 @@ def top_k(scores: DataFrame, k: int) -> DataFrame:
 
 
 def by_pair(queries: DataFrame) -> DataFrame:
-    """Each pair of a query as a query of its own: (query_id, sources, targets, parent, source, target)."""
+    """Each pair of a query as a query of its own: (query_id, sources, targets, parent, source, target, place), ``place`` being its number
+    within the query by source and target."""
     each = pairs(queries).withColumn("parent", F.col("query_id"))
+    each = each.withColumn("place", F.row_number().over(W.partitionBy("parent").orderBy("source", "target")).cast("long"))
     return each.withColumn("query_id", F.xxhash64("parent", "source", "target")).withColumns({"sources": F.array("source"), "targets": F.array("target")})
 
 

@@ -155,11 +155,11 @@ def max_min(edges: DataFrame, queries: DataFrame, k: int, r: int, worlds: int, h
     walks = top_walks(edges, solved.select("query_id", "sources", "targets"), r, hops)
     walked = materialize(_walked(walks, edges).withColumnRenamed("query_id", "pair"), "walked")
     told = ordered_colors(walked.withColumnRenamed("pair", "query_id")).withColumnsRenamed({"query_id": "pair", "path_id": "rank"})
-    routes = materialize(told.join(solved.select(F.col("query_id").alias("pair"), F.col("parent").alias("query_id")), "pair"), "routes")
+    routes = materialize(told.join(solved.select(F.col("query_id").alias("pair"), F.col("parent").alias("query_id"), "place"), "pair"), "routes")
     whole = solved.join(routes.select(F.col("pair").alias("query_id")).distinct(), "query_id", "left_anti").select(F.col("parent").alias("query_id")).distinct()
     routes = materialize(routes.join(whole, "query_id", "left_anti"), "routes")
-    chosen = materialize(minimum_cover(routes, k), "cover")
-    ends = solved.select(F.col("query_id").alias("pair"), F.col("parent").alias("query_id"), "source", "target")
+    chosen = materialize(minimum_cover(routes.withColumn("pair", F.col("place")), k), "cover")
+    ends = solved.select(F.col("query_id").alias("pair"), F.col("parent").alias("query_id"), "source", "target", "place")
 
     def pair_hits(cands: DataFrame, allowed: DataFrame) -> DataFrame:
         """(query_id, cand, pair, hits) of candidates (query_id, cand, pair) with colors (query_id, cand, color), each within its pair's paths."""
@@ -178,7 +178,7 @@ def max_min(edges: DataFrame, queries: DataFrame, k: int, r: int, worlds: int, h
         if now.limit(1).count() == 0:
             break
         base = materialize(pair_hits(now.select("query_id", zero, "pair").distinct(), chosen.select("query_id", zero, "color")), "base")
-        worst = base.groupBy("query_id").agg(F.min(F.struct("hits", "pair")).alias("w")).select("query_id", F.col("w.pair").alias("pair"))
+        worst = base.join(ends.select("query_id", "pair", "place"), ["query_id", "pair"]).groupBy("query_id").agg(F.min(F.struct("hits", "place", "pair")).alias("w")).select("query_id", F.col("w.pair").alias("pair"))
         options = now.join(worst, ["query_id", "pair"]).withColumn("new", F.array_except("colors", "have")).where((F.size("new") > 0) & (F.size("have") + F.size("new") <= k))
         options = materialize(options.withColumn("cand", F.col("rank")), "options")
         if options.limit(1).count() == 0:

@@ -147,7 +147,9 @@ def greedy(objective: str, k: int, queries: str = "q") -> list[str]:
 
 
 def heuristic(objective: str, k: int, r: int, worlds: int) -> str:
-    """For all objectives but min and conn, whose covers and trees are no queries."""
+    """For all objectives but conn."""
+    if objective == "min":
+        return max_min(k, r, worlds)
     head = [*BASE, ARCS, live(worlds)]
     if objective == "max":
         best = "best as (select parent, arg_max(query_id, (worth, s, t)) as query_id from (select query_id, max(hits) as worth from picks group by 1) join qp using (query_id) group by 1)"
@@ -162,6 +164,73 @@ def heuristic(objective: str, k: int, r: int, worlds: int) -> str:
     return recursive(*head, *walks(r), *greedy(objective, k), final)
 
 
+#: The edges and the colors of the walks of each pair, and the queries that have walks for all their pairs.
+ROUTES = [
+    "e as materialized (select query_id as pair, rank, position, src, dst, color from (select query_id, rank, unnest(string_split(path, '|')) as label, generate_subscripts(string_split(path, '|'), 1) as position from walk) x "
+    f"join (select *, {EDGE} as edge from g) g on g.edge = label)",
+    "routes as materialized (select parent as query_id, pair, rank, list(color order by first) as colors from (select pair, rank, color, min(position) as first from e group by 1, 2, 3) join qp on qp.query_id = pair group by 1, 2, 3)",
+]
+
+
+def cover(k: int) -> list[str]:
+    """covered (query_id, chosen) of routes. A step takes the next path, or drops a color while there are more than k: pend is the pair
+    whose path was taken and that isn't done yet."""
+    fresh = "len(list_filter(p.colors, lambda c: not list_contains(chosen, c)))"
+    kept = "len(list_filter(paths, lambda p: p.pair = d and len(list_filter(p.colors, lambda x: x = c or not list_contains(chosen, x))) = 0))"
+    spare = f"list_filter(list_sort(chosen), lambda c: not list_contains(needs, c) and len(list_filter(done, lambda d: {kept} = 0)) = 0)"
+    return [
+        "every as (select query_id, list({'pair': pair, 'colors': colors} order by rank, pair) as paths, count(distinct pair) as n from routes group by 1)",
+        f"""
+cover as (
+  select query_id, paths, n, cast([] as bigint[]) as chosen, cast([] as bigint[]) as done, cast(null as bigint) as pend, cast([] as bigint[]) as needs, false as dead from every
+  union all
+  select query_id, paths, n, now, case when len(now) <= {k} and not stuck then list_append(done, taken) else done end,
+         case when len(now) > {k} then taken end, wants, stuck
+  from (
+    select *, case when pend is null then list_distinct(list_concat(chosen, next.colors)) else list_filter(chosen, lambda c: c <> spare[1]) end as now,
+           coalesce(pend, next.pair) as taken, case when pend is null then next.colors else needs end as wants, pend is not null and len(spare) = 0 as stuck
+    from (
+      select *, rest[list_position(costs, list_min(costs))] as next, {spare} as spare
+      from (
+        select *, list_transform(rest, lambda p: {fresh}) as costs
+        from (select *, list_filter(paths, lambda p: not list_contains(done, p.pair)) as rest from cover where not dead and len(done) < n))))),
+covered as materialized (select query_id, chosen from cover where len(done) = n and not dead)""",
+    ]
+
+
+def minimum_cover(k: int, r: int) -> str:
+    return recursive(*BASE, ARCS, PAIRS, *walks(r, "qp"), *ROUTES, *cover(k), "select query_id, unnest(chosen) as color from covered")
+
+
+def max_min(k: int, r: int, worlds: int) -> str:
+    """A cover of the queries whose pairs all have walks, then up to k rounds for the worst pair."""
+
+    def hits(x: str) -> list[str]:
+        """h{x} of c{x} (query_id, cand, pair, cols): worlds in which the pair's walks under the colors cols lead from its source to its target."""
+        return [
+            f"x{x} as materialized (select distinct query_id, cand, pair, src, dst, color from c{x} join e using (pair) where list_contains(cols, color))",
+            f"r{x} as (select c.query_id, cand, pair, w, s as v from c{x} c join qp on qp.query_id = pair, ws union select r.query_id, r.cand, r.pair, r.w, l.dst from r{x} r join x{x} x on x.query_id = r.query_id and x.cand = r.cand and x.pair = r.pair and x.src = r.v "
+            "join live l on l.w = r.w and l.src = x.src and l.dst = x.dst and l.color = x.color)",
+            f"h{x} as materialized (select c.query_id, c.cand, c.pair, coalesce(n, 0) as hits from c{x} c left join (select r.query_id, cand, pair, count(*) as n from r{x} r join qp on qp.query_id = pair where v = t group by 1, 2, 3) using (query_id, cand, pair))",
+        ]
+
+    parts = [*BASE, ARCS, live(worlds), PAIRS, *walks(r, "qp"), *[x.replace("routes as", "ways as") for x in ROUTES]]
+    parts += ["routes as materialized (select * from ways where query_id not in (select parent from qp where query_id not in (select pair from ways)))", *cover(k), "set0 as (select query_id, chosen as have from covered where len(chosen) > 0)"]
+    for i in range(1, k + 1):
+        parts += [
+            f"ca{i} as materialized (select distinct query_id, 0 as cand, pair, have as cols from routes join set{i - 1} using (query_id) where len(have) < {k})",
+            *hits(f"a{i}"),
+            f"worst{i} as (select query_id, arg_min(pair, (hits, pair)) as pair from ha{i} group by 1)",
+            f"cb{i} as materialized (select query_id, rank as cand, pair, list_distinct(list_concat(have, colors)) as cols from routes join worst{i} using (query_id, pair) join set{i - 1} using (query_id) where len(list_distinct(list_concat(have, colors))) between len(have) + 1 and {k})",
+            *hits(f"b{i}"),
+            f"best{i} as (select query_id, cand from hb{i} qualify row_number() over (partition by query_id order by hits desc, cand) = 1)",
+            f"set{i} as materialized (select s.query_id, coalesce(cols, have) as have from set{i - 1} s left join (select query_id, cols from cb{i} join best{i} using (query_id, cand)) using (query_id))",
+        ]
+    parts += [f"cz as materialized (select s.query_id, 0 as cand, qp.query_id as pair, have as cols from set{k} s join qp on parent = s.query_id)", *hits("z")]
+    parts.append(f"told as (select query_id, unnest(list_sort(have)) as color, generate_subscripts(have, 1) as rank from set{k})")
+    return recursive(*parts, "select query_id, cast(rank as int) as rank, color, cast(hits as bigint) as hits from told join (select query_id, min(hits) as hits from hz group by 1) using (query_id)")
+
+
 #: Least cost from each node to each other, over up to 24 edges.
 DIST = """
 steps as (

@@ -570,7 +570,7 @@ def _register(objective: str) -> None:
     query(sql.evaluate(objective, EVALUATED), f"obj_{objective}_eval")(run_eval)
     query(sql.baseline1(objective, K, WORLDS), f"obj_{objective}_b1")(run_b1)
     query(sql.baseline2(objective, ADDED), f"obj_{objective}_b2")(run_b2)
-    query(None if objective in ("min", "conn") else sql.heuristic(objective, 3, 10, WORLDS), f"obj_{objective}_h")(run_h)
+    query(None if objective == "conn" else sql.heuristic(objective, 3, 10, WORLDS), f"obj_{objective}_h")(run_h)
 
 
 for _objective in objectives.OBJECTIVES:
@@ -593,13 +593,13 @@ def fill_1(spark, sf_dir):
     return objectives.fill(chosen, chosen.select("query_id"), graph.colors(edges), 3)
 
 
-@query()
+@query(sql.minimum_cover(4, 5))
 def sel_4(spark, sf_dir):
     """Minimum color covers of the walks of all pairs."""
     edges, solved = trade(spark, sf_dir), objectives.by_pair(region_queries(spark, sf_dir))
     walks = paths.top_walks(edges, solved.select("query_id", "sources", "targets"), 5).withColumn("path_id", F.col("rank").cast("long"))
     told = select.ordered_colors(graph.path_edges(walks, edges))
-    routes = told.join(solved.select("query_id", "parent"), "query_id").select(F.col("parent").alias("query_id"), F.col("query_id").alias("pair"), F.col("path_id").alias("rank"), "colors")
+    routes = told.join(solved.select("query_id", "parent", "place"), "query_id").select(F.col("parent").alias("query_id"), F.col("place").alias("pair"), F.col("path_id").alias("rank"), "colors")
     return select.minimum_cover(routes, 4)
 
 
