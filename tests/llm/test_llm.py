@@ -3,8 +3,10 @@ empty tables, and further columns with clashing names."""
 
 import hashlib
 import itertools
+import math
 import random
 import re
+import struct
 import zlib
 
 import numpy as np
@@ -12,10 +14,12 @@ import pandas as pd
 import public_tokenizers
 import pytest
 import tiktoken
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from fogline.llm import bitmaps, bpe, exact_dedup, html_text, media, mixing, secret_scan, sharding, signature_tree, token_files, toxicity, webp, words
+from fogline.llm import queries as llm_queries
 
 RANKS, TOKENIZER = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json")
 #: doc_id, text, source and columns whose names an operator may use inside
@@ -189,6 +193,41 @@ def test_slots_are_gapless(spark):
     assert sharding.number_slots(sharding.assign_shards(empty(spark), "doc_id", [(0, 1.0)]), ["doc_id"]).count() == 0
 
 
+def brute_shards(docs, shards):
+    """Rows of the query on (doc_id, text), from the xxhash library: scores of all shards one by one, slots by counting sorted rows."""
+
+    def spark_hash(*values):
+        seed = 42
+        for form, x in values:
+            seed = seed if x is None else xxhash.xxh64_intdigest(struct.pack(form, x), seed=seed)
+        return seed
+
+    def best(doc_id, n):
+        score = lambda s: -1.0 / math.log(((spark_hash(("<q", doc_id), ("<i", s)) >> 12) + 0.5) / 2**52)
+        return max(range(n), key=lambda s: (score(s), -s))
+
+    rows = []
+    for doc_id, text in docs:
+        body = (text or "").encode()
+        size, crc = len(body) + 8, zlib.crc32(body)
+        bucket = spark_hash(("<q", doc_id), ("<q", crc), ("<q", size))
+        bucket = (bucket - (1 << 64) if bucket >> 63 else bucket) % sharding.SLOT_BUCKETS
+        rows.append((best(doc_id, shards), bucket, doc_id is not None, doc_id or 0, crc, size, doc_id))
+    taken, out = {}, []
+    for shard, _, _, _, crc, size, doc_id in sorted(rows, key=lambda x: x[:6]):
+        slot = taken[shard] = taken.get(shard, -1) + 1
+        out.append((doc_id, size, crc, "key", shard, slot, best(doc_id, shards + 1)))
+    return out
+
+
+def test_shards_equal_brute_force(spark, tmp_path):
+    docs = table(spark, TEXTS * 40, ids=[None if i % 97 == 0 else (i * 7919) % 400 - 50 for i in range(len(TEXTS) * 40)])
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = [tuple(r) for r in llm_queries.op5_rendezvous_sharding(spark, str(tmp_path)).collect()]
+    want = brute_shards([(r["doc_id"], r["text"]) for r in docs.collect()], 24)
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+
+
 # 6: n-gram Jaccard join
 
 
