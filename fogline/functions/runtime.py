@@ -7,7 +7,6 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,11 +77,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def cached(df: DataFrame) -> DataFrame:
-    """Keep a table that is read in every round; lost parts are computed again from its lineage."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
-
-
 @contextmanager
 def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
     """Within it, jobs send at most ``rows`` rows at once to Python workers: for long texts, to bound their memory."""

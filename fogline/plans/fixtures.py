@@ -27,11 +27,18 @@ def _trade_edges(sold: DataFrame) -> DataFrame:
 
 
 def flow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """User to the user of the next event of the same kind and day. (src, dst, color, p_pct, edge_id); it grows with events."""
-    events = read(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", F.to_date("ts").alias("day"))
-    following = F.lead("user_id").over(W.partitionBy("event_type", "day").orderBy("ts", "event_id"))
+    """User to the user of the next event of the same kind and day. (src, dst, color, p_pct, edge_id); it grows with events.
+
+    Events of a kind meet by the hour only. The last of an hour is followed by the first of the next hour of that day with events; a
+    kind and day have 24 such rows at most.
+    """
+    events = read(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", F.to_date("ts").alias("day"), F.hour("ts").alias("hour"))
+    hours = ["event_type", "day", "hour"]
+    firsts = events.groupBy(*hours).agg(F.min(F.struct("ts", "event_id", "user_id"))["user_id"].alias("first"))
+    later = firsts.select(*hours, F.lead("first").over(W.partitionBy("event_type", "day").orderBy("hour")).alias("later"))
+    within = events.withColumn("next", F.lead("user_id").over(W.partitionBy(*hours).orderBy("ts", "event_id")))
     color = F.array_position(F.array(*[F.lit(x) for x in ("click", "error", "purchase", "signup", "view")]), F.col("event_type")).cast("long")
-    edges = events.withColumn("dst", following).where("dst is not null and dst != user_id")
+    edges = within.join(later, hours).withColumn("dst", F.coalesce("next", "later")).where("dst is not null and dst != user_id")
     return materialize(edges.select(F.col("user_id").alias("src"), "dst", color.alias("color"), (1 + F.col("event_id") % 10).cast("long").alias("p_pct"), F.col("event_id").alias("edge_id")), "flow")
 
 

@@ -18,6 +18,12 @@ def live(worlds: int, key: str = EDGE, p: str = "p_pct") -> str:
     return f"ws as (select unnest(generate_series(0, {worlds - 1})) as w),\nlive as (select w, src, dst, color from g, ws where {coin} * 100 < {p} * 4294967296)"
 
 
+def live_undirected(worlds: int) -> str:
+    """The same where the arcs of an edge share a coin and both lead on where one of them exists."""
+    key = "least(src, dst) || '>' || greatest(src, dst) || '#' || color"
+    return live(worlds, key).replace("live as (", "live1 as (") + ",\nlive as (select * from live1 union select w, dst, src, color from live1)"
+
+
 def reach(x: str, reverse: bool = False) -> str:
     """Closure over live edges from seed{x} (query_id, cand, s, node) with the colors allow{x} (query_id, cand, color)."""
     a, b = ("dst", "src") if reverse else ("src", "dst")

@@ -423,14 +423,14 @@ def mc_3(spark, sf_dir):
     return objectives.pair_scores(reached, q, cands).withColumnRenamed("cand", "color")
 
 
-def _conn(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _conn(spark: SparkSession, sf_dir: str, directed: bool = True) -> DataFrame:
     edges, q = trade(spark, sf_dir), region_queries(spark, sf_dir)
     ends = q.select("query_id", F.explode(F.array_union("sources", "targets")).alias("node"))
-    reached = reach(edge_masks(edges, WORLDS), start(ends.withColumn("root", F.col("node")), WORLDS), ["query_id", "root"])
+    reached = reach(edge_masks(edges, WORLDS, directed), start(ends.withColumn("root", F.col("node")), WORLDS), ["query_id", "root"])
     return worlds_of_all(reached, ends, ["query_id", "root"])
 
 
-CONN_SQL = [*sql.BASE, sql.COLORS, sql.live(WORLDS), "cand as (select query_id, 0 as cand from q)", "allow as (select query_id, 0 as cand, color from q, colors)", *sql.score("conn")]
+CONN_SQL = [*sql.BASE, sql.COLORS, LIVE := sql.live(WORLDS), "cand as (select query_id, 0 as cand from q)", "allow as (select query_id, 0 as cand, color from q, colors)", *sql.score("conn")]
 
 
 @query(sql.recursive(*CONN_SQL, "select a.query_id, s as root, count(*) as hits from ev a join (select query_id, len(list_distinct(list_concat(sources, targets))) as k from q) z on z.query_id = a.query_id where got = k group by 1, 2"))
@@ -445,6 +445,12 @@ def mc_5(spark, sf_dir):
     return _conn(spark, sf_dir).groupBy("query_id").agg(F.max("hits").alias("hits"))
 
 
+@query(sql.recursive(*[sql.live_undirected(WORLDS) if x is LIVE else x for x in CONN_SQL], "select query_id, s as root, hits from (select a.query_id, s, count(*) as hits from ev a join (select query_id, len(list_distinct(list_concat(sources, targets))) as k from q) z on z.query_id = a.query_id where got = k group by 1, 2)"))
+def mc_5_undirected(spark, sf_dir):
+    """The same where edges lead both ways: each root reaches all terminals in the same worlds."""
+    return _conn(spark, sf_dir, directed=False)
+
+
 @query(sql.evaluate("s", 50, p="(p_pct // 10 * 10)"))
 def mc_6(spark, sf_dir):
     """Evaluation of a pair with probabilities rounded down to tenths."""

@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fogline.functions.names import parse_ids
+from fogline.functions.runtime import materialize
 from fogline.operators.graph import bidirected
 
 
@@ -55,8 +56,17 @@ def queries(df: DataFrame) -> DataFrame:
 
 
 def numbered(df: DataFrame, order: str, skip: int = 0, take: int | None = None) -> DataFrame:
-    """Rows ``skip`` to ``skip + take`` in the order of a unique column, with query_id from 0."""
-    out = df.withColumn("query_id", (F.row_number().over(W.orderBy(order)) - 1).cast("long")).where(F.col("query_id") >= skip)
+    """Rows ``skip`` to ``skip + take`` in the order of a unique column, with query_id from 0.
+
+    Rows are dealt out by ranges of that column and numbered within a range; a range starts where the one before it ends. The ranges
+    are written first, so that they stay the same when a task runs again.
+    """
+    ranges = materialize(df.repartitionByRange(order).withColumn("_range", F.spark_partition_id()), "numbered")
+    before = F.sum("count").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1))
+    starts = ranges.groupBy("_range").count().select("_range", F.coalesce(before, F.lit(0)).alias("_start"))
+    at = F.row_number().over(W.partitionBy("_range").orderBy(order)) - 1
+    rows = ranges.withColumn("_at", at).join(F.broadcast(starts), "_range")  # a row for each range
+    out = rows.withColumn("query_id", (F.col("_start") + F.col("_at")).cast("long")).drop("_range", "_at", "_start").where(F.col("query_id") >= skip)
     return out if take is None else out.where(F.col("query_id") < skip + take)
 
 
