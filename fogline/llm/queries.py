@@ -7,13 +7,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fogline.functions.runtime import read, scratch_path
-from fogline.llm import bpe, exact_dedup, html_text, media, mixing, secret_scan, sharding, signature_tree, token_files, toxicity
+from fogline.llm import bpe, exact_dedup, html_text, media, mixing, piece_bpe, secret_scan, sharding, signature_tree, spelling, token_files, toxicity
 
 SHARDS = [(k, 1.0) for k in range(24)]
 
 
 #: Files of the public tokenizers, found where their package is installed.
 RANKS, TOKENIZER = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_bpe_merge_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,9 +73,19 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_spelling_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word with its form, its root and its near words' number."""
+    return spelling.variants(read(spark, sf_dir, "documents"))
+
+
+def op12_piece_backtracking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids and of the decoded text of every text."""
+    return piece_bpe.digests(read(spark, sf_dir, "documents"), PIECES)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_bpe_merge_replay, op2_toxicity, op3_html_density, op4_secret_forest, op5_rendezvous_sharding, op6_signature_tree_join, op7_bit_plane_tokens, op8_exact_dedup, op9_lossless_webp, op10_source_mix)
+    for f in (op1_bpe_merge_replay, op2_toxicity, op3_html_density, op4_secret_forest, op5_rendezvous_sharding, op6_signature_tree_join, op7_bit_plane_tokens, op8_exact_dedup, op9_lossless_webp, op10_source_mix, op11_spelling_chunks, op12_piece_backtracking)
 }
 
 OP8_SQL = """
@@ -137,4 +148,46 @@ select doc_id, size, source_size, target,
 from run join s7 on run.source is not distinct from s7.source
 """
 
-SQL = {"op6_signature_tree_join": OP6_SQL, "op8_exact_dedup": OP8_SQL, "op10_source_mix": OP10_SQL}
+#: The crc32 of a byte, and of strings byte by byte.
+CRC_SQL = """
+crc0 as (
+  select k, k as v, 0 as i from range(256) r(k)
+  union all select k, xor(v >> 1, (v & 1) * 3988292384), i + 1 from crc0 where i < 8),
+crc as (select k, v from crc0 where i = 8)"""
+
+
+def crc_sql(name: str, source: str) -> str:
+    """``name`` (s, h): the crc32 of each string s of ``source`` (s)."""
+    return f"""
+{name}0 as (
+  select s, hex(encode(s)) as x, 0 as i, 4294967295::bigint as h from {source}
+  union all
+  select s, x, i + 1, xor(v, h >> 8) from {name}0 join crc on k = xor(h & 255, cast('0x' || substr(x, 2 * i + 1, 2) as bigint)) where 2 * i < length(x)),
+{name} as (select s, xor(h, 4294967295) as h from {name}0 where 2 * i = length(x))"""
+
+
+OP11_SQL = rf"""
+with recursive {CRC_SQL.strip()},
+runs as materialized (
+  select id, run, count(*) as c from (
+    select coalesce(doc_id::varchar, '') as id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{{00C0}}-\x{{00FF}}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as run
+    from documents) where length(run) >= 5 group by all),
+said as materialized (select distinct id || ':' || run as s from runs),{crc_sql("told", "said")},
+words as materialized (
+  select word, sum(c)::bigint as n from (
+    select case when h % 97 = 0 then substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) else run end as word, c from runs join told on s = id || ':' || run)
+  where length(word) >= 5 group by word having sum(c) >= 3),
+less as materialized (select word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) as v from words, lateral (select unnest(generate_series(1, length(word)))) t(i)),
+one as materialized (
+  select a.word, a.n, b.word as other, b.n as other_n from less a join less b on a.i = b.i and a.v = b.v and a.word <> b.word
+  union select a.word, a.n, b.word, b.n from less a join words b on a.v = b.word
+  union select b.word, b.n, a.word, a.n from less a join words b on a.v = b.word),
+near as materialized (select word, n, count(*) as n_near, max(other_n) as most from one group by word, n),
+forms as materialized (select a.word, min(other) as form, most as form_n from near a join one b on a.word = b.word and other_n = most where most >= 2 * a.n group by a.word, most),
+up as (select word, form as root from forms union all select up.word, forms.form from up join forms on forms.word = up.root),
+last as (select word, root from up where root not in (select word from forms))
+select w.word, form, coalesce(root, w.word) as root, w.n, coalesce(n_near, 0) as n_near, form_n
+from words w left join near on near.word = w.word left join forms on forms.word = w.word left join last on last.word = w.word
+"""
+
+SQL = {"op6_signature_tree_join": OP6_SQL, "op8_exact_dedup": OP8_SQL, "op10_source_mix": OP10_SQL, "op11_spelling_chunks": OP11_SQL}
