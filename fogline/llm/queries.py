@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fogline.functions.runtime import read, scratch_path
-from fogline.llm import bpe, exact_dedup, html_text, media, mixing, piece_bpe, secret_scan, sharding, signature_tree, spelling, token_files, toxicity
+from fogline.llm import bpe, exact_dedup, html_text, media, mixing, piece_bpe, prefix_trie, secret_scan, sharding, signature_tree, spelling, token_files, toxicity
 
 SHARDS = [(k, 1.0) for k in range(24)]
 
@@ -83,9 +83,15 @@ def op12_piece_backtracking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_bpe.digests(read(spark, sf_dir, "documents"), PIECES)
 
 
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of rebuilt conversations, with its subtree's totals."""
+    rows, every = prefix_trie.rebuilt(prefix_trie.turns(read(spark, sf_dir, "conversations")))
+    return prefix_trie.trie(rows, every)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_bpe_merge_replay, op2_toxicity, op3_html_density, op4_secret_forest, op5_rendezvous_sharding, op6_signature_tree_join, op7_bit_plane_tokens, op8_exact_dedup, op9_lossless_webp, op10_source_mix, op11_spelling_chunks, op12_piece_backtracking)
+    for f in (op1_bpe_merge_replay, op2_toxicity, op3_html_density, op4_secret_forest, op5_rendezvous_sharding, op6_signature_tree_join, op7_bit_plane_tokens, op8_exact_dedup, op9_lossless_webp, op10_source_mix, op11_spelling_chunks, op12_piece_backtracking, op13_conversation_trie)
 }
 
 OP8_SQL = """
@@ -190,4 +196,28 @@ select w.word, form, coalesce(root, w.word) as root, w.n, coalesce(n_near, 0) as
 from words w left join near on near.word = w.word left join forms on forms.word = w.word left join last on last.word = w.word
 """
 
-SQL = {"op6_signature_tree_join": OP6_SQL, "op8_exact_dedup": OP8_SQL, "op10_source_mix": OP10_SQL, "op11_spelling_chunks": OP11_SQL}
+OP13_SQL = rf"""
+with recursive {CRC_SQL.strip()},
+t as (select conv_id, row_number() over (partition by conv_id order by turn nulls first, role, text) as i, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null),
+ids as (select distinct conv_id::varchar as s from t),{crc_sql("told", "ids")},
+c as (select distinct conv_id, h % 4 as h from t join told on s = conv_id::varchar),
+lent as (select c.conv_id, t.i as d, role, text from c join t on t.conv_id = c.conv_id - c.conv_id % 20 and t.i <= h),
+k as (select conv_id, count(*) as k from lent group by 1),
+made as (
+  select * from lent
+  union all select c.conv_id, coalesce(k, 0) + t.i - h, role, text from c join t on t.conv_id = c.conv_id left join k on k.conv_id = c.conv_id where t.i > h),
+seq as (select conv_id, coalesce(list({{'role': role, 'text': text}} order by d) filter (d is not null), []) as s from c left join made using (conv_id) group by 1),
+pre as (select conv_id, d, s[1:d] as p, len(s) = d as ends from seq, lateral (select unnest(generate_series(0, len(s)))) r(d)),
+node as materialized (
+  select p, d, min(conv_id) as conv_id, count(*) as n_convs, coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (ends), '') as e,
+         (count(*) - 1) * case when d = 0 then 0 else len(regexp_extract_all(p[d].text, '[^\x20\x09-\x0D]+')) end as saved
+  from pre group by p, d),
+edge as materialized (select a.p, a.d, b.conv_id as parent from node a join node b on b.d = a.d - 1 and b.p = a.p[1 : a.d - 1]),
+child as (select p[1 : d - 1] as p, d - 1 as d, count(*) as n from edge group by 1, 2),
+own as (select node.p, node.d, saved, case when n is null then 1 else 0 end as leaf from node left join child on child.d = node.d and child.p = node.p),
+sums as (select p[1:j] as p, j as d, sum(leaf)::bigint as n_leaves, sum(saved)::bigint as saved_tokens from own, lateral (select unnest(generate_series(0, d))) r(j) group by 1, 2)
+select conv_id, node.d as depth, parent as parent_conv_id, n_convs, coalesce(n, 0) as n_children, n_leaves, saved_tokens, sha256(e) as ends_sha256
+from node join sums on sums.d = node.d and sums.p = node.p left join edge on edge.d = node.d and edge.p = node.p left join child on child.d = node.d and child.p = node.p
+"""
+
+SQL = {"op6_signature_tree_join": OP6_SQL, "op8_exact_dedup": OP8_SQL, "op10_source_mix": OP10_SQL, "op11_spelling_chunks": OP11_SQL, "op13_conversation_trie": OP13_SQL}
