@@ -1,4 +1,8 @@
-"""Deterministic coins for possible worlds, equal in any SQL engine."""
+"""Deterministic coins for possible worlds, equal in any SQL engine.
+
+An edge isn't tossed in each world. Its coins give the gaps between the worlds in which it exists, which are geometric, so an edge of
+probability p takes some p coins a world.
+"""
 
 from __future__ import annotations
 
@@ -12,7 +16,9 @@ CHUNK = 64
 
 
 def edge_key(columns: list[str], directed: bool = True) -> Column:
-    """What names an edge in its coins; both arcs of an undirected edge share it."""
+    """What names an edge in its coins; both arcs of an undirected edge share it. A column ``coin`` says it outright."""
+    if "coin" in columns:
+        return F.col("coin")
     a, b = (F.col("src"), F.col("dst")) if directed else (F.least("src", "dst"), F.greatest("src", "dst"))
     parts = [a.cast("string"), F.lit(">"), b.cast("string"), F.lit("#"), F.col("color").cast("string")]
     if "edge_id" in columns:
@@ -25,20 +31,35 @@ def uniform32(key: Column) -> Column:
     return F.conv(F.substring(F.md5(key.cast("binary")), 1, 8), 16, 10).cast("long")
 
 
-def toss(edges: DataFrame, worlds: int, by: Sequence[str], key: Column, p_pct: Column) -> DataFrame:
-    """(chunk, by, em): bit w of a mask is set if an edge of the group exists in world 64 * chunk + w, that is, if its coin times
-    100 is below p_pct times 2^32. Groups without a world have no row.
+def toss(edges: DataFrame, worlds: int, by: Sequence[str], key: Column, p: Column) -> DataFrame:
+    """(chunk, by, em): bit w of a mask is set if an edge of the group exists in world 64 * chunk + w. Groups without a world have no row.
 
-    A coin for each world of each edge is far more work than the edges' bytes say, so the rows are dealt out before. Worlds are
-    rows for that moment only: those in which an edge doesn't exist are dropped at once, and the others are combined before they
-    are shuffled.
+    ``p`` is a probability: 0 or less (or null) is never, 1 or more always. The i-th world in which an edge exists comes 1 + floor(ln(u) /
+    ln(1 - p)) after the one before, where u = (coin + 0.5) / 2^32 and the coin is ``uniform32`` of i, a colon and the edge's key. The
+    rows are dealt out before, as coins are far more work than the edges' bytes say, and worlds are combined before they are shuffled.
     """
     parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = edges.select(*by, key.alias("_key"), p_pct.alias("_p")).repartition(parts)
-    rows = rows.withColumn("_w", F.explode(F.sequence(F.lit(0), F.lit(worlds - 1))))
-    alive = uniform32(F.concat(F.col("_w").cast("string"), F.lit(":"), "_key")) * 100 < F.col("_p") * 4294967296
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_w") % CHUNK)
-    return rows.where(alive).groupBy(F.floor(F.col("_w") / CHUNK).cast("int").alias("chunk"), *by).agg(F.bit_or(bit).alias("em"))
+    rows = edges.select(*by, key.alias("_key"), F.least(p, F.lit(1.0)).alias("_p")).where("_p > 0").repartition(parts)
+    miss = F.when(F.col("_p") < 1, F.log1p(-F.col("_p")))
+
+    def after(i: Column) -> Column:
+        u = (uniform32(F.concat(i.cast("string"), F.lit(":"), "_key")) + 0.5) / 4294967296.0
+        return F.when(F.col("_miss").isNull(), 0).otherwise(F.least(F.floor(F.log(u) / F.col("_miss")), F.lit(worlds))).cast("long") + 1
+
+    def walk(begun: Column, first: Column, last: Column) -> Column:
+        """Worlds one after the other, until one is past the last world."""
+        over = lambda so_far: F.element_at(so_far, -1) >= worlds
+        return F.aggregate(F.sequence(first, last), begun, lambda so_far, i: F.when(over(so_far), so_far).otherwise(F.concat(so_far, F.array(F.element_at(so_far, -1) + after(i)))))
+
+    # nearly always so many coins are enough; where they aren't, the walk goes on, at most to a coin for each world
+    expected = F.col("_p") * worlds
+    few = F.least(F.lit(worlds + 1), F.ceil(expected + 8 * F.sqrt(expected) + 20)).cast("int")
+    rows = rows.withColumn("_miss", miss).withColumn("_few", few).withColumn("_met", walk(F.array(F.lit(-1).cast("long")), F.lit(1), F.col("_few")))
+    rest = walk(F.col("_met"), F.col("_few") + 1, F.lit(worlds + 2))
+    rows = rows.withColumn("_met", F.when(F.element_at("_met", -1) >= worlds, F.col("_met")).otherwise(rest))
+    rows = rows.select(*by, F.explode("_met").alias("_w")).where(F.col("_w").between(0, worlds - 1))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("_w") % CHUNK).cast("int"))
+    return rows.groupBy(F.floor(F.col("_w") / CHUNK).cast("int").alias("chunk"), *by).agg(F.bit_or(bit).alias("em"))
 
 
 def all_worlds(chunk: Column, worlds: int) -> Column:

@@ -11,6 +11,21 @@ def cost_of(p_pct: Column) -> Column:
     return F.floor(-F.log(p_pct.cast("double") / 100.0) * 1000.0).cast("long")
 
 
+def chance(columns: list[str]) -> Column:
+    """The probability of an edge: p where there is one, else whole percent p_pct."""
+    return F.col("p").cast("double") if "p" in columns else F.col("p_pct").cast("double") / 100.0
+
+
+def cost(p: Column) -> Column:
+    """-ln(p) in whole thousandths, for a probability."""
+    return F.floor(-F.log(F.least(p, F.lit(1.0))) * 1000.0).cast("long")
+
+
+def rounded_down(p: Column, steps: int = 10) -> Column:
+    """A probability rounded down to a multiple of 1 / steps."""
+    return F.floor(F.round(p * steps, 9)) / F.lit(float(steps))
+
+
 def quantised(p_pct: Column, steps: int = 10) -> Column:
     """Percent rounded down to a multiple of 100 / steps."""
     return (F.floor(p_pct * steps / 100.0) * F.lit(100 // steps)).cast("long")

@@ -7,7 +7,8 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Largest number of rows that ``small`` lets Spark broadcast.
@@ -55,16 +56,38 @@ class Rounds:
     """The state of a loop in the shared folder: the table of each round takes the place of the one before it."""
 
     def __init__(self, name: str):
-        self.name, self.path = name, None
+        self.name, self.path, self.watched = name, None, 0
 
-    def write(self, df: DataFrame) -> DataFrame:
-        """Write the next state, then delete the last one, which nothing but ``df`` may read."""
-        path = scratch_path(df.sparkSession, self.name)
+    def write(self, df: DataFrame, watch: Column | None = None) -> DataFrame:
+        """Write the next state, then delete the last one, which nothing but ``df`` may read.
+
+        ``watched`` then is how many rows meet ``watch``, counted as they are written.
+        """
+        path, schema, seen = scratch_path(df.sparkSession, self.name), df.schema, Observation()
+        if watch is not None:
+            df = df.observe(seen, F.count_if(watch).alias("n"))
         df.write.parquet(path)
+        if watch is not None:
+            self.watched = seen.get["n"]
         if self.path:
             drop_path(df.sparkSession, self.path)
         self.path = path
-        return df.sparkSession.read.schema(df.schema).parquet(path)
+        return df.sparkSession.read.schema(schema).parquet(path)
+
+
+def ranked(df: DataFrame, order: str, rank: str) -> DataFrame:
+    """``df`` with the place of each row, from 0, in the order of a column, as ``rank``; rows of equal values get places in any order.
+
+    Rows are dealt out by ranges of that column and numbered within a range; a range starts where the one before it ends. The ranges
+    are written first, so that they stay the same when a task runs again. Columns of any name are passed on; an empty table stays empty.
+    """
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(f"`{order}`").alias("key"))
+    ranges = materialize(rows.repartitionByRange("key").withColumn("range", F.spark_partition_id()), "ranges")
+    before = F.sum("count").over(W.orderBy("range").rowsBetween(W.unboundedPreceding, -1))  # a row for each range
+    starts = ranges.groupBy("range").count().select("range", F.coalesce(before, F.lit(0)).alias("start"))
+    at = F.row_number().over(W.partitionBy("range").orderBy("key")) - 1
+    placed = ranges.withColumn("at", at).join(F.broadcast(starts), "range")
+    return placed.select("row.*", (F.col("start") + F.col("at")).cast("long").alias(rank))
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

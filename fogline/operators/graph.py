@@ -1,17 +1,23 @@
-"""Uncertain edge-labelled graphs as edge tables: src, dst, color, p_pct (whole percent) and, for parallel copies, edge_id."""
+"""Uncertain edge-labelled graphs as edge tables: src, dst, color and a probability, p or, in whole percent, p_pct.
+
+Edges that share src, dst and color are told apart by edge_id; a table without it has one edge for each of these.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fogline.functions.costs import cost_of
-from fogline.functions.runtime import small
+from fogline.functions.coins import edge_key
+from fogline.functions.costs import chance, cost
+from fogline.functions.runtime import materialize, ranked, small
 
 #: Color of edges that every selection may use.
 NEUTRAL = -1
 #: Ids of the nodes that stand for all sources and all targets.
 SUPER_SOURCE, SUPER_SINK = -1, -2
+#: What operators know of an edge.
+EDGE = ["edge_id", "src", "dst", "color", "p", "coin"]
 
 
 def nodes(edges: DataFrame) -> DataFrame:
@@ -34,20 +40,59 @@ def bidirected(edges: DataFrame) -> DataFrame:
     return edges.unionByName(swapped(edges))
 
 
+def identified(edges: DataFrame, directed: bool = True) -> DataFrame:
+    """The arcs of a graph as (edge_id, src, dst, color, p, coin), written once; both arcs of an undirected edge share id and coin.
+
+    Without edge ids, an edge's id is its place in the order of the edges' printed forms; of rows that share src, dst and color the
+    one with the largest p counts, as they would share their coins too. ``coin`` names the edge in its coins. A table that has
+    ``coin`` is identified already and stays as it is.
+    """
+    if "coin" in edges.columns:
+        return edges
+    coin = edge_key(edges.columns, directed).alias("coin")
+    if "edge_id" in edges.columns:
+        rows = edges.select(F.col("edge_id").cast("long").alias("edge_id"), "src", "dst", "color", chance(edges.columns).alias("p"), coin)
+    else:
+        rows = edges.select("src", "dst", "color", chance(edges.columns).alias("p"), coin).groupBy("src", "dst", "color", "coin").agg(F.max("p").alias("p"))
+        rows = ranked(rows.withColumn("label", edge_label()), "label", "edge_id").select(*EDGE)
+    return materialize(rows if directed else bidirected(rows), "edges")
+
+
+def printed(edges: DataFrame) -> DataFrame:
+    """(edge_id, label) of a graph as it was given: src>dst#color, and @edge_id where the table has edge ids."""
+    label = edge_label()
+    if "coin" not in edges.columns:
+        label = F.concat(label, F.lit("@"), F.col("edge_id").cast("string")) if "edge_id" in edges.columns else label
+        edges = edges if "edge_id" in edges.columns else identified(edges)
+    else:
+        label = F.concat(label, F.when(F.contains("coin", F.lit("@")), F.concat(F.lit("@"), F.col("edge_id").cast("string"))).otherwise(F.lit("")))
+    return edges.select("edge_id", label.alias("label")).groupBy("edge_id").agg(F.min("label").alias("label"))
+
+
+def with_paths(walks: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
+    """``walks`` (keys, edges) with ``path``, the printed edges in order, with | between; empty for none."""
+    each = walks.select(*keys, F.posexplode("edges").alias("at", "edge_id")).join(printed(edges), "edge_id")
+    told = each.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("at", "label"))).alias("steps"))
+    path = F.array_join(F.transform("steps", lambda x: x["label"]), "|")
+    return walks.join(told.select(*keys, path.alias("path")), keys, "left").withColumn("path", F.coalesce("path", F.lit("")))
+
+
 def extended(edges: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, src, dst, color, p_pct) of the super edges and, with query_id null, the graph's own edges.
+    """(query_id, src, dst, color, p or p_pct) of the super edges and, with query_id null, the graph's own edges.
 
     Super edges are certain, neutral and lead from SUPER_SOURCE to each source and from each target to SUPER_SINK.
     """
+    p, certain = ("p", 1.0) if "p" in edges.columns else ("p_pct", 100)
     to = queries.select("query_id", F.lit(SUPER_SOURCE).cast("long").alias("src"), F.explode("sources").alias("dst"))
     off = queries.select("query_id", F.explode("targets").alias("src"), F.lit(SUPER_SINK).cast("long").alias("dst"))
-    extra = to.unionByName(off).withColumns({"color": F.lit(NEUTRAL).cast("long"), "p_pct": F.lit(100).cast("long")})
-    return extra.unionByName(edges.select(F.lit(None).cast("long").alias("query_id"), "src", "dst", "color", "p_pct"))
+    extra = to.unionByName(off).withColumns({"color": F.lit(NEUTRAL).cast("long"), p: F.lit(certain).cast(edges.schema[p].dataType)})
+    return extra.unionByName(edges.select(F.lit(None).cast("long").alias("query_id"), "src", "dst", "color", p))
 
 
 def with_cost(edges: DataFrame) -> DataFrame:
     """Edges with a probability above 0 and their cost."""
-    return edges.where("p_pct > 0").withColumn("cost", cost_of(F.col("p_pct")))
+    p = chance(edges.columns)
+    return edges.where(p > 0).withColumn("cost", cost(p))
 
 
 def of_colors(edges: DataFrame, chosen: DataFrame, neutral: bool = True) -> DataFrame:
@@ -75,25 +120,29 @@ def require_colors(edges: DataFrame, k: int) -> None:
 
 
 def first_edge(edges: DataFrame, pairs: DataFrame) -> DataFrame:
-    """For each (src, dst) of ``pairs`` the edge with the smallest color."""
-    least = F.min(F.struct("color", "p_pct")).alias("e")
-    return edges.join(pairs, ["src", "dst"]).groupBy("src", "dst").agg(least).select("src", "dst", "e.color", "e.p_pct")
+    """For each (src, dst) of ``pairs`` the edge with the smallest color, and the smallest probability among those."""
+    p = "p" if "p" in edges.columns else "p_pct"
+    return edges.join(pairs, ["src", "dst"]).groupBy("src", "dst").agg(F.min(F.struct("color", p)).alias("e")).select("src", "dst", "e.color", f"e.{p}")
 
 
 def deduplicated(edges: DataFrame) -> DataFrame:
     """One edge for each (src, dst, color), with the largest probability."""
-    return edges.groupBy("src", "dst", "color").agg(F.max("p_pct").alias("p_pct"))
+    p = "p" if "p" in edges.columns else "p_pct"
+    return edges.groupBy("src", "dst", "color").agg(F.max(p).alias(p))
 
 
 def edge_label(src="src", dst="dst", color="color"):
-    """The printed form of an edge, src>dst#color, that paths are made of."""
+    """The printed form of an edge, src>dst#color."""
     return F.concat(F.col(src).cast("string"), F.lit(">"), F.col(dst).cast("string"), F.lit("#"), F.col(color).cast("string"))
 
 
 def path_edges(paths: DataFrame, edges: DataFrame) -> DataFrame:
-    """(query_id, path_id, position, src, dst, color, p_pct) of paths given as (query_id, path_id, path)."""
-    each = paths.select("query_id", "path_id", F.posexplode(F.split("path", r"\|")).alias("position", "label"))
-    return each.join(edges.withColumn("label", edge_label()), "label").select("query_id", "path_id", "position", "src", "dst", "color", "p_pct")
+    """(query_id, path_id, position, edge_id, src, dst, color, p, coin) of paths given as (query_id, path_id, edges), by edge ids.
+
+    An undirected edge that was identified as such gives both of its arcs at its position.
+    """
+    each = paths.select("query_id", "path_id", F.posexplode("edges").alias("position", "edge_id"))
+    return each.join(identified(edges), "edge_id").select("query_id", "path_id", "position", *EDGE)
 
 
 def path_colors(walked: DataFrame) -> DataFrame:

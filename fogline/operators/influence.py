@@ -5,20 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fogline.functions.costs import miss_pct
+from fogline.functions.costs import chance, miss_pct
 from fogline.functions.runtime import materialize
 from fogline.operators.reach import edge_masks, reach, start
 
 
 def collapse(edges: DataFrame, chosen: DataFrame | None = None) -> DataFrame:
-    """(src, dst, p_pct): one edge an endpoint pair, with the chance, in truncated percent, that any of its chosen colors exists.
+    """One edge an endpoint pair, with the chance that any of its chosen colors exists: (src, dst, p) of a graph that has p, and (src, dst,
+    p_pct), in truncated percent, of one that has p_pct.
 
     Without ``chosen`` (color) all colors count; pairs without a chosen color stay, with 0.
     """
+    exact = "p" in edges.columns
+    edges = edges.withColumn("_miss", 1.0 - chance(edges.columns) if exact else (100 - F.col("p_pct")).cast("double") / 100.0)
     if chosen is not None:
-        edges = edges.join(chosen.select("color").distinct().withColumn("_in", F.lit(True)), "color", "left").withColumn("p_pct", F.when(F.col("_in"), F.col("p_pct")).otherwise(0))
-    miss = F.aggregate(F.transform(F.array_sort(F.collect_list(100 - F.col("p_pct"))), lambda x: x.cast("double") / 100.0), F.lit(1.0), lambda a, x: a * x)
-    return edges.groupBy("src", "dst").agg(F.floor(F.round((1.0 - miss) * 100.0, 6)).cast("long").alias("p_pct"))
+        edges = edges.join(chosen.select("color").distinct().withColumn("_in", F.lit(True)), "color", "left").withColumn("_miss", F.when(F.col("_in"), F.col("_miss")).otherwise(1.0))
+    # multiplied from the smallest on, so that it is the same each time
+    miss = F.aggregate(F.array_sort(F.collect_list("_miss")), F.lit(1.0), lambda a, x: a * x)
+    met = edges.groupBy("src", "dst").agg(miss.alias("_miss"))
+    p = (1.0 - F.col("_miss")).alias("p") if exact else F.floor(F.round((1.0 - F.col("_miss")) * 100.0, 6)).cast("long").alias("p_pct")
+    return met.select("src", "dst", p)
 
 
 def noisy_or(edges: DataFrame) -> DataFrame:
@@ -68,6 +74,10 @@ def seeds(masks: DataFrame, k: int) -> DataFrame:
     return out if out is not None else masks.sparkSession.createDataFrame([], "rank int, node long, hits long")
 
 
+def _some(edges: DataFrame) -> DataFrame:
+    return edges.where(chance(edges.columns) > 0)
+
+
 def alternate(edges: DataFrame, targets: DataFrame, rounds: int, n_seeds: int, k: int, r: int, worlds: int = 64, hops: int | None = None) -> DataFrame:
     """(round, kind, rank, id, hits): in turn, seeds on the graph under the current colors, then colors for these seeds.
 
@@ -77,7 +87,7 @@ def alternate(edges: DataFrame, targets: DataFrame, rounds: int, n_seeds: int, k
 
     chosen, out = None, None
     for turn in range(1, rounds + 1):
-        found = materialize(seeds(target_masks(collapse(edges, chosen).where("p_pct > 0"), targets, worlds), n_seeds), "seeds")
+        found = materialize(seeds(target_masks(_some(collapse(edges, chosen)), targets, worlds), n_seeds), "seeds")
         queries = found.agg(F.array_sort(F.collect_list("node")).alias("sources")).crossJoin(targets.agg(F.array_sort(F.collect_list("node")).alias("targets"))).withColumn("query_id", F.lit(0).cast("long"))
         chosen = materialize(heuristic(edges, queries, k, r, "rel", worlds, hops), "colors")
         rows = found.select(F.lit(turn).alias("round"), F.lit("seed").alias("kind"), "rank", F.col("node").alias("id"), "hits")

@@ -34,17 +34,19 @@ def score(masks: DataFrame, queries: DataFrame, cands: DataFrame, allowed: DataF
     begun = queries.join(cands, "query_id")
     if objective in ("sum", "rel"):
         seeds = begun.select(*KEYS, F.explode("sources").alias("node"))
-        reached = reach(masks, start(seeds, worlds), KEYS, allowed, KEYS)
         at = queries.select("query_id", F.explode("targets").alias("node"))
+        until = {"until_any": at.distinct()} if objective == "sum" else {"until_all": at.distinct()}
+        reached = reach(masks, start(seeds, worlds), KEYS, allowed, KEYS, **until)
         got = worlds_of_any(reached, at, KEYS) if objective == "sum" else hits_at(reached, at, KEYS).groupBy(*KEYS).agg(F.sum("hits").alias("hits"))
     elif objective == "conn":
         ends = queries.select("query_id", F.explode(F.array_union("sources", "targets")).alias("node"))
         seeds = ends.join(cands, "query_id").select(*KEYS, F.col("node").alias("root"), "node")
-        reached = reach(masks, start(seeds, worlds), [*KEYS, "root"], allowed, KEYS)
+        reached = reach(masks, start(seeds, worlds), [*KEYS, "root"], allowed, KEYS, until_all=ends.distinct())
         got = worlds_of_all(reached, ends, [*KEYS, "root"]).groupBy(*KEYS).agg(F.max("hits").alias("hits"))
     else:
         seeds = begun.select(*KEYS, F.explode("sources").alias("source")).withColumn("node", F.col("source"))
-        reached = reach(masks, start(seeds, worlds), [*KEYS, "source"], allowed, KEYS)
+        at = queries.select("query_id", F.explode("targets").alias("node")).distinct()
+        reached = reach(masks, start(seeds, worlds), [*KEYS, "source"], allowed, KEYS, until_all=at)
         by_pair = pair_scores(reached, queries, cands)
         how = {"max": F.max("hits"), "min": F.min("hits"), "avg": F.sum("hits")}[objective]
         got = by_pair.groupBy(*KEYS).agg(how.alias("hits"))

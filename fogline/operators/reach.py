@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fogline.functions.coins import all_worlds, chunks, edge_key, toss
-from fogline.functions.costs import quantised
+from fogline.functions.costs import chance, rounded_down
 from fogline.functions.runtime import Rounds, materialize, small
 from fogline.operators.graph import NEUTRAL, bidirected
 
@@ -22,7 +22,8 @@ def edge_masks(edges: DataFrame, worlds: int, directed: bool = True, quantise: i
 
     An undirected edge has one coin for both of its arcs. ``quantise`` rounds p down to a multiple of 1 / quantise.
     """
-    p = quantised(F.col("p_pct"), quantise) if quantise else F.col("p_pct")
+    p = chance(edges.columns)
+    p = rounded_down(p, quantise) if quantise else p
     ends = ["src", "dst", "color"]
     arcs = toss(edges, worlds, ends, edge_key(edges.columns, directed), p)
     if not directed:
@@ -35,12 +36,29 @@ def start(rows: DataFrame, worlds: int, node: str = "node") -> DataFrame:
     return rows.withColumnRenamed(node, "node").withColumn("chunk", chunks(worlds)).withColumn("mask", all_worlds(F.col("chunk"), worlds))
 
 
-def reach(masks: DataFrame, begin: DataFrame, keys: Sequence[str], allowed: DataFrame | None = None, allowed_keys: Sequence[str] = (), neutral: bool = True, reverse: bool = False, edge_keys: Sequence[str] = (), max_rounds: int = 10_000) -> DataFrame:
+def _decided(state: DataFrame, keys: Sequence[str], at: DataFrame, every: bool) -> DataFrame:
+    """(keys, chunk, over): worlds in which one of the nodes ``at`` (some keys, node), or every one, is reached."""
+    shared = [c for c in at.columns if c in state.columns]
+    if not every:
+        return state.join(at, shared, "left_semi").groupBy(*keys, "chunk").agg(F.bit_or("mask").alias("over"))
+    by = [c for c in shared if c != "node"]
+    wanted = at.groupBy(*by).agg(F.count("*").alias("wanted")) if by else at.agg(F.count("*").alias("wanted"))
+    met = state.join(at, shared, "left_semi").groupBy(*keys, "chunk").agg(F.bit_and("mask").alias("over"), F.count("*").alias("got"))
+    full = met.join(wanted, by) if by else met.crossJoin(F.broadcast(wanted))  # one row
+    return full.where("got = wanted").select(*keys, "chunk", "over")
+
+
+def reach(masks: DataFrame, begin: DataFrame, keys: Sequence[str], allowed: DataFrame | None = None, allowed_keys: Sequence[str] = (), neutral: bool = True, reverse: bool = False, edge_keys: Sequence[str] = (), until_any: DataFrame | None = None, until_all: DataFrame | None = None, max_rounds: int = 10_000) -> DataFrame:
     """(keys, chunk, node, mask): the worlds in which each node is reached from the start rows ``begin``.
 
     ``allowed`` (allowed_keys, color) restricts the colors by query or candidate; its size is checked before it is
-    broadcast. ``edge_keys`` are keys that the masks have too: each query or candidate then has edges of its own. Each round joins the frontier with the edges, combines by node and writes the state to the shared folder in place
-    of the last one, so the lineage stays short. A loop that ``max_rounds`` don't end raises. Without start rows the result is empty.
+    broadcast. ``edge_keys`` are keys that the masks have too: each query or candidate then has edges of its own. Each round joins
+    the frontier with the edges, combines by node and writes the state to the shared folder in place of the last one, so the
+    lineage stays short; whether there is a next frontier is counted by that write. A loop that ``max_rounds`` don't end raises.
+    Without start rows the result is empty.
+
+    With ``until_any`` or ``until_all`` (distinct rows of some keys and node) a world is decided once one, or every one, of the nodes is
+    reached in it, and leaves the frontier of those keys: other nodes may then lack worlds that they would be reached in.
     """
     keys = list(keys)
     a, b = ("dst", "src") if reverse else ("src", "dst")
@@ -51,11 +69,18 @@ def reach(masks: DataFrame, begin: DataFrame, keys: Sequence[str], allowed: Data
             allowed = allowed.unionByName(allowed.select(*allowed_keys, F.lit(NEUTRAL).cast("long").alias("_c")).distinct())
         allowed = small(materialize(allowed, "allowed"))
     state = begin.groupBy(*keys, "chunk", "node").agg(F.bit_or("mask").alias("mask")).withColumn("fresh", F.col("mask"))
+    ends, every = (until_all, True) if until_all is not None else (until_any, False)
+    if ends is not None:
+        ends = materialize(ends, "ends")
     rounds = Rounds("reach")
     state = rounds.write(state)
     none = F.lit(0).cast("long")
     for _ in range(max_rounds):
-        moved = state.where("fresh != 0").join(arcs, [*edge_keys, "chunk", "node"])
+        front = state.where("fresh != 0")
+        if ends is not None:
+            front = front.join(_decided(state, keys, ends, every), [*keys, "chunk"], "left")
+            front = front.withColumn("fresh", F.col("fresh").bitwiseAND(F.bitwise_not(F.coalesce("over", none)))).where("fresh != 0")
+        moved = front.join(arcs, [*edge_keys, "chunk", "node"])
         if allowed is not None:
             same = [moved[k] == allowed[k] for k in allowed_keys]
             on = moved["color"] == allowed["_c"]
@@ -65,8 +90,9 @@ def reach(masks: DataFrame, begin: DataFrame, keys: Sequence[str], allowed: Data
         moved = moved.select(*keys, "chunk", F.col("next").alias("node"), F.col("fresh").bitwiseAND(F.col("em")).alias("add")).where("add != 0")
         both = state.select(*keys, "chunk", "node", "mask", none.alias("add")).unionByName(moved.withColumn("mask", none))
         merged = both.groupBy(*keys, "chunk", "node").agg(F.bit_or("mask").alias("old"), F.bit_or("add").alias("add"))
-        state = rounds.write(merged.select(*keys, "chunk", "node", F.col("old").bitwiseOR(F.col("add")).alias("mask"), F.col("add").bitwiseAND(F.bitwise_not("old")).alias("fresh")))
-        if state.where("fresh != 0").limit(1).count() == 0:
+        merged = merged.select(*keys, "chunk", "node", F.col("old").bitwiseOR(F.col("add")).alias("mask"), F.col("add").bitwiseAND(F.bitwise_not("old")).alias("fresh"))
+        state = rounds.write(merged, F.col("fresh") != 0)
+        if rounds.watched == 0:
             return state.drop("fresh")
     raise RuntimeError(f"nodes are still reached after {max_rounds} rounds")
 

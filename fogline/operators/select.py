@@ -7,11 +7,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fogline.functions.coins import edge_key, toss
+from fogline.functions.coins import toss
 from fogline.functions.runtime import materialize
 from fogline.operators import objectives as obj
-from fogline.operators.graph import NEUTRAL, bidirected, path_edges
-from fogline.operators.paths import top_walks
+from fogline.operators.graph import EDGE, NEUTRAL, identified, path_edges
+from fogline.operators.paths import walk_edges
 from fogline.operators.reach import hits_at, reach, start, worlds_of_all, worlds_of_any
 from fogline.operators.steiner import top_trees
 
@@ -26,31 +26,31 @@ def ordered_colors(walked: DataFrame) -> DataFrame:
 
 
 def _masks(edges: DataFrame, worlds: int) -> DataFrame:
-    """Edge masks of (keys, src, dst, color, p_pct): coins depend on the edge alone, so all candidates see the same worlds, and each
-    edge is tossed once for all of them."""
-    plain = ["src", "dst", "color"]
-    tossed = toss(edges.select(*plain, "p_pct").distinct(), worlds, [*plain, "p_pct"], edge_key(plain), F.col("p_pct"))
-    return edges.join(tossed, [*plain, "p_pct"]).drop("p_pct")
+    """(keys, src, dst, color, chunk, em) of edges (keys, EDGE): coins depend on the edge alone, so all candidates see the same worlds,
+    and each edge is tossed once for all of them."""
+    tossed = toss(edges.select("edge_id", "coin", "p").distinct(), worlds, ["edge_id"], F.col("coin"), F.col("p"))
+    return edges.join(tossed, "edge_id").drop("edge_id", "coin", "p")
 
 
 def _scored(edges: DataFrame, queries: DataFrame, cands: DataFrame, objective: str, worlds: int) -> DataFrame:
     """(query_id, cand, hits) where each candidate has edges of its own."""
     masks = materialize(_masks(edges, worlds), "own-masks")
     if objective == "conn":
-        ends = queries.select("query_id", F.explode(F.array_union("sources", "targets")).alias("node"))
+        ends = queries.select("query_id", F.explode(F.array_union("sources", "targets")).alias("node")).distinct()
         seeds = ends.join(cands, "query_id").select(*KEYS, F.col("node").alias("root"), "node")
-        reached = reach(masks, start(seeds, worlds), [*KEYS, "root"], edge_keys=KEYS)
+        reached = reach(masks, start(seeds, worlds), [*KEYS, "root"], edge_keys=KEYS, until_all=ends)
         got = worlds_of_all(reached, ends, [*KEYS, "root"]).groupBy(*KEYS).agg(F.max("hits").alias("hits"))
     else:
         seeds = queries.join(cands, "query_id").select(*KEYS, F.explode("sources").alias("node"))
-        reached = reach(masks, start(seeds, worlds), KEYS, edge_keys=KEYS)
-        at = queries.select("query_id", F.explode("targets").alias("node"))
+        at = queries.select("query_id", F.explode("targets").alias("node")).distinct()
+        until = {"until_all": at} if objective == "rel" else {"until_any": at}
+        reached = reach(masks, start(seeds, worlds), KEYS, edge_keys=KEYS, **until)
         got = hits_at(reached, at, KEYS).groupBy(*KEYS).agg(F.sum("hits").alias("hits")) if objective == "rel" else worlds_of_any(reached, at, KEYS)
     return cands.join(got, KEYS, "left").select(*KEYS, F.coalesce("hits", F.lit(0)).cast("long").alias("hits"))
 
 
 def greedy(walked: DataFrame, queries: DataFrame, k: int, objective: str, worlds: int) -> DataFrame:
-    """(query_id, rank, color, hits) chosen along paths or trees ``walked`` (query_id, path_id, position, src, dst, color, p_pct).
+    """(query_id, rank, color, hits) chosen along paths or trees ``walked`` (query_id, path_id, position, EDGE).
 
     Each round folds in what needs no new color, drops what would need more than k colors, scores each remaining path
     together with all that was folded in, and takes the best (the earlier path among equals) with its new colors in path
@@ -68,9 +68,9 @@ def greedy(walked: DataFrame, queries: DataFrame, k: int, objective: str, worlds
         if state.limit(1).count() == 0:
             break
         cands = state.select("query_id", F.col("path_id").alias("cand"))
-        base = walked.join(taken, ["query_id", "path_id"], "left_semi").select("query_id", "src", "dst", "color", "p_pct").distinct()
-        own = walked.join(cands.withColumnRenamed("cand", "path_id"), ["query_id", "path_id"], "left_semi").select("query_id", F.col("path_id").alias("cand"), "src", "dst", "color", "p_pct")
-        edges = base.join(cands, "query_id").select("query_id", "cand", "src", "dst", "color", "p_pct").unionByName(own).distinct()
+        base = walked.join(taken, ["query_id", "path_id"], "left_semi").select("query_id", *EDGE).distinct()
+        own = walked.join(cands.withColumnRenamed("cand", "path_id"), ["query_id", "path_id"], "left_semi").select("query_id", F.col("path_id").alias("cand"), *EDGE)
+        edges = base.join(cands, "query_id").select("query_id", "cand", *EDGE).unionByName(own).distinct()
         scores = _scored(edges, queries, cands, objective, worlds)
         best = scores.groupBy("query_id").agg(F.max(F.struct("hits", (-F.col("cand")).alias("minus"))).alias("b")).select("query_id", (-F.col("b.minus")).alias("best"), F.col("b.hits").alias("hits"))
         picked = materialize(state.join(best, "query_id").where("path_id = best").select("query_id", "path_id", "new", "chosen", "hits"), "picked")
@@ -90,15 +90,14 @@ def _walked(walks: DataFrame, edges: DataFrame) -> DataFrame:
 
 def heuristic(edges: DataFrame, queries: DataFrame, k: int, r: int, objective: str, worlds: int = 64, hops: int | None = None, directed: bool = True) -> DataFrame:
     """The k colors by the r most reliable walks (conn: trees), of ``hops`` edges at most if given: (query_id, rank, color, hits)."""
-    graph = edges if directed else bidirected(edges)
+    graph = identified(edges, directed)
     if objective == "conn":
         terminals = queries.select("query_id", F.explode(F.array_union("sources", "targets")).alias("node"))
-        trees = top_trees(edges, terminals, r, directed)
-        walks = trees.select("query_id", "rank", F.array_join("edges", "|").alias("path")).where("path != ''")
-        return greedy(_walked(walks, graph), queries, k, "conn", worlds)
+        trees = top_trees(graph, terminals, r)
+        return greedy(_walked(trees.select("query_id", "rank", "edges").where(F.size("edges") > 0), graph), queries, k, "conn", worlds)
     if objective == "max":
         solved = materialize(obj.by_pair(queries), "pairs")
-        found = materialize(heuristic(edges, solved.select("query_id", "sources", "targets"), k, r, "sum", worlds, hops, directed), "h")
+        found = materialize(heuristic(graph, solved.select("query_id", "sources", "targets"), k, r, "sum", worlds, hops), "h")
         return obj._best_pair(found, solved, F.max("hits"))
     if objective == "min":
         return max_min(graph, queries, k, r, worlds, hops)
@@ -107,11 +106,11 @@ def heuristic(edges: DataFrame, queries: DataFrame, k: int, r: int, objective: s
     if objective == "avg":
         # the walks of all pairs of a query are pooled
         solved = materialize(obj.by_pair(queries), "pairs")
-        walks = top_walks(graph, solved.select("query_id", "sources", "targets"), r, hops)
-        pooled = walks.join(solved.select("query_id", "parent"), "query_id").select(F.col("parent").alias("query_id"), "cost", "path").distinct()
-        pooled = pooled.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("cost", "path")))
+        walks = walk_edges(graph, solved.select("query_id", "sources", "targets"), r, hops)
+        pooled = walks.join(solved.select("query_id", "parent"), "query_id").select(F.col("parent").alias("query_id"), "cost", "edges").distinct()
+        pooled = pooled.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("cost", "edges")))
         return greedy(_walked(pooled, graph), queries, k, "sum", worlds)
-    return greedy(_walked(top_walks(graph, queries, r, hops), graph), queries, k, objective, worlds)
+    return greedy(_walked(walk_edges(graph, queries, r, hops), graph), queries, k, objective, worlds)
 
 
 def cover(rows: pd.DataFrame, k: int) -> list[int]:
@@ -151,8 +150,8 @@ def max_min(edges: DataFrame, queries: DataFrame, k: int, r: int, worlds: int, h
 
     Colors come in ascending order. A query with a pair that no walk joins gets none.
     """
-    solved = materialize(obj.by_pair(queries), "pairs")
-    walks = top_walks(edges, solved.select("query_id", "sources", "targets"), r, hops)
+    edges, solved = identified(edges), materialize(obj.by_pair(queries), "pairs")
+    walks = walk_edges(edges, solved.select("query_id", "sources", "targets"), r, hops)
     walked = materialize(_walked(walks, edges).withColumnRenamed("query_id", "pair"), "walked")
     told = ordered_colors(walked.withColumnRenamed("pair", "query_id")).withColumnsRenamed({"query_id": "pair", "path_id": "rank"})
     routes = materialize(told.join(solved.select(F.col("query_id").alias("pair"), F.col("parent").alias("query_id"), "place"), "pair"), "routes")
@@ -163,12 +162,13 @@ def max_min(edges: DataFrame, queries: DataFrame, k: int, r: int, worlds: int, h
 
     def pair_hits(cands: DataFrame, allowed: DataFrame) -> DataFrame:
         """(query_id, cand, pair, hits) of candidates (query_id, cand, pair) with colors (query_id, cand, color), each within its pair's paths."""
-        own = walked.select("pair", "src", "dst", "color", "p_pct").distinct().join(cands, "pair").join(allowed, ["query_id", "cand", "color"])
+        own = walked.select("pair", *EDGE).distinct().join(cands, "pair").join(allowed, ["query_id", "cand", "color"])
         keys = ["query_id", "cand", "pair"]
-        masks = materialize(_masks(own.select(*keys, "src", "dst", "color", "p_pct"), worlds), "pair-masks")
+        masks = materialize(_masks(own.select(*keys, *EDGE), worlds), "pair-masks")
         seeds = cands.join(ends, ["query_id", "pair"]).select(*keys, F.col("source").alias("node"))
-        reached = reach(masks, start(seeds, worlds), keys, edge_keys=keys)
-        got = hits_at(reached, ends.select("query_id", "pair", F.col("target").alias("node")), keys).select(*keys, "hits")
+        at = ends.select("query_id", "pair", F.col("target").alias("node"))
+        reached = reach(masks, start(seeds, worlds), keys, edge_keys=keys, until_any=at)
+        got = hits_at(reached, at, keys).select(*keys, "hits")
         return cands.join(got, keys, "left").select(*keys, F.coalesce("hits", F.lit(0)).cast("long").alias("hits"))
 
     zero = F.lit(0).cast("long").alias("cand")

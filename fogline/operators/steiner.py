@@ -7,22 +7,22 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fogline.functions.runtime import Rounds, materialize
-from fogline.operators.graph import bidirected, edge_label, with_cost
+from fogline.operators.graph import identified, with_cost
 
 #: Terminals of a query at most; a mask is a BIGINT.
 MAX_TERMINALS = 32
 
 
 def tree_states(edges: DataFrame, terminals: DataFrame, directed: bool = True, max_rounds: int = 10_000) -> DataFrame:
-    """(query_id, node, mask, cost, edges): the cheapest tree from each set of terminals to each root.
+    """(query_id, node, mask, cost, edges): the cheapest tree from each set of terminals to each root, its edges by id.
 
     ``terminals`` is (query_id, node). Rounds grow trees over one edge and merge trees of disjoint sets at a root, starting
-    from those that improved, until none does; among equal costs the smaller edge list wins.
+    from those that improved, until none does; among equal costs the smaller list of edge ids wins. Parallel edges are edges of
+    their own.
     """
-    graph = edges if directed else bidirected(edges)
-    arcs = materialize(with_cost(graph).select(F.col("src").alias("node"), "dst", F.col("cost").alias("step"), edge_label().alias("edge")), "arcs")
+    arcs = materialize(with_cost(identified(edges, directed)).select(F.col("src").alias("node"), "dst", F.col("cost").alias("step"), F.col("edge_id").alias("edge")), "arcs")
     numbered = terminals.select("query_id", "node").distinct().withColumn("bit", F.row_number().over(W.partitionBy("query_id").orderBy("node")) - 1)
-    none = F.array().cast("array<string>")
+    none = F.array().cast("array<bigint>")
     rounds = Rounds("trees")
     state = rounds.write(numbered.select("query_id", "node", F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit")).alias("mask"), F.lit(0).cast("long").alias("cost"), none.alias("edges"), F.lit(True).alias("fresh")))
     if state.groupBy("query_id").count().where(F.col("count") > MAX_TERMINALS).limit(1).count():
@@ -35,8 +35,9 @@ def tree_states(edges: DataFrame, terminals: DataFrame, directed: bool = True, m
         merged = merged.select("query_id", "node", F.col("mask").bitwiseOR(F.col("mask2")).alias("mask"), (F.col("cost") + F.col("cost2")).alias("cost"), F.array_sort(F.array_union("edges", "edges2")).alias("edges"))
         new = state.drop("fresh").withColumn("new", F.lit(0)).unionByName(grown.unionByName(merged).withColumn("new", F.lit(1)))
         best = new.groupBy("query_id", "node", "mask").agg(F.min(F.struct("cost", "edges")).alias("b"), F.min(F.when(F.col("new") == 0, F.col("cost"))).alias("old"))
-        state = rounds.write(best.select("query_id", "node", "mask", "b.cost", "b.edges", (F.col("old").isNull() | (F.col("b.cost") < F.col("old"))).alias("fresh")))
-        if state.where("fresh").limit(1).count() == 0:
+        best = best.select("query_id", "node", "mask", "b.cost", "b.edges", (F.col("old").isNull() | (F.col("b.cost") < F.col("old"))).alias("fresh"))
+        state = rounds.write(best, F.col("fresh"))
+        if rounds.watched == 0:
             return state.drop("fresh")
     raise RuntimeError(f"trees still improve after {max_rounds} rounds")
 

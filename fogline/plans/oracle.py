@@ -12,16 +12,24 @@ def recursive(*parts: str) -> str:
     return "with recursive " + ",\n".join(p.strip() for p in parts[:-1]) + "\n" + parts[-1]
 
 
-def live(worlds: int, key: str = EDGE, p: str = "p_pct") -> str:
-    """The edges that exist in each world."""
-    coin = f"cast('0x' || substr(md5(w || ':' || {key}), 1, 8) as bigint)"
-    return f"ws as (select unnest(generate_series(0, {worlds - 1})) as w),\nlive as (select w, src, dst, color from g, ws where {coin} * 100 < {p} * 4294967296)"
+def live(worlds: int, key: str = EDGE, p: str = "p_pct / 100.0::double", keep: str = "") -> str:
+    """The edges that exist in each world: each coin of an edge gives the gap to the next one. ``keep`` names further columns."""
+    more = f", {keep}" if keep else ""
+    u = "(cast('0x' || substr(md5((i + 1) || ':' || key), 1, 8) as bigint) + 0.5) / 4294967296.0::double"
+    gap = f"case when p >= 1 then 0 else least(floor(ln({u}) / ln(1.0::double - p)), {worlds}) end"
+    return f"""
+ws as (select unnest(generate_series(0, {worlds - 1})) as w),
+gaps as (
+  select src, dst, color{more}, {key} as key, p, 0 as i, -1::bigint as w from (select *, {p} as p from g) where p > 0
+  union all
+  select src, dst, color{more}, key, p, i + 1, w + 1 + cast({gap} as bigint) from gaps where w < {worlds}),
+live as materialized (select w, src, dst, color{more} from gaps where w between 0 and {worlds - 1})"""
 
 
 def live_undirected(worlds: int) -> str:
     """The same where the arcs of an edge share a coin and both lead on where one of them exists."""
     key = "least(src, dst) || '>' || greatest(src, dst) || '#' || color"
-    return live(worlds, key).replace("live as (", "live1 as (") + ",\nlive as (select * from live1 union select w, dst, src, color from live1)"
+    return live(worlds, key).replace("live as materialized (", "live1 as materialized (") + ",\nlive as (select * from live1 union select w, dst, src, color from live1)"
 
 
 def reach(x: str, reverse: bool = False) -> str:
@@ -68,7 +76,7 @@ COLORS = "colors as (select distinct color from g)"
 CHOSEN = "chosen as (select query_id, unnest([query_id % 5 + 1, (query_id + 2) % 5 + 1]) as color from q)"
 
 
-def evaluate(objective: str, worlds: int, p: str = "p_pct") -> str:
+def evaluate(objective: str, worlds: int, p: str = "p_pct / 100.0::double") -> str:
     cand = "cand as (select query_id, 0 as cand from q)"
     return recursive(*BASE, CHOSEN, live(worlds, p=p), cand, "allow as (select query_id, 0 as cand, color from chosen)", *score(objective), f"select query_id, hits, cast({worlds} as bigint) as worlds from score")
 

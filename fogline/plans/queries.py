@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fogline.functions import costs, names
-from fogline.functions.runtime import read, scratch_path, small
+from fogline.functions.runtime import materialize, read, scratch_path, small
 from fogline.operators import etl, graph, influence, objectives, paths, select, steiner
 from fogline.operators.reach import edge_masks, hits_at, reach, start, worlds_of_all
 from fogline.plans import oracle as sql
@@ -58,7 +58,7 @@ def src_1(spark, sf_dir):
 def src_2(spark, sf_dir):
     """Collapsed graph lines `u v p` to whole percent, in both directions."""
     one = trade(spark, sf_dir).where("color = 1").withColumn("p", F.concat(F.lit("0."), F.lpad(F.col("p_pct").cast("string"), 2, "0")))
-    return graph.bidirected(graph_text.collapsed_graph(sinks.collapsed_lines(one)))
+    return graph.bidirected(graph_text.collapsed_graph(sinks.collapsed_lines(one)).drop("p"))
 
 
 @query(f"with {QUERIES_SQL.strip()} select query_id, {IDS.format('sources')}, {IDS.format('targets')} from q where query_id >= 1 and query_id < 4")
@@ -210,7 +210,8 @@ def gx_10(spark, sf_dir):
     """The edges of paths."""
     edges = trade(spark, sf_dir)
     walks = paths.top_walks(edges, region_queries(spark, sf_dir), 5)
-    return graph.path_edges(walks.withColumn("path_id", F.col("rank").cast("long")), edges)
+    walked = graph.path_edges(walks.withColumn("path_id", F.col("rank").cast("long")), edges)
+    return walked.select("query_id", "path_id", "position", "src", "dst", "color", F.round(F.col("p") * 100).cast("long").alias("p_pct"))
 
 
 @query(sql.recursive(*sql.BASE, sql.ARCS, *sql.walks(5), "e as (select query_id, cast(rank as bigint) as path_id, string_split(path, '|') as labels from walk)", "select query_id, path_id, cast(string_split(labels[1], '>')[1] as bigint) as first, cast(string_split(string_split(labels[len(labels)], '>')[2], '#')[1] as bigint) as last from e"))
@@ -451,7 +452,7 @@ def mc_5_undirected(spark, sf_dir):
     return _conn(spark, sf_dir, directed=False)
 
 
-@query(sql.evaluate("s", 50, p="(p_pct // 10 * 10)"))
+@query(sql.evaluate("s", 50, p="(p_pct // 10) / 10.0::double"))
 def mc_6(spark, sf_dir):
     """Evaluation of a pair with probabilities rounded down to tenths."""
     q = region_queries(spark, sf_dir)
@@ -473,7 +474,7 @@ def mc_8(spark, sf_dir):
     """Reach within the walks of a query under three colors."""
     edges, q = trade(spark, sf_dir), region_queries(spark, sf_dir)
     walks = paths.top_walks(edges, q, 20).withColumn("path_id", F.col("rank").cast("long"))
-    own = graph.path_edges(walks, edges).where("color in (1, 2, 3)").select("query_id", F.lit(0).cast("long").alias("cand"), "src", "dst", "color", "p_pct").distinct()
+    own = graph.path_edges(walks, edges).where("color in (1, 2, 3)").select("query_id", F.lit(0).cast("long").alias("cand"), *graph.EDGE).distinct()
     scores = select._scored(own, q, q.select("query_id", F.lit(0).cast("long").alias("cand")), "sum", WORLDS)
     return scores.where("hits > 0").select("query_id", "hits")
 
@@ -484,19 +485,19 @@ def mc_8(spark, sf_dir):
 @query(sql.recursive(*sql.BASE, sql.ARCS, sql.ONE, *sql.walks(10, "q1"), "select * from walk"))
 def sp_1(spark, sf_dir):
     """The ten most reliable walks between two nodes."""
-    return paths.top_walks(trade(spark, sf_dir), objectives._single(region_queries(spark, sf_dir)), 10)
+    return paths.top_walks(trade(spark, sf_dir), objectives._single(region_queries(spark, sf_dir)), 10).select("query_id", "rank", "cost", "path")
 
 
 @query(sql.recursive(*sql.BASE, sql.ARCS, *sql.walks(10), "select * from walk"))
 def sp_2(spark, sf_dir):
     """The ten most reliable walks between two sets."""
-    return paths.top_walks(trade(spark, sf_dir), region_queries(spark, sf_dir), 10)
+    return paths.top_walks(trade(spark, sf_dir), region_queries(spark, sf_dir), 10).select("query_id", "rank", "cost", "path")
 
 
 @query(sql.recursive(*sql.BASE, sql.ARCS, *sql.walks(25, backtrack=True), "select * from walk"))
 def sp_3(spark, sf_dir):
     """Walks that may step back."""
-    return paths.top_walks(trade(spark, sf_dir), region_queries(spark, sf_dir), 25, backtrack=True)
+    return paths.top_walks(trade(spark, sf_dir), region_queries(spark, sf_dir), 25, backtrack=True).select("query_id", "rank", "cost", "path")
 
 
 def _dist(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -511,19 +512,20 @@ DIST = [*sql.BASE, sql.ARCS, sql.DIST, sql.ENDS, sql.PARENT]
 @query(sql.recursive(*DIST, "select target, node, dist, parent from parent"))
 def sp_4(spark, sf_dir):
     """Shortest-path trees to targets."""
-    return _dist(spark, sf_dir)[1]
+    edges, dist = _dist(spark, sf_dir)
+    return dist.join(graph.printed(edges), F.col("parent") == F.col("edge_id"), "left").select("target", "node", "dist", F.col("label").alias("parent"))
 
 
 @query(sql.recursive(*DIST, sql.PENALTY, "select target, src, dst, color, penalty from pen"))
 def sp_5(spark, sf_dir):
     """Side-track penalties."""
-    return paths.penalties(*_dist(spark, sf_dir))
+    return paths.penalties(*_dist(spark, sf_dir)).drop("edge_id")
 
 
 @query(sql.recursive(*DIST, sql.PENALTY, "select p.target, src, dst, color, penalty, cast(row_number() over (partition by p.target, src order by penalty, edge) as int) as rank from pen p join parent t on t.target = p.target and t.node = p.src where t.parent is null or edge <> t.parent qualify rank <= 3"))
 def sp_6(spark, sf_dir):
     """The best side-tracks of each node."""
-    return paths.side_tracks(*_dist(spark, sf_dir), 3)
+    return paths.side_tracks(*_dist(spark, sf_dir), 3).drop("edge_id")
 
 
 def _terminals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -551,7 +553,9 @@ def st_1_undirected(spark, sf_dir):
 @query()
 def st_2(spark, sf_dir):
     """The ten cheapest different trees over all terminals of a query."""
-    return steiner.top_trees(trade(spark, sf_dir), _terminals(spark, sf_dir), 10).select("query_id", "rank", "root", "cost", F.array_join("edges", "|").alias("tree"))
+    edges = trade(spark, sf_dir)
+    trees = materialize(steiner.top_trees(edges, _terminals(spark, sf_dir), 10), "trees")
+    return graph.with_paths(trees, edges, ["query_id", "rank"]).select("query_id", "rank", "root", "cost", F.col("path").alias("tree"))
 
 
 # selection and objectives ----------------------------------------------------------------------------------------------

@@ -6,11 +6,10 @@ Every parser takes a DataFrame with a string column ``value``, one row a line, a
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fogline.functions.names import parse_ids
-from fogline.functions.runtime import materialize
+from fogline.functions.runtime import ranked
 from fogline.operators.graph import bidirected
 
 
@@ -38,9 +37,9 @@ def long_graph(df: DataFrame) -> DataFrame:
 
 
 def collapsed_graph(df: DataFrame) -> DataFrame:
-    """`u v p` to (src, dst, p_pct), percent truncated."""
-    f = F.col("f")
-    return _fields(df).select(f[0].cast("long").alias("src"), f[1].cast("long").alias("dst"), F.floor(F.round(f[2].cast("double") * 100, 6)).cast("long").alias("p_pct"))
+    """`u v p` to (src, dst, p, p_pct), the latter in truncated percent; operators take p, which is exact."""
+    p = F.col("f")[2].cast("double")
+    return _fields(df).select(F.col("f")[0].cast("long").alias("src"), F.col("f")[1].cast("long").alias("dst"), p.alias("p"), F.floor(F.round(p * 100, 6)).cast("long").alias("p_pct"))
 
 
 def joined_endpoints(df: DataFrame) -> DataFrame:
@@ -56,17 +55,8 @@ def queries(df: DataFrame) -> DataFrame:
 
 
 def numbered(df: DataFrame, order: str, skip: int = 0, take: int | None = None) -> DataFrame:
-    """Rows ``skip`` to ``skip + take`` in the order of a unique column, with query_id from 0.
-
-    Rows are dealt out by ranges of that column and numbered within a range; a range starts where the one before it ends. The ranges
-    are written first, so that they stay the same when a task runs again.
-    """
-    ranges = materialize(df.repartitionByRange(order).withColumn("_range", F.spark_partition_id()), "numbered")
-    before = F.sum("count").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1))
-    starts = ranges.groupBy("_range").count().select("_range", F.coalesce(before, F.lit(0)).alias("_start"))
-    at = F.row_number().over(W.partitionBy("_range").orderBy(order)) - 1
-    rows = ranges.withColumn("_at", at).join(F.broadcast(starts), "_range")  # a row for each range
-    out = rows.withColumn("query_id", (F.col("_start") + F.col("_at")).cast("long")).drop("_range", "_at", "_start").where(F.col("query_id") >= skip)
+    """Rows ``skip`` to ``skip + take`` in the order of a unique column, with query_id from 0. Other columns may have any names."""
+    out = ranked(df, order, "query_id").where(F.col("query_id") >= skip)
     return out if take is None else out.where(F.col("query_id") < skip + take)
 
 

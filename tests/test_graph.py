@@ -1,6 +1,8 @@
 """Operators on small graphs with known answers, against enumeration of worlds, and properties."""
 
+import hashlib
 import itertools
+import math
 import os
 
 import pytest
@@ -26,6 +28,17 @@ def query_of(spark, s, t):
     return spark.createDataFrame([(0, s, t)], QUERY)
 
 
+def worlds_of(key, p, worlds):
+    """The worlds in which an edge exists, gap by gap."""
+    out, w, i = set(), -1, 0
+    while w < worlds:
+        i += 1
+        u = (int(hashlib.md5(f"{i}:{key}".encode()).hexdigest()[:8], 16) + 0.5) / 2**32
+        w += 1 + (0 if p >= 1 else int(math.log(u) / math.log1p(-p)))
+        out.add(w)
+    return {w for w in out if w < worlds}
+
+
 def exact(rows, s, t, colors):
     """The chance that t is reached from s, over all worlds."""
     own, total = [r for r in rows if r[2] in colors], 0.0
@@ -52,12 +65,10 @@ def test_estimate_is_near_the_exact_chance(spark, rows, s, t, colors):
 def test_masks_equal_coins_world_by_world(spark):
     df = edges_of(spark, MIXED)
     masks = {(r["src"], r["dst"], r["chunk"]): r["em"] for r in reach.edge_masks(df, 100).collect()}
-    import hashlib
-
     for src, dst, color, p in MIXED:
+        alive = worlds_of(f"{src}>{dst}#{color}", p / 100, 100)
         for w in range(100):
-            alive = int(hashlib.md5(f"{w}:{src}>{dst}#{color}".encode()).hexdigest()[:8], 16) * 100 < p * 2**32
-            assert bool(masks.get((src, dst, w // 64), 0) >> (w % 64) & 1) == alive
+            assert bool(masks.get((src, dst, w // 64), 0) >> (w % 64) & 1) == (w in alive)
 
 
 def test_masks_have_no_world_beyond_the_last(spark):
@@ -264,11 +275,9 @@ def test_queries_read_all_pairs_of_nations(spark, handed, name, module, operator
 
 def brute_hits(rows, sources, targets, colors, worlds):
     """Worlds in which a target is reached, by a search in each of them."""
-    import hashlib
-
-    hits = 0
+    hits, alive = 0, {(a, b, c): worlds_of(f"{a}>{b}#{c}", p / 100, worlds) for a, b, c, p in rows}
     for w in range(worlds):
-        live = [(a, b) for a, b, c, p in rows if c in colors and int(hashlib.md5(f"{w}:{a}>{b}#{c}".encode()).hexdigest()[:8], 16) * 100 < p * 2**32]
+        live = [(a, b) for a, b, c, p in rows if c in colors and w in alive[a, b, c]]
         seen, grown = set(sources), True
         while grown:
             new = {b for a, b in live if a in seen} - seen
@@ -293,7 +302,6 @@ def test_unlikely_colors_have_hits_in_the_samples_of_a_query(spark, handed, name
 def brute_walks(rows, sources, targets, r, backtrack=False):
     """(cost, path) of the r cheapest walks to the first target met, cheapest open walk first."""
     import heapq
-    import math
 
     opened, out, least = [(0, "", s, None) for s in sources if s not in targets], [], math.inf
     while opened and opened[0][0] <= least:
