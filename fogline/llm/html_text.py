@@ -3,9 +3,10 @@
 Each DOM node has the characters of its text for each tag, adjusted by how much of it stands in links. A node's density
 sum adds up its children's densities; the node with the largest sum holds the main text. The least density outside links
 on the path from it up to the body is the threshold, and other subtrees that reach it, and aren't mostly links, are kept too, with
-headings and loose text between what is kept. Within an article or main, that is the main text. Elements that can't be main
-text by their tag are cut before; those with the tag or the name, in class, id or role, of furniture are cut unless they hold an
-article or nearly all text, and where a name is doubtful, unless they read like text.
+headings and loose text between what is kept, and with parts of the same container. Within an article or main, that is the main
+text, with sibling articles of like density. Elements that can't be main text by their tag are cut before; those with the tag or the
+name, in class, id or role, of furniture are cut unless they hold the lead article; articles are cut by name, too, and where they
+stand in a list within the lead article. Where a name is doubtful, an element is kept if it reads like text.
 """
 
 from __future__ import annotations
@@ -24,21 +25,31 @@ from fogline.llm.workers import tidy
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that never hold main text.
 NEVER = frozenset("head title script style noscript template nav button select textarea iframe svg object canvas dialog menu".split())
-#: Elements that seldom do. They are cut unless they hold an article or nearly all text of the page.
+#: Elements that seldom do. They are cut unless they hold the lead article or nearly all text of the page.
 SELDOM = frozenset("footer aside form header".split())
 #: The same for words in class, id or role: by the first or last word of a name, or the whole name.
 NAMES = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs footer sidebar complementary "
-    "cookie cookies consent gdpr newsletter subscribe subscription signup login comment comments commentlist disqus replies respond share sharing social pagination pager".split()
+    "promo promotion nav navbar navigation menu breadcrumb breadcrumbs footer sidebar complementary "
+    "cookie cookies consent gdpr newsletter subscribe subscription signup login comments commentlist disqus replies respond share sharing social pagination pager".split()
 )
+#: Adverts, by any word of a name.
+ADVERT = re.compile(r"ads?(box|slot|unit|wrap|wrapper|banner|container|space|block|frame|zone|area|sense|words|bygoogle)?$|adverts?$|advertis\w+$|sponsor(s|ed)?$")
+#: Words before a last word "comment" that say it isn't a reader's.
+EDITORS = frozenset("editor editors editorial author authors translator".split())
 #: Words that stand in names of main text, too: cut unless the element reads like text, by its paragraphs and few links.
-DOUBTFUL = frozenset("banner notice notices alert related recommended widget popup modal overlay toolbar search reply header".split())
+DOUBTFUL = frozenset("banner alert widget popup modal overlay toolbar search reply".split())
+#: The same, but cut only if much of the element stands in links or no paragraph is in it.
+LINKED = frozenset("related recommended header".split())
+#: Cut unless the element holds most of the page.
+NOTICES = frozenset("notice notices".split())
 #: Words before which a name says how an element is laid out, not what it is.
 LAYOUT = frozenset("has with no without is not".split())
 #: Parts of a page's text: one that holds so much isn't cut by its tag or name, and by a doubtful name.
 NEARLY_ALL, MOST = 0.9, 0.5
 #: Characters in paragraphs, and the largest part of them in links, of an element that reads like text.
 READS_CHARS, READS_LINKS = 200, 0.2
+#: A sibling of the main article is main text, too, if it has this part of its density.
+LIKE = 0.3
 #: Elements that begin and end a block.
 BLOCKS = frozenset(
     "address article blockquote body center dd details div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main ol p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -52,7 +63,7 @@ SCOPES = frozenset("html body table td th button".split())
 
 
 class Node:
-    __slots__ = ("density", "holds", "items", "link", "names", "parent", "prose", "spans", "tag", "total")
+    __slots__ = ("density", "headed", "items", "link", "names", "parent", "prose", "spans", "tag", "total")
 
     def __init__(self, tag: str, parent: Node | None, names: str = ""):
         self.tag, self.parent, self.names = tag, parent, names
@@ -103,38 +114,71 @@ class TreeBuilder(HTMLParser):
         self.at.items.append(data)
 
 
-def _named(names: str) -> set[str]:
-    """The words that say what an element is: of each name the first and the last word, or the whole name."""
-    out: set[str] = set()
-    for name in names.split():
-        words = re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower())
-        if words and words[0] not in LAYOUT:
-            out |= {words[0], words[-1]} - ({"widget"} if len(words) > 1 else set())
-    return out
+def _words(names: str) -> list[list[str]]:
+    """The words of each name, but of those that only say how an element is laid out."""
+    split = (re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower()) for name in names.split())
+    return [words for words in split if words and words[0] not in LAYOUT]
+
+
+def _is_named(words: list[list[str]], wanted: frozenset[str]) -> bool:
+    """Whether the first or the last word of a name, or a whole name, is one of the words."""
+    return any(x[0] in wanted or (x[-1] in wanted and not (len(x) > 1 and x[-1] == "widget")) for x in words)
+
 
+def _furniture_names(node: Node) -> bool:
+    """Whether an element's names say that it is no main text, whatever it holds: furniture, an advert or readers' comments."""
+    words = _words(node.names) if node.names else []
+    comment = any(x[0] == "comment" or (x[-1] == "comment" and not EDITORS.intersection(x)) for x in words)
+    return comment or _is_named(words, NAMES) or any(ADVERT.match(w) for x in words for w in x)
 
-def _is_furniture(node: Node, in_article: bool, whole: int) -> bool:
-    """Whether an element with measured text is cut, given the characters of the page."""
-    if node.tag in ("html", "body", "main", "article") or node.holds:
+
+def _lead(order: list[Node], whole: int) -> set[int]:
+    """The article or main with most text, but not one that is furniture or stands in some, and all that is around it; ids of nodes."""
+    clean: dict[int, bool] = {}
+    lead = None
+    for node in order:
+        above = node.parent is None or clean[id(node.parent)]
+        cut = (node.tag in SELDOM and node.tag != "form") or _furniture_names(node)
+        clean[id(node)] = above and not (cut and node.total < NEARLY_ALL * whole and node.tag not in ("html", "body"))
+        if node.tag in ("article", "main") and node.total and not _furniture_names(node):
+            worth = (clean[id(node)], node.total)
+            if lead is None or worth > lead[0]:
+                lead = worth, node
+    found, node = set(), lead[1] if lead else None
+    while node is not None:
+        found.add(id(node))
+        node = node.parent
+    return found
+
+
+def _is_furniture(node: Node, in_article: bool, whole: int, lead: set[int]) -> bool:
+    """Whether an element with measured text is cut, given the characters of the page and what holds the lead article."""
+    if node.tag in ("html", "body") or id(node) in lead:
+        return False
+    head = node.tag == "header" and in_article
+    if node.tag in SELDOM and not head and node.total < NEARLY_ALL * whole:
+        return True
+    if _furniture_names(node) and (lead or node.total < NEARLY_ALL * whole):
+        return True
+    if node.tag in ("main", "article") or node.total >= MOST * whole:
         return False
-    if node.tag in SELDOM and not (node.tag == "header" and in_article) and node.total < NEARLY_ALL * whole:
+    words = _words(node.names) if node.names else []
+    if _is_named(words, NOTICES):
         return True
-    words = _named(node.names) if node.names else ()
-    if NAMES.intersection(words) and node.total < NEARLY_ALL * whole:
+    few_links = node.link[0] <= READS_LINKS * node.total
+    if _is_named(words, DOUBTFUL) and not (node.prose >= READS_CHARS and few_links):
         return True
-    if DOUBTFUL.intersection(words) and not ("header" in words and in_article) and node.total < MOST * whole:
-        return not (node.prose >= READS_CHARS and node.link[0] <= READS_LINKS * node.total)
-    return False
+    return _is_named(words, LINKED) and not (head or (in_article and _is_named(words, frozenset({"header"})))) and not (node.prose and few_links)
 
 
 def _total(order: list[Node]) -> None:
-    """Characters, tags, links and characters in paragraphs below each node, and whether an article is below."""
+    """Characters, tags, links and characters in paragraphs and headings below each node."""
     for node in reversed(order):
         children = [x for x in node.items if not isinstance(x, str)]
         own = sum(len("".join(x.split())) for x in node.items if isinstance(x, str))
         node.total = own + sum(x.total for x in children)
         node.spans = len(children) + sum(x.spans for x in children)
-        node.holds = any(x.holds or (x.tag in ("article", "main") and x.total) for x in children)
+        node.headed = node.total if node.tag in HEADINGS else sum(x.headed for x in children)
         node.prose = node.total if node.tag == "p" else sum(x.prose for x in children)
         if node.tag == "a":
             node.link = (node.total, 1)
@@ -159,8 +203,23 @@ def _measure(root: Node) -> list[Node]:
     order = _nodes(root, lambda x, _: x.tag not in NEVER)
     _total(order)
     whole = root.total
-    order = _nodes(root, lambda x, inside: not _is_furniture(x, inside, whole))
+    lead = _lead(order, whole)
+    order = _nodes(root, lambda x, inside: not _is_furniture(x, inside, whole, lead))
     _total(order)
+    # articles in a list within the lead article are comments or teasers, unless there is little else
+    top = next((n for n in order if id(n) in lead and n.tag in ("article", "main")), None)
+    if top is not None:
+        listed, stack = [], [(x, False) for x in top.items if not isinstance(x, str)]
+        while stack:
+            node, in_list = stack.pop()
+            if in_list and node.tag == "article" and id(node) not in lead:
+                listed.append(node)
+            else:
+                stack += [(x, in_list or node.tag == "li") for x in node.items if not isinstance(x, str)]
+        if listed and top.total - sum(x.total for x in listed) >= READS_CHARS:
+            gone = set(map(id, listed))
+            order = _nodes(root, lambda x, _: id(x) not in gone)
+            _total(order)
     return order
 
 
@@ -245,7 +304,10 @@ def main_text(html: str) -> str:
             whole = node
         node = node.parent if node is not body else None
     if whole is not None:
-        return _text([whole])
+        alike = [whole]
+        if whole.tag == "article" and whole.parent is not None:
+            alike = [x for x in whole.parent.items if x is whole or (not isinstance(x, str) and x.tag == "article" and _plain(x) and x.density >= LIKE * whole.density)]
+        return _text([*_title(alike[0], alike, body), *alike])
     threshold, node = _plain_density(best), best
     while node is not body and node.parent is not None:
         node = node.parent
@@ -253,33 +315,62 @@ def main_text(html: str) -> str:
     chosen: list[Node | str] = [best]
     node = best
     while node is not body and node.parent is not None:
-        chosen = _beside(node, chosen, threshold)
+        chosen = _beside(node, chosen, threshold, node.parent is body)
         node = node.parent
     return _text(chosen)
 
 
-def _beside(node: Node, chosen: list[Node | str], threshold: float) -> list[Node | str]:
+def _plain(x: Node | str) -> bool:
+    return isinstance(x, str) or x.link[0] < LINK_SHARE * max(x.total, 1)
+
+
+def _has_title(x: Node | str) -> bool:
+    return not isinstance(x, str) and (x.tag == "h1" or any(map(_has_title, x.items)))
+
+
+def _title(node: Node, chosen: list[Node], body: Node) -> list[Node]:
+    """What is nothing but headings right before an article without a title of its own, there or around it."""
+    if any(map(_has_title, chosen)):
+        return []
+    while node is not body and node.parent is not None:
+        items = node.parent.items
+        at = next(k for k, x in enumerate(items) if x is node)
+        before = [x for x in items[:at] if (x.strip() if isinstance(x, str) else x.total)]
+        if before:
+            last = before[-1]
+            return [last] if not isinstance(last, str) and last.headed == last.total and _plain(last) else []
+        node = node.parent
+    return []
+
+
+def _beside(node: Node, chosen: list[Node | str], threshold: float, at_body: bool) -> list[Node | str]:
     """``chosen`` of ``node`` with what is kept of its parent's other items, in page order.
 
     Kept are blocks that reach the threshold and aren't mostly links, and headings, paragraphs, inline elements and loose text between
-    two kept blocks or, for headings, right before one. Beside a section, other sections and paragraphs that aren't mostly links
-    are parts of the same text.
+    two kept blocks or, for headings, right before one. Sections and divisions of one container, and paragraphs beside them, are parts of
+    the same text, if they have paragraphs or headings and aren't mostly links; right below the body, those of the same names are.
     """
     items = node.parent.items
     at = next(k for k, x in enumerate(items) if x is node)
-    plain = lambda x: isinstance(x, str) or x.link[0] < LINK_SHARE * max(x.total, 1)
-    part = lambda x: node.tag == "section" and x.tag in ("section", "p")
-    dense = [k for k, x in enumerate(items) if k == at or (not isinstance(x, str) and x.tag in BLOCKS and x.total and plain(x) and (part(x) or _plain_density(x) >= threshold))]
+
+    def part(x: Node) -> bool:
+        if node.tag == "section" and x.tag in ("section", "p"):
+            return True
+        same = not at_body or (x.names and x.names == node.names)
+        return node.tag == "div" and same and (x.tag == "p" or (x.tag == "div" and (x.prose > 0 or x.headed > 0)))
+
+    dense = [k for k, x in enumerate(items) if k == at or (not isinstance(x, str) and x.tag in BLOCKS and x.total and _plain(x) and (part(x) or _plain_density(x) >= threshold))]
     kept = set(dense)
     for k in range(len(items) - 1, -1, -1):
         x = items[k]
         loose = isinstance(x, str) or x.tag not in BLOCKS
-        if k not in kept and plain(x) and dense[0] < k < dense[-1]:
-            if loose or x.tag == "p" or x.tag in HEADINGS:
+        heads = not loose and x.total and x.headed == x.total
+        if k not in kept and _plain(x) and dense[0] < k < dense[-1]:
+            if loose or x.tag == "p" or heads:
                 kept.add(k)
-        elif k not in kept and not loose and x.tag in HEADINGS and plain(x) and k < dense[0]:
+        elif k not in kept and heads and _plain(x) and k < dense[0]:
             between = items[k + 1 : dense[0]]
-            if all(not y.strip() if isinstance(y, str) else y.tag in HEADINGS or not y.total for y in between):
+            if all(not y.strip() if isinstance(y, str) else not y.total or y.headed == y.total for y in between):
                 kept.add(k)
     out: list[Node | str] = []
     for k in sorted(kept):
