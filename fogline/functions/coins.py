@@ -39,8 +39,8 @@ def toss(edges: DataFrame, worlds: int, by: Sequence[str], key: Column, p: Colum
     rows are dealt out before, as coins are far more work than the edges' bytes say, and worlds are combined before they are shuffled.
     """
     parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = edges.select(*by, key.alias("_key"), F.least(p, F.lit(1.0)).alias("_p")).where("_p > 0").repartition(parts)
-    miss = F.when(F.col("_p") < 1, F.log1p(-F.col("_p")))
+    rows = edges.select(*by, key.alias("_key"), F.when(p >= 1, 1.0).otherwise(p).alias("_p")).where("_p > 0").repartition(parts)
+    miss = F.when((F.col("_p") > 0) & (F.col("_p") < 1), F.log1p(-F.col("_p")))
 
     def after(i: Column) -> Column:
         u = (uniform32(F.concat(i.cast("string"), F.lit(":"), "_key")) + 0.5) / 4294967296.0
@@ -57,7 +57,8 @@ def toss(edges: DataFrame, worlds: int, by: Sequence[str], key: Column, p: Colum
     rows = rows.withColumn("_miss", miss).withColumn("_few", few).withColumn("_met", walk(F.array(F.lit(-1).cast("long")), F.lit(1), F.col("_few")))
     rest = walk(F.col("_met"), F.col("_few") + 1, F.lit(worlds + 2))
     rows = rows.withColumn("_met", F.when(F.element_at("_met", -1) >= worlds, F.col("_met")).otherwise(rest))
-    rows = rows.select(*by, F.explode("_met").alias("_w")).where(F.col("_w").between(0, worlds - 1))
+    # a plain explode would have Spark test the worlds for being none before the rows are dealt out, and so walk twice
+    rows = rows.select(*by, F.explode_outer("_met").alias("_w")).where(F.col("_w").between(0, worlds - 1))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("_w") % CHUNK).cast("int"))
     return rows.groupBy(F.floor(F.col("_w") / CHUNK).cast("int").alias("chunk"), *by).agg(F.bit_or(bit).alias("em"))
 

@@ -24,11 +24,6 @@ def format_set(ids: Column) -> Column:
     return F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(ids), lambda x: x.cast("string")), ", "), F.lit("}"))
 
 
-def format_path(edges: Column, cost: Column) -> Column:
-    """The edges of a path with its cost."""
-    return F.concat(F.array_join(edges, " "), F.lit(" ("), cost.cast("string"), F.lit(")"))
-
-
 def ranked_label(rank: Column, name: Column) -> Column:
     """1. name"""
     return F.concat(rank.cast("string"), F.lit(". "), name)

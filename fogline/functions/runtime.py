@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -75,6 +75,39 @@ class Rounds:
         return df.sparkSession.read.schema(schema).parquet(path)
 
 
+class Deltas:
+    """State that only grows: rounds of rows in one table of the shared folder, bucketed by key, so that it is never shuffled or written again.
+
+    A join or aggregate by exactly the key columns, in their order, reads the buckets where they lie. ``append`` adds a round and
+    says how many rows it has; ``last`` has the rows of the last round.
+    """
+
+    def __init__(self, spark: SparkSession, name: str, by: Sequence[str]):
+        self.spark, self.by, self.round = spark, list(by), -1
+        self.buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        self.table, self.path = f"{name}_{uuid.uuid4().hex}", scratch_path(spark, name)
+
+    def append(self, df: DataFrame, watch: Column | None = None) -> int:
+        """How many of the new rows meet ``watch``, or how many there are."""
+        seen = Observation()
+        self.round += 1
+        rows = df.withColumn("round", F.lit(self.round)).observe(seen, F.count(F.lit(1) if watch is None else F.when(watch, 1)).alias("n"))
+        rows.write.mode("append").option("path", self.path).bucketBy(self.buckets, *self.by).saveAsTable(self.table)
+        return seen.get["n"]
+
+    def rows(self) -> DataFrame:
+        return self.spark.table(self.table)
+
+    def last(self) -> DataFrame:
+        return self.rows().where(F.col("round") == self.round).drop("round")
+
+    def close(self) -> DataFrame:
+        """All rows, in their buckets. The catalog forgets the table; its files stay for whoever reads them."""
+        out = self.rows()
+        self.spark.sql(f"drop table if exists {self.table}")
+        return out
+
+
 def ranked(df: DataFrame, order: str, rank: str) -> DataFrame:
     """``df`` with the place of each row, from 0, in the order of a column, as ``rank``; rows of equal values get places in any order.
 

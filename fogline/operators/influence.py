@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fogline.functions.costs import chance, miss_pct
-from fogline.functions.runtime import materialize
+from fogline.functions.runtime import Deltas, Rounds, materialize, small
 from fogline.operators.reach import edge_masks, reach, start
 
 
@@ -47,31 +47,54 @@ def spreads(masks: DataFrame) -> DataFrame:
     return masks.groupBy("node").agg(F.sum(F.bit_count("mask")).cast("long").alias("hits"))
 
 
-def seeds(masks: DataFrame, k: int) -> DataFrame:
-    """(rank, node, hits): k seeds, each adding most targets to those that the earlier ones reach; hits add up.
+def _best(gains: DataFrame) -> list:
+    return gains.where("gain > 0").orderBy(F.col("gain").desc(), "node").limit(1).collect()
 
-    With fixed worlds the gain of a node only falls as seeds are added, so picking the largest exact gain each round gives
-    what lazy evaluation gives. Among equal gains the smaller node is picked; a node without gain isn't.
+
+def seeds(masks: DataFrame, k: int, batch: int = 64) -> DataFrame:
+    """(rank, node, hits, recounted): k seeds, each adding most targets to those that the earlier ones reach; hits add up.
+
+    With fixed worlds the gain of a node only falls as seeds are added, so a gain counted before is a bound. A round recounts the
+    ``batch`` nodes of the largest bounds, then all others whose bounds reach the best gain among these; no other node can be
+    better, so seeds are those of counting all nodes in each round. ``recounted`` is how many nodes a round counted. Among equal
+    gains the smaller node is picked; a node without gain isn't. The masks lie in buckets by node and aren't shuffled again; only a
+    round's seed comes to the driver.
     """
-    masks = materialize(masks, "target-masks")
-    covered, out, total = None, None, 0
+    spark, lie = masks.sparkSession, Deltas(masks.sparkSession, "target-masks", ["node"])
+    lie.append(masks.select("target", "chunk", "node", "mask"))
+    masks = lie.close().drop("round")
+    told, covered, total, none = [], None, 0, F.lit(0).cast("long")
+    bounds = Rounds("bounds")
+    gains = bounds.write(spreads(masks).withColumnRenamed("hits", "gain"), F.lit(True))
+    n = bounds.watched
+
+    def recount(nodes: DataFrame) -> DataFrame:
+        """(node, gain) under what is covered."""
+        own = masks.join(small(nodes.select("node")), "node", "left_semi").join(covered, ["target", "chunk"], "left")
+        fresh = F.col("mask").bitwiseAND(F.bitwise_not(F.coalesce("cover", none)))
+        return own.groupBy("node").agg(F.sum(F.bit_count(fresh)).cast("long").alias("gain"))
+
     for rank in range(1, k + 1):
-        gain = F.col("mask")
-        left = masks
-        if covered is not None:
-            left = masks.join(covered, ["target", "chunk"], "left")
-            gain = F.col("mask").bitwiseAND(F.bitwise_not(F.coalesce("cover", F.lit(0).cast("long"))))
-        gains = left.groupBy("node").agg(F.sum(F.bit_count(gain)).cast("long").alias("gain"))
-        top = gains.where("gain > 0").orderBy(F.col("gain").desc(), "node").limit(1).collect()
+        if covered is None:
+            top = _best(gains)
+        else:
+            ahead = materialize(gains.where("gain > 0").orderBy(F.col("gain").desc(), "node").limit(batch), "ahead")
+            counted = materialize(recount(ahead), "recounted")
+            so_far = _best(counted)
+            least = so_far[0]["gain"] if so_far else 1
+            others = materialize(gains.where(F.col("gain") >= least).join(F.broadcast(ahead.select("node")), "node", "left_anti"), "others")  # ``batch`` rows
+            counted = materialize(counted.unionByName(recount(others)), "recounted")
+            n = counted.count()
+            top = _best(counted)
+            gains = bounds.write(gains.join(counted.withColumnRenamed("gain", "now"), "node", "left").select("node", F.coalesce("now", "gain").alias("gain")))
         if not top:
             break
         total += top[0]["gain"]
-        row = masks.sparkSession.createDataFrame([(rank, top[0]["node"], total)], "rank int, node long, hits long")
-        out = row if out is None else out.unionByName(row)
+        told.append((rank, top[0]["node"], total, n))
         own = masks.where(F.col("node") == top[0]["node"]).select("target", "chunk", F.col("mask").alias("cover"))
         both = own if covered is None else covered.unionByName(own)
         covered = materialize(both.groupBy("target", "chunk").agg(F.bit_or("cover").alias("cover")), "covered")
-    return out if out is not None else masks.sparkSession.createDataFrame([], "rank int, node long, hits long")
+    return spark.createDataFrame(told, "rank int, node long, hits long, recounted long")
 
 
 def _some(edges: DataFrame) -> DataFrame:

@@ -29,27 +29,46 @@ def _single(queries: DataFrame) -> DataFrame:
 
 def score(masks: DataFrame, queries: DataFrame, cands: DataFrame, allowed: DataFrame, objective: str, worlds: int) -> DataFrame:
     """(query_id, cand, hits) for all candidates (query_id, cand) of all queries in one fixpoint; 0 where nothing is reached."""
+    return _scored(_reached(masks, queries, cands, allowed, objective, worlds), queries, cands, objective)
+
+
+def _root(objective: str) -> list[str]:
+    """What reach is keyed by besides the candidate."""
+    return [] if objective in ("sum", "rel") else ["root"] if objective == "conn" else ["source"]
+
+
+def _nodes_to_hit(queries: DataFrame, objective: str) -> DataFrame:
+    return queries.select("query_id", F.explode(F.array_union("sources", "targets") if objective == "conn" else F.col("targets")).alias("node")).distinct()
+
+
+def _reached(masks: DataFrame, queries: DataFrame, cands: DataFrame, allowed: DataFrame, objective: str, worlds: int, begun: DataFrame | None = None) -> DataFrame:
+    """Reach of all candidates, up to where worlds are decided: (query_id, cand, root or source, chunk, node, mask).
+
+    ``begun`` has such rows to start from, for candidates that reach at least these.
+    """
+    if objective == "s":
+        queries, objective = _single(queries), "max"
+    at, root = _nodes_to_hit(queries, objective), _root(objective)
+    if begun is None:
+        seeds = at if objective == "conn" else queries.select("query_id", F.explode("sources").alias("node"))
+        begun = start(seeds.join(cands, "query_id").select(*KEYS, *[F.col("node").alias(c) for c in root], "node"), worlds)
+    until = {"until_any": at} if objective == "sum" else {"until_all": at}
+    return reach(masks, begun, [*KEYS, *root], allowed, KEYS, **until)
+
+
+def _scored(reached: DataFrame, queries: DataFrame, cands: DataFrame, objective: str) -> DataFrame:
     if objective == "s":
         queries, objective = _single(queries), "max"
-    begun = queries.join(cands, "query_id")
-    if objective in ("sum", "rel"):
-        seeds = begun.select(*KEYS, F.explode("sources").alias("node"))
-        at = queries.select("query_id", F.explode("targets").alias("node"))
-        until = {"until_any": at.distinct()} if objective == "sum" else {"until_all": at.distinct()}
-        reached = reach(masks, start(seeds, worlds), KEYS, allowed, KEYS, **until)
-        got = worlds_of_any(reached, at, KEYS) if objective == "sum" else hits_at(reached, at, KEYS).groupBy(*KEYS).agg(F.sum("hits").alias("hits"))
+    at = _nodes_to_hit(queries, objective)
+    if objective == "sum":
+        got = worlds_of_any(reached, at, KEYS)
+    elif objective == "rel":
+        got = hits_at(reached, at, KEYS).groupBy(*KEYS).agg(F.sum("hits").alias("hits"))
     elif objective == "conn":
-        ends = queries.select("query_id", F.explode(F.array_union("sources", "targets")).alias("node"))
-        seeds = ends.join(cands, "query_id").select(*KEYS, F.col("node").alias("root"), "node")
-        reached = reach(masks, start(seeds, worlds), [*KEYS, "root"], allowed, KEYS, until_all=ends.distinct())
-        got = worlds_of_all(reached, ends, [*KEYS, "root"]).groupBy(*KEYS).agg(F.max("hits").alias("hits"))
+        got = worlds_of_all(reached, at, [*KEYS, "root"]).groupBy(*KEYS).agg(F.max("hits").alias("hits"))
     else:
-        seeds = begun.select(*KEYS, F.explode("sources").alias("source")).withColumn("node", F.col("source"))
-        at = queries.select("query_id", F.explode("targets").alias("node")).distinct()
-        reached = reach(masks, start(seeds, worlds), [*KEYS, "source"], allowed, KEYS, until_all=at)
-        by_pair = pair_scores(reached, queries, cands)
         how = {"max": F.max("hits"), "min": F.min("hits"), "avg": F.sum("hits")}[objective]
-        got = by_pair.groupBy(*KEYS).agg(how.alias("hits"))
+        got = pair_scores(reached, queries, cands).groupBy(*KEYS).agg(how.alias("hits"))
     return cands.join(got, KEYS, "left").select(*KEYS, F.coalesce("hits", F.lit(0)).cast("long").alias("hits"))
 
 
@@ -102,14 +121,15 @@ def baseline1(edges: DataFrame, queries: DataFrame, k: int, objective: str, worl
 def baseline2(edges: DataFrame, queries: DataFrame, k: int, objective: str, worlds: int = 20, directed: bool = True, masks: DataFrame | None = None) -> DataFrame:
     """k rounds, each adding the color that scores best with those chosen: (query_id, rank, color, hits).
 
-    One job a round for all colors of all queries. Among equal scores the smaller color is chosen.
+    One job a round for all colors of all queries. Among equal scores the smaller color is chosen. Colors only add to what is
+    reached, so a round starts from the reach of the colors chosen so far, not from the sources.
     """
     masks = edge_masks(edges, worlds, directed) if masks is None else masks
     if objective == "max":
         solved = materialize(by_pair(queries), "pairs")
         return _best_pair(materialize(baseline2(edges, solved.select("query_id", "sources", "targets"), k, "s", worlds, directed, masks), "b2"), solved, F.max("hits"))
     every = materialize(colors(edges), "colors")
-    chosen = None
+    chosen = begun = None
     for rank in range(1, k + 1):
         cands = queries.select("query_id").crossJoin(every.select(F.col("color").alias("cand")))
         if chosen is not None:
@@ -118,10 +138,14 @@ def baseline2(edges: DataFrame, queries: DataFrame, k: int, objective: str, worl
         allowed = cands.withColumn("color", F.col("cand"))
         if chosen is not None:
             allowed = allowed.unionByName(cands.join(chosen.select("query_id", "color"), "query_id"))
-        scores = score(masks, queries, cands, allowed, objective, worlds)
+        if begun is not None:
+            begun = begun.join(cands, "query_id")
+        reached = _reached(masks, queries, cands, allowed, objective, worlds, begun)
+        scores = _scored(reached, queries, cands, objective)
         best = scores.groupBy("query_id").agg(F.max(F.struct("hits", (-F.col("cand")).alias("minus"))).alias("b"))
         picked = materialize(best.select("query_id", F.lit(rank).alias("rank"), (-F.col("b.minus")).alias("color"), F.col("b.hits").alias("hits")), "picked")
         chosen = picked if chosen is None else materialize(chosen.unionByName(picked), "chosen")
+        begun = reached.join(picked.select("query_id", F.col("color").alias("cand")), KEYS, "left_semi").drop("cand")
     return chosen
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from fogline.functions.coins import all_worlds, chunks, edge_key, toss
 from fogline.functions.costs import chance, rounded_down
-from fogline.functions.runtime import Rounds, materialize, small
+from fogline.functions.runtime import Deltas, materialize, small
 from fogline.operators.graph import NEUTRAL, bidirected
 
 
@@ -36,14 +36,14 @@ def start(rows: DataFrame, worlds: int, node: str = "node") -> DataFrame:
     return rows.withColumnRenamed(node, "node").withColumn("chunk", chunks(worlds)).withColumn("mask", all_worlds(F.col("chunk"), worlds))
 
 
-def _decided(state: DataFrame, keys: Sequence[str], at: DataFrame, every: bool) -> DataFrame:
-    """(keys, chunk, over): worlds in which one of the nodes ``at`` (some keys, node), or every one, is reached."""
-    shared = [c for c in at.columns if c in state.columns]
-    if not every:
-        return state.join(at, shared, "left_semi").groupBy(*keys, "chunk").agg(F.bit_or("mask").alias("over"))
-    by = [c for c in shared if c != "node"]
-    wanted = at.groupBy(*by).agg(F.count("*").alias("wanted")) if by else at.agg(F.count("*").alias("wanted"))
-    met = state.join(at, shared, "left_semi").groupBy(*keys, "chunk").agg(F.bit_and("mask").alias("over"), F.count("*").alias("got"))
+def _decided(state: DataFrame, keys: Sequence[str], at: DataFrame, wanted: DataFrame | None) -> DataFrame:
+    """(keys, chunk, over): worlds in which one of the nodes ``at`` (some keys, node) is reached or, with ``wanted`` (some keys, wanted),
+    the number of them, every one."""
+    found = state.join(at, [c for c in at.columns if c in state.columns], "left_semi").groupBy(*keys, "chunk")
+    if wanted is None:
+        return found.agg(F.bit_or("mask").alias("over"))
+    by = [c for c in wanted.columns if c != "wanted"]
+    met = found.agg(F.bit_and("mask").alias("over"), F.count("*").alias("got"))
     full = met.join(wanted, by) if by else met.crossJoin(F.broadcast(wanted))  # one row
     return full.where("got = wanted").select(*keys, "chunk", "over")
 
@@ -53,9 +53,9 @@ def reach(masks: DataFrame, begin: DataFrame, keys: Sequence[str], allowed: Data
 
     ``allowed`` (allowed_keys, color) restricts the colors by query or candidate; its size is checked before it is
     broadcast. ``edge_keys`` are keys that the masks have too: each query or candidate then has edges of its own. Each round joins
-    the frontier with the edges, combines by node and writes the state to the shared folder in place of the last one, so the
-    lineage stays short; whether there is a next frontier is counted by that write. A loop that ``max_rounds`` don't end raises.
-    Without start rows the result is empty.
+    the frontier with the edges, combines by node, takes off the worlds that are known where they lie and appends the others to the
+    shared folder, which counts them; they are the next frontier. Edges and state lie in buckets, so only the frontier and its
+    messages are shuffled. A loop that ``max_rounds`` don't end raises. Without start rows the result is empty.
 
     With ``until_any`` or ``until_all`` (distinct rows of some keys and node) a world is decided once one, or every one, of the nodes is
     reached in it, and leaves the frontier of those keys: other nodes may then lack worlds that they would be reached in.
@@ -68,17 +68,23 @@ def reach(masks: DataFrame, begin: DataFrame, keys: Sequence[str], allowed: Data
         if neutral:
             allowed = allowed.unionByName(allowed.select(*allowed_keys, F.lit(NEUTRAL).cast("long").alias("_c")).distinct())
         allowed = small(materialize(allowed, "allowed"))
-    state = begin.groupBy(*keys, "chunk", "node").agg(F.bit_or("mask").alias("mask")).withColumn("fresh", F.col("mask"))
-    ends, every = (until_all, True) if until_all is not None else (until_any, False)
+    ends = until_all if until_all is not None else until_any
+    wanted = None
     if ends is not None:
         ends = materialize(ends, "ends")
-    rounds = Rounds("reach")
-    state = rounds.write(state)
-    none = F.lit(0).cast("long")
+        if until_all is not None:
+            each = [c for c in ends.columns if c in keys]
+            wanted = small(materialize(ends.groupBy(*each).agg(F.count("*").alias("wanted")), "wanted"))
+        ends = small(ends)
+    by, spark, none = [*keys, "chunk", "node"], masks.sparkSession, F.lit(0).cast("long")
+    edges, state = Deltas(spark, "arcs", [*edge_keys, "chunk", "node"]), Deltas(spark, "reach", by)
+    edges.append(arcs)
+    arcs = edges.close().drop("round")
+    fresh = state.append(begin.groupBy(*by).agg(F.bit_or("mask").alias("mask")))
     for _ in range(max_rounds):
-        front = state.where("fresh != 0")
+        front = state.last().withColumnRenamed("mask", "fresh")
         if ends is not None:
-            front = front.join(_decided(state, keys, ends, every), [*keys, "chunk"], "left")
+            front = front.join(_decided(state.rows().groupBy(*by).agg(F.bit_or("mask").alias("mask")), keys, ends, wanted), [*keys, "chunk"], "left")
             front = front.withColumn("fresh", F.col("fresh").bitwiseAND(F.bitwise_not(F.coalesce("over", none)))).where("fresh != 0")
         moved = front.join(arcs, [*edge_keys, "chunk", "node"])
         if allowed is not None:
@@ -88,12 +94,11 @@ def reach(masks: DataFrame, begin: DataFrame, keys: Sequence[str], allowed: Data
                 on = on & c
             moved = moved.join(allowed, on, "left_semi")
         moved = moved.select(*keys, "chunk", F.col("next").alias("node"), F.col("fresh").bitwiseAND(F.col("em")).alias("add")).where("add != 0")
-        both = state.select(*keys, "chunk", "node", "mask", none.alias("add")).unionByName(moved.withColumn("mask", none))
-        merged = both.groupBy(*keys, "chunk", "node").agg(F.bit_or("mask").alias("old"), F.bit_or("add").alias("add"))
-        merged = merged.select(*keys, "chunk", "node", F.col("old").bitwiseOR(F.col("add")).alias("mask"), F.col("add").bitwiseAND(F.bitwise_not("old")).alias("fresh"))
-        state = rounds.write(merged, F.col("fresh") != 0)
-        if rounds.watched == 0:
-            return state.drop("fresh")
+        known = state.rows().groupBy(*by).agg(F.bit_or("mask").alias("old"))
+        met = moved.groupBy(*by).agg(F.bit_or("add").alias("add")).join(known, by, "left")
+        fresh = state.append(met.select(*by, F.col("add").bitwiseAND(F.bitwise_not(F.coalesce("old", none))).alias("mask")).where("mask != 0"))
+        if fresh == 0:
+            return state.close().groupBy(*by).agg(F.bit_or("mask").alias("mask"))
     raise RuntimeError(f"nodes are still reached after {max_rounds} rounds")
 
 

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fogline.functions.coins import toss
-from fogline.functions.runtime import materialize
+from fogline.functions.runtime import Rounds, materialize
 from fogline.operators import objectives as obj
 from fogline.operators.graph import EDGE, NEUTRAL, identified, path_edges
 from fogline.operators.paths import walk_edges
@@ -54,34 +53,46 @@ def greedy(walked: DataFrame, queries: DataFrame, k: int, objective: str, worlds
 
     Each round folds in what needs no new color, drops what would need more than k colors, scores each remaining path
     together with all that was folded in, and takes the best (the earlier path among equals) with its new colors in path
-    order. All candidates of all queries are one job a round; there are k rounds at most.
+    order. All candidates of all queries are one job a round; there are k rounds at most. ``hits`` is the score when a color was
+    chosen; for those chosen last it is the score of all that is folded in at the end.
     """
     walked = materialize(walked, "walked")
     rest = materialize(ordered_colors(walked).withColumn("chosen", F.array().cast("array<bigint>")), "rest")
     taken = rest.select("query_id", "path_id").limit(0)
     out = None
-    for _ in range(k):
+    for turn in range(k + 1):
         state = rest.withColumn("new", F.array_except("colors", "chosen"))
         folded = state.where(F.size("new") == 0).select("query_id", "path_id")
         taken = materialize(taken.unionByName(folded), "taken")
         state = materialize(state.where((F.size("new") > 0) & (F.size("chosen") + F.size("new") <= k)), "state")
-        if state.limit(1).count() == 0:
+        if turn == k or state.limit(1).count() == 0:
             break
         cands = state.select("query_id", F.col("path_id").alias("cand"))
-        base = walked.join(taken, ["query_id", "path_id"], "left_semi").select("query_id", *EDGE).distinct()
+        base = _own(walked, taken)
         own = walked.join(cands.withColumnRenamed("cand", "path_id"), ["query_id", "path_id"], "left_semi").select("query_id", F.col("path_id").alias("cand"), *EDGE)
         edges = base.join(cands, "query_id").select("query_id", "cand", *EDGE).unionByName(own).distinct()
         scores = _scored(edges, queries, cands, objective, worlds)
         best = scores.groupBy("query_id").agg(F.max(F.struct("hits", (-F.col("cand")).alias("minus"))).alias("b")).select("query_id", (-F.col("b.minus")).alias("best"), F.col("b.hits").alias("hits"))
         picked = materialize(state.join(best, "query_id").where("path_id = best").select("query_id", "path_id", "new", "chosen", "hits"), "picked")
-        added = picked.select("query_id", F.posexplode("new").alias("i", "color"), F.size("chosen").alias("have"), "hits").select("query_id", (F.col("have") + F.col("i") + 1).alias("rank"), "color", "hits")
+        added = picked.select("query_id", F.lit(turn).alias("turn"), F.posexplode("new").alias("i", "color"), F.size("chosen").alias("have"), "hits").select("query_id", "turn", (F.col("have") + F.col("i") + 1).alias("rank"), "color", "hits")
         out = added if out is None else out.unionByName(added)
         taken = taken.unionByName(picked.select("query_id", "path_id"))
         grown = picked.select("query_id", F.col("path_id").alias("gone"), F.concat("chosen", "new").alias("chosen"))
         rest = materialize(state.drop("chosen", "new").join(grown, "query_id").where("path_id != gone").drop("gone"), "rest")
     if out is None:
-        out = walked.select("query_id", F.lit(0).alias("rank"), "color", F.lit(0).cast("long").alias("hits")).limit(0)
-    return out
+        return walked.select("query_id", F.lit(0).alias("rank"), "color", F.lit(0).cast("long").alias("hits")).limit(0)
+    out = materialize(out, "chosen")
+    cands = out.select("query_id", F.lit(0).cast("long").alias("cand")).distinct()
+    final = _own(walked, taken).join(cands, "query_id").select(*KEYS, *EDGE)
+    final = _scored(final, queries, cands, objective, worlds).select("query_id", F.col("hits").alias("final"))
+    last = out.groupBy("query_id").agg(F.max("turn").alias("last"))
+    hits = F.when(F.col("turn") == F.col("last"), F.col("final")).otherwise(F.col("hits")).alias("hits")
+    return out.join(last, "query_id").join(final, "query_id").select("query_id", "rank", "color", hits)
+
+
+def _own(walked: DataFrame, taken: DataFrame) -> DataFrame:
+    """(query_id, EDGE) of the paths ``taken``, each edge once."""
+    return walked.join(taken, ["query_id", "path_id"], "left_semi").select("query_id", *EDGE).distinct()
 
 
 def _walked(walks: DataFrame, edges: DataFrame) -> DataFrame:
@@ -113,36 +124,42 @@ def heuristic(edges: DataFrame, queries: DataFrame, k: int, r: int, objective: s
     return greedy(_walked(walk_edges(graph, queries, r, hops), graph), queries, k, objective, worlds)
 
 
-def cover(rows: pd.DataFrame, k: int) -> list[int]:
-    """Colors that leave each pair a path with none but these, by few additions; empty if k colors don't do.
+def minimum_cover(routes: DataFrame, k: int, max_rounds: int = 100_000) -> DataFrame:
+    """(query_id, color): colors that leave each pair a path with none but these, by few additions; none for a query that k don't do for.
 
-    ``rows`` has pair, rank and colors. Paths go by (rank, pair); the one that needs the fewest new colors is next, and its
-    pair is done. Over k colors, the smallest color goes without which every pair done keeps a path and which the new path
-    doesn't need.
+    ``routes`` has (query_id, pair, rank, colors). Of the paths of pairs that aren't done, the one that needs the fewest new colors is
+    next, then the one of the least rank, then of the least pair, and its pair is done. Over k colors, the smallest color goes without
+    which every pair done keeps a path and which the new path doesn't need. Each round takes a path or drops a color, for all queries
+    at once.
     """
-    left = [(r.rank, r.pair, frozenset(r.colors)) for r in rows.sort_values(["rank", "pair"]).itertuples()]
-    every, chosen, done = {p for _, p, _ in left}, set(), set()
-    paths: dict = {p: [c for _, q, c in left if q == p] for p in every}
-    while done != every:
-        rest = [x for x in left if x[1] not in done]
-        _, pair, needs = min(rest, key=lambda x: len(x[2] - chosen))
-        chosen |= needs
-        while len(chosen) > k:
-            spare = [c for c in sorted(chosen - needs) if all(any(path <= chosen - {c} for path in paths[p]) for p in done)]
-            if not spare:
-                return []
-            chosen.discard(spare[0])
-        done.add(pair)
-    return sorted(chosen)
-
-
-def minimum_cover(routes: DataFrame, k: int) -> DataFrame:
-    """(query_id, color) of the cover of each query. A group has the r paths of each pair of one query."""
-
-    def each(rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"query_id": rows["query_id"].iloc[0], "color": cover(rows, k)}).astype("int64")
-
-    return routes.select("query_id", "pair", "rank", "colors").groupBy("query_id").applyInPandas(each, "query_id long, color long")
+    routes = materialize(routes.select("query_id", "pair", "rank", "colors"), "routes")
+    pairs = routes.groupBy("query_id").agg(F.count_distinct("pair").alias("n"))
+    none = F.array().cast("array<bigint>")
+    states, dones = Rounds("cover"), Rounds("done")
+    state = states.write(pairs.select("query_id", "n", F.lit(0).cast("long").alias("n_done"), none.alias("chosen"), F.lit(None).cast(routes.schema["pair"].dataType).alias("pend"), none.alias("needs"), F.lit(False).alias("dead")), F.lit(True))
+    done = dones.write(routes.select("query_id", "pair").limit(0))
+    for _ in range(max_rounds):
+        if states.watched == 0:
+            return state.where("not dead and n_done = n").select("query_id", F.explode(F.array_sort("chosen")).alias("color"))
+        # queries that take a path
+        left = routes.join(done, ["query_id", "pair"], "left_anti").join(state.where("pend is null and not dead and n_done < n").select("query_id", "chosen"), "query_id")
+        cost = F.size(F.array_except("colors", "chosen")).alias("cost")
+        taken = left.groupBy("query_id").agg(F.min(F.struct(cost, "rank", "pair", "colors")).alias("t")).select("query_id", "t.pair", "t.colors")
+        # queries that drop a color: those without which every pair done has a path
+        over = state.where("pend is not null and not dead")
+        spare = over.select("query_id", "chosen", "n_done", F.explode(F.array_except("chosen", "needs")).alias("c"))
+        kept = routes.join(done, ["query_id", "pair"]).join(spare, "query_id").where(F.size(F.array_except("colors", F.array_remove("chosen", F.col("c")))) == 0)
+        fits = kept.select("query_id", "c", "n_done", "pair").distinct().groupBy("query_id", "c", "n_done").count().where("count = n_done").select("query_id", "c")
+        fits = fits.unionByName(spare.where("n_done = 0").select("query_id", "c")).groupBy("query_id").agg(F.min("c").alias("c"))
+        both = state.join(taken, "query_id", "left").join(fits, "query_id", "left")
+        takes, drops = F.col("pair").isNotNull(), F.col("pend").isNotNull() & ~F.col("dead") & F.col("c").isNotNull()
+        now = F.when(takes, F.array_union("chosen", "colors")).when(drops, F.array_remove("chosen", F.col("c"))).otherwise(F.col("chosen"))
+        moved = both.select("query_id", "n", "n_done", now.alias("chosen"), F.coalesce("pair", "pend").alias("at"), F.coalesce("colors", "needs").alias("needs"), (F.col("dead") | (F.col("pend").isNotNull() & F.col("c").isNull())).alias("dead"), (takes | drops).alias("moved"))
+        moved = materialize(moved.withColumn("fits", F.col("moved") & (F.size("chosen") <= k)), "moved")
+        done = dones.write(done.unionByName(moved.where("fits").select("query_id", F.col("at").alias("pair"))))
+        state = moved.select("query_id", "n", (F.col("n_done") + F.col("fits").cast("long")).alias("n_done"), "chosen", F.when(~F.col("fits") & F.col("at").isNotNull() & (F.size("chosen") > k), F.col("at")).alias("pend"), "needs", "dead")
+        state = states.write(state, ~F.col("dead") & (F.col("n_done") < F.col("n")))
+    raise RuntimeError(f"covers are open after {max_rounds} rounds")
 
 
 def max_min(edges: DataFrame, queries: DataFrame, k: int, r: int, worlds: int, hops: int | None) -> DataFrame:

@@ -156,8 +156,17 @@ def greedy(objective: str, k: int, queries: str = "q") -> list[str]:
             f"taken{i} as (select * from tk{i} union all select query_id, cand from pk{i})",
             f"rest{i} as (select c.query_id, c.cand as path_id, c.colors, list_concat(p.chosen, p.new) as chosen from c{i} c join pk{i} p on p.query_id = c.query_id and p.cand <> c.cand)",
         ]
-    each = " union all ".join(f"select query_id, len(chosen) + generate_subscripts(new, 1) as rank, unnest(new) as color, hits from pk{i}" for i in range(1, k + 1))
-    return [*parts, f"picks as materialized (select query_id, cast(rank as int) as rank, color, cast(hits as bigint) as hits from ({each}))"]
+    each = " union all ".join(f"select query_id, {i} as turn, len(chosen) + generate_subscripts(new, 1) as rank, unnest(new) as color, hits from pk{i}" for i in range(1, k + 1))
+    parts += [
+        f"tkz as materialized (select * from taken{k} union all select query_id, path_id from rest{k} where len(list_filter(colors, lambda x: not list_contains(chosen, x))) = 0)",
+        f"cz as materialized (select distinct query_id, 0 as cand from ({each}))",
+        "lez as materialized (select distinct query_id, cand, src, dst, color from cz join tkz using (query_id) join e using (query_id, path_id))",
+        f"rz as (select query_id, cand, w, unnest(sources) as v from cz join {queries} using (query_id), ws union select r.query_id, r.cand, r.w, l.dst from rz r join lez x on x.query_id = r.query_id and x.cand = r.cand and x.src = r.v "
+        "join live l on l.w = r.w and l.src = x.src and l.dst = x.dst and l.color = x.color)",
+        f"hz as materialized (select query_id, {hits} as final from rz join {queries} using (query_id) where list_contains(targets, v) group by 1)",
+    ]
+    told = f"select query_id, rank, color, case when turn = max(turn) over (partition by query_id) then coalesce(final, 0) else hits end as hits from ({each}) left join hz using (query_id)"
+    return [*parts, f"picks as materialized (select query_id, cast(rank as int) as rank, color, cast(hits as bigint) as hits from ({told}))"]
 
 
 def heuristic(objective: str, k: int, r: int, worlds: int) -> str:
@@ -248,7 +257,7 @@ def max_min(k: int, r: int, worlds: int) -> str:
 #: Least cost from each node to each other, over up to 24 edges.
 DIST = """
 steps as (
-  select distinct dst as target, dst as node, 0::bigint as dist, 0 as h from arcs
+  select t as target, t as node, 0::bigint as dist, 0 as h from (select dst as t from arcs union select unnest(targets) from q)
   union all
   select target, src, min(dist + cost), h + 1 from steps join arcs on dst = node where h < 24 group by target, src, h),
 dist as (select target, node, min(dist) as dist from steps group by 1, 2)"""
@@ -283,3 +292,43 @@ def flow_reach(worlds: int, reverse: bool = False) -> list[str]:
     seeds = "seed as (select distinct src as query_id, 0 as cand, 0 as s, src as node from g where src % 50 = 0)"
     allow = "allow as (select query_id, 0 as cand, color from seed, (select distinct color from g))"
     return [FLOW_SQL, live(worlds, FLOW_KEY), seeds, allow, reach("", reverse)]
+
+
+#: From each node divisible by 50 of the event graph, the next node as its target.
+FLOW_QUERIES = "q as (select distinct src as query_id, [src] as sources, [src + 1] as targets from g where src % 50 = 0)"
+#: The edges of walks, with parallel ones told apart.
+FLOW_EDGES = "e as materialized (select query_id, rank as path_id, position, g.edge_id, src, dst, color, p_pct from (select query_id, rank, unnest(edges) as edge_id, generate_subscripts(edges, 1) as position from walk) x join g using (edge_id))"
+
+
+def flow_walks(r: int, hops: int) -> list[str]:
+    """walk (query_id, rank, cost, edges) of up to ``hops`` edges on the event graph, whose parallel edges are edges of their own."""
+    return [
+        f"arcs as (select src, dst, edge_id, {COST} as cost from g where p_pct > 0)",
+        f"""
+step as (
+  select query_id, s as node, null::bigint as prev, 0::bigint as cost, []::bigint[] as edges, targets, false as arrived
+  from (select query_id, unnest(sources) as s, targets from q) where not list_contains(targets, s)
+  union all
+  select b.query_id, a.dst, b.node, b.cost + a.cost, list_append(b.edges, a.edge_id), b.targets, list_contains(b.targets, a.dst)
+  from step b join arcs a on a.src = b.node where len(b.edges) < {hops} and not b.arrived and (b.prev is null or a.dst <> b.prev))""",
+        f"walk as materialized (select query_id, cast(row_number() over (partition by query_id order by cost, edges) as int) as rank, cost, edges from step where arrived qualify rank <= {r})",
+    ]
+
+
+def flow_greedy(k: int) -> list[str]:
+    """greedy() on the event graph, by edge ids."""
+    parts = [FLOW_EDGES, *greedy("sum", k)[1:]]
+    parts = [x.replace("cand, src, dst, color from c", "cand, edge_id, src, dst, color from c") for x in parts]
+    return [x.replace("l.src = x.src and l.dst = x.dst and l.color = x.color", "l.edge_id = x.edge_id") for x in parts]
+
+
+#: A probability that isn't a whole percent.
+THOUSANDTHS = "p_pct / 1000.0::double"
+
+
+def colors_of_lines(k: int, worlds: int) -> str:
+    """Baseline 1 for sum, filled up, as result lines."""
+    top = f"top as materialized (select query_id, cand as color, row_number() over (partition by query_id order by hits desc, cand) as rank from score where hits > 0 qualify rank <= {k})"
+    more = "more as (select q.query_id, color, (select count(*) from top t where t.query_id = q.query_id) + row_number() over (partition by q.query_id order by md5('7:' || color), color) as rank from q, colors where not exists (select 1 from top t where t.query_id = q.query_id and t.color = colors.color))"
+    line = f"array_to_string(sources, ' ') || ';' || array_to_string(targets, ' ') || '; ' || string_agg(color::varchar, ' ' order by rank) || '; ' || (select count(*) from top t where t.query_id = q.query_id) || '; Loop: {worlds}; Time: 0'"
+    return recursive(*BASE, COLORS, live(worlds, p=THOUSANDTHS), *_first("q"), *score("sum"), top, more, f"select {line} as value from q join (select query_id, color, rank from top union all select * from more where rank <= {k}) using (query_id) group by q.query_id, sources, targets")

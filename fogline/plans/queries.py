@@ -12,6 +12,7 @@ from fogline.functions import costs, names
 from fogline.functions.runtime import materialize, read, scratch_path, small
 from fogline.operators import etl, graph, influence, objectives, paths, select, steiner
 from fogline.operators.reach import edge_masks, hits_at, reach, start, worlds_of_all
+from fogline.plans import lines
 from fogline.plans import oracle as sql
 from fogline.plans.fixtures import QUERIES_SQL, TRADE_SQL, flow, flow_ends, region_colors, region_queries, trade
 from fogline.sources import graph_text, sinks
@@ -147,6 +148,23 @@ def snk_6(spark, sf_dir):
     return trade(spark, sf_dir).groupBy("src").agg(names.format_set(F.collect_set("color")).alias("colors"))
 
 
+PRINTED = [*sql.BASE, sql.ARCS, *sql.walks(5), "x as (select query_id, rank, unnest(string_split(path, '|')) as edge, generate_subscripts(string_split(path, '|'), 1) as position from walk)", "p as (select query_id, rank, min_by(src, position) || string_agg('-(c:' || color || ',cost:' || a.cost || ')->' || dst, '' order by position) || ' path-cost: ' || sum(a.cost) as value from x join arcs a using (edge) group by 1, 2)"]
+
+
+@query(sql.recursive(*PRINTED, "select query_id, string_agg('{' || value || '}', ' ' order by rank) as value from p group by 1"))
+def snk_6_paths(spark, sf_dir):
+    """Printed walks of each query."""
+    edges = graph.identified(trade(spark, sf_dir))
+    walks = paths.walk_edges(edges, region_queries(spark, sf_dir), 5)
+    return sinks.path_set_lines(graph.path_edges(walks.withColumn("path_id", F.col("rank")), edges))
+
+
+@query(GF + f"select src || '-(c:' || color || ',cost:' || {sql.COST} || ')->' || dst as value from g")
+def snk_6_graph(spark, sf_dir):
+    """The printed edges of the event graph."""
+    return sinks.graph_lines(flow(spark, sf_dir))
+
+
 # graph shaping ---------------------------------------------------------------------------------------------------------
 
 
@@ -271,6 +289,12 @@ def rel_4(spark, sf_dir):
     return etl.frequent_authors(_papers(spark, sf_dir), ["en", "Fr"], 20)
 
 
+@query("select author, count(*) as count from (select unnest([source, 'author' || (doc_id % 37)]) as author from documents) group by 1 having count(*) >= 20 order by 2 desc, 1 limit 7")
+def rel_4_number(spark, sf_dir):
+    """The seven most frequent authors."""
+    return etl.frequent_authors(_papers(spark, sf_dir), ["Proc"], 20, 7)
+
+
 @query("select lang, count(*) as n from documents where lower(text) like '%license%' group by 1")
 def rel_5(spark, sf_dir):
     """Texts with a word in any case."""
@@ -630,7 +654,7 @@ def celf_1(spark, sf_dir):
 @query(sql.recursive(*CELF, "one as (select v, count(*) as gain from reach group by 1 order by 2 desc, 1 limit 1)", "two as (select r.v, count(*) as gain from reach r where (r.s, r.w) not in (select (s, w) from reach where v = (select v from one)) group by 1 order by 2 desc, 1 limit 1)", "select 1 as rank, v as node, gain as hits from one union all select 2, two.v, one.gain + two.gain from one, two where two.gain > 0"))
 def celf_2(spark, sf_dir):
     """Two seeds by greedy gains."""
-    return influence.seeds(_target_masks(spark, sf_dir), 2)
+    return influence.seeds(_target_masks(spark, sf_dir), 2).drop("recounted")
 
 
 @query()
@@ -640,6 +664,76 @@ def loop_1(spark, sf_dir):
     return influence.alternate(trade(spark, sf_dir), to, 2, 2, 2, 10, WORLDS)
 
 
+# parallel edges and exact probabilities --------------------------------------------------------------------------------
+
+HOPS = 3
+FLOW_LIVE = sql.live(WORLDS, sql.FLOW_KEY, keep="edge_id")
+FLOW_WALKS = [sql.FLOW_SQL, sql.FLOW_QUERIES, *sql.flow_walks(10, HOPS)]
+
+
+def _flow_queries(edges: DataFrame) -> DataFrame:
+    """From each node divisible by 50 to the next node."""
+    return flow_ends(edges).select("query_id", F.array("node").alias("sources"), F.array(F.col("node") + 1).alias("targets"))
+
+
+def _flow_walked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    edges = graph.identified(flow(spark, sf_dir))
+    walks = paths.walk_edges(edges, _flow_queries(edges), 10, HOPS)
+    return edges, materialize(graph.path_edges(walks.withColumn("path_id", F.col("rank").cast("long")), edges), "walked")
+
+
+@query(sql.recursive(*FLOW_WALKS, sql.FLOW_EDGES, f"select query_id, w.rank, w.cost, (select string_agg({sql.FLOW_KEY}, '|' order by position) from e where e.query_id = w.query_id and path_id = w.rank) as path from walk w"))
+def sp_2_parallel(spark, sf_dir):
+    """Walks on the event graph, parallel edges told apart."""
+    edges = flow(spark, sf_dir)
+    return paths.top_walks(edges, _flow_queries(edges), 10, HOPS).select("query_id", "rank", "cost", "path")
+
+
+@query(sql.recursive(*FLOW_WALKS, sql.FLOW_EDGES, "select query_id, cast(path_id as bigint) as path_id, cast(position - 1 as int) as position, edge_id, src, dst, color from e"))
+def gx_10_parallel(spark, sf_dir):
+    """The edges of these walks, each the very one that was walked on."""
+    return _flow_walked(spark, sf_dir)[1].drop("p", "coin")
+
+
+@query(sql.recursive(*FLOW_WALKS, sql.FLOW_EDGES, FLOW_LIVE, "lv as (select distinct w, query_id, l.src, l.dst from e join live l using (edge_id) where l.color in (1, 2, 3))", "r8 as (select query_id, w, unnest(sources) as v from q, ws union select r.query_id, r.w, l.dst from r8 r join lv l on l.query_id = r.query_id and l.w = r.w and l.src = r.v)", "select q.query_id, count(distinct w) as hits from q join r8 on r8.query_id = q.query_id and list_contains(targets, v) group by 1"))
+def mc_8_parallel(spark, sf_dir):
+    """Reach within these walks under three colors, each parallel edge by its own coins."""
+    edges, walked = _flow_walked(spark, sf_dir)
+    asked = _flow_queries(edges)
+    own = walked.where("color in (1, 2, 3)").select("query_id", F.lit(0).cast("long").alias("cand"), *graph.EDGE).distinct()
+    scores = select._scored(own, asked, asked.select("query_id", F.lit(0).cast("long").alias("cand")), "sum", WORLDS)
+    return scores.where("hits > 0").select("query_id", "hits")
+
+
+@query(sql.recursive(*FLOW_WALKS, FLOW_LIVE, *sql.flow_greedy(3), "select query_id, rank, color, hits from picks"))
+def obj_sum_h_parallel(spark, sf_dir):
+    """Colors along these walks."""
+    edges = flow(spark, sf_dir)
+    return select.heuristic(edges, _flow_queries(edges), 3, 10, "sum", WORLDS, HOPS)
+
+
+def _thin_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trade graph as text, with a tenth of its probabilities: 0.5 % and more."""
+    return sinks.wide_lines(trade(spark, sf_dir).withColumn("p", F.col("p_pct") / 1000.0))
+
+
+def _query_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return region_queries(spark, sf_dir).select(F.concat(joined("sources"), F.lit(";"), joined("targets")).alias("value"))
+
+
+@query(sql.evaluate("sum", WORLDS, p=sql.THOUSANDTHS))
+def src_1_exact(spark, sf_dir):
+    """Probabilities below a percent, from text to an evaluation."""
+    q = region_queries(spark, sf_dir)
+    return objectives.evaluate(graph_text.wide_graph(_thin_lines(spark, sf_dir)), q, region_colors(q), "sum", WORLDS)
+
+
+@query(sql.colors_of_lines(3, WORLDS))
+def lines_b1(spark, sf_dir):
+    """From graph and query lines to result lines, by baseline 1 and filled up."""
+    return lines.colors_of_lines(_thin_lines(spark, sf_dir), _query_lines(spark, sf_dir), 3, "sum", "b1", worlds=WORLDS, seconds=0)
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship query: the best colors for each pair of regions."""
     return QUERIES["obj_s_b1"](spark, sf_dir)

@@ -60,10 +60,10 @@ def numbered(df: DataFrame, order: str, skip: int = 0, take: int | None = None)
     return out if take is None else out.where(F.col("query_id") < skip + take)
 
 
-def results(df: DataFrame) -> DataFrame:
-    """`S;T; c1 c2 ...; ...` to (sources, targets, colors): the input of an evaluation."""
+def results(df: DataFrame, *keys: str) -> DataFrame:
+    """`S;T; c1 c2 ...; ...` to (keys, sources, targets, colors): the input of an evaluation."""
     f = F.split("value", ";")
-    return df.where(F.trim("value") != "").select(parse_ids(f[0]).alias("sources"), parse_ids(f[1]).alias("targets"), parse_ids(f[2]).alias("colors"))
+    return df.where(F.trim("value") != "").select(*keys, parse_ids(f[0]).alias("sources"), parse_ids(f[1]).alias("targets"), parse_ids(f[2]).alias("colors"))
 
 
 def targets(df: DataFrame) -> DataFrame:
