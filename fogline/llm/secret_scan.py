@@ -25,24 +25,46 @@ LEAST, RUN = 16, r"[A-Za-z0-9+/_=.@:\-]{16,}"
 MAX_LABELLED, TREES, DEPTH, SEED = 20_000, 20, 6, 11
 #: Documents whose words surround planted findings, at most, in the order of a hash, and the characters taken from each.
 MAX_CARRIERS, CARRIED = 400, 160
-#: Planted texts and their labels. {hex}, {mixed}, {caps}: random digits and letters, cut to the number given; {uuid}, {a}, {b}: two of
-#: the document's words; {n}: a number. Some secrets have no name, some harmless strings have a name of a secret.
-PLANTED = (
-    ('token = "{hex40}"', 1), ('token="{hex40}"', 1), ('api_key: {mixed32}', 1), ("password={mixed18}", 1), ("client_secret = '{mixed24}'", 1), ('{"authorization":"Bearer {mixed40}"}', 1),
-    ("AWS_SECRET_ACCESS_KEY={mixed40}", 1), ("AKIA{caps16}", 1), ("ghp_{mixed36}", 1), ("--passphrase {mixed22}", 1), ("-----BEGIN PRIVATE KEY----- {mixed60}", 1),
-    ('"accessKey":"{mixed20}","n":{n}', 1), ("https://{a}:{mixed20}@{b}.net", 1), ("login {a} / {mixed28}", 1), ("auth_token={hex32}", 1), ('secret: "{uuid}"', 1),
-    ("commit {hex40}", 0), ("sha256: {hex64}", 0), ("md5sum {hex32} {a}.txt", 0), ("id={uuid}", 0), ('example token="{hex40}"', 0), ("test password={mixed18}", 0),
-    ("{a}.{b}{n}@mail{n}.example.com", 0), ("{a}.{b}{n}@{a}.org", 0), ("https://www.{a}.org/{b}/{n}", 0), ("https://{a}.com/{hex12}", 0), ("{a}_{b}_{a}_{n}", 0), ("/{a}/{b}/{a}{n}.pdf", 0),
-    ("2024-05-17T10:{n}:00.000Z", 0), ("etag {hex32}", 0), ("data:image/png;base64,{mixed60}", 0), ("token={a}-{b}-token-name-{n}", 0), ("{a}-{b}-{a}-{b}{n}", 0), ("build-{n}-{a}-{hex8}", 0),
+#: Names that secrets and harmless values are given in planted findings, and how a value follows its name.
+SECRET_NAMES = ("token", "api_key", "apiKey", "client_secret", "password", "passwd", "auth_token", "access_key", "private key", "session cookie", "credential", "the key", "X-Api-Key", "X-Key", "passphrase", "authorization", "SECRET_KEY", "db_password", "webhook secret", "login cookie")
+HARMLESS_NAMES = ("commit", "sha256", "md5sum", "checksum", "etag", "id", "uuid", "trace_id", "request id", "build", "revision", "digest", "object", "ref", "order", "invoice", "tracking number", "version", "hash", "example token", "test password", "sample api_key", "fingerprint", "dummy secret")
+FOLLOWS = ('{name} = "{v}"', "{name}={v}", "{name}: {v}", "{name} is {v}", '{"{name}":"{v}"}', "-H '{name}: {v}'", "--{name} {v}", "export {name}={v}", "<{name}>{v}</{name}>", "{name} {v}")
+SECRET_VALUES = ("{hex32}", "{hex40}", "{hex64}", "{mixed18}", "{mixed24}", "{mixed32}", "{mixed40}", "{uuid}")
+HARMLESS_VALUES = ("{hex32}", "{hex40}", "{hex64}", "{uuid}", "{mixed24}", "{hex40}")
+#: Secrets known by their shape or place, and harmless texts. {hex}, {mixed}, {caps}, {digits}: random digits and letters, cut to the
+#: number given; {uuid}; {a}, {b}: two of the document's words; {n}: a number.
+BARE = ("AKIA{caps16}", "ghp_{mixed36}", "glpat-{mixed20}", "xoxb-{digits10}-{mixed24}", "sk_live_{mixed24}", "-----BEGIN PRIVATE KEY----- {mixed60}", "-----BEGIN RSA PRIVATE KEY----- {mixed60}", "https://{a}:{mixed20}@{b}.net", "postgres://{a}:{mixed18}@{b}:5432/{a}", '{"authorization":"Bearer {mixed40}"}', "Authorization: Bearer {mixed60}", "login {a} / {mixed28}")
+HARMLESS = (
+    "{a}.{b}{n}@mail{n}.example.com", "{a}.{b}{n}@{a}.org", "{a}{n}_{b}@{b}-{a}.net", "https://www.{a}.org/{b}/{n}", "https://{a}.com/{hex12}", "http://{b}.net/{a}?page={n}", "{a}_{b}_{a}_{n}", "/{a}/{b}/{a}{n}.pdf",
+    "2024-05-17T10:{n}:00.000Z", "2023-11-{n}_{a}_{b}.csv", "data:image/png;base64,{mixed60}", "token={a}-{b}-token-name-{n}", "{a}-{b}-{a}-{b}{n}", "build-{n}-{a}-{hex8}", "IMG_20240517_{digits6}.jpg", "DSC-{digits8}-{a}.jpeg", "VID_2023{digits4}_{digits6}.mp4",
+    "ISBN-978-3-{digits2}-{digits6}-0", "ISSN:{digits4}-{digits4}-{digits4}", "sha384-{mixed60}", "sha512-{mixed60}", 'integrity="sha256-{mixed40}"', "ORD-2024-{digits8}", "INV-{digits6}-{digits4}-A", "RMA{digits10}-{a}", "UA-{digits8}-1-{a}", "GTM-{caps6}-{digits4}-{a}", "v1.{n}.3-beta.{n}+build.{digits4}",
+    "{a}-1.{n}.0-py3-none-any.whl", "lib{a}.so.{n}.{n}.{digits4}", "10.1000/{a}.{digits6}", "+49-{digits3}-{digits8}-x1", "{hex8}.{a}.{b}.js", "{a}.{hex8}.min.css", "col-md-{n}-{a}-{b}-{n}", "section-{n}-{a}-{b}", "#{a}_{b}_{digits6}_x", "{a}:{b}:{digits8}:{n}", "chapter{n}.{a}.{b}.html", "DE{digits10}{digits10}",
 )
+
+
+def forms() -> list[tuple[str, int]]:
+    """Planted texts and their labels: every name with every way to follow it, and the texts without a name."""
+    out = []
+    for names, values, label in ((SECRET_NAMES, SECRET_VALUES, 1), (HARMLESS_NAMES, HARMLESS_VALUES, 0)):
+        for i, name in enumerate(names):
+            for j, follows in enumerate(FOLLOWS):
+                out.append((follows.replace("{name}", name).replace("{v}", values[(3 * i + j) % len(values)]), label))
+    return out + [(x, 1) for x in BARE for _ in range(3)] + [(x, 0) for x in HARMLESS for _ in range(3)]
+
+
+#: Of the forms, a document carries one of so many.
+FORM_PART = 8
 #: Words of the dictionary at most, and their least length: the most frequent of the corpus.
-MAX_WORDS, WORD_LENGTH = 400, 4
+MAX_WORDS, WORD_LENGTH = 1000, 4
 ASSIGNED, NAMES = r"[=:]$", r"(?i)(token|secret|passw|passphrase|api.?key|access.?key|auth|credential|bearer)"
+#: Names that may be a secret's, and names of what is public, as whole words before a candidate.
+MAYBE = r"(?i)(?<![a-z])(keys?|cookies?|sessions?|private|pwd|pass|pin|login|signature)(?![a-z])"
+PUBLIC = r"(?i)(?<![a-z])(id|ids|etag|hash|digest|trace|request|build|revision|object|ref|order|invoice|tracking|number|version|fingerprint|integrity|isbn|issn|serial|sku|page|file|img|image)(?![a-z])"
 #: Whole words before a candidate that make it doubtful.
 DOUBTFUL = r"(?i)(?<![a-z])(examples?|samples?|dummy|tests?|placeholders?|checksums?|sha\d*(sums?)?|md5(sums?)?|uuids?|commits?)(?![a-z0-9])"
 #: Keys known by their shape, and what stands before the first line of a PEM key.
 SHAPES, PEM = r"(?<![A-Za-z0-9])((AKIA|ASIA)[0-9A-Z]{16}(?![0-9A-Za-z])|gh[pousr]_[A-Za-z0-9]{16,}|github_pat_[A-Za-z0-9_]{16,}|glpat-[A-Za-z0-9_-]{16,}|xox[abprs]-[A-Za-z0-9-]{10,}|[sr]k_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{30,}|eyJ[A-Za-z0-9_-]{8,}\.eyJ)", r"PRIVATE (\S+ )?KEY-----$"
-FEATURES = ("length", "digits", "upper", "lower", "signs", "distinct", "entropy", "transitions", "hex_only", "covered", "path_doubtful", "path_code", "named", "assigned", "quoted", "doubtful", "known")
+FEATURES = ("length", "digits", "upper", "lower", "signs", "distinct", "entropy", "transitions", "hex_only", "covered", "path_doubtful", "path_code", "named", "assigned", "quoted", "doubtful", "known", "maybe", "public", "parted", "digit_run", "dated", "link", "vowels")
 
 
 def candidates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str = "source") -> DataFrame:
@@ -86,8 +108,11 @@ def with_features(found: DataFrame, words: Sequence[str]) -> DataFrame:
     # what leads to a first run is the words before it, too
     first, said = F.col("run") == 0, F.concat("lead", F.regexp_replace(c, r"[A-Za-z0-9+/_.@\-]{16,}.*$", ""))
     near = F.concat_ws(" ", F.when(first, F.col("before2")), F.when(first, F.col("before")), said)
-    known = F.array(*[F.lit(w) for w in words]) if words else F.array().cast("array<string>")
-    covered = F.aggregate(F.filter(known, lambda w: F.contains(F.lower(c), w)), F.lit(0), lambda a, w: a + F.length(w))
+    # words that don't overlap, from the left, the longest at each place
+    bare = F.regexp_replace(F.lower(c), "|".join(sorted(words, key=lambda w: (-len(w), w))), "") if words else c
+    covered = n - F.length(bare)
+    letters = F.length(F.regexp_replace(c, "[^A-Za-z]", ""))
+    longest = F.array_max(F.transform(F.regexp_extract_all(F.concat(c, F.lit("0")), F.lit("[0-9]+"), F.lit(0)), lambda x: F.length(x)))
     out = found.withColumn("chars", chars).withColumn("near", near)
     values = {
         "length": n, "digits": _part(c, "0-9"), "upper": _part(c, "A-Z"), "lower": _part(c, "a-z"), "signs": _part(c, r"+/_=.@:\-"),
@@ -95,6 +120,8 @@ def with_features(found: DataFrame, words: Sequence[str]) -> DataFrame:
         "covered": F.least(F.lit(1.0), covered / n), "path_doubtful": F.col("path").rlike(r"(?i)(test|example|sample|doc)").cast("double"), "path_code": F.col("path").rlike(r"(?i)(\.env|config|\.py|\.js|\.ya?ml|repo|code)").cast("double"),
         "named": F.col("near").rlike(NAMES).cast("double"), "assigned": ((first & F.col("before").rlike(ASSIGNED)) | F.when(first, F.col("word")).otherwise(said).rlike(r"^\S*?[A-Za-z][=:]") | F.col("lead").rlike(r"[\"'`][=:]")).cast("double"), "quoted": F.when(first, F.col("word")).otherwise(F.col("lead")).rlike("[\"'`]").cast("double"),
         "doubtful": F.col("near").rlike(DOUBTFUL).cast("double"), "known": (c.rlike(SHAPES) | (first & F.concat_ws(" ", "before2", "before").rlike(PEM))).cast("double"),
+        "maybe": F.col("near").rlike(MAYBE).cast("double"), "public": F.col("near").rlike(PUBLIC).cast("double"), "parted": F.least(F.lit(8), F.length(F.regexp_replace(c, r"[^_.@:\-]", ""))), "digit_run": longest / n,
+        "dated": c.rlike(r"(19|20)\d\d[_-]?(0[1-9]|1[0-2])").cast("double"), "link": c.rlike(r"(://|@[A-Za-z]|^//?[a-z]|\.(com|org|net|pdf|jpe?g|png|html?|csv|mp4|js|css|txt|whl)\b)").cast("double"), "vowels": F.length(F.regexp_replace(c, "[^AEIOUaeiou]", "")) / F.greatest(F.lit(1), letters),
     }
     return out.withColumns({k: v.cast("double") for k, v in values.items()}).drop("chars", "near")
 
@@ -110,27 +137,30 @@ def label_by_rules(found: DataFrame) -> DataFrame:
     return found.withColumn("label", F.when(sure, 1).when(false, 0).cast("double"))
 
 
-def planted_findings(docs: DataFrame, words: Sequence[str], text: str = "text", path: str = "source", max_carriers: int = MAX_CARRIERS) -> DataFrame:
-    """Labelled findings for corpora without reviewed ones: candidates of PLANTED, each between words of a document.
+def planted_findings(docs: DataFrame, words: Sequence[str], text: str = "text", path: str = "source", max_carriers: int = MAX_CARRIERS, planted: Sequence[tuple[str, int]] | None = None) -> DataFrame:
+    """Labelled findings for corpora without reviewed ones: candidates of ``planted`` (forms() if none are given), each between words
+    of a document.
 
     Up to ``max_carriers`` documents are taken in the order of a hash of their text; of each, some words of letters around a
-    place that the hash chooses. ``doc_id`` is a struct of the document's hash, the number in PLANTED and the label. Null
-    and empty texts carry nothing; equal texts carry equal findings.
+    place that the hash chooses. A document carries one form in FORM_PART, by another hash. ``doc_id`` is a struct of the document's
+    hash, the form's number and the label. Null and empty texts carry nothing; equal texts carry equal findings.
     """
+    planted = forms() if planted is None else planted
     hashed = F.xxhash64(text)
     place = F.substring(F.col(text), 1 + F.pmod(hashed, F.length(text)).cast("int"), F.lit(CARRIED))
     taken = docs.where(F.length(text) > 0).select(hashed.alias("carrier"), place.alias("said"), F.coalesce(F.col(path), F.lit("")).alias("path"))
     taken = materialize(taken.orderBy("carrier", "path").limit(max_carriers), "carriers")
-    plants = F.explode(F.array(*[F.struct(F.lit(k).alias("plant"), F.lit(form).alias("form"), F.lit(float(label)).alias("label")) for k, (form, label) in enumerate(PLANTED)]))
+    plants = F.explode(F.array(*[F.struct(F.lit(k).alias("plant"), F.lit(form).alias("form"), F.lit(float(label)).alias("label")) for k, (form, label) in enumerate(planted)]))
     rows = taken.withColumn("around", F.regexp_extract_all("said", F.lit(r"\p{L}+"), F.lit(0))).select("*", plants.alias("p")).select("carrier", "path", "around", "p.*")
+    rows = rows.where(F.pmod(F.xxhash64("carrier", "plant"), F.lit(FORM_PART)) == 0)
     digest = lambda k: F.sha2(F.concat_ws(" ", F.lit(str(k)), "carrier", "plant"), 256)
     base = lambda k: F.translate(F.base64(F.unhex(digest(k))), "+/=", "xYz")
-    made = {"hex": F.concat(digest(0), digest(1)), "mixed": F.concat(base(2), base(3)), "caps": F.upper(base(4))}
+    made = {"hex": F.concat(digest(0), digest(1)), "mixed": F.concat(base(2), base(3)), "caps": F.upper(base(4)), "digits": F.translate(digest(6), "abcdef", "123456")}
     word = lambda k: F.lower(F.coalesce(F.get("around", k), F.lit("note")))
     uuid = F.concat_ws("-", *[F.substring(digest(5), a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
     out, filled = rows, F.col("form")
     for kind, value in made.items():
-        sizes = sorted({int(n) for form, _ in PLANTED for n in re.findall(rf"\{{{kind}(\d+)\}}", form)})
+        sizes = sorted({int(n) for form, _ in planted for n in re.findall(rf"\{{{kind}(\d+)\}}", form)})
         for n in sizes:
             filled = F.replace(filled, F.lit(f"{{{kind}{n}}}"), F.substring(value, 1, n))
     for name, value in {"uuid": uuid, "a": word(0), "b": word(1), "n": F.pmod(F.xxhash64("carrier", "plant"), F.lit(90)).cast("string")}.items():

@@ -852,23 +852,41 @@ def test_made_pages_give_their_articles():
         assert html_text.main_text(html) == "\n".join(blocks)
 
 
-def test_planted_findings_teach_the_forest(spark):
+def test_planted_findings_have_their_labels(spark):
     texts, _ = scanned(random.Random(12), 120)
     docs = table(spark, [*texts, None, "", "7 8 9", texts[0]])
-    made = secret_scan.planted_findings(docs, [], max_carriers=80).cache()
-    # every planted text of its kind is found, with the label that it was made with
-    rows = made.select("doc_id.*", "candidate").collect()
-    assert all(r["label"] == secret_scan.PLANTED[r["plant"]][1] for r in rows)
+    made = secret_scan.planted_findings(docs, [], max_carriers=80)
+    rows, forms = made.select("doc_id.*", "candidate").collect(), secret_scan.forms()
+    assert all(r["label"] == forms[r["plant"]][1] for r in rows)
     found = {r["plant"] for r in rows}
-    assert {k for k, (_, label) in enumerate(secret_scan.PLANTED) if label} <= found and len({r["carrier"] for r in rows}) <= 80
+    assert len(found) > 0.9 * len(forms) and len({r["carrier"] for r in rows}) <= 80
     assert not any("{" in r["candidate"] for r in rows)
-    odd = F.pmod(F.col("doc_id.carrier"), F.lit(3)) == 0
-    verdicts = secret_scan.judge(made.where(odd), secret_scan.fit(made.where(~odd))).select("label", "secret").collect()
-    hits = sum(r["secret"] and r["label"] == 1 for r in verdicts)
-    assert hits / max(1, sum(r["secret"] for r in verdicts)) > 0.9 and hits / sum(r["label"] == 1 for r in verdicts) > 0.85
     assert secret_scan.planted_findings(empty(spark), []).count() == 0
 
 
+UNSEEN = [
+    ("session cookie = {hex32}", 1), ("the key is {hex64}", 1), ("curl -H 'X-Key: {hex40}'", 1), ("signing_secret: {mixed40}", 1), ('"privateKey": "{mixed32}"', 1), ("DB_PASS={mixed24}", 1), ("my bearer {mixed40}", 1), ("github_pat_{mixed40}", 1),
+    ("IMG_20240517_{digits6}.jpg", 0), ("ISBN-978-3-16-{digits6}-0", 0), ("sha384-{mixed60}", 0), ("ORD-2024-{digits8}", 0), ("UA-{digits8}-1-{a}", 0), ("checksum {hex64} {a}.zip", 0), ("revision: {hex40}", 0), ("{a}.{b}@{a}{n}.com", 0), ("see https://{a}.org/{b}/{digits8}", 0), ("request id {uuid}", 0),
+]
+
+
+def test_the_forest_knows_forms_that_it_was_not_trained_on(spark):
+    """Names, ways to follow them and texts without names are held out whole."""
+    docs = table(spark, scanned(random.Random(12), 240)[0])
+    everything = secret_scan.forms()
+    unseen = [secret_scan.SECRET_NAMES[k] for k in range(0, 20, 4)] + [secret_scan.HARMLESS_NAMES[k] for k in range(1, 24, 4)] + [x.split("{")[0] for k, x in enumerate((*secret_scan.BARE, *secret_scan.HARMLESS)) if k % 4 == 1 and x.split("{")[0]]
+    held = [f for f in everything if any(u in f[0] for u in unseen)] + UNSEEN * 4
+    model = secret_scan.fit(secret_scan.planted_findings(docs, [], planted=[f for f in everything if f not in held]))
+    verdicts = secret_scan.judge(secret_scan.planted_findings(docs, [], planted=held), model).select("doc_id.plant", "label", "secret", "candidate").collect()
+    hits = sum(r["secret"] and r["label"] == 1 for r in verdicts)
+    wrong = {}
+    for r in verdicts:
+        if r["secret"] != (r["label"] == 1):
+            wrong[held[r["plant"]]] = wrong.get(held[r["plant"]], 0) + 1
+    precision, recall = hits / max(1, sum(r["secret"] for r in verdicts)), hits / sum(r["label"] == 1 for r in verdicts)
+    assert precision >= 0.9 and recall >= 0.85, (precision, recall, sorted(wrong.items(), key=lambda x: -x[1])[:25])
+
+
 def test_repeats_become_copies_and_round_trip():
     rng = random.Random(21)
     line = "a line of more than sixty-four characters that stands in the text again and again\n"
