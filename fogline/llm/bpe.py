@@ -22,11 +22,11 @@ from fogline.llm.words import Lexicon, parts, pieces, require_pattern
 from fogline.llm.workers import give_back, tidy
 
 #: Characters of text whose new words are replayed together; bounds a task's memory.
-BLOCK_CHARS = 8_000_000
+BLOCK_CHARS = 3_000_000
 #: Characters of text whose ids are handed on at once, and lists of ids decoded at once.
 OUT_CHARS, DECODED = 500_000, 512
 #: Words that a task remembers; when there are more it starts anew. Results don't depend on it.
-KEPT_WORDS = 1_000_000
+KEPT_WORDS = 400_000
 SHIFT = 20
 
 
