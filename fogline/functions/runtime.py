@@ -85,7 +85,7 @@ class Deltas:
     def __init__(self, spark: SparkSession, name: str, by: Sequence[str]):
         self.spark, self.by, self.round = spark, list(by), -1
         self.buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-        self.table, self.path = f"{name}_{uuid.uuid4().hex}", scratch_path(spark, name)
+        self.table, self.path = f"{name.replace('-', '_')}_{uuid.uuid4().hex}", scratch_path(spark, name)
 
     def append(self, df: DataFrame, watch: Column | None = None) -> int:
         """How many of the new rows meet ``watch``, or how many there are."""
