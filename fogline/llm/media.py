@@ -45,7 +45,11 @@ def feature(samples: np.ndarray) -> str:
 
 
 def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_bytes, media): the UTF-8 bytes of each whole text as pictures. Null counts as empty; no shuffle."""
+    """(doc_id, n_bytes, media): the UTF-8 bytes of each whole text as pictures.
+
+    Null counts as empty, which is one row of bytes 255; repeated rows give repeated rows; a text of over MAX_ROWS * ROW bytes fills
+    several pictures; an empty table stays empty; other columns, whatever their names, are not read. No shuffle.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -74,7 +78,7 @@ def decode(media: DataFrame) -> DataFrame:
 
 def digests(media: DataFrame) -> DataFrame:
     """Per media value, from its decoded pixels: payload_bytes, payload_sha256, tail_crc32 (last 32 bytes), media_bytes,
-    media_sha256 and feature. Equal values give equal rows."""
+    media_sha256 and feature. Equal values give equal rows, repeated rows repeated ones; a value without pictures is an error."""
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fogline.functions.runtime import materialize
+from fogline.functions.runtime import materialize, small
 
 #: A word is a longest run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -93,7 +93,7 @@ def mix(docs: DataFrame, shards: int = 8, seed: int = 17, doc_id: str = "doc_id"
     starts = at.groupBy("src", "range").agg(F.sum("size").alias("sum")).select("src", "range", F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("start"))
     placed = at.withColumn("run", F.coalesce(F.sum("size").over(within), F.lit(0))).join(starts, ["src", "range"]).withColumn("offset", F.col("start") + F.col("run"))
     by = told.select(F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("src"), "source_size", "target", "block", "upto")
-    full = placed.join(by, "src")
+    full = placed.join(small(by), "src")
     size, whole = F.col("size"), F.col("source_size")
 
     def taken(upto):

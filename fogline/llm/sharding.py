@@ -45,13 +45,18 @@ def number_slots(df: DataFrame, order: Sequence[str], buckets: int = SLOT_BUCKET
 
     Rows are numbered within hash buckets of a shard, and each bucket starts where the one before it ends, so a shard's
     rows never meet in one task. ``order`` names narrow columns that tell rows apart; rows equal in all of them are
-    interchangeable.
+    interchangeable. Other columns may have any names; a column ``slot`` is replaced. A null shard is numbered like any other; an
+    empty table stays empty.
     """
-    at = df.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
-    rows = at.withColumn("_at", F.row_number().over(W.partitionBy("shard", "_bucket").orderBy(*order)) - 1)
-    before = W.partitionBy("shard").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    starts = at.groupBy("shard", "_bucket").count().select("shard", "_bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
-    return rows.join(starts, ["shard", "_bucket"]).withColumn("slot", (F.col("_start") + F.col("_at")).cast("long")).drop("_bucket", "_at", "_start")
+    kept = [c for c in df.columns if c != "slot"]
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.col("shard").alias("of"), *[F.col(f"`{c}`").alias(f"by{k}") for k, c in enumerate(order)])
+    by = [f"by{k}" for k in range(len(order))]
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64(*by), F.lit(buckets)).cast("int"))
+    before = W.partitionBy("of").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
+    starts = rows.groupBy("of", "bucket").count().select(F.col("of").alias("shard_"), F.col("bucket").alias("bucket_"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
+    at = rows.withColumn("at", F.row_number().over(W.partitionBy("of", "bucket").orderBy(*by)) - 1)
+    placed = at.join(starts, F.col("of").eqNullSafe(F.col("shard_")) & (F.col("bucket") == F.col("bucket_")))
+    return placed.select("row.*", (F.col("start") + F.col("at")).cast("long").alias("slot"))
 
 
 def write_shards(df: DataFrame, path: str) -> None:

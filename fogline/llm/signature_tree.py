@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fogline.functions.runtime import Rounds, arrow_rows, materialize
+from fogline.functions.runtime import Rounds, arrow_rows, materialize, small
 from fogline.llm.bitmaps import filter_of, may_have
 from fogline.llm.words import BASE, mixed, powers
 from fogline.llm.workers import tidy
@@ -104,11 +104,24 @@ def _shingles(joined: bytes, sizes: np.ndarray, words: int) -> list[np.ndarray]:
     return out
 
 
-def class_id(tokens: np.ndarray) -> int:
-    """A 64-bit name of a set: equal sets have equal names."""
+def class_id(tokens: np.ndarray) -> tuple[int, int]:
+    """Two 64-bit names of a set: equal sets have equal names."""
     with np.errstate(over="ignore"):
         one, two = mixed(tokens).sum(), np.bitwise_xor.reduce(mixed(tokens + np.uint64(0x5851F42D4C957F2D)))
-        return int(mixed(np.array([one * np.uint64(3) + two + np.uint64(len(tokens))], np.uint64)).view(np.int64)[0])
+        names = np.array([one * np.uint64(3) + two + np.uint64(len(tokens)), two * np.uint64(5) ^ one ^ np.uint64(0x2545F4914F6CDD1D)], np.uint64)
+        first, second = mixed(names).view(np.int64).tolist()
+        return first, second
+
+
+def told_apart(signed: DataFrame) -> DataFrame:
+    """``signed`` with classes of one name and several second names named by both; sets that differ then share a class only if 128 bits are
+    equal. Such names are next to none, so their number is checked before they are sent to the rows."""
+    clash = signed.where("class is not null").groupBy("class").agg(F.min("second").alias("a"), F.max("second").alias("b")).where("a != b")
+    clash = materialize(clash.select(F.col("class").alias("name")), "clashes")
+    if clash.limit(1).count():
+        signed = signed.join(small(clash), F.col("class") == F.col("name"), "left")
+        signed = signed.withColumn("class", F.when(F.col("name").isNotNull(), F.col("class").bitwiseXOR(F.col("second"))).otherwise(F.col("class"))).drop("name")
+    return signed.drop("second")
 
 
 def _least_overlap(n: int) -> int:
@@ -151,7 +164,7 @@ def frequent(docs: DataFrame) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, order: np.ndarray) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_shingles, class (null if none), and its rarest shingles: ``prefix`` those that aren't among
+    """Per row of ``docs``: doc_id, n_shingles, class and second (its names, null if none), and its rarest shingles: ``prefix`` those that aren't among
     the frequent ones of ``order``, ``common`` those that are."""
     told = docs.sparkSession.sparkContext.broadcast((np.sort(order), np.argsort(order).astype(np.int64)))  # MAX_FREQUENT at most
 
@@ -168,7 +181,7 @@ def signatures(docs: DataFrame, order: np.ndarray) -> DataFrame:
                 own = rank[k : k + n]
                 k += n
                 if not n:
-                    names.append(None)
+                    names.append((None, None))
                     prefixes.append(tokens.view(np.int64))
                     commons.append(tokens.view(np.int64))
                     continue
@@ -179,9 +192,9 @@ def signatures(docs: DataFrame, order: np.ndarray) -> DataFrame:
                 prefixes.append(rare.view(np.int64))
                 commons.append(tokens[hot][np.argsort(own[hot])][: size - len(rare)].view(np.int64))
             lists = [pa.array(x, pa.list_(pa.int64())) for x in (prefixes, commons)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(map(len, sets)), pa.int64()), pa.array(names, pa.int64()), *lists], ["doc_id", "n_shingles", "class", "prefix", "common"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(map(len, sets)), pa.int64()), pa.array([x for x, _ in names], pa.int64()), pa.array([x for _, x in names], pa.int64()), *lists], ["doc_id", "n_shingles", "class", "second", "prefix", "common"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), "doc_id long, n_shingles long, class long, prefix array<long>, common array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), "doc_id long, n_shingles long, class long, second long, prefix array<long>, common array<long>")
 
 
 def _met(rows: DataFrame, table: DataFrame, key: str, weight: str, total: int) -> DataFrame:
@@ -215,8 +228,8 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         large = between.write(large.distinct())
         # small star: u and its smaller neighbours go to the smallest of them
         least = nodes.write(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("w")))
-        small = _met(large, least, "u", "w", total).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        now = rounds.write(small.where("u != v").distinct())
+        near = _met(large, least, "u", "w", total).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        now = rounds.write(near.where("u != v").distinct())
         state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum")).first()
         if state == before:
             break
@@ -454,14 +467,15 @@ def linked(docs: DataFrame) -> DataFrame:
 
     ``component_id`` is the smallest doc_id that links lead to, the row's own included. Rows without words link with
     nothing and keep their own id; rows with equal sets are one class, so copies aren't paired with each other; a null id
-    counts for no minimum. Everything is exact: the order of shingles, clusters and blocks only save comparisons.
+    counts for no minimum. Whole texts are read, however long; an empty table stays empty; other columns, whatever their names,
+    are not read. The order of shingles, clusters and blocks only save comparisons; sets are told apart by 128 bits.
     """
     with arrow_rows(docs.sparkSession, BATCH_ROWS):
         return _linked(docs)
 
 
 def _linked(docs: DataFrame) -> DataFrame:
-    signed = materialize(signatures(docs, frequent(docs)), "signatures")
+    signed = told_apart(materialize(signatures(docs, frequent(docs)), "signatures"))
     classes = signed.where("class is not null").groupBy("class").agg(F.min("n_shingles").alias("n"), F.min("doc_id").alias("least_id"))
     near = clusters(signed)
     near = near.unionByName(near.select(F.col("root").alias("node"), "root")).distinct()
@@ -505,7 +519,8 @@ def _of_class(members: DataFrame) -> DataFrame:
         for batch in batches:
             sets = shingles(batch.column(batch.schema.get_field_index("text")))
             names = batch.column(batch.schema.get_field_index("class")).to_pylist()
-            yield batch.filter(pa.array([len(s) > 0 and class_id(s) == c for s, c in zip(sets, names, strict=True)], pa.bool_()))
+            own = (class_id(s) if len(s) else (None, 0) for s in sets)
+            yield batch.filter(pa.array([a is not None and c in (a, a ^ b) for (a, b), c in zip(own, names, strict=True)], pa.bool_()))
 
     return members.mapInArrow(tidy(run), members.schema)
 
