@@ -31,12 +31,12 @@ def uniform32(key: Column) -> Column:
     return F.conv(F.substring(F.md5(key.cast("binary")), 1, 8), 16, 10).cast("long")
 
 
-def toss(edges: DataFrame, worlds: int, by: Sequence[str], key: Column, p: Column) -> DataFrame:
-    """(chunk, by, em): bit w of a mask is set if an edge of the group exists in world 64 * chunk + w. Groups without a world have no row.
+def existing(edges: DataFrame, worlds: int, by: Sequence[str], key: Column, p: Column) -> DataFrame:
+    """(by, world): a row for each world, from 0 to worlds - 1, in which an edge exists; rows repeat where edges of a group do.
 
     ``p`` is a probability: 0 or less (or null) is never, 1 or more always. The i-th world in which an edge exists comes 1 + floor(ln(u) /
     ln(1 - p)) after the one before, where u = (coin + 0.5) / 2^32 and the coin is ``uniform32`` of i, a colon and the edge's key. The
-    rows are dealt out before, as coins are far more work than the edges' bytes say, and worlds are combined before they are shuffled.
+    rows are dealt out before, as coins are far more work than the edges' bytes say.
     """
     parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = edges.select(*by, key.alias("_key"), F.when(p >= 1, 1.0).otherwise(p).alias("_p")).where("_p > 0").repartition(parts)
@@ -58,9 +58,16 @@ def toss(edges: DataFrame, worlds: int, by: Sequence[str], key: Column, p: Colum
     rest = walk(F.col("_met"), F.col("_few") + 1, F.lit(worlds + 2))
     rows = rows.withColumn("_met", F.when(F.element_at("_met", -1) >= worlds, F.col("_met")).otherwise(rest))
     # a plain explode would have Spark test the worlds for being none before the rows are dealt out, and so walk twice
-    rows = rows.select(*by, F.explode_outer("_met").alias("_w")).where(F.col("_w").between(0, worlds - 1))
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("_w") % CHUNK).cast("int"))
-    return rows.groupBy(F.floor(F.col("_w") / CHUNK).cast("int").alias("chunk"), *by).agg(F.bit_or(bit).alias("em"))
+    return rows.select(*by, F.explode_outer("_met").alias("world")).where(F.col("world").between(0, worlds - 1))
+
+
+def toss(edges: DataFrame, worlds: int, by: Sequence[str], key: Column, p: Column) -> DataFrame:
+    """(chunk, by, em): bit w of a mask is set if an edge of the group exists in world 64 * chunk + w, by ``existing``. Groups without a world
+    have no row. Worlds are combined before they are shuffled.
+    """
+    rows = existing(edges, worlds, by, key, p)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("world") % CHUNK).cast("int"))
+    return rows.groupBy(F.floor(F.col("world") / CHUNK).cast("int").alias("chunk"), *by).agg(F.bit_or(bit).alias("em"))
 
 
 def all_worlds(chunk: Column, worlds: int) -> Column:

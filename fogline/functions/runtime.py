@@ -75,37 +75,38 @@ class Rounds:
         return df.sparkSession.read.schema(schema).parquet(path)
 
 
-class Deltas:
-    """State that only grows: rounds of rows in one table of the shared folder, bucketed by key, so that it is never shuffled or written again.
+class Buckets:
+    """A table of the shared folder in buckets by key: joins by exactly the key columns, in their order, read it where it lies.
 
-    A join or aggregate by exactly the key columns, in their order, reads the buckets where they lie. ``append`` adds a round and
-    says how many rows it has; ``last`` has the rows of the last round.
+    ``write`` puts the next state, or the one table there is, in place of the last one, and ``watched`` then is how many of its rows meet
+    ``watch``, counted as they are written. A state that is joined with its changes by key is so never shuffled itself.
     """
 
     def __init__(self, spark: SparkSession, name: str, by: Sequence[str]):
-        self.spark, self.by, self.round = spark, list(by), -1
+        self.spark, self.name, self.by, self.watched = spark, name, list(by), 0
         self.buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-        self.table, self.path = f"{name.replace('-', '_')}_{uuid.uuid4().hex}", scratch_path(spark, name)
+        self.table = self.path = None
 
-    def append(self, df: DataFrame, watch: Column | None = None) -> int:
-        """How many of the new rows meet ``watch``, or how many there are."""
-        seen = Observation()
-        self.round += 1
-        rows = df.withColumn("round", F.lit(self.round)).observe(seen, F.count(F.lit(1) if watch is None else F.when(watch, 1)).alias("n"))
-        rows.write.mode("append").option("path", self.path).bucketBy(self.buckets, *self.by).saveAsTable(self.table)
-        return seen.get["n"]
-
-    def rows(self) -> DataFrame:
-        return self.spark.table(self.table)
+    def write(self, df: DataFrame, watch: Column | None = None) -> DataFrame:
+        """The rows as they lie; nothing but ``df`` may read the state before."""
+        table, path, seen = f"{self.name.replace('-', '_')}_{uuid.uuid4().hex}", scratch_path(self.spark, self.name), Observation()
+        if watch is not None:
+            df = df.observe(seen, F.count_if(watch).alias("n"))
+        df.write.option("path", path).bucketBy(self.buckets, *self.by).saveAsTable(table)
+        if watch is not None:
+            self.watched = seen.get["n"]
+        self.drop()
+        self.table, self.path = table, path
+        return self.spark.table(table)
 
-    def last(self) -> DataFrame:
-        return self.rows().where(F.col("round") == self.round).drop("round")
+    def drop(self) -> None:
+        if self.table:
+            self.forget()
+            drop_path(self.spark, self.path)
 
-    def close(self) -> DataFrame:
-        """All rows, in their buckets. The catalog forgets the table; its files stay for whoever reads them."""
-        out = self.rows()
+    def forget(self) -> None:
+        """The catalog forgets the table; its files stay for whoever reads them."""
         self.spark.sql(f"drop table if exists {self.table}")
-        return out
 
 
 def ranked(df: DataFrame, order: str, rank: str) -> DataFrame:

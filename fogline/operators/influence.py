@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fogline.functions.costs import chance, miss_pct
-from fogline.functions.runtime import Deltas, Rounds, materialize, small
+from fogline.functions.runtime import Buckets, Rounds, materialize, small
 from fogline.operators.reach import edge_masks, reach, start
 
 
@@ -60,9 +60,8 @@ def seeds(masks: DataFrame, k: int, batch: int = 64) -> DataFrame:
     gains the smaller node is picked; a node without gain isn't. The masks lie in buckets by node and aren't shuffled again; only a
     round's seed comes to the driver.
     """
-    spark, lie = masks.sparkSession, Deltas(masks.sparkSession, "target-masks", ["node"])
-    lie.append(masks.select("target", "chunk", "node", "mask"))
-    masks = lie.close().drop("round")
+    spark, lie = masks.sparkSession, Buckets(masks.sparkSession, "target-masks", ["node"])
+    masks = lie.write(masks.select("target", "chunk", "node", "mask"))
     told, covered, total, none = [], None, 0, F.lit(0).cast("long")
     bounds = Rounds("bounds")
     gains = bounds.write(spreads(masks).withColumnRenamed("hits", "gain"), F.lit(True))
@@ -94,6 +93,7 @@ def seeds(masks: DataFrame, k: int, batch: int = 64) -> DataFrame:
         own = masks.where(F.col("node") == top[0]["node"]).select("target", "chunk", F.col("mask").alias("cover"))
         both = own if covered is None else covered.unionByName(own)
         covered = materialize(both.groupBy("target", "chunk").agg(F.bit_or("cover").alias("cover")), "covered")
+    lie.drop()
     return spark.createDataFrame(told, "rank int, node long, hits long, recounted long")
 
 

@@ -6,30 +6,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fogline.functions.runtime import Deltas, Rounds, materialize
+from fogline.functions.runtime import Rounds, materialize
 from fogline.operators.graph import identified, with_cost, with_paths
 
 
 def distances(edges: DataFrame, ends: DataFrame, reverse: bool = True, max_rounds: int = 10_000) -> DataFrame:
     """(target, node, dist, parent): the least cost from each node to each target of ``ends`` (target), and the id of its first edge.
 
-    With ``reverse`` False distances lead away from the target. Rounds relax all edges out of nodes that improved and append what is
-    better than before; among equal costs the edge of the smaller id is the parent.
+    With ``reverse`` False distances lead away from the target. Rounds relax all edges out of nodes that improved; among
+    equal costs the edge of the smaller id is the parent.
     """
     a, b = ("dst", "src") if reverse else ("src", "dst")
-    lie, state = Deltas(edges.sparkSession, "arcs", ["node"]), Deltas(edges.sparkSession, "dist", ["target", "node"])
-    lie.append(with_cost(identified(edges)).select(F.col(a).alias("node"), F.col(b).alias("next"), "cost", F.col("edge_id").alias("edge")))
-    arcs = lie.close().drop("round")
-    state.append(ends.select("target", F.col("target").alias("node"), F.lit(0).cast("long").alias("dist"), F.lit(None).cast("long").alias("parent"), F.lit(True).alias("fresh")).distinct())
-    # a start has no parent, and a null sorts first
-    best = lambda rows: rows.groupBy("target", "node").agg(F.min(F.struct("dist", "parent")).alias("b"))
+    arcs = materialize(with_cost(identified(edges)).select(F.col(a).alias("node"), F.col(b).alias("next"), "cost", F.col("edge_id").alias("edge")), "arcs")
+    rounds = Rounds("dist")
+    state = rounds.write(ends.select("target", F.col("target").alias("node"), F.lit(0).cast("long").alias("dist"), F.lit(None).cast("long").alias("parent"), F.lit(True).alias("fresh")).distinct())
     for _ in range(max_rounds):
-        moved = state.last().where("fresh").join(arcs, "node").select("target", F.col("next").alias("node"), (F.col("dist") + F.col("cost")).alias("dist"), F.col("edge").alias("parent"))
-        met = best(moved).join(best(state.rows()).withColumnRenamed("b", "old"), ["target", "node"], "left")
-        met = met.where(F.col("old").isNull() | (F.col("b") < F.col("old")))
-        met = met.select("target", "node", "b.dist", "b.parent", (F.col("old").isNull() | (F.col("b.dist") < F.col("old.dist"))).alias("fresh"))
-        if state.append(met, F.col("fresh")) == 0:
-            return best(state.close()).select("target", "node", "b.dist", "b.parent")
+        moved = state.where("fresh").join(arcs, "node").select("target", F.col("next").alias("node"), (F.col("dist") + F.col("cost")).alias("dist"), F.col("edge").alias("parent"))
+        both = state.select("target", "node", "dist", "parent", F.lit(0).alias("new")).unionByName(moved.withColumn("new", F.lit(1)))
+        # a start has no parent, and a null sorts first
+        best = both.groupBy("target", "node").agg(F.min(F.struct("dist", "parent")).alias("b"), F.min(F.when(F.col("new") == 0, F.col("dist"))).alias("old"))
+        state = rounds.write(best.select("target", "node", "b.dist", "b.parent", (F.col("old").isNull() | (F.col("b.dist") < F.col("old"))).alias("fresh")), F.col("fresh"))
+        if rounds.watched == 0:
+            return state.drop("fresh")
     raise RuntimeError(f"distances still improve after {max_rounds} rounds")
 
 
@@ -65,8 +63,9 @@ def top_walks(edges: DataFrame, queries: DataFrame, r: int, hops: int | None = N
     ``max_rounds`` don't end raises. Where edges cost nothing, a walk that can only tie with the r-th isn't followed, as loops give
     such walks without end.
     """
-    found = _cheapest(_search(identified(edges), queries, r, hops, backtrack, max_rounds), r)
-    return with_paths(materialize(found, "walks"), edges, ["query_id", "rank"]).select("query_id", "rank", "cost", "edges", "path")
+    graph = identified(edges)
+    found = _cheapest(_search(graph, queries, r, hops, backtrack, max_rounds), r)
+    return with_paths(materialize(found, "walks"), graph, ["query_id", "rank"]).select("query_id", "rank", "cost", "edges", "path")
 
 
 def walk_edges(arcs: DataFrame, queries: DataFrame, r: int, hops: int | None = None) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from fogline.functions.coins import all_worlds, chunks, edge_key, toss
 from fogline.functions.costs import chance, rounded_down
-from fogline.functions.runtime import Deltas, materialize, small
+from fogline.functions.runtime import Buckets, materialize, small
 from fogline.operators.graph import NEUTRAL, bidirected
 
 
@@ -48,14 +48,20 @@ def _decided(state: DataFrame, keys: Sequence[str], at: DataFrame, wanted: DataF
     return full.where("got = wanted").select(*keys, "chunk", "over")
 
 
+def _added(state: DataFrame, add: DataFrame, by: Sequence[str], mask: str) -> DataFrame:
+    """``state`` (by, mask) with the bits of ``add`` (by, add), and ``fresh``, those that are new."""
+    none = F.lit(0).cast("long")
+    had, got = F.coalesce(mask, none), F.coalesce("add", none)
+    return state.select(*by, mask).join(add, list(by), "full").select(*by, had.bitwiseOR(got).alias(mask), got.bitwiseAND(F.bitwise_not(had)).alias("fresh"))
+
+
 def reach(masks: DataFrame, begin: DataFrame, keys: Sequence[str], allowed: DataFrame | None = None, allowed_keys: Sequence[str] = (), neutral: bool = True, reverse: bool = False, edge_keys: Sequence[str] = (), until_any: DataFrame | None = None, until_all: DataFrame | None = None, max_rounds: int = 10_000) -> DataFrame:
     """(keys, chunk, node, mask): the worlds in which each node is reached from the start rows ``begin``.
 
     ``allowed`` (allowed_keys, color) restricts the colors by query or candidate; its size is checked before it is
     broadcast. ``edge_keys`` are keys that the masks have too: each query or candidate then has edges of its own. Each round joins
-    the frontier with the edges, combines by node, takes off the worlds that are known where they lie and appends the others to the
-    shared folder, which counts them; they are the next frontier. Edges and state lie in buckets, so only the frontier and its
-    messages are shuffled. A loop that ``max_rounds`` don't end raises. Without start rows the result is empty.
+    the frontier with the edges, combines by node, adds what is new to the state and writes that to the shared folder in place of the
+    last one; the write counts what is new. Edges and state lie in buckets, so only the frontier and its messages are shuffled. A loop that ``max_rounds`` don't end raises. Without start rows the result is empty.
 
     With ``until_any`` or ``until_all`` (distinct rows of some keys and node) a world is decided once one, or every one, of the nodes is
     reached in it, and leaves the frontier of those keys: other nodes may then lack worlds that they would be reached in.
@@ -77,14 +83,13 @@ def reach(masks: DataFrame, begin: DataFrame, keys: Sequence[str], allowed: Data
             wanted = small(materialize(ends.groupBy(*each).agg(F.count("*").alias("wanted")), "wanted"))
         ends = small(ends)
     by, spark, none = [*keys, "chunk", "node"], masks.sparkSession, F.lit(0).cast("long")
-    edges, state = Deltas(spark, "arcs", [*edge_keys, "chunk", "node"]), Deltas(spark, "reach", by)
-    edges.append(arcs)
-    arcs = edges.close().drop("round")
-    fresh = state.append(begin.groupBy(*by).agg(F.bit_or("mask").alias("mask")))
+    lie, states = Buckets(spark, "arcs", [*edge_keys, "chunk", "node"]), Buckets(spark, "reach", by)
+    arcs = lie.write(arcs)
+    state = states.write(begin.groupBy(*by).agg(F.bit_or("mask").alias("mask")).withColumn("fresh", F.col("mask")))
     for _ in range(max_rounds):
-        front = state.last().withColumnRenamed("mask", "fresh")
+        front = state.where("fresh != 0").drop("mask")
         if ends is not None:
-            front = front.join(_decided(state.rows().groupBy(*by).agg(F.bit_or("mask").alias("mask")), keys, ends, wanted), [*keys, "chunk"], "left")
+            front = front.join(_decided(state, keys, ends, wanted), [*keys, "chunk"], "left")
             front = front.withColumn("fresh", F.col("fresh").bitwiseAND(F.bitwise_not(F.coalesce("over", none)))).where("fresh != 0")
         moved = front.join(arcs, [*edge_keys, "chunk", "node"])
         if allowed is not None:
@@ -94,11 +99,11 @@ def reach(masks: DataFrame, begin: DataFrame, keys: Sequence[str], allowed: Data
                 on = on & c
             moved = moved.join(allowed, on, "left_semi")
         moved = moved.select(*keys, "chunk", F.col("next").alias("node"), F.col("fresh").bitwiseAND(F.col("em")).alias("add")).where("add != 0")
-        known = state.rows().groupBy(*by).agg(F.bit_or("mask").alias("old"))
-        met = moved.groupBy(*by).agg(F.bit_or("add").alias("add")).join(known, by, "left")
-        fresh = state.append(met.select(*by, F.col("add").bitwiseAND(F.bitwise_not(F.coalesce("old", none))).alias("mask")).where("mask != 0"))
-        if fresh == 0:
-            return state.close().groupBy(*by).agg(F.bit_or("mask").alias("mask"))
+        state = states.write(_added(state, moved.groupBy(*by).agg(F.bit_or("add").alias("add")), by, "mask"), F.col("fresh") != 0)
+        if states.watched == 0:
+            lie.forget()
+            states.forget()
+            return state.drop("fresh")
     raise RuntimeError(f"nodes are still reached after {max_rounds} rounds")
 
 

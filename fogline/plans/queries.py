@@ -226,8 +226,8 @@ def gx_9(spark, sf_dir):
 @query(sql.recursive(*sql.BASE, sql.ARCS, *sql.walks(5), "e as (select query_id, cast(rank as bigint) as path_id, unnest(string_split(path, '|')) as label, generate_subscripts(string_split(path, '|'), 1) - 1 as position from walk)", f"select query_id, path_id, cast(position as int) as position, g.src, g.dst, g.color, g.p_pct from e join (select *, {sql.EDGE} as edge from g) g on g.edge = label"))
 def gx_10(spark, sf_dir):
     """The edges of paths."""
-    edges = trade(spark, sf_dir)
-    walks = paths.top_walks(edges, region_queries(spark, sf_dir), 5)
+    edges = graph.identified(trade(spark, sf_dir))
+    walks = paths.walk_edges(edges, region_queries(spark, sf_dir), 5)
     walked = graph.path_edges(walks.withColumn("path_id", F.col("rank").cast("long")), edges)
     return walked.select("query_id", "path_id", "position", "src", "dst", "color", F.round(F.col("p") * 100).cast("long").alias("p_pct"))
 
@@ -408,8 +408,8 @@ def j_8(spark, sf_dir):
 @query(sql.recursive(*sql.BASE, sql.ARCS, *sql.walks(20), "e as (select query_id, rank, unnest(string_split(path, '|')) as label from walk)", "p as (select query_id, rank, bool_and(cast(string_split(label, '#')[2] as bigint) in (1, 2, 3)) as inside from e group by 1, 2)", "select query_id, bool_or(inside) as covered, count(*) filter (where inside) as paths from p group by 1"))
 def j_9(spark, sf_dir):
     """Queries with a path of three colors only."""
-    edges = trade(spark, sf_dir)
-    walks = paths.top_walks(edges, region_queries(spark, sf_dir), 20).withColumn("path_id", F.col("rank").cast("long"))
+    edges = graph.identified(trade(spark, sf_dir))
+    walks = paths.walk_edges(edges, region_queries(spark, sf_dir), 20).withColumn("path_id", F.col("rank").cast("long"))
     told = graph.path_colors(graph.path_edges(walks, edges))
     inside = F.size(F.array_except("colors", F.array(*[F.lit(c).cast("long") for c in (1, 2, 3)]))) == 0
     return told.withColumn("inside", inside).groupBy("query_id").agg(F.bool_or("inside").alias("covered"), F.sum(F.col("inside").cast("long")).alias("paths"))
@@ -496,8 +496,8 @@ MC8 = [*sql.walks(20), "pe as (select distinct query_id, label from (select quer
 @query(sql.recursive(*sql.BASE, sql.ARCS, sql.live(WORLDS), *MC8, "select q.query_id, count(distinct w) as hits from q join r8 on r8.query_id = q.query_id and list_contains(targets, v) group by 1"))
 def mc_8(spark, sf_dir):
     """Reach within the walks of a query under three colors."""
-    edges, q = trade(spark, sf_dir), region_queries(spark, sf_dir)
-    walks = paths.top_walks(edges, q, 20).withColumn("path_id", F.col("rank").cast("long"))
+    edges, q = graph.identified(trade(spark, sf_dir)), region_queries(spark, sf_dir)
+    walks = paths.walk_edges(edges, q, 20).withColumn("path_id", F.col("rank").cast("long"))
     own = graph.path_edges(walks, edges).where("color in (1, 2, 3)").select("query_id", F.lit(0).cast("long").alias("cand"), *graph.EDGE).distinct()
     scores = select._scored(own, q, q.select("query_id", F.lit(0).cast("long").alias("cand")), "sum", WORLDS)
     return scores.where("hits > 0").select("query_id", "hits")
@@ -525,7 +525,7 @@ def sp_3(spark, sf_dir):
 
 
 def _dist(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    edges = trade(spark, sf_dir)
+    edges = graph.identified(trade(spark, sf_dir))
     ends = region_queries(spark, sf_dir).select(F.array_min("targets").alias("target")).distinct()
     return edges, paths.distances(edges, ends)
 
@@ -577,7 +577,7 @@ def st_1_undirected(spark, sf_dir):
 @query()
 def st_2(spark, sf_dir):
     """The ten cheapest different trees over all terminals of a query."""
-    edges = trade(spark, sf_dir)
+    edges = graph.identified(trade(spark, sf_dir))
     trees = materialize(steiner.top_trees(edges, _terminals(spark, sf_dir), 10), "trees")
     return graph.with_paths(trees, edges, ["query_id", "rank"]).select("query_id", "rank", "root", "cost", F.col("path").alias("tree"))
 
@@ -630,8 +630,8 @@ def fill_1(spark, sf_dir):
 @query(sql.minimum_cover(4, 5))
 def sel_4(spark, sf_dir):
     """Minimum color covers of the walks of all pairs."""
-    edges, solved = trade(spark, sf_dir), objectives.by_pair(region_queries(spark, sf_dir))
-    walks = paths.top_walks(edges, solved.select("query_id", "sources", "targets"), 5).withColumn("path_id", F.col("rank").cast("long"))
+    edges, solved = graph.identified(trade(spark, sf_dir)), objectives.by_pair(region_queries(spark, sf_dir))
+    walks = paths.walk_edges(edges, solved.select("query_id", "sources", "targets"), 5).withColumn("path_id", F.col("rank").cast("long"))
     told = select.ordered_colors(graph.path_edges(walks, edges))
     routes = told.join(solved.select("query_id", "parent", "place"), "query_id").select(F.col("parent").alias("query_id"), F.col("place").alias("pair"), F.col("path_id").alias("rank"), "colors")
     return select.minimum_cover(routes, 4)
