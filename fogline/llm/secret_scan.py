@@ -22,12 +22,12 @@ WHITE = r"[\x20\x09-\x0D]+"
 #: A candidate: a run of so many characters that keys, hashes and tokens are made of, with a digit and a letter in it.
 LEAST, RUN = 16, r"[A-Za-z0-9+/_=.@:\-]{16,}"
 #: Labelled findings that the forest is trained on at most, in the order of a hash, and its size.
-MAX_LABELLED, TREES, DEPTH, SEED = 20_000, 20, 6, 11
+MAX_LABELLED, TREES, DEPTH, SEED = 20_000, 40, 6, 11
 #: Documents whose words surround planted findings, at most, in the order of a hash, and the characters taken from each.
-MAX_CARRIERS, CARRIED = 400, 160
+MAX_CARRIERS, CARRIED = 60, 160
 #: Names that secrets and harmless values are given in planted findings, and how a value follows its name.
 SECRET_NAMES = ("token", "api_key", "apiKey", "client_secret", "password", "passwd", "auth_token", "access_key", "private key", "session cookie", "credential", "the key", "X-Api-Key", "X-Key", "passphrase", "authorization", "SECRET_KEY", "db_password", "webhook secret", "login cookie")
-HARMLESS_NAMES = ("commit", "sha256", "md5sum", "checksum", "etag", "id", "uuid", "trace_id", "request id", "build", "revision", "digest", "object", "ref", "order", "invoice", "tracking number", "version", "hash", "example token", "test password", "sample api_key", "fingerprint", "dummy secret")
+HARMLESS_NAMES = ("commit", "sha256", "md5sum", "checksum", "etag", "id", "uuid", "trace_id", "request id", "build", "revision", "digest", "object", "ref", "order", "invoice", "tracking number", "version", "hash", "fingerprint", "example token", "test password", "sample api_key", "dummy secret", "example credential", "test token", "placeholder passphrase", "sample auth_token")
 FOLLOWS = ('{name} = "{v}"', "{name}={v}", "{name}: {v}", "{name} is {v}", '{"{name}":"{v}"}', "-H '{name}: {v}'", "--{name} {v}", "export {name}={v}", "<{name}>{v}</{name}>", "{name} {v}")
 SECRET_VALUES = ("{hex32}", "{hex40}", "{hex64}", "{mixed18}", "{mixed24}", "{mixed32}", "{mixed40}", "{uuid}")
 HARMLESS_VALUES = ("{hex32}", "{hex40}", "{hex64}", "{uuid}", "{mixed24}", "{hex40}")
@@ -52,11 +52,11 @@ def forms() -> list[tuple[str, int]]:
     return out + [(x, 1) for x in BARE for _ in range(3)] + [(x, 0) for x in HARMLESS for _ in range(3)]
 
 
-#: Of the forms, a document carries one of so many.
-FORM_PART = 8
 #: Words of the dictionary at most, and their least length: the most frequent of the corpus.
 MAX_WORDS, WORD_LENGTH = 1000, 4
 ASSIGNED, NAMES = r"[=:]$", r"(?i)(token|secret|passw|passphrase|api.?key|access.?key|auth|credential|bearer)"
+#: A word between a name and its value.
+FILLER = r"^(=|:|=>|->|is|was|are)$"
 #: Names that may be a secret's, and names of what is public, as whole words before a candidate.
 MAYBE = r"(?i)(?<![a-z])(keys?|cookies?|sessions?|private|pwd|pass|pin|login|signature)(?![a-z])"
 PUBLIC = r"(?i)(?<![a-z])(id|ids|etag|hash|digest|trace|request|build|revision|object|ref|order|invoice|tracking|number|version|fingerprint|integrity|isbn|issn|serial|sku|page|file|img|image)(?![a-z])"
@@ -68,7 +68,7 @@ FEATURES = ("length", "digits", "upper", "lower", "signs", "distinct", "entropy"
 
 
 def candidates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str = "source") -> DataFrame:
-    """One row per candidate: doc_id, position (of its word, from 0), run (in its word, from 0), candidate, word, before, before2, lead, after, path.
+    """One row per candidate: doc_id, position (of its word, from 0), run (in its word, from 0), candidate, word, before, before2, before3, lead, after, path.
 
     Whole texts are read; a null text has no candidates, and repeated rows give repeated candidates. A word gives all its
     runs of RUN that have a digit and a letter; ``lead`` is what stands in the word before one, from the run before it on.
@@ -77,12 +77,12 @@ def candidates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path
     fits = lambda i: (F.length(F.get("words", i)) >= LEAST) & F.get("words", i).rlike("[0-9]") & F.get("words", i).rlike(RUN)
     at = said.withColumn("position", F.explode(F.filter(F.sequence(F.lit(0), F.size("words") - 1), fits)))
     word = lambda k: F.coalesce(F.get("words", F.col("position") + k), F.lit(""))
-    out = at.select("doc_id", F.col("position").cast("long").alias("position"), word(0).alias("word"), word(-1).alias("before"), word(-2).alias("before2"), word(1).alias("after"), F.coalesce("path", F.lit("")).alias("path"))
+    out = at.select("doc_id", F.col("position").cast("long").alias("position"), word(0).alias("word"), word(-1).alias("before"), word(-2).alias("before2"), word(-3).alias("before3"), word(1).alias("after"), F.coalesce("path", F.lit("")).alias("path"))
     out = out.withColumn("runs", F.regexp_extract_all("word", F.lit(RUN), F.lit(0))).withColumn("between", F.split("word", RUN))
     lead = lambda i: F.concat(F.when(i > 0, F.get("runs", i - 1)).otherwise(""), F.get("between", i))
     runs = F.transform("runs", lambda x, i: F.struct(i.cast("long").alias("run"), x.alias("candidate"), lead(i).alias("lead")))
     keys = F.filter(runs, lambda x: x["candidate"].rlike("[0-9]") & x["candidate"].rlike("[A-Za-z]"))
-    return out.withColumn("key", F.explode(keys)).select("doc_id", "position", "key.run", "key.candidate", "word", "before", "before2", "key.lead", "after", "path")
+    return out.withColumn("key", F.explode(keys)).select("doc_id", "position", "key.run", "key.candidate", "word", "before", "before2", "before3", "key.lead", "after", "path")
 
 
 def dictionary(docs: DataFrame, text: str = "text") -> list[str]:
@@ -107,7 +107,7 @@ def with_features(found: DataFrame, words: Sequence[str]) -> DataFrame:
     entropy = F.aggregate(F.array_distinct("chars"), F.lit(0.0), lambda a, x: a - share(x) * F.log2(share(x)))
     # what leads to a first run is the words before it, too
     first, said = F.col("run") == 0, F.concat("lead", F.regexp_replace(c, r"[A-Za-z0-9+/_.@\-]{16,}.*$", ""))
-    near = F.concat_ws(" ", F.when(first, F.col("before2")), F.when(first, F.col("before")), said)
+    near = F.concat_ws(" ", F.when(first & F.col("before").rlike(FILLER), F.col("before3")), F.when(first, F.col("before2")), F.when(first, F.col("before")), said)
     # words that don't overlap, from the left, the longest at each place
     bare = F.regexp_replace(F.lower(c), "|".join(sorted(words, key=lambda w: (-len(w), w))), "") if words else c
     covered = n - F.length(bare)
@@ -142,8 +142,8 @@ def planted_findings(docs: DataFrame, words: Sequence[str], text: str = "text",
     of a document.
 
     Up to ``max_carriers`` documents are taken in the order of a hash of their text; of each, some words of letters around a
-    place that the hash chooses. A document carries one form in FORM_PART, by another hash. ``doc_id`` is a struct of the document's
-    hash, the form's number and the label. Null and empty texts carry nothing; equal texts carry equal findings.
+    place that the hash chooses, but those that would name what is planted. ``doc_id`` is a struct of the document's hash, the
+    form's number and the label. Null and empty texts carry nothing; equal texts carry equal findings.
     """
     planted = forms() if planted is None else planted
     hashed = F.xxhash64(text)
@@ -151,8 +151,10 @@ def planted_findings(docs: DataFrame, words: Sequence[str], text: str = "text",
     taken = docs.where(F.length(text) > 0).select(hashed.alias("carrier"), place.alias("said"), F.coalesce(F.col(path), F.lit("")).alias("path"))
     taken = materialize(taken.orderBy("carrier", "path").limit(max_carriers), "carriers")
     plants = F.explode(F.array(*[F.struct(F.lit(k).alias("plant"), F.lit(form).alias("form"), F.lit(float(label)).alias("label")) for k, (form, label) in enumerate(planted)]))
-    rows = taken.withColumn("around", F.regexp_extract_all("said", F.lit(r"\p{L}+"), F.lit(0))).select("*", plants.alias("p")).select("carrier", "path", "around", "p.*")
-    rows = rows.where(F.pmod(F.xxhash64("carrier", "plant"), F.lit(FORM_PART)) == 0)
+    # words that would name what is planted stay out
+    names = "|".join(x.removeprefix("(?i)") for x in (NAMES, MAYBE, PUBLIC, DOUBTFUL))
+    around = F.filter(F.regexp_extract_all("said", F.lit(r"\p{L}+"), F.lit(0)), lambda w: ~w.rlike(f"(?i)({names})"))
+    rows = taken.withColumn("around", around).select("*", plants.alias("p")).select("carrier", "path", "around", "p.*")
     digest = lambda k: F.sha2(F.concat_ws(" ", F.lit(str(k)), "carrier", "plant"), 256)
     base = lambda k: F.translate(F.base64(F.unhex(digest(k))), "+/=", "xYz")
     made = {"hex": F.concat(digest(0), digest(1)), "mixed": F.concat(base(2), base(3)), "caps": F.upper(base(4)), "digits": F.translate(digest(6), "abcdef", "123456")}

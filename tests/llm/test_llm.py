@@ -874,7 +874,7 @@ def test_the_forest_knows_forms_that_it_was_not_trained_on(spark):
     """Names, ways to follow them and texts without names are held out whole."""
     docs = table(spark, scanned(random.Random(12), 240)[0])
     everything = secret_scan.forms()
-    unseen = [secret_scan.SECRET_NAMES[k] for k in range(0, 20, 4)] + [secret_scan.HARMLESS_NAMES[k] for k in range(1, 24, 4)] + [x.split("{")[0] for k, x in enumerate((*secret_scan.BARE, *secret_scan.HARMLESS)) if k % 4 == 1 and x.split("{")[0]]
+    unseen = [secret_scan.SECRET_NAMES[k] for k in range(0, 20, 4)] + [secret_scan.HARMLESS_NAMES[k] for k in range(1, len(secret_scan.HARMLESS_NAMES), 4)] + [x.split("{")[0] for k, x in enumerate((*secret_scan.BARE, *secret_scan.HARMLESS)) if k % 4 == 1 and x.split("{")[0]]
     held = [f for f in everything if any(u in f[0] for u in unseen)] + UNSEEN * 4
     model = secret_scan.fit(secret_scan.planted_findings(docs, [], planted=[f for f in everything if f not in held]))
     verdicts = secret_scan.judge(secret_scan.planted_findings(docs, [], planted=held), model).select("doc_id.plant", "label", "secret", "candidate").collect()
