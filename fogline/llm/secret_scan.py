@@ -155,6 +155,7 @@ def planted_findings(docs: DataFrame, words: Sequence[str], text: str = "text",
     names = "|".join(x.removeprefix("(?i)") for x in (NAMES, MAYBE, PUBLIC, DOUBTFUL))
     around = F.filter(F.regexp_extract_all("said", F.lit(r"\p{L}+"), F.lit(0)), lambda w: ~w.rlike(f"(?i)({names})"))
     rows = taken.withColumn("around", around).select("*", plants.alias("p")).select("carrier", "path", "around", "p.*")
+    rows = rows.repartition("carrier", "plant")  # the carriers are one small file, their findings' features much work
     digest = lambda k: F.sha2(F.concat_ws(" ", F.lit(str(k)), "carrier", "plant"), 256)
     base = lambda k: F.translate(F.base64(F.unhex(digest(k))), "+/=", "xYz")
     made = {"hex": F.concat(digest(0), digest(1)), "mixed": F.concat(base(2), base(3)), "caps": F.upper(base(4)), "digits": F.translate(digest(6), "abcdef", "123456")}
