@@ -24,7 +24,7 @@ LEAST, RUN = 16, r"[A-Za-z0-9+/_=.@:\-]{16,}"
 #: Labelled findings that the forest is trained on at most, in the order of a hash, and its size.
 MAX_LABELLED, TREES, DEPTH, SEED = 20_000, 40, 6, 11
 #: Documents whose words surround planted findings, at most, in the order of a hash, and the characters taken from each.
-MAX_CARRIERS, CARRIED = 60, 160
+MAX_CARRIERS, CARRIED = 30, 160
 #: Names that secrets and harmless values are given in planted findings, and how a value follows its name.
 SECRET_NAMES = ("token", "api_key", "apiKey", "client_secret", "password", "passwd", "auth_token", "access_key", "private key", "session cookie", "credential", "the key", "X-Api-Key", "X-Key", "passphrase", "authorization", "SECRET_KEY", "db_password", "webhook secret", "login cookie")
 HARMLESS_NAMES = ("commit", "sha256", "md5sum", "checksum", "etag", "id", "uuid", "trace_id", "request id", "build", "revision", "digest", "object", "ref", "order", "invoice", "tracking number", "version", "hash", "fingerprint", "example token", "test password", "sample api_key", "dummy secret", "example credential", "test token", "placeholder passphrase", "sample auth_token")
@@ -155,7 +155,8 @@ def planted_findings(docs: DataFrame, words: Sequence[str], text: str = "text",
     names = "|".join(x.removeprefix("(?i)") for x in (NAMES, MAYBE, PUBLIC, DOUBTFUL))
     around = F.filter(F.regexp_extract_all("said", F.lit(r"\p{L}+"), F.lit(0)), lambda w: ~w.rlike(f"(?i)({names})"))
     rows = taken.withColumn("around", around).select("*", plants.alias("p")).select("carrier", "path", "around", "p.*")
-    rows = rows.repartition("carrier", "plant")  # the carriers are one small file, their findings' features much work
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(parts, "carrier", "plant")  # few bytes, but their features are much work
     digest = lambda k: F.sha2(F.concat_ws(" ", F.lit(str(k)), "carrier", "plant"), 256)
     base = lambda k: F.translate(F.base64(F.unhex(digest(k))), "+/=", "xYz")
     made = {"hex": F.concat(digest(0), digest(1)), "mixed": F.concat(base(2), base(3)), "caps": F.upper(base(4)), "digits": F.translate(digest(6), "abcdef", "123456")}
