@@ -6,11 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def cost_of(p_pct: Column) -> Column:
-    """-ln(p) in whole thousandths, for p in percent."""
-    return F.floor(-F.log(p_pct.cast("double") / 100.0) * 1000.0).cast("long")
-
-
 def chance(columns: list[str]) -> Column:
     """The probability of an edge: p where there is one, else whole percent p_pct."""
     return F.col("p").cast("double") if "p" in columns else F.col("p_pct").cast("double") / 100.0
@@ -26,11 +21,6 @@ def rounded_down(p: Column, steps: int = 10) -> Column:
     return F.floor(F.round(p * steps, 9)) / F.lit(float(steps))
 
 
-def quantised(p_pct: Column, steps: int = 10) -> Column:
-    """Percent rounded down to a multiple of 100 / steps."""
-    return (F.floor(p_pct * steps / 100.0) * F.lit(100 // steps)).cast("long")
-
-
 def miss_pct(p_pct: Column) -> Column:
     """Of a group of edges, the product of 100 - p_pct as a double: the chance that none exists, times 100 to the number of edges.
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fogline.functions import costs, names
+from fogline.functions import names
 from fogline.functions.runtime import materialize, read, scratch_path, small
 from fogline.operators import etl, graph, influence, objectives, paths, select, steiner
 from fogline.operators.reach import edge_masks, hits_at, reach, start, worlds_of_all

@@ -199,8 +199,8 @@ def test_publications_from_xml(spark, tmp_path):
 
 
 def test_names_and_costs(spark):
-    row = spark.range(1).select(names.normalised(F.lit(" Ab C ")).alias("n"), names.format_set(F.array(F.lit(3), F.lit(1))).alias("s"), costs.cost_of(F.lit(50)).alias("c"), costs.quantised(F.lit(57)).alias("q"), names.parse_ids(F.lit("3 1  3")).alias("p")).first()
-    assert (row["n"], row["s"], row["c"], row["q"], row["p"]) == ("ab_c", "{1, 3}", 693, 50, [1, 3])
+    row = spark.range(1).select(names.normalised(F.lit(" Ab C ")).alias("n"), names.format_set(F.array(F.lit(3), F.lit(1))).alias("s"), costs.cost(F.lit(0.5)).alias("c"), costs.rounded_down(F.lit(0.57)).alias("q"), names.parse_ids(F.lit("3 1  3")).alias("p")).first()
+    assert (row["n"], row["s"], row["c"], row["q"], row["p"]) == ("ab_c", "{1, 3}", 693, 0.5, [1, 3])
 
 
 def test_fill_tops_up_with_unused_colors(spark):
