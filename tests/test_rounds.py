@@ -1,11 +1,9 @@
-"""Loops that save work against plain ones: lazy seeds, rounds that start from earlier reach, covers by rounds, seeds and colors in turn."""
+"""Loops that save work against plain ones: lazy seeds, covers by rounds."""
 
 import random
 
-from pyspark.sql import functions as F
-
-from fogline.operators import influence, objectives, reach, select
-from tests.test_graph import EDGES, QUERY
+from fogline.operators import influence, select
+from tests.test_graph import EDGES
 
 
 def made_edges(rng, nodes, n):
@@ -38,21 +36,6 @@ def test_lazy_seeds_equal_plain_greedy(spark):
     assert influence.seeds(masks.limit(0), 3).count() == 0
 
 
-def test_rounds_that_start_from_earlier_reach_score_alike(spark):
-    rng = random.Random(7)
-    df = spark.createDataFrame(made_edges(rng, 25, 90), EDGES)
-    q = spark.createDataFrame([(0, [1, 2], [5, 6]), (1, [3], [7, 8, 9])], QUERY)
-    masks = reach.edge_masks(df, 128)
-    for objective in ("sum", "min", "rel", "conn"):
-        found = objectives.baseline2(df, q, 3, objective, 128, masks=masks).collect()
-        for query_id in (0, 1):
-            chosen = [r["color"] for r in sorted((r for r in found if r["query_id"] == query_id), key=lambda r: r["rank"])]
-            for k in range(1, 4):
-                told = spark.createDataFrame([(query_id, c) for c in chosen[:k]], "query_id long, color long")
-                fresh = objectives.evaluate(df, q.where(F.col("query_id") == query_id), told, objective, 128).first()["hits"]
-                assert fresh == next(r["hits"] for r in found if r["query_id"] == query_id and r["rank"] == k)
-
-
 def brute_cover(paths, k):
     """paths: (rank, pair, colors)."""
     left = sorted(paths)
@@ -72,9 +55,9 @@ def brute_cover(paths, k):
 
 def test_covers_equal_brute_force(spark):
     rng = random.Random(9)
-    queries = {q: [(rank, pair, sorted(rng.sample(range(1, 9), rng.randint(1, 4)))) for pair in range(rng.randint(1, 5)) for rank in range(1, rng.randint(2, 5))] for q in range(30)}
+    queries = {q: [(rank, pair, sorted(rng.sample(range(1, 9), rng.randint(1, 4)))) for pair in range(rng.randint(1, 5)) for rank in range(1, rng.randint(2, 5))] for q in range(12)}
     routes = spark.createDataFrame([(q, pair, rank, colors) for q, ps in queries.items() for rank, pair, colors in ps], "query_id long, pair long, rank int, colors array<long>")
-    for k in (3, 4):
+    for k in (3,):
         got = {}
         for r in select.minimum_cover(routes, k).collect():
             got.setdefault(r["query_id"], []).append(r["color"])
@@ -82,21 +65,3 @@ def test_covers_equal_brute_force(spark):
         assert {q: sorted(c) for q, c in got.items()} == {q: c for q, c in want.items() if c}
         assert any(want.values()) and not all(want.values())
     assert select.minimum_cover(routes.limit(0), 3).count() == 0
-
-
-def test_seeds_and_colors_in_turn_follow_from_each_other(spark):
-    """Each round's seeds are those of the graph under the colors before, and its colors those of the heuristic from these seeds."""
-    rng = random.Random(15)
-    df = spark.createDataFrame(made_edges(rng, 20, 60), EDGES)
-    targets = spark.createDataFrame([(17,), (18,), (19,)], "node long")
-    rows = influence.alternate(df, targets, 2, 2, 2, 6, 128).collect()
-    chosen = None
-    for turn in (1, 2):
-        told = lambda kind, turn=turn: [(r["rank"], r["id"], r["hits"]) for r in sorted(rows, key=lambda r: r["rank"]) if r["round"] == turn and r["kind"] == kind]
-        plain = influence.collapse(df, chosen).where("p_pct > 0")
-        seeds = influence.seeds(influence.target_masks(plain, targets, 128), 2).orderBy("rank").collect()
-        assert told("seed") == [tuple(r)[:3] for r in seeds]
-        query = spark.createDataFrame([(0, sorted(r["node"] for r in seeds), [17, 18, 19])], QUERY)
-        found = select.heuristic(df, query, 2, 6, "rel", 128).orderBy("rank").collect()
-        assert told("color") == [(r["rank"], r["color"], r["hits"]) for r in found] and found
-        chosen = spark.createDataFrame([(r["color"],) for r in found], "color long")
