@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fogline.functions.costs import chance, miss_pct
 from fogline.functions.runtime import Buckets, Rounds, materialize, small
-from fogline.operators.reach import edge_masks, reach, start
+from fogline.operators.reach import edge_masks, hits_at, reach, start
 
 
 def collapse(edges: DataFrame, chosen: DataFrame | None = None) -> DataFrame:
@@ -42,6 +42,16 @@ def target_masks(edges: DataFrame, targets: DataFrame, worlds: int) -> DataFrame
     return reach(edge_masks(colored, worlds), start(seeds, worlds), ["target"], reverse=True)
 
 
+def cascade_hits(edges: DataFrame, sources: DataFrame, targets: DataFrame, worlds: int) -> DataFrame:
+    """(node, hits): in how many worlds one cascade from all ``sources`` (node) reaches each of ``targets`` (node), if in any.
+
+    An edge into a source adds nothing, as a source is reached in every world, so it isn't tossed.
+    """
+    sources = materialize(sources.select("node").distinct(), "sources")
+    into = edges.join(sources.select(F.col("node").alias("dst")), "dst", "left_anti").select(edges.columns)
+    return hits_at(reach(edge_masks(into, worlds), start(sources, worlds), []), targets.select("node").distinct(), [])
+
+
 def spreads(masks: DataFrame) -> DataFrame:
     """(node, hits): targets reached from each node, summed over the worlds."""
     return masks.groupBy("node").agg(F.sum(F.bit_count("mask")).cast("long").alias("hits"))

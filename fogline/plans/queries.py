@@ -486,8 +486,10 @@ def mc_6(spark, sf_dir):
 @query(sql.recursive(*sql.flow_reach(WORLDS, reverse=True), "select count(*) as hits from (select distinct query_id, w from reach where v % 50 <> 0)"))
 def mc_7(spark, sf_dir):
     """Targets, the nodes divisible by 50, that a cascade from all other nodes reaches, over all worlds."""
-    masks = _flow_reach(spark, sf_dir, WORLDS, reverse=True)
-    return masks.where("node % 50 != 0").groupBy("query_id", "chunk").agg(F.bit_or("mask").alias("m")).agg(F.sum(F.bit_count("m")).cast("long").alias("hits"))
+    edges = flow(spark, sf_dir)
+    others = edges.select(F.col("src").alias("node")).where("node % 50 != 0").distinct()
+    hit = influence.cascade_hits(edges, others, flow_ends(edges).select("node"), WORLDS)
+    return hit.agg(F.coalesce(F.sum("hits"), F.lit(0)).cast("long").alias("hits"))
 
 
 MC8 = [*sql.walks(20), "pe as (select distinct query_id, label from (select query_id, unnest(string_split(path, '|')) as label from walk))", f"lv as (select w, query_id, l.src, l.dst from pe join (select *, {sql.EDGE} as edge from live) l on l.edge = label where l.color in (1, 2, 3))", "r8 as (select query_id, w, unnest(sources) as v from q, ws union select r.query_id, r.w, l.dst from r8 r join lv l on l.query_id = r.query_id and l.w = r.w and l.src = r.v)"]
