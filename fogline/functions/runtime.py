@@ -85,7 +85,7 @@ class Buckets:
     def __init__(self, spark: SparkSession, name: str, by: Sequence[str]):
         self.spark, self.name, self.by, self.watched = spark, name, list(by), 0
         self.buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-        self.table = self.path = None
+        self.table = self.path = self.rows = None
 
     def write(self, df: DataFrame, watch: Column | None = None) -> DataFrame:
         """The rows as they lie; nothing but ``df`` may read the state before."""
@@ -97,7 +97,8 @@ class Buckets:
             self.watched = seen.get["n"]
         self.drop()
         self.table, self.path = table, path
-        return self.spark.table(table)
+        self.rows = self.spark.table(table)
+        return self.rows
 
     def drop(self) -> None:
         if self.table:

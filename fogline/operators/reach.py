@@ -55,7 +55,16 @@ def _added(state: DataFrame, add: DataFrame, by: Sequence[str], mask: str) -> Da
     return state.select(*by, mask).join(add, list(by), "full").select(*by, had.bitwiseOR(got).alias(mask), got.bitwiseAND(F.bitwise_not(had)).alias("fresh"))
 
 
-def reach(masks: DataFrame, begin: DataFrame, keys: Sequence[str], allowed: DataFrame | None = None, allowed_keys: Sequence[str] = (), neutral: bool = True, reverse: bool = False, edge_keys: Sequence[str] = (), until_any: DataFrame | None = None, until_all: DataFrame | None = None, max_rounds: int = 10_000) -> DataFrame:
+def lay(masks: DataFrame, edge_keys: Sequence[str] = (), reverse: bool = False) -> Buckets:
+    """The edges as ``reach`` reads them, in buckets by the end they are left from; its ``rows`` serve several calls."""
+    a, b = ("dst", "src") if reverse else ("src", "dst")
+    arcs = masks.select(*edge_keys, "chunk", F.col(a).alias("node"), F.col(b).alias("next"), "color", "em")
+    lie = Buckets(masks.sparkSession, "arcs", [*edge_keys, "chunk", "node"])
+    lie.write(arcs)
+    return lie
+
+
+def reach(masks: DataFrame, begin: DataFrame, keys: Sequence[str], allowed: DataFrame | None = None, allowed_keys: Sequence[str] = (), neutral: bool = True, reverse: bool = False, edge_keys: Sequence[str] = (), until_any: DataFrame | None = None, until_all: DataFrame | None = None, max_rounds: int = 10_000, laid: Buckets | None = None) -> DataFrame:
     """(keys, chunk, node, mask): the worlds in which each node is reached from the start rows ``begin``.
 
     ``allowed`` (allowed_keys, color) restricts the colors by query or candidate; its size is checked before it is
@@ -65,10 +74,9 @@ def reach(masks: DataFrame, begin: DataFrame, keys: Sequence[str], allowed: Data
 
     With ``until_any`` or ``until_all`` (distinct rows of some keys and node) a world is decided once one, or every one, of the nodes is
     reached in it, and leaves the frontier of those keys: other nodes may then lack worlds that they would be reached in.
+    ``laid`` are the masks as ``lay`` wrote them for the same keys and direction.
     """
     keys = list(keys)
-    a, b = ("dst", "src") if reverse else ("src", "dst")
-    arcs = masks.select(*edge_keys, "chunk", F.col(a).alias("node"), F.col(b).alias("next"), "color", "em")
     if allowed is not None:
         allowed = allowed.select(*allowed_keys, F.col("color").alias("_c")).distinct()
         if neutral:
@@ -83,8 +91,9 @@ def reach(masks: DataFrame, begin: DataFrame, keys: Sequence[str], allowed: Data
             wanted = small(materialize(ends.groupBy(*each).agg(F.count("*").alias("wanted")), "wanted"))
         ends = small(ends)
     by, spark, none = [*keys, "chunk", "node"], masks.sparkSession, F.lit(0).cast("long")
-    lie, states = Buckets(spark, "arcs", [*edge_keys, "chunk", "node"]), Buckets(spark, "reach", by)
-    arcs = lie.write(arcs)
+    states = Buckets(spark, "reach", by)
+    lie = lay(masks, edge_keys, reverse) if laid is None else laid
+    arcs = lie.rows
     state = states.write(begin.groupBy(*by).agg(F.bit_or("mask").alias("mask")).withColumn("fresh", F.col("mask")))
     for _ in range(max_rounds):
         front = state.where("fresh != 0").drop("mask")
@@ -101,7 +110,8 @@ def reach(masks: DataFrame, begin: DataFrame, keys: Sequence[str], allowed: Data
         moved = moved.select(*keys, "chunk", F.col("next").alias("node"), F.col("fresh").bitwiseAND(F.col("em")).alias("add")).where("add != 0")
         state = states.write(_added(state, moved.groupBy(*by).agg(F.bit_or("add").alias("add")), by, "mask"), F.col("fresh") != 0)
         if states.watched == 0:
-            lie.forget()
+            if laid is None:
+                lie.forget()
             states.forget()
             return state.drop("fresh")
     raise RuntimeError(f"nodes are still reached after {max_rounds} rounds")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from fogline.functions import names
 from fogline.functions.runtime import materialize, read, scratch_path, small
-from fogline.operators import etl, graph, influence, objectives, paths, select, steiner
+from fogline.operators import etl, graph, hubs, influence, objectives, paths, select, steiner
 from fogline.operators.reach import edge_masks, hits_at, reach, start, worlds_of_all
 from fogline.plans import lines
 from fogline.plans import oracle as sql
@@ -418,15 +418,15 @@ def j_9(spark, sf_dir):
 # sampling --------------------------------------------------------------------------------------------------------------
 
 
-def _flow_reach(spark: SparkSession, sf_dir: str, worlds: int, reverse: bool = False) -> DataFrame:
+def _flow_reach(spark: SparkSession, sf_dir: str) -> hubs.Shared:
     edges = flow(spark, sf_dir)
-    return reach(edge_masks(edges, worlds), start(flow_ends(edges), worlds), ["query_id"], reverse=reverse)
+    return hubs.shared_reach(edge_masks(edges, WORLDS), flow_ends(edges), ["query_id"], WORLDS)
 
 
 @query(sql.recursive(*sql.flow_reach(WORLDS), "select query_id, v as node, count(*) as hits from reach where v <> query_id group by 1, 2"))
 def mc_1(spark, sf_dir):
     """Worlds in which each node is reached from some sources, on the event graph."""
-    return _flow_reach(spark, sf_dir, WORLDS).where("node != query_id").groupBy("query_id", "node").agg(F.sum(F.bit_count("mask")).cast("long").alias("hits"))
+    return hubs.pair_hits(_flow_reach(spark, sf_dir), ["query_id"], WORLDS).where("node != query_id")
 
 
 @query(sql.recursive(*sql.flow_reach(WORLDS), "select query_id, count(*) as hits from reach where v <> query_id group by 1"))
