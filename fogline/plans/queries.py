@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from fogline.functions import names
 from fogline.functions.runtime import materialize, read, scratch_path, small
 from fogline.operators import etl, graph, hubs, influence, objectives, paths, select, steiner
-from fogline.operators.reach import edge_masks, hits_at, reach, start, worlds_of_all
+from fogline.operators.reach import edge_masks, reach, start, worlds_of_all
 from fogline.plans import lines
 from fogline.plans import oracle as sql
 from fogline.plans.fixtures import QUERIES_SQL, TRADE_SQL, flow, flow_ends, region_colors, region_queries, trade
@@ -432,9 +432,8 @@ def mc_1(spark, sf_dir):
 @query(sql.recursive(*sql.flow_reach(WORLDS), "select query_id, count(*) as hits from reach where v <> query_id group by 1"))
 def mc_2(spark, sf_dir):
     """Nodes reached from each source, summed over the worlds, on the event graph."""
-    edges = flow(spark, sf_dir)
-    reached = reach(edge_masks(edges, WORLDS), start(flow_ends(edges), WORLDS), ["query_id"]).where("node != query_id")
-    return hits_at(reached, graph.nodes(edges), ["query_id"]).groupBy("query_id").agg(F.sum("hits").alias("hits"))
+    every = hubs.spread_of_starts(_flow_reach(spark, sf_dir), ["query_id"])
+    return every.select("query_id", (F.col("hits") - WORLDS).alias("hits")).where("hits > 0")  # each source reaches itself in all worlds
 
 
 @query(sql.recursive(*sql.BASE, sql.COLORS, sql.live(WORLDS), *sql._first("q"), *sql.score("max"), "select query_id, cand as color, s as source, t as target, hits from ph"))
