@@ -53,13 +53,23 @@ def _ways_on(edges: DataFrame, queries: DataFrame) -> DataFrame:
     return materialize(dist.join(ends, "target").groupBy("query_id", F.col("node").alias("dst")).agg(F.min("dist").alias("rest")), "ways-on")
 
 
+def _edges_left(arcs: DataFrame, ends: DataFrame, most: int) -> DataFrame:
+    """(query_id, dst, left): the least number of edges from each node to a target of each query, where ``most`` edges do."""
+    told = layer = ends.select("query_id", "dst", F.lit(0).alias("left"))
+    for n in range(1, most + 1):
+        before = arcs.select(F.col("node").alias("from"), "dst").distinct()
+        layer = materialize(layer.join(before, "dst").select("query_id", F.col("from").alias("dst"), F.lit(n).alias("left")).distinct(), "layer")
+        told = told.unionByName(layer)
+    return materialize(told.groupBy("query_id", "dst").agg(F.min("left").alias("left")), "edges-left")
+
+
 def top_walks(edges: DataFrame, queries: DataFrame, r: int, hops: int | None = None, backtrack: bool = False, max_rounds: int = 10_000) -> DataFrame:
     """(query_id, rank, cost, edges, path): the r cheapest walks from a source to the first target met, of up to ``hops`` edges if given,
     by the ids of their edges and printed.
 
     Equal costs are ordered by the edges' ids, the first edge first. Parallel edges give walks of their own. Unless ``backtrack``, a walk
     doesn't step straight back. Of walks that end alike, the r first by cost and edges are kept in each round, so the frontier stays
-    small. Without ``hops`` rounds go on until no open walk of a query can end within the cost of its r-th, and a search that
+    small. With ``hops``, the later half of the rounds only goes to nodes from which a target is within the edges that remain. Without ``hops`` rounds go on until no open walk of a query can end within the cost of its r-th, and a search that
     ``max_rounds`` don't end raises. Where edges cost nothing, a walk that can only tie with the r-th isn't followed, as loops give
     such walks without end.
     """
@@ -80,15 +90,20 @@ def _search(graph: DataFrame, queries: DataFrame, r: int, hops: int | None, back
     begin = queries.select("query_id", F.explode("sources").alias("node"), "targets").where(~F.array_contains("targets", F.col("node")))
     labels = begin.select("query_id", "node", F.lit(None).cast("long").alias("prev"), F.lit(0).cast("long").alias("cost"), F.array().cast("array<bigint>").alias("edges"))
     ways_on = _ways_on(graph, queries) if hops is None else None
+    half = 0 if hops is None else hops // 2
+    near = None if hops is None else _edges_left(arcs, ends, half)
     free = hops is None and arcs.where("cost = 0").limit(1).count() > 0
     kept_rounds, found_rounds, open_rounds = Rounds("labels"), Rounds("found"), Rounds("open")
     found = found_rounds.write(labels.select("query_id", "cost", "edges").limit(0))
-    for _ in range(max_rounds if hops is None else hops):
+    for done in range(1, (max_rounds if hops is None else hops) + 1):
         moved = labels.withColumnRenamed("cost", "so_far").join(arcs, "node")
         if not backtrack:
             moved = moved.where(F.col("prev").isNull() | (F.col("dst") != F.col("prev")))
         moved = moved.select("query_id", "dst", F.col("node").alias("prev"), (F.col("so_far") + F.col("cost")).alias("cost"), F.concat("edges", F.array("edge_id")).alias("edges"))
-        moved = moved.join(ends, ["query_id", "dst"], "left")
+        if near is not None and hops - done <= half:
+            moved = moved.join(near.where(F.col("left") <= hops - done), ["query_id", "dst"]).withColumn("end", F.when(F.col("left") == 0, True)).drop("left")
+        else:
+            moved = moved.join(ends, ["query_id", "dst"], "left")
         if ways_on is not None:
             moved = moved.join(ways_on, ["query_id", "dst"])
         # all walks of a round have as many edges, so their order stays when they go on alike
