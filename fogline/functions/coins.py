@@ -11,8 +11,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fogline.functions.runtime import shuffle_partitions
+
 #: Worlds in a mask.
 CHUNK = 64
+#: Edges times worlds that a task tosses, where there are too few for all partitions of a shuffle.
+TASK_WORLDS = 200_000
 
 
 def edge_key(columns: list[str], directed: bool = True) -> Column:
@@ -36,9 +40,10 @@ def existing(edges: DataFrame, worlds: int, by: Sequence[str], key: Column, p: C
 
     ``p`` is a probability: 0 or less (or null) is never, 1 or more always. The i-th world in which an edge exists comes 1 + floor(ln(u) /
     ln(1 - p)) after the one before, where u = (coin + 0.5) / 2^32 and the coin is ``uniform32`` of i, a colon and the edge's key. The
-    rows are dealt out before, as coins are far more work than the edges' bytes say.
+    rows are dealt out before, as coins are far more work than the edges' bytes say, but few edges not to more tasks than they keep busy.
     """
-    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts, each = shuffle_partitions(edges.sparkSession), max(1, TASK_WORLDS // worlds)
+    parts = min(parts, -(-max(1, edges.limit(parts * each).count()) // each))
     rows = edges.select(*by, key.alias("_key"), F.when(p >= 1, 1.0).otherwise(p).alias("_p")).where("_p > 0").repartition(parts)
     miss = F.when((F.col("_p") > 0) & (F.col("_p") < 1), F.log1p(-F.col("_p")))
 

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Largest number of rows that ``small`` lets Spark broadcast.
 BROADCAST_ROWS = 100_000
+#: Rows of a bucket, where a table is too small to fill as many buckets as a shuffle has partitions.
+BUCKET_ROWS = 20_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -52,6 +54,15 @@ def drop_path(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def shuffle_partitions(spark: SparkSession) -> int:
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def buckets_for(spark: SparkSession, rows: int) -> int:
+    """As many buckets as ``rows`` fill, and at most as many as a shuffle has partitions: a small table isn't cut up with larger inputs."""
+    return min(shuffle_partitions(spark), -(-max(1, rows) // BUCKET_ROWS))
+
+
 class Rounds:
     """The state of a loop in the shared folder: the table of each round takes the place of the one before it."""
 
@@ -82,9 +93,9 @@ class Buckets:
     ``watch``, counted as they are written. A state that is joined with its changes by key is so never shuffled itself.
     """
 
-    def __init__(self, spark: SparkSession, name: str, by: Sequence[str]):
+    def __init__(self, spark: SparkSession, name: str, by: Sequence[str], buckets: int | None = None):
         self.spark, self.name, self.by, self.watched = spark, name, list(by), 0
-        self.buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        self.buckets = buckets or shuffle_partitions(spark)
         self.table = self.path = self.rows = None
 
     def write(self, df: DataFrame, watch: Column | None = None) -> DataFrame:

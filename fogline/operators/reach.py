@@ -13,9 +13,12 @@ from pyspark.sql import functions as F
 
 from fogline.functions.coins import all_worlds, chunks, edge_key, toss
 from fogline.functions.costs import chance, rounded_down
-from fogline.functions.runtime import Buckets, materialize, small
+from fogline.functions.runtime import Buckets, buckets_for, materialize, shuffle_partitions, small
 from fogline.operators.graph import NEUTRAL, bidirected
 
+#: Masks of edges, from which on a graph is large enough for all partitions of a shuffle.
+SMALL_GRAPH = 1_000_000
+
 
 def edge_masks(edges: DataFrame, worlds: int, directed: bool = True, quantise: int | None = None) -> DataFrame:
     """(chunk, src, dst, color, em) of the edges that exist in some world; parallel copies of a color are combined.
@@ -55,15 +58,24 @@ def _added(state: DataFrame, add: DataFrame, by: Sequence[str], mask: str) -> Da
     return state.select(*by, mask).join(add, list(by), "full").select(*by, had.bitwiseOR(got).alias(mask), got.bitwiseAND(F.bitwise_not(had)).alias("fresh"))
 
 
-def lay(masks: DataFrame, edge_keys: Sequence[str] = (), reverse: bool = False) -> Buckets:
+def lay(masks: DataFrame, edge_keys: Sequence[str] = (), reverse: bool = False, buckets: int | None = None) -> Buckets:
     """The edges as ``reach`` reads them, in buckets by the end they are left from; its ``rows`` serve several calls."""
     a, b = ("dst", "src") if reverse else ("src", "dst")
     arcs = masks.select(*edge_keys, "chunk", F.col(a).alias("node"), F.col(b).alias("next"), "color", "em")
-    lie = Buckets(masks.sparkSession, "arcs", [*edge_keys, "chunk", "node"])
+    lie = Buckets(masks.sparkSession, "arcs", [*edge_keys, "chunk", "node"], buckets)
     lie.write(arcs)
     return lie
 
 
+def _buckets(masks: DataFrame, begin: DataFrame, head: str) -> int:
+    """Buckets for the edges and for the state, which has at most a row for each start row and node."""
+    arcs, spark = masks.count(), masks.sparkSession
+    if arcs > SMALL_GRAPH:
+        return shuffle_partitions(spark)
+    heads = masks.select(head).distinct().count()
+    return buckets_for(spark, max(arcs, begin.count() * (heads + 1)))
+
+
 def reach(masks: DataFrame, begin: DataFrame, keys: Sequence[str], allowed: DataFrame | None = None, allowed_keys: Sequence[str] = (), neutral: bool = True, reverse: bool = False, edge_keys: Sequence[str] = (), until_any: DataFrame | None = None, until_all: DataFrame | None = None, max_rounds: int = 10_000, laid: Buckets | None = None) -> DataFrame:
     """(keys, chunk, node, mask): the worlds in which each node is reached from the start rows ``begin``.
 
@@ -91,8 +103,10 @@ def reach(masks: DataFrame, begin: DataFrame, keys: Sequence[str], allowed: Data
             wanted = small(materialize(ends.groupBy(*each).agg(F.count("*").alias("wanted")), "wanted"))
         ends = small(ends)
     by, spark, none = [*keys, "chunk", "node"], masks.sparkSession, F.lit(0).cast("long")
-    states = Buckets(spark, "reach", by)
-    lie = lay(masks, edge_keys, reverse) if laid is None else laid
+    begin = materialize(begin.select(*by, "mask"), "begin")
+    buckets = _buckets(masks, begin, "src" if reverse else "dst") if laid is None else laid.buckets
+    states = Buckets(spark, "reach", by, buckets)
+    lie = lay(masks, edge_keys, reverse, buckets) if laid is None else laid
     arcs = lie.rows
     state = states.write(begin.groupBy(*by).agg(F.bit_or("mask").alias("mask")).withColumn("fresh", F.col("mask")))
     for _ in range(max_rounds):
