@@ -141,6 +141,13 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df`` with the hint that its join shuffles both sides, for tables that grow with the input: Spark sizes a table by the bytes of its
+    files, also after an explode, and else may broadcast a side of many times as many bytes.
+    """
+    return df.hint("merge")
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """One of the driver's tables."""
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

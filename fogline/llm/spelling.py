@@ -4,7 +4,8 @@ Two words are near if one edit of a character leads from one to the other. The l
 two disjoint chunks, its halves; one edit keeps one of them. The half with the edit is cut in two again, and one edit keeps one of
 these as well, so a word has four keys: itself without one of its quarters. The other word gives grams: for its own length and the
 next one, the characters where such chunks may lie, those after the edit one place to the left where it is the shorter word. Chunks
-and grams join by key, and pairs are verified. A key holds three quarters of a word, so few words share it, however many there are.
+and grams join by key, and pairs are verified. A key holds three quarters of a word, so few words share it, however many there are. No join
+broadcasts a side.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fogline.functions.runtime import Rounds, materialize
+from fogline.functions.runtime import Rounds, materialize, shuffled
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Fixed value: what a run of letters is.
@@ -58,7 +59,7 @@ def near_pairs(counted: DataFrame) -> DataFrame:
     chunks = counted.select("word", "n", F.explode(F.array(*[_key(w, size, size, q) for q in QUARTERS])).alias("key"))
     longer = [_key(w, size, size + more, q) for more in (0, 1) for q in QUARTERS]
     grams = counted.select(w.alias("other"), F.col("n").alias("other_n"), F.explode(F.array(*longer)).alias("key"))
-    met = chunks.join(grams, "key").where((F.char_length("word") > F.char_length("other")) | (F.col("word") < F.col("other")))
+    met = chunks.join(shuffled(grams), "key").where((F.char_length("word") > F.char_length("other")) | (F.col("word") < F.col("other")))
     pairs = met.where(F.levenshtein("word", "other", 1) == 1).select("word", "n", "other", "other_n").distinct()
     back = F.struct(F.col("other").alias("word"), F.col("other_n").alias("n"), w.alias("other"), F.col("n").alias("other_n"))
     return pairs.select(F.inline(F.array(F.struct("word", "n", "other", "other_n"), back)))
@@ -73,7 +74,7 @@ def roots(forms: DataFrame, max_rounds: int = 64) -> DataFrame:
     state = rounds.write(forms.select("word", F.col("form").alias("root")))
     for _ in range(max_rounds):
         on = state.select(F.col("word").alias("root"), F.col("root").alias("further"))
-        moved = state.join(on, "root", "left").select("word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved"))
+        moved = state.join(shuffled(on), "root", "left").select("word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved"))
         state = rounds.write(moved)
         if state.where("moved").limit(1).count() == 0:
             return state.drop("moved")
@@ -93,5 +94,5 @@ def variants(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     near = near_pairs(counted).groupBy("word", "n").agg(F.count("*").alias("n_near"), least)
     enough = -F.col("best.minus") >= FORM_TIMES * F.col("n")
     near = materialize(near.select("word", "n_near", F.when(enough, F.col("best.other")).alias("form"), F.when(enough, -F.col("best.minus")).alias("form_n")), "near")
-    out = counted.join(near, "word", "left").join(roots(near.where("form is not null")), "word", "left")
+    out = counted.join(shuffled(near), "word", "left").join(shuffled(roots(near.where("form is not null"))), "word", "left")
     return out.select("word", "form", F.coalesce("root", "word").alias("root"), "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), "form_n")

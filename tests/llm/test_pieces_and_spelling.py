@@ -11,6 +11,7 @@ import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
+from fogline.functions.runtime import materialize
 from fogline.llm import piece_bpe, spelling
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -160,3 +161,14 @@ def test_no_key_holds_many_words(spark):
     words = [("".join(w), 3) for w in __import__("itertools").product("abcd", repeat=6)]
     keys = spark.createDataFrame(words, "word string, n long").select(F.explode(F.array(*[spelling._key(F.col("word"), F.lit(6), F.lit(6), q) for q in range(4)])).alias("k"))
     assert keys.groupBy("k").count().agg(F.max("count")).first()[0] <= 16
+
+
+def test_no_join_of_words_broadcasts(spark, monkeypatch):
+    """Spark sizes words by their file's bytes; their keys are many times as many."""
+    planned = []
+    monkeypatch.setattr(spelling, "materialize", lambda df, name: planned.append(df) or materialize(df, name))
+    monkeypatch.setattr(spelling.Rounds, "write", lambda self, df, watch=None, write=spelling.Rounds.write: planned.append(df) or write(self, df, watch))
+    out = spelling.variants(table(spark, [(1, "letter letter letter letter letter letter lettex lettex lettex ")]))
+    assert {r["word"]: r["root"] for r in out.collect()} == {"letter": "letter", "lettex": "letter"}
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in [*planned, out]]
+    assert sum("SortMergeJoin" in p for p in plans) >= 3 and not any("Broadcast" in p for p in plans)
