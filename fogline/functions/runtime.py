@@ -153,6 +153,18 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+@contextmanager
+def partitions_of_shuffles(spark: SparkSession, n: int) -> Iterator[None]:
+    """Within it, shuffles have ``n`` partitions: as many as the buckets of what they are joined with."""
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(n))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 @contextmanager
 def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
     """Within it, jobs send at most ``rows`` rows at once to Python workers: for long texts, to bound their memory."""

@@ -3,6 +3,9 @@
 In a world, all that reach a hub reach whatever the hub does. So a start that lies behind the hub of a world needs a search of its own only
 among nodes that don't lie ahead of it, and one that doesn't lie behind it only among nodes that don't either; both are few where most
 nodes reach each other. Worlds without a hub are searched from each start. Any choice of hubs gives the same reach.
+
+A world's hub is, of some nodes of many edges, the one that has most edges there both out and in. One search ahead of the hubs of all worlds
+and one behind them go over masks side by side (``wide``); what is left to each start is little and goes by ``reach``.
 """
 
 from __future__ import annotations
@@ -10,107 +13,92 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fogline.functions.coins import CHUNK, all_worlds, chunks
+from fogline.functions.coins import CHUNK
 from fogline.functions.runtime import Buckets, materialize, small
-from fogline.operators.reach import lay, reach, start
+from fogline.operators.reach import reach
+from fogline.operators.wide import every, lay_wide, names, narrow, none, wide_buckets, wide_reach, widened, without
 
-#: Nodes that are tried as hubs, the last of them as witnesses only.
-HUBS = 4
+#: Nodes that are tried as hubs.
+HUBS = 16
 
 
 class Shared(NamedTuple):
-    """``behind`` (keys, chunk, mask): the worlds in which a start lies behind the world's hub; ``ahead`` (chunk, node, mask): those in which a
-    node lies ahead of it; ``rest`` (keys, chunk, node, mask): what each start reaches else, in further worlds only."""
+    """``behind`` (keys, m0, m1 and so on): the worlds in which a start lies behind the world's hub; ``ahead`` (node, m0, m1 and so on): those
+    in which a node lies ahead of it; ``rest`` (keys, chunk, node, mask): what each start reaches else, in further worlds only."""
 
     behind: DataFrame
     ahead: DataFrame
     rest: DataFrame
 
 
-def _candidates(masks: DataFrame, n: int) -> list[int]:
-    """The ``n`` nodes that have most edges over all worlds both out and in."""
-    bits = F.sum(F.bit_count("em"))
-    out, into = (masks.groupBy(F.col(c).alias("node")).agg(bits.alias(name)) for c, name in (("src", "out"), ("dst", "into")))
-    return [r["node"] for r in out.join(into, "node").orderBy(F.least("out", "into").desc(), "node").limit(n).collect()]
+def _bit(mask: str = "mask") -> Column:
+    return F.call_function("shiftright", F.col(mask), F.col("i")).bitwiseAND(F.lit(1).cast("long"))
+
 
+def _each_world(masks: DataFrame) -> DataFrame:
+    """``masks`` (chunk and more, mask) with a row for each bit i of a mask that is set."""
+    return masks.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(CHUNK - 1)))).where(_bit() != 0)
 
-def _without(mask: str, other: str):
-    return F.col(mask).bitwiseAND(F.bitwise_not(F.coalesce(other, F.lit(0).cast("long"))))
 
+def _hubs(laid: dict[bool, Buckets], worlds: int, n: int) -> DataFrame:
+    """(node, m0, m1 and so on): the worlds whose hub a node is, of the ``n`` nodes that have most edges over all worlds both out and in."""
+    ms = names(worlds)
+    bits = F.sum(sum((F.bit_count(m).cast("long") for m in ms), none()))
+    out, into = (laid[way].rows.groupBy("node").agg(bits.alias(name)) for way, name in ((False, "out"), (True, "into")))
+    tried = [r["node"] for r in out.join(into, "node").orderBy(F.least("out", "into").desc(), "node").limit(n).collect()]
+    met = [_each_world(narrow(laid[way].rows.where(F.col("node").isin(tried)).select("node", *ms), ms)).groupBy("node", "chunk", "i").agg(F.count("*").alias(name)) for way, name in ((False, "out"), (True, "into"))]
+    best = met[0].join(met[1], ["node", "chunk", "i"]).groupBy("chunk", "i").agg(F.min_by("node", F.struct(-F.least("out", "into"), "node")).alias("node"))
+    return widened(best.withColumn("mask", F.call_function("shiftleft", F.lit(1).cast("long"), F.col("i"))), ["node"], worlds, "mask")
 
-def shared_reach(masks: DataFrame, begin: DataFrame, keys: Sequence[str], worlds: int, hubs: int = HUBS) -> Shared:
+
+def shared_reach(masks: DataFrame, begin: DataFrame, keys: Sequence[str], worlds: int, hubs: int = HUBS, arcs: int | None = None) -> Shared:
     """Reach from the start rows ``begin`` (keys, node) in all worlds, over all colors.
 
-    A candidate is the hub of a world if it reaches another one there and is reached by it. Edges are laid out once each way.
+    ``masks`` are those of ``wide_masks`` or of ``edge_masks``; ``arcs`` is about how many rows they have, if known, else they are counted.
+    Edges are laid out once each way.
     """
-    keys, spark = list(keys), masks.sparkSession
-    laid = {way: lay(masks, reverse=way) for way in (False, True)}
-    left = materialize(spark.range(1).select(chunks(worlds).alias("chunk")).withColumn("left", all_worlds(F.col("chunk"), worlds)), "left")
-    parts = {False: [], True: []}
-    tried = _candidates(masks, hubs)
-    for hub in tried:
-        begun = left.select(F.lit(hub).cast("long").alias("node"), "chunk", F.col("left").alias("mask"))
-        found = {way: reach(masks, begun, [], reverse=way, laid=laid[way]) for way in (False, True)}
-        others = [x for x in tried if x != hub]
-        met = [found[way].where(F.col("node").isin(others)) for way in (False, True)]
-        both = met[0].join(met[1].withColumnRenamed("mask", "back"), ["chunk", "node"])
-        won = materialize(both.groupBy("chunk").agg(F.bit_or(F.col("mask").bitwiseAND(F.col("back"))).alias("won")).where("won != 0"), "won")
-        for way in (False, True):
-            own = found[way].join(F.broadcast(won), "chunk")  # a row for each chunk
-            parts[way].append(own.select("chunk", "node", F.col("mask").bitwiseAND(F.col("won")).alias("mask")).where("mask != 0"))
-        left = materialize(left.join(won, "chunk", "left").select("chunk", _without("left", "won").alias("left")).where("left != 0"), "left")
-        if left.limit(1).count() == 0:
-            break
-    none = spark.createDataFrame([], "chunk int, node long, mask long")
-    ahead, behind = (_laid_out(parts[way], none) for way in (False, True))
-
-    at = behind.withColumnRenamed("mask", "b")
-    begun = start(begin.select(*keys, "node"), worlds).join(at, ["chunk", "node"], "left").join(ahead.withColumnRenamed("mask", "a"), ["chunk", "node"], "left")
-    begun = materialize(begun, "begun")
-    hubbed = materialize(begun.groupBy(*keys, "chunk").agg(F.bit_or("b").alias("mask")).where("mask != 0"), "hubbed")
-    begun = begun.join(hubbed.withColumnRenamed("mask", "hubbed"), [*keys, "chunk"], "left")
-    by_hub = F.col("mask").bitwiseAND(F.coalesce("hubbed", F.lit(0).cast("long"))).bitwiseAND(F.bitwise_not(F.coalesce("a", F.lit(0).cast("long"))))
-    each = [(0, by_hub), (1, _without("mask", "hubbed"))]
-    begun = begun.select(*keys, "node", "chunk", F.inline(F.array(*[F.struct(F.lit(kind).alias("kind"), mask.alias("mask")) for kind, mask in each]))).where("mask != 0")
+    keys, spark, ms = list(keys), masks.sparkSession, names(worlds)
+    if "em" in masks.columns:
+        masks = materialize(widened(masks, ["src", "dst"], worlds, "em"), "wide-masks")
+    buckets = wide_buckets(spark, masks.count() if arcs is None else arcs)
+    laid = {False: lay_wide(masks.select(F.col("src").alias("node"), F.col("dst").alias("next"), *ms), buckets)}
+    laid[True] = lay_wide(laid[False].rows.select(F.col("next").alias("node"), F.col("node").alias("next"), *ms), buckets)
+    begun = materialize(_hubs(laid, worlds, hubs), "hubs")
+    ahead, behind = (wide_reach(laid[way], begun, worlds) for way in (False, True))
+
+    back, to = names(worlds, "b"), names(worlds, "a")
+    of_ahead, of_behind = ahead.select("node", *[F.col(m).alias(a) for m, a in zip(ms, to, strict=True)]), behind.select("node", *[F.col(m).alias(b) for m, b in zip(ms, back, strict=True)])
+    begun = materialize(begin.select(*keys, "node").join(of_behind, "node", "left").join(of_ahead, "node", "left"), "begun")
+    hubbed = materialize(begun.groupBy(*keys).agg(*[F.coalesce(F.bit_or(b), none()).alias(m) for b, m in zip(back, ms, strict=True)]), "hubbed")
+    begun = begun.select(*keys, "node", *to).join(hubbed, keys)
+    by_hub = [without(m, a).alias(m) for m, a in zip(ms, to, strict=True)]
+    alone = [without(whole, m).alias(m) for whole, m in zip(every(worlds), ms, strict=True)]
+    kinds = [narrow(begun.select(F.lit(kind).alias("kind"), *keys, "node", *own), ms) for kind, own in ((0, by_hub), (1, alone))]
     # nodes that lie ahead are left out for starts behind a hub; nodes that lie behind for the others, which can't reach them
-    shape = ["kind", "chunk", "src", "dst", "color", "em"]
-    into = laid[True].rows.join(ahead, ["chunk", "node"], "left").select(F.lit(0).alias("kind"), "chunk", F.col("next").alias("src"), F.col("node").alias("dst"), "color", _without("em", "mask").alias("em"))
-    out = laid[False].rows.join(behind, ["chunk", "node"], "left").select(F.lit(1).alias("kind"), "chunk", F.col("node").alias("src"), F.col("next").alias("dst"), "color", _without("em", "mask").alias("em"))
-    own = materialize(into.unionByName(out).where("em != 0").select(*shape), "own-masks")
+    into = laid[True].rows.join(of_ahead.hint("shuffle_hash"), "node", "left").select(F.lit(0).alias("kind"), F.col("next").alias("src"), F.col("node").alias("dst"), *by_hub)
+    out = laid[False].rows.join(of_behind.hint("shuffle_hash"), "node", "left").select(F.lit(1).alias("kind"), F.col("node").alias("src"), F.col("next").alias("dst"), *[without(m, b).alias(m) for m, b in zip(ms, back, strict=True)])
+    own = narrow(into, ms, "em").unionByName(narrow(out, ms, "em")).groupBy("kind", "chunk", "src", "dst").agg(F.bit_or("em").alias("em"))
+    own = materialize(own.select("kind", "chunk", "src", "dst", F.lit(0).cast("long").alias("color"), "em"), "own-masks")
     for lie in laid.values():
         lie.forget()
-    rest = reach(own, begun, ["kind", *keys], edge_keys=["kind"])
+    rest = reach(own, kinds[0].unionByName(kinds[1]), ["kind", *keys], edge_keys=["kind"])
     return Shared(hubbed, ahead, rest.select(*keys, "chunk", "node", "mask"))
 
 
-def _laid_out(parts: list[DataFrame], none: DataFrame) -> DataFrame:
-    """(chunk, node, mask) of all hubs, in buckets as the edges are."""
-    all_of = none
-    for part in parts:
-        all_of = all_of.unionByName(part)
-    return Buckets(none.sparkSession, "hub", ["chunk", "node"]).write(all_of.groupBy("chunk", "node").agg(F.bit_or("mask").alias("mask")))
-
-
-def _wide(masks: DataFrame, by: Sequence[str], name: str, n: int) -> DataFrame:
-    """(by, name0 to name<n - 1>): the masks of all chunks side by side."""
-    return masks.groupBy(*by).agg(*[F.coalesce(F.bit_or(F.when(F.col("chunk") == i, F.col("mask"))), F.lit(0).cast("long")).alias(f"{name}{i}") for i in range(n)])
-
-
 def pair_hits(shared: Shared, keys: Sequence[str], worlds: int) -> DataFrame:
     """(keys, node, hits): in how many worlds each node is reached, where it is in any.
 
     There is a row for nearly each start and node, so these rows are made where the nodes lie and not shuffled; only what is reached
     without a hub is.
     """
-    keys, n = list(keys), (worlds - 1) // CHUNK + 1
-    ahead = materialize(_wide(shared.ahead, ["node"], "a", n), "ahead")
-    behind = small(materialize(_wide(shared.behind, keys, "b", n), "behind"))
+    keys, ms, back = list(keys), names(worlds), names(worlds, "b")
+    ahead = shared.ahead
+    behind = small(materialize(shared.behind.select(*keys, *[F.col(m).alias(b) for m, b in zip(ms, back, strict=True)]), "behind"))
     extra = materialize(shared.rest.groupBy(*keys, "node").agg(F.sum(F.bit_count("mask")).cast("long").alias("extra")), "extra")
-    zero = F.lit(0).cast("long")
-    common = sum((F.bit_count(F.coalesce(f"a{i}", zero).bitwiseAND(F.coalesce(f"b{i}", zero))).cast("long") for i in range(n)), zero)
+    common = sum((F.bit_count(F.coalesce(m, none()).bitwiseAND(F.coalesce(b, none()))).cast("long") for m, b in zip(ms, back, strict=True)), none())
     seen = extra.groupBy("node").agg(F.collect_list(F.struct(*keys)).alias("seen"))
     far = ahead.join(seen, "node", "left").crossJoin(behind).where(F.col("seen").isNull() | ~F.array_contains("seen", F.struct(*keys)))
     near = extra.join(behind, keys, "left").join(ahead, "node", "left")
@@ -119,9 +107,8 @@ def pair_hits(shared: Shared, keys: Sequence[str], worlds: int) -> DataFrame:
 
 def spread_of_starts(shared: Shared, keys: Sequence[str]) -> DataFrame:
     """(keys, hits): nodes reached, starts among them, summed over the worlds. What lies ahead of hubs is counted once a world."""
-    bit = F.call_function("shiftright", F.col("mask"), F.col("i")).bitwiseAND(F.lit(1).cast("long"))
-    worlds = shared.ahead.select("chunk", "mask", F.explode(F.sequence(F.lit(0), F.lit(CHUNK - 1))).alias("i")).where(bit != 0)
-    sizes = materialize(worlds.groupBy("chunk", "i").agg(F.count("*").alias("n")), "sizes")
-    far = shared.behind.join(F.broadcast(sizes), "chunk").where(bit != 0).select(*keys, F.col("n").alias("hits"))  # a row for each world
+    ms = [c for c in shared.ahead.columns if c != "node"]
+    sizes = materialize(_each_world(narrow(shared.ahead, ms)).groupBy("chunk", "i").agg(F.count("*").alias("n")), "sizes")
+    far = narrow(shared.behind, ms).join(F.broadcast(sizes), "chunk").where(_bit() != 0).select(*keys, F.col("n").alias("hits"))  # a row for each world
     near = shared.rest.select(*keys, F.bit_count("mask").cast("long").alias("hits"))
     return far.unionByName(near).groupBy(*keys).agg(F.sum("hits").alias("hits"))

@@ -12,6 +12,7 @@ from fogline.functions import names
 from fogline.functions.runtime import materialize, read, scratch_path, small
 from fogline.operators import etl, graph, hubs, influence, objectives, paths, select, steiner
 from fogline.operators.reach import edge_masks, reach, start, worlds_of_all
+from fogline.operators.wide import wide_masks
 from fogline.plans import lines
 from fogline.plans import oracle as sql
 from fogline.plans.fixtures import QUERIES_SQL, TRADE_SQL, flow, flow_ends, region_colors, region_queries, trade
@@ -420,7 +421,7 @@ def j_9(spark, sf_dir):
 
 def _flow_reach(spark: SparkSession, sf_dir: str) -> hubs.Shared:
     edges = flow(spark, sf_dir)
-    return hubs.shared_reach(edge_masks(edges, WORLDS), flow_ends(edges), ["query_id"], WORLDS)
+    return hubs.shared_reach(wide_masks(edges, WORLDS), flow_ends(edges), ["query_id"], WORLDS, arcs=edges.count())
 
 
 @query(sql.recursive(*sql.flow_reach(WORLDS), "select query_id, v as node, count(*) as hits from reach where v <> query_id group by 1, 2"))
