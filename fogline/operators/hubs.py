@@ -17,12 +17,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fogline.functions.coins import CHUNK
-from fogline.functions.runtime import Buckets, materialize, small
+from fogline.functions.runtime import BROADCAST_ROWS, Buckets, materialize, small
 from fogline.operators.reach import reach
 from fogline.operators.wide import every, lay_wide, names, narrow, none, wide_buckets, wide_reach, widened, without
 
 #: Nodes that are tried as hubs.
 HUBS = 16
+#: Starts of a block that nodes are paired with.
+BLOCK_STARTS = 1000
 
 
 class Shared(NamedTuple):
@@ -92,17 +94,22 @@ def pair_hits(shared: Shared, keys: Sequence[str], worlds: int) -> DataFrame:
     """(keys, node, hits): in how many worlds each node is reached, where it is in any.
 
     There is a row for nearly each start and node, so these rows are made where the nodes lie and not shuffled; only what is reached
-    without a hub is.
+    without a hub is. Nodes meet starts by blocks of these.
     """
     keys, ms, back = list(keys), names(worlds), names(worlds, "b")
-    ahead = shared.ahead
-    behind = small(materialize(shared.behind.select(*keys, *[F.col(m).alias(b) for m, b in zip(ms, back, strict=True)]), "behind"))
+    ahead, n = shared.ahead, shared.behind.count()
+    behind = materialize(shared.behind.select(*keys, *[F.col(m).alias(b) for m, b in zip(ms, back, strict=True)]), "behind")
+    block = F.pmod(F.xxhash64(*keys), F.lit(-(-max(1, n) // BLOCK_STARTS)))
+    blocks = materialize(behind.groupBy(block.alias("block")).agg(F.collect_list(F.struct(*keys, *back)).alias("starts")), "starts").select("starts")
+    blocks = F.broadcast(blocks) if n <= BROADCAST_ROWS else blocks
     extra = materialize(shared.rest.groupBy(*keys, "node").agg(F.sum(F.bit_count("mask")).cast("long").alias("extra")), "extra")
+    start = F.col(keys[0]) if len(keys) == 1 else F.struct(*keys)
+    seen = extra.groupBy("node").agg(F.collect_list(start).alias("seen"))
+    met = ahead.join(seen, "node", "left").crossJoin(blocks).select("node", "seen", *ms, F.inline("starts")).where(F.col("seen").isNull() | ~F.array_contains("seen", start))
+    far = met.select(*keys, "node", sum((F.bit_count(F.col(m).bitwiseAND(F.col(b))).cast("long") for m, b in zip(ms, back, strict=True)), none()).alias("hits")).where("hits > 0")
     common = sum((F.bit_count(F.coalesce(m, none()).bitwiseAND(F.coalesce(b, none()))).cast("long") for m, b in zip(ms, back, strict=True)), none())
-    seen = extra.groupBy("node").agg(F.collect_list(F.struct(*keys)).alias("seen"))
-    far = ahead.join(seen, "node", "left").crossJoin(behind).where(F.col("seen").isNull() | ~F.array_contains("seen", F.struct(*keys)))
-    near = extra.join(behind, keys, "left").join(ahead, "node", "left")
-    return far.select(*keys, "node", common.alias("hits")).where("hits > 0").unionByName(near.select(*keys, "node", (common + F.col("extra")).alias("hits")))
+    near = extra.join(small(behind), keys, "left").join(ahead, "node", "left")
+    return far.unionByName(near.select(*keys, "node", (common + F.col("extra")).alias("hits")))
 
 
 def spread_of_starts(shared: Shared, keys: Sequence[str]) -> DataFrame:

@@ -50,6 +50,7 @@ def test_wide_masks_and_reach_are_those_of_narrow_ones(spark):
 
 
 def test_hubs_of_all_worlds_are_searched_once_each_way_over_a_row_an_edge(spark, monkeypatch):
+    monkeypatch.setattr(hubs, "BLOCK_STARTS", 2)
     searched, edges = [], _graph(spark, 4)
     monkeypatch.setattr(hubs, "wide_reach", lambda laid, begin, worlds: searched.append(laid.rows.count()) or wide_reach(laid, begin, worlds))
     begin = spark.createDataFrame([(q, q) for q in (0, 3, 25)], "query_id long, node long")
